@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import mixing, sharding, warc
+from lumenframe.llm import bpe, fingerprint, mixing, sharding, warc
 
 QUERIES = {
+    "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_bpe_codec": bpe.op6_bpe_codec,
     "op7_shard_documents": sharding.op7_shard_documents,
     "op8_warc_archives": warc.op8_warc_archives,
 }
