@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -51,7 +52,7 @@ def dedup_captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
-    """Write one WARC/1.1 record per page into files of about file_bytes under path, through Spark's text writer.
+    """Write one WARC/1.1 record per page into gzip files of about file_bytes of text under path, by Spark's text writer.
 
     A record ends with two line ends, which is the writer's line separator, so each file is a plain WARC file that
     other readers take too. A revisit carries no payload; it names the full payload's digest and size. Without a
@@ -59,7 +60,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
     URL are written percent-coded; a null URL is empty.
     """
     records = dedup_captures(pages, least_bytes)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    total, n = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
     url = F.coalesce(F.col("url"), F.lit(""))
     for code in (*range(33), 127):
         url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
@@ -76,9 +77,9 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
         F.lit("\r\nWARC-Payload-Length: "), F.col("payload_bytes").cast("string"), refers,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    files = max(1, -(-total // file_bytes))
-    spread = records.select(F.concat(head, block).alias("value")).repartition(files)
-    spread.write.option("lineSep", END).option("compression", "none").text(path)
+    # The payloads move once, in the join that finds revisits; its partitions are written as they are.
+    spread = records.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("compression", "gzip")
+    spread.option("maxRecordsPerFile", max(1, file_bytes * n // max(total, 1))).text(path)
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -150,7 +151,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"], strict=True):
-                rows = sorted((capture(file, *r) for r in read_records(bytes(data))), key=sort_key)
+                rows = sorted((capture(file, *r) for r in read_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else bytes(data))), key=sort_key)
                 frame = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
                 yield frame.assign(run=file)
 
