@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, embeddings, fingerprint, minhash, mixing, sharding, warc
+from lumenframe.llm import bpe, embeddings, fingerprint, licenses, minhash, mixing, sharding, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
