@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, embeddings, fingerprint, licenses, minhash, mixing, sharding, warc
+from lumenframe.llm import bpe, embeddings, fingerprint, licenses, minhash, mixing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_bpe_codec": bpe.op6_bpe_codec,
     "op7_shard_documents": sharding.op7_shard_documents,
     "op8_warc_archives": warc.op8_warc_archives,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {**warc.ORACLE_SQL}
