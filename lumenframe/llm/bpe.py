@@ -9,12 +9,13 @@ import re
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents
 
@@ -214,21 +215,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     columns are ignored. Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids adds ids and decoded.
     """
 
-    def each(batches: Iterable) -> Iterator:
+    shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+
+    @F.pandas_udf(f"struct<{shape.replace(' ', ':').replace(',:', ', ')}>")
+    def codec(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load(path or tokenizer_path())
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part, out = batch.iloc[i : i + 500], []
-                for text in part["text"]:
-                    ids = model.encode(text or "")
-                    decoded = model.decode(ids)
-                    out.append((len(ids), hashlib.sha256(model.decimals(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids.tolist(), decoded) if with_ids else ())))
-                frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
-                frame.insert(0, "doc_id", part["doc_id"].astype("Int64").array)
-                yield frame
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(each, schema)
+            out = []
+            for text in batch:
+                ids = model.encode(text or "")
+                decoded = model.decode(ids)
+                out.append((len(ids), hashlib.sha256(model.decimals(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids.tolist(), decoded) if with_ids else ())))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")])
+
+    return docs.select("doc_id", codec("text").alias("coded")).select("doc_id", "coded.*")
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

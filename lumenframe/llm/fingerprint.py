@@ -115,15 +115,14 @@ def printed(v: np.ndarray) -> list[str]:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (base64 of the lanes) per row, without a shuffle; null and empty texts have zero lanes."""
 
-    def each(batches: Iterable) -> Iterator:
+    @F.pandas_udf("string")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = WordHashes()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                words.trim()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fingerprint": printed(fingerprints(list(part["text"]), words))})
+            words.trim()
+            yield pd.Series([p for i in range(0, len(batch), 256) for p in printed(fingerprints(list(batch.iloc[i : i + 256]), words))], dtype=object)
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fingerprint string")
+    return docs.select("doc_id", hashed("text").alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -160,7 +159,7 @@ def edited_fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame
         words.trim()
         own, other = fingerprints(texts, words), fingerprints(edited, words)
         return pd.DataFrame({
-            "doc_id": pd.array([h[0] for h in held[:-1]], dtype="Int64"),
+            "doc_id": [h[0] for h in held[:-1]],
             "n_chars": [len(t) for t in texts[:-1]],
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
             "fingerprint": printed(own[:-1]),
@@ -177,16 +176,18 @@ def edited_fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame
                     held, size, block, ended = [], 0, at, False
                 if ended:
                     continue
-                held.append((None if pd.isna(doc) else int(doc), text))
+                held.append((doc, text))
                 size += len(text)
                 ended = bool(after)
                 if len(held) > 1 and (ended or size > BLOCK):
                     yield flush(held, words)
                     held, size = held[-1:], len(text)
 
-    return dealt.select("doc_id", "text", "block", "after").mapInPandas(
-        each, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Ids travel as text: pandas would turn a column with nulls into floats.
+    found = dealt.select(F.col("doc_id").cast("string"), "text", "block", "after").mapInPandas(
+        each, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

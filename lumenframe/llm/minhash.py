@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,50 +77,46 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, same (hash of the shingle set, null without shingles), keys (a key per band)."""
 
-    def each(batches: Iterable) -> Iterator:
+    @F.pandas_udf("struct<n_shingles: long, same: string, keys: array<long>>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            ids, sets, held = [], [], 0
-
-            def flush() -> pd.DataFrame:
-                full = [s for s in sets if len(s)]
-                keys: Iterator = iter(())
-                if full:
-                    keys = iter(band_keys(super_minhash(np.concatenate(full), np.array([len(s) for s in full]), bands * rows), rows))
-                return pd.DataFrame({
-                    "doc_id": pd.array(ids, dtype="Int64"),
-                    "n_shingles": [len(s) for s in sets],
-                    "same": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets],
-                    "keys": [next(keys) if len(s) else None for s in sets],
-                })
-
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(doc) else int(doc))
-                sets.append(shingle_set(text, k, words))
-                held += len(sets[-1])
-                if held > BLOCK:
-                    yield flush()
-                    ids, sets, held = [], [], 0
+            counts, same, keys, held = [], [], [], []
+
+            def flush() -> None:
+                full = [s for s in held if len(s)]
+                found = iter(band_keys(super_minhash(np.concatenate(full), np.array([len(s) for s in full]), bands * rows), rows) if full else ())
+                counts.extend(map(len, held))
+                same.extend(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in held)
+                keys.extend(next(found) if len(s) else None for s in held)
+                held.clear()
+
+            size = 0
+            for text in batch:
+                held.append(shingle_set(text, k, words))
+                size += len(held[-1])
+                if size > BLOCK:
+                    flush()
                     words.trim()
-            if ids:
-                yield flush()
+                    size = 0
+            flush()
+            yield pd.DataFrame({"n_shingles": counts, "same": same, "keys": keys})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, n_shingles long, same string, keys array<long>")
+    return docs.select("doc_id", sign("text").alias("signed")).select("doc_id", "signed.*")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, same, shingles) of whole texts."""
 
-    def each(batches: Iterable) -> Iterator:
+    @F.pandas_udf("struct<same: string, shingles: array<long>>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.iloc[i : i + 200]
-                words.trim()
-                sets = [shingle_set(t, k, words) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("int64").array, "same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            sets = [shingle_set(t, k, words) for t in batch]
+            words.trim()
+            yield pd.DataFrame({"same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return docs.mapInPandas(each, "doc_id long, same string, shingles array<long>")
+    return docs.select("doc_id", whole("text").alias("set")).select("doc_id", "set.*")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:

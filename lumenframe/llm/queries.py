@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, embeddings, fingerprint, licenses, minhash, mixing, sharding, toxicity, warc
+from lumenframe.llm import bpe, embeddings, fingerprint, language_model, licenses, minhash, mixing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op10_lm_scores": language_model.op10_lm_scores,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_document_fingerprints": fingerprint.op3_document_fingerprints,
     "op4_embedding_dedup": embeddings.op4_embedding_dedup,

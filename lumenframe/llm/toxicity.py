@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents
@@ -325,37 +324,46 @@ def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, r
     return net
 
 
-def held_out(doc_id) -> bool:  # noqa: ANN001
-    """Whether a doc_id belongs to the fifth that is never learned from; a null id does."""
-    return pd.isna(doc_id) or zlib.crc32(str(int(doc_id)).encode()) % 5 == 0
+def fold(doc_id: str) -> Column:
+    """crc32 of the id as text, modulo 5; labels of documents in fold 0 are never learned from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
-    """Score every whole text between 0 and 1; the higher, the likelier its label `toxic` is 1.
-
-    The network learns from labelled documents whose crc32(doc_id as text) mod 5 is not 0: at most `most` toxic and
-    `most` clean ones, those with the smallest hashes of doc_id, whatever the size of the table; this bounds what the
-    driver holds. Labels, ids and other columns are never inputs. Scoring runs over all overlapping windows
-    of a text in the scan's own partitions. Null, empty and wordless texts have one empty window and get its score. Null
-    labels teach nothing. If labels of one kind are all there is, the network learns what it can from them. Repeated
-    rows are scored alike; an empty table gives an empty result.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Network:
+    """Learn from labelled documents outside fold 0: at most `most` toxic and `most` clean ones.
 
-    Returns doc_id, held_out, score, predicted (1 if score >= 0.5).
+    They are those with the smallest hashes of doc_id, whatever the size of the table; this bounds what the driver
+    holds. Rows with a null label or id teach nothing, and without labels the network stays as it was drawn.
     """
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select("doc_id", "text").join(marked, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
     sample = [r for kind in (1, 0) for r in known.where(F.col("toxic") == kind).orderBy("h", "doc_id", F.length("text")).limit(most).collect()]
-    net = train([r["text"] for r in sample], [int(r["toxic"]) for r in sample])
+    return train([r["text"] for r in sample], [int(r["toxic"]) for r in sample])
+
+
+def toxicity(net: Network, text: str) -> Column:
+    """The score of a whole text between 0 and 1: that of its most toxic window among all overlapping ones.
+
+    Null, empty and wordless texts have one empty window and get its score.
+    """
 
-    def each(batches: Iterable) -> Iterator:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
-                score = np.array(net.scores(list(part["text"])), np.float64).round(6)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "held_out": [held_out(d) for d in part["doc_id"]], "score": score, "predicted": (score >= 0.5).astype(np.int32)})
+            yield pd.Series(net.scores(list(batch)), dtype="float64").round(6)
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, held_out boolean, score double, predicted int")
+    return score(text)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> DataFrame:
+    """Score every whole text; the higher, the likelier its label `toxic` is 1.
+
+    Labels, ids and other columns are never inputs. Scoring runs in the scan's own partitions, without a shuffle.
+    Null ids count as held out. Repeated rows are scored alike; an empty table gives an empty result.
+    Returns doc_id, held_out, score, predicted (1 if score >= 0.5).
+    """
+    scored = docs.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(True)).alias("held_out"), toxicity(fit_toxicity(docs, labels, most), "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
