@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from lumenframe.plans import table_queries, volume_queries
+
 FLAGSHIP = "suv_consistency_pipeline"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {**volume_queries.Q, **table_queries.Q}
+ORACLE_SQL: dict[str, str] = {**volume_queries.SQL, **table_queries.SQL}
