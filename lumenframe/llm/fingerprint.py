@@ -139,8 +139,16 @@ def edited_fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame
     n = blocks or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     none = -(1 << 63)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("key"))
-    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n + 1)], 100 * n), F.max("key")).first()
-    heads = np.unique(np.array([x for x in [*(found[0] or []), found[1]] if x is not None], np.int64))[::-1]
+    # Quantiles of large ids are rounded; the heads are the largest ids that exist between them: n rows at most.
+    found = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    cuts = np.unique(np.array([x for x in found or [] if x is not None], np.int64))
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="left").astype(np.int32))
+
+    tops = rows.groupBy(part("key").alias("part")).agg(F.max("key").alias("top")).collect()
+    heads = np.sort(np.array([r["top"] for r in tops], np.int64))[::-1]
 
     @F.pandas_udf("array<int>")
     def places(key: pd.Series) -> pd.Series:

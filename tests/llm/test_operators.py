@@ -110,8 +110,8 @@ def test_licenses(docs, none):
 
 
 def test_ascii_lower(spark):
-    got = spark.createDataFrame([("AZÉ K İ",), ("PLAIN",), (None,)], "t string").select(common.ascii_lower(F.col("t"))).collect()
-    assert [r[0] for r in got][1:] == ["plain", None] and "K" in got[0][0] and "İ" in got[0][0] and got[0][0].startswith("az")
+    got = spark.createDataFrame([("AZ\u00c9 \u212a \u0130K",), ("PLAIN",), (None,)], "t string").select(common.ascii_lower(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["az\u00c9 \u212a \u0130k", "plain", None]
 
 
 def test_fingerprints(docs, none):
