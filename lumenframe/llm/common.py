@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,29 @@ def ascii_lower(text: Column) -> Column:
     lower() is the fast path. Only U+0130 and U+212A have lower-case forms with ASCII letters; texts that
     hold them take the slower translate(). Other letters beyond ASCII may change case but stay beyond ASCII.
     """
-    odd = text.contains("İ") | text.contains("K")
+    odd = text.contains("\u0130") | text.contains("\u212a")
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(odd, F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
 
 
+def runs(batches: Iterable, key: str) -> Iterator:
+    """The pandas rows of each run of one key, put together over batches. The caller bounds the runs."""
+    import numpy as np
+    import pandas as pd
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        at = batch[key].to_numpy()
+        ends = [*(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            if held and held[0][key].iloc[0] != at[a]:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
 def hooked(edges: DataFrame) -> DataFrame:
     """Hang every node on its smallest smaller neighbour, then jump pointers until all point at roots.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, cut
+from lumenframe.llm.common import components, cut, runs
 
 #: Vectors of one bucket that a task compares with each other; larger buckets are split into pairs of blocks.
 BLOCK = 2048
@@ -106,7 +106,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
     nodes = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
     shape = nodes.groupBy("label", F.size("v").alias("size")).agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n"))
     plans = {}
-    for size, n in shape.limit(1000).collect():  # one row per length of vectors
+    for size, n in shape.collect():  # one row per length of vectors
         width = max(1, math.ceil(math.log(max(n / bucket, 1)) / math.log(2 * size)))
         rate = collision_rate(size, least) ** width
         plans[size] = width, max(1, math.ceil(math.log(miss) / math.log(max(1 - rate, 1e-12))))
@@ -172,16 +172,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
                 if len(frame):
                     yield frame.reindex(columns=["node", "n", "a", "b"]).astype("Int64")
 
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            ends = np.flatnonzero(batch["tile"].to_numpy()[1:] != batch["tile"].to_numpy()[:-1]) + 1 if len(batch) else []
-            for part in (batch.iloc[a:b] for a, b in zip([0, *ends], [*ends, len(batch)], strict=True) if b > a):
-                if held and held[0]["tile"].iloc[0] != part["tile"].iloc[0]:
-                    yield from out(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from out(pd.concat(held))
+        for tile in runs(batches, "tile"):
+            yield from out(tile)
 
     found = cut(tiles.mapInPandas(each, "node long, n long, a long, b long"), "found")
     near = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))

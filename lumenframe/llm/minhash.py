@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, cut, documents
+from lumenframe.llm.common import components, cut, documents, runs
 from lumenframe.llm.fingerprint import WordHashes, mixed, step
 
 #: Shingles that are hashed into signatures at once.
 BLOCK = 1 << 18
+#: Documents of one bucket that a task compares with each other, or with as many others.
+BUCKET = 1024
 
 
 def shingle_set(text: str | None, k: int, words: WordHashes) -> np.ndarray:
@@ -106,17 +108,108 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, same, shingles) of whole texts."""
+    """(doc_id, same, shingles) of whole texts; ids are not null here."""
 
-    @F.pandas_udf("struct<same: string, shingles: array<long>>")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterable) -> Iterator:
         words = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, k, words) for t in batch]
-            words.trim()
-            yield pd.DataFrame({"same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i : i + 500]
+                sets = [shingle_set(t, k, words) for t in part["text"]]
+                words.trim()
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "same": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return docs.select("doc_id", whole("text").alias("set")).select("doc_id", "set.*")
+    return docs.mapInPandas(each, "doc_id long, same string, shingles array<long>")
+
+
+class Groups:
+    """Union-find over the groups that a tile's rows come with."""
+
+    def __init__(self, group: np.ndarray) -> None:
+        self.names, self.at = np.unique(group, return_inverse=True)
+        self.parent = np.arange(len(self.names))
+
+    def top(self, g: int) -> int:
+        while self.parent[g] != g:
+            self.parent[g] = self.parent[self.parent[g]]
+            g = self.parent[g]
+        return int(g)
+
+    def of_rows(self) -> np.ndarray:
+        while (self.parent != self.parent[self.parent]).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[self.at]
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.top(self.at[i]), self.top(self.at[j])
+        self.parent[b] = a
+        return a != b
+
+
+def tile_links(sets: list[np.ndarray], group: np.ndarray, earlier: np.ndarray, percent: int, lot: int = 16) -> list[tuple[int, int]]:
+    """Places (i, j) that connect what sets with a Jaccard similarity of at least percent / 100 connect: a forest.
+
+    Rows are compared with all others, `lot` at a time, those of small groups first after one lot of any; it ends when every row
+    outside the largest group has been compared. Pairs of one group need no link, and pairs that agree in a column of
+    `earlier` (keys of earlier bands) have met in an earlier bucket.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    starts = np.cumsum(sizes) - sizes
+    elements, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(counts >= 2, np.cumsum(counts >= 2), 0)  # 0: held by one set alone
+    column = number[column]
+    groups, done, edges = Groups(group), np.zeros(n, bool), []
+    while True:
+        own = groups.of_rows()
+        count = np.bincount(own, minlength=len(groups.names))
+        left = np.flatnonzero(~done & (own != count.argmax()))
+        if not len(left):
+            return edges
+        hubs = np.arange(min(lot, n)) if not done.any() else left[np.argsort(count[own[left]], kind="stable")[:lot]]
+        done[hubs] = True
+        marks = np.zeros((number.max() + 1, len(hubs)), np.uint8)
+        for k, h in enumerate(hubs.tolist()):
+            marks[column[starts[h] : starts[h] + sizes[h]], k] = 1
+        marks[0] = 0
+        fits = 100 * np.minimum(sizes[:, None], sizes[hubs]) >= percent * np.maximum(sizes[:, None], sizes[hubs])
+        fits &= own[:, None] != own[hubs]
+        for band in range(earlier.shape[1]):
+            fits &= earlier[:, band, None] != earlier[hubs, band]
+        rows = np.flatnonzero(fits.any(1))
+        for part in np.array_split(rows, max(1, int(sizes[rows].sum()) >> 19)):
+            if not len(part):
+                continue
+            ends = np.cumsum(sizes[part])
+            flat = np.repeat(starts[part] - ends + sizes[part], sizes[part]) + np.arange(ends[-1])
+            common = np.add.reduceat(marks[column[flat]], ends - sizes[part], axis=0, dtype=np.int64)
+            linked = fits[part] & (100 * common >= percent * (sizes[part, None] + sizes[hubs] - common))
+            for i, k in zip(*np.nonzero(linked), strict=True):
+                if groups.join(int(part[i]), int(hubs[k])):
+                    edges.append((int(part[i]), int(hubs[k])))
+
+
+def bucket_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect each bucket's documents. members: key, band, rep, component, keys, shingles.
+
+    Buckets above BUCKET members are split into blocks, and each pair of blocks is compared in a task of its own; no
+    pair becomes a row.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
+    tiles = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "band", "rep", "component", "keys", "shingles")
+
+    def each(batches: Iterable) -> Iterator:
+        for tile in runs(batches, "tile"):
+            group = tile["component"].to_numpy()
+            if len(tile) > 1 and (group != group[0]).any():
+                rep, band = tile["rep"].to_numpy(), int(tile["band"].iloc[0])
+                edges = np.array(tile_links(list(tile["shingles"]), group, np.stack(tile["keys"].to_numpy())[:, :band], percent)).reshape(-1, 2)
+                if len(edges):
+                    yield pd.DataFrame({"a": rep[edges[:, 0]], "b": rep[edges[:, 1]]})
+
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(each, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -124,10 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Words are split at ASCII white space and A-Z lower-cased. Equal sets form a class, and the class's smallest doc_id
     stands for it. Representatives that agree on a band of their signatures meet in a bucket; 32 bands of 4 miss a
-    pair at 0.8 once in 2 * 10**7. Buckets are settled in rounds, never by all their pairs: each round picks hubs (one
-    a bucket at first, then 4, 16, ...), verifies every member of another component against them on full sets,
-    joins components by the links found, and takes the hubs out. A bucket is settled when its members are of one
-    component, or each pair of components in it has been compared in full.
+    pair at 0.8 once in 2 * 10**7. Pairs of a bucket that are not connected yet are verified on full sets inside a task
+    that returns a spanning forest, each pair in the first bucket where it meets. Bands go in rounds of 1, 5 and the
+    rest: a bucket whose members earlier rounds have connected has nothing left to verify. Links are grouped by union-find.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). A document
     without words has no shingles and no links. Rows with a null doc_id are returned unlinked, with a null
@@ -137,47 +229,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     marked = cut(signed(docs, k, bands, rows), "signed")
     whole = F.col("same").isNotNull() & F.col("doc_id").isNotNull()
     classes = cut(marked.where(whole).groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = marked.where(whole).join(classes, "same").where("doc_id = rep").select("rep", "same", F.col("n_shingles").alias("n"), "keys").dropDuplicates(["rep", "same"])
-    buckets = reps.select("rep", "n", F.explode("keys").alias("key"))
+    reps = marked.where(whole).join(classes, "same").where("doc_id = rep").select("rep", "same", "keys").dropDuplicates(["rep", "same"])
+    buckets = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    left = cut(buckets.join(shared, "key", "left_semi"), "buckets")
+    met = cut(buckets.join(shared, "key", "left_semi"), "buckets")
 
-    wanted = left.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = sets_of(texts, k).dropDuplicates(["doc_id", "same"])
-    sets = cut(sets.join(classes.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").select("doc_id", "shingles"), "sets")
+    sets = sets_of(texts, k).join(classes.select(F.col("rep").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi")
+    sets = sets.dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("rep"), "same", "shingles")
+    sets = cut(sets.join(reps, ["rep", "same"]).select("rep", "keys", "shingles"), "sets")
 
-    links = tried = groups = None
-    hubs = 1
-    while True:
+    links = groups = None
+    for low, high in ((0, 1), (1, 6), (6, bands)):
+        members = met.where(F.col("band").between(low, high - 1)).select("key", "band", "rep")
         if groups is None:
-            members = left.withColumn("component", F.col("rep"))
+            members = members.withColumn("component", F.col("rep"))
         else:
-            members = left.join(groups, left["rep"] == groups["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        members = members.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(hubs)).cast("int"))
-        split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        members = cut(members.join(split, "key", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        picked = members.groupBy("key", "lot").agg(F.min(F.struct("rep", "n", "component")).alias("hub")).select("key", "hub.*")
-        picked = picked.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        pairs = members.join(picked, "key").where((F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-        pairs = pairs.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-        both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        found = both.select("a", "b", (100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).alias("linked"))
-        new = cut(found.where("linked").select("a", "b"), "links")
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
+            members = members.join(groups, members["rep"] == groups["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+            split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+            members = members.join(split, "key", "left_semi")
+        found = cut(bucket_links(cut(members, "members").join(sets, "rep"), percent), "links")
+        links = found if links is None else links.union(found)
         groups = cut(components(links), "groups")
-        left = members.join(picked.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").select("rep", "n", "key")
-        hubs *= 4
 
-    rep = classes if groups is None else classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("rep"))
+    rep = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("rep"))
     result = marked.select("doc_id", "n_shingles", "same").join(rep, "same", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     result = result.select("doc_id", "n_shingles", component.alias("component_id"))
