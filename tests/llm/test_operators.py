@@ -322,7 +322,7 @@ def test_windows_cover_all_tokens():
 
 
 def test_lm_scores(docs, none):
-    got = language_model.score_texts(docs, chunks=3).collect()
+    got = language_model.score_texts(docs, chunk_bytes=3000).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 == 0
     c = collections.Counter(w for r in rows_of() if not held(r[0]) for w in tokens(r[1]))
@@ -330,20 +330,21 @@ def test_lm_scores(docs, none):
     want = collections.Counter((r[0], held(r[0]), len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r[1])), 6)) for r in rows_of())
     assert collections.Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    assert language_model.score_texts(none, chunks=2).count() == 0
+    assert language_model.score_texts(none).count() == 0
 
 
 def test_lm_predictions_sum_to_one(spark):
     """Over all known words and the unseen one, the probabilities after any context add up to one."""
     docs = spark.createDataFrame([(i, "a b a c b a d e a b c" if i % 2 else "b a e e d c a b") for i in range(40)], "doc_id long, text string")
-    want = language_model.wanted_cells(docs, 2, 10)
-    state = common.cut(language_model.merge_cells(want), "state").select("word", "cells", F.lit(None).cast("binary").alias("seats"))
-    totals = language_model.total_up(state, False, 1.0)
-    for k in range(3):
-        state = common.cut(language_model.sweep(state, totals, k), "seats")
-        totals = language_model.total_up(state, True, 1.0)
-    pdf = state.toPandas()
-    p0, p1, p2, keys1, keys2, _ = language_model.predictions(pdf["cells"], pdf["seats"], totals)
+    table = common.cut(language_model.word_table(language_model.wanted_cells(language_model.with_chunk(docs, 200), 10), 2), "words")
+    history = []
+    totals = language_model.total_up(table, [], 1.0)
+    for _ in range(3):
+        history.append(totals)
+        totals = language_model.total_up(table.coalesce(1), history, 1.0)
+    pdf = table.where("part = 0").coalesce(1).toPandas()
+    *_, seating = language_model.seated(pdf["word"], pdf["cells"], history)
+    p0, p1, p2, keys1, keys2 = language_model.predictions(seating, totals)
     words = np.arange(len(pdf))
     for leaf in range(0, language_model.LEAVES, 37):
         leaves = np.full(len(pdf), leaf)
