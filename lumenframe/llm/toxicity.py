@@ -309,9 +309,9 @@ def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, r
                 worst[at : at + 200] = [int(x.argmax()) for x in net.window_logits(part)]
                 at += 200
         examples = [(c[i], t) for c, i, t in zip(cuts, worst, y, strict=True)] + [(c[rng.integers(len(c))], 0) for c, t in zip(cuts, y, strict=True) if not t]
-        order = rng.permutation(len(examples))
-        for i in range(0, len(order), 64):
-            batch = [examples[j] for j in order[i : i + 64]]
+        order, lot = rng.permutation(len(examples)), min(64, max(8, len(examples) // 40))  # small sets take as many steps
+        for i in range(0, len(order), lot):
+            batch = [examples[j] for j in order[i : i + lot]]
             _, g = net.learn([x for x, _ in batch], np.array([t for _, t in batch], np.float32))
             scale = min(1.0, 1.0 / (math.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
             k += 1
