@@ -42,12 +42,12 @@ def words_of(text: str) -> F.Column:
     return F.filter(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), BREAK), lambda w: w != "")
 
 
-def scan_licenses(docs: DataFrame, anchors: int = 12, rare: int = 3, slack: int = 8, least: float = 0.5) -> DataFrame:
+def scan_licenses(docs: DataFrame, anchors: int = 12, slack: int = 8, least: float = 0.5) -> DataFrame:
     """Find licence phrases and notices in whole texts.
 
     The index has a posting (entry, position) for every word of the phrases and notices, a fixed few hundred rows.
-    Document frequencies of its words over all documents give their IDF. A document that holds one of the `rare`
-    highest-IDF words of an entry is looked up: for each entry, the document's `anchors` highest-IDF words meet
+    Document frequencies of its words over all documents give their IDF. A document that holds the highest-IDF
+    word of some phrase, which no match can do without, is looked up: for each entry, the document's `anchors` highest-IDF words meet
     the entry's postings, and places that agree on word position - posting position vote for a start. A phrase
     stands where all its words vote. A notice is a candidate where at least `least` of its anchors in the document vote
     (no fewer than 3, or all), and gives its label if each of its mandatory phrases stands within it, give or take `slack` words.
@@ -66,10 +66,9 @@ def scan_licenses(docs: DataFrame, anchors: int = 12, rare: int = 3, slack: int
     df = {r["word"]: r["df"] for r in frequency.collect()}
     n = docs.count()
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
-    keys: dict[str, set[str]] = {}
-    for word, entry, *_ in index:
-        keys.setdefault(entry, set()).add(word)
-    rarest = sorted({w for ws in keys.values() for w in sorted(ws, key=lambda w: (-idf[w], w))[:rare]})
+    # All words of a phrase are needed, and a notice needs its phrases: so a text needs the rarest word of some phrase.
+    phrases_only = {entry: entry.split() for _, entry, notice, *_ in index if not notice}
+    rarest = sorted({min(ws, key=lambda w: (-idf[w], w)) for ws in phrases_only.values()})
     table = spark.createDataFrame([(*p, idf[p[0]]) for p in index], "word string, entry string, notice boolean, at int, size int, idf double")
 
     held = docs.select("doc_id", words_of("text").alias("words"))
