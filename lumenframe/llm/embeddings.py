@@ -185,3 +185,13 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_SQL = {
+    "op4_embedding_dedup": """with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+        r as (select vec_id, vec_id as other from embeddings union select r.vec_id, l.b from r join l on l.a = r.other),
+        k as (select a as vec_id, count(*) as n from l group by a), c as (select vec_id, min(other) as component_id from r group by vec_id)
+        select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from c left join k using (vec_id)"""
+}

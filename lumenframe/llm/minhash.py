@@ -262,3 +262,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4)
+
+
+ORACLE_SQL = {
+    "op1_minhash_dedup": """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select doc_id, list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+        n as (select doc_id, len(s)::bigint as n_shingles from s), x as (select doc_id, unnest(s) as x from s),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as c from x a join x b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+        l as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n_shingles + nb.n_shingles - c)),
+        r as (select doc_id, doc_id as at from n union select r.doc_id, l.b from r join l on l.a = r.at)
+        select n.doc_id, n_shingles, min(r.at) as component_id, n.doc_id = min(r.at) as kept from n join r on r.doc_id = n.doc_id group by n.doc_id, n_shingles"""
+}

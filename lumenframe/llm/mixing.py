@@ -104,3 +104,36 @@ def mix_sources(
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _apportion_sql(name: str, parties: str, group: str, party: str, votes: str, seats: str) -> str:
+    """CTEs that end in `name` (group, party, quota)."""
+    return f"""{name}_p as (select {group}, {party}, {votes}::double as v, {seats}::bigint as n, sum({votes}::double) over (partition by {group}) as a, count(*) over (partition by {group}) as m from {parties}),
+        {name}_w as (select *, case when v > 0 then greatest(0, floor(v * n / a - (m * v / (2 * a) + 0.5))) else 0 end::bigint as low, case when v > 0 then ceil(v * n / a + (m * v / (2 * a) + 0.5)) + 1 else 0 end::bigint as high from {name}_p),
+        {name}_s as (select {group}, sum(low) as sure from {name}_w group by {group}),
+        {name}_k as (select {group}, {party}, v, n, unnest(range(low, high)) as k from {name}_w),
+        {name}_r as (select k.*, row_number() over (partition by {group} order by v / (2 * k + 1) desc, {party}, k) <= n - sure as won from {name}_k k join {name}_s using ({group})),
+        {name} as (select w.{group}, w.{party}, any_value(w.low) + coalesce(sum(r.won::int), 0)::bigint as quota from {name}_w w left join {name}_r r using ({group}, {party}) group by all)"""
+
+
+ORACLE_SQL = {
+    "op5_mix_sources": f"""with b as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5('17:' || coalesce(doc_id::varchar, '')) as key from documents),
+        s0 as (select source, sum(size)::bigint as source_size, 1 as one from b group by source),
+        s1 as (select *, row_number() over (order by source nulls last) as rank from s0),
+        s2 as (select *, ([5.0, 2.0, 1.0])[(rank - 1) % 3 + 1]::double as weight, 2.0::double * source_size as cap, 1.5::double * sum(source_size) over () as pot from s1),
+        s3 as (select *, (pot - coalesce(sum(cap) over up, 0)) / (sum(weight) over () - coalesce(sum(weight) over up, 0)) as level from s2 window up as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+        water as (select arg_min(level, struct_pack(r := cap / weight, k := rank)) as level from s3 where level * weight <= cap),
+        s4 as (select s3.*, round(least(cap, coalesce(water.level * weight, cap)), 6) as target from s3, water),
+        s5 as (select *, round_even(sum(target) over () / 32, 0)::bigint as blocks, greatest(1, ceil(1024.0::double * source_size / sum(source_size) over ()))::bigint as n_cells from s4),
+        {_apportion_sql("q1", "s5", "one", "rank", "target", "blocks")},
+        d as (select doc_id, size, key, source_size, target, s5.rank, s5.rank * 1000000000 + ('0x' || substr(key, 1, 8))::bigint % n_cells as cell from b join s5 on b.source is not distinct from s5.source),
+        held as (select cell, d.rank, sum(size)::bigint as cell_size, any_value(q1.quota) as source_quota from d join q1 on q1.rank = d.rank group by cell, d.rank),
+        {_apportion_sql("q2", "held", "rank", "cell", "cell_size", "source_quota")},
+        plan0 as (select held.cell, cell_size, least(quota * 32, (2.0 * cell_size)::bigint) as words, greatest(1, round_even(cell_size / 32.0::double, 0))::bigint as nb, ('0x' || substr(md5('17/' || held.cell::varchar), 1, 8))::bigint as shift
+            from held join q2 on q2.cell = held.cell where cell_size > 0),
+        plan as (select *, words // cell_size as passes, round_even(((words - words // cell_size * cell_size) * nb)::double / cell_size, 0)::bigint as picked from plan0),
+        placed as (select *, coalesce(sum(size) over (partition by cell order by key, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d where size > 0)
+        select doc_id, size, source_size, target, (passes * size + list_sum(list_transform(range(((start + 1) * nb - 1) // cell_size, ((start + size) * nb - 1) // cell_size + 1),
+            lambda k: case when (k * {PRIME} + shift) % nb < picked then least(start + size, ((k + 1) * cell_size) // nb) - greatest(start, (k * cell_size) // nb) else 0 end)))::bigint as taken
+        from placed join plan using (cell) union all select doc_id, size, source_size, target, 0::bigint from d where size = 0"""
+}

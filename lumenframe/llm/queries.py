@@ -16,4 +16,4 @@ QUERIES = {
     "op8_warc_archives": warc.op8_warc_archives,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-ORACLE_SQL = {**warc.ORACLE_SQL}
+ORACLE_SQL = {**minhash.ORACLE_SQL, **embeddings.ORACLE_SQL, **mixing.ORACLE_SQL, **warc.ORACLE_SQL}
