@@ -212,6 +212,13 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(each, "a long, b long")
 
 
+def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members (key, band, rep) of buckets that hold more than one component, with their component."""
+    members = met.join(groups, met["rep"] == groups["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return members.join(split, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """Group documents whose sets of k-word shingles have a Jaccard similarity of at least percent / 100.
 
@@ -240,17 +247,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = sets.dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("rep"), "same", "shingles")
     sets = cut(sets.join(reps, ["rep", "same"]).select("rep", "keys", "shingles"), "sets")
 
-    links = groups = None
-    for low, high in ((0, 1), (1, 6), (6, bands)):
-        members = met.where(F.col("band").between(low, high - 1)).select("key", "band", "rep")
-        if groups is None:
-            members = members.withColumn("component", F.col("rep"))
-        else:
-            members = members.join(groups, members["rep"] == groups["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-            split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            members = members.join(split, "key", "left_semi")
-        found = cut(bucket_links(cut(members, "members").join(sets, "rep"), percent), "links")
-        links = found if links is None else links.union(found)
+    links = cut(bucket_links(met.where("band = 0").withColumn("component", F.col("rep")).join(sets, "rep"), percent), "links")
+    groups = cut(components(links), "groups")
+    # From here on only the sets of buckets that are not settled move.
+    met = cut(unsettled(met.where("band > 0"), groups).drop("component"), "open")
+    sets = cut(sets.join(met.select("rep").distinct(), "rep", "left_semi"), "sets")
+    for low, high in ((1, 6), (6, bands)):
+        members = cut(unsettled(met.where(F.col("band").between(low, high - 1)), groups), "members")
+        links = links.union(cut(bucket_links(members.join(sets, "rep"), percent), "links"))
         groups = cut(components(links), "groups")
 
     rep = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("rep"))
