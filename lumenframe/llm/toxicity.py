@@ -336,8 +336,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 1500) -> Networ
     holds. Rows with a null label or id teach nothing, and without labels the network stays as it was drawn.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").join(marked, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id").alias("h"))
-    sample = [r for kind in (1, 0) for r in known.where(F.col("toxic") == kind).orderBy("h", "doc_id", F.length("text")).limit(most).collect()]
+    there = marked.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    one = lambda kind: there.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(most).select("doc_id", "toxic")
+    # At most 2 * most rows: they go to the texts, instead of all texts to them. Of rows with one id the first text counts.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(one(1).union(one(0))), "doc_id")
+    sample = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return train([r["text"] for r in sample], [int(r["toxic"]) for r in sample])
 
 
