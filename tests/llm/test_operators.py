@@ -333,6 +333,13 @@ def test_lm_scores(docs, none):
     assert language_model.score_texts(none).count() == 0
 
 
+def test_lm_without_training_words(spark):
+    """A batch of words that only held-out documents hold packs to nothing."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = language_model.score_texts(spark.createDataFrame([(i, f"only{i} held") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] <= 0 for r in got)
+
+
 def test_lm_predictions_sum_to_one(spark):
     """Over all known words and the unseen one, the probabilities after any context add up to one."""
     docs = spark.createDataFrame([(i, "a b a c b a d e a b c" if i % 2 else "b a e e d c a b") for i in range(40)], "doc_id long, text string")
