@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import documents
+from lumenframe.llm.common import Numbers, documents
 
 #: Marks that are stripped from both ends of a word, and the most bytes of a word that form one token.
 MARKS, PIECE = b".,;:!?*%$&#@\"'()[]{}<>|/\\-_+=~`^", 16
@@ -20,14 +20,6 @@ STRIDE = WINDOW // 2
 CHARS, WORDS, CLUES, CHAR_HIDDEN, HIDDEN, KEYS = 8, 4, 2, 8, 8, 8
 
 
-class Numbers(dict):
-    """Numbers keys in the order they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def raw_words(text: str | None) -> list[bytes]:
     """Lower-cased words between ASCII white space."""
     return (text or "").encode("utf-8", "replace").lower().split()
