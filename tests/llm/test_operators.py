@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -340,6 +341,11 @@ def test_lm_without_training_words(spark):
     assert len(got) == len(ids) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] <= 0 for r in got)
 
 
+def test_lm_sweeps_are_those_of_the_readme():
+    found = inspect.signature(language_model.score_texts).parameters
+    assert (found["burn_in"].default, found["samples"].default) == (2, 2)
+
+
 def test_lm_predictions_sum_to_one(spark):
     """Over all known words and the unseen one, the probabilities after any context add up to one."""
     docs = spark.createDataFrame([(i, "a b a c b a d e a b c" if i % 2 else "b a e e d c a b") for i in range(40)], "doc_id long, text string")
