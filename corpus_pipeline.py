@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words add nothing to any source and stay once.
     """
-    taken = mix_sources(docs).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("rate"))
+    taken = mix_sources(docs).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("rate"))
     part = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     copies = taken.select(F.col("doc_id").alias("id of"), F.coalesce(F.floor(F.col("rate") + part), F.lit(1)).cast("int").alias("copies"))
     met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id of")))

@@ -76,7 +76,7 @@ def mix_sources(
     s = s.withColumn("level", left / weight_left)
     fits = F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "rank", "level"))
     s = s.withColumn("target", F.round(F.least("limit", F.coalesce(F.min(fits).over(one)["level"] * F.col("weight"), F.col("limit"))), 6))
-    s = s.withColumns({"blocks": F.rint(F.sum("target").over(one) / block_words).cast("long"), "n_cells": F.greatest(F.lit(1), F.ceil(cells * F.col("source_size") / F.sum("source_size").over(one))).cast("long")})
+    s = s.withColumns({"blocks": F.rint(F.sum("target").over(one) / block_words).cast("long"), "n_cells": F.greatest(F.lit(1), F.ceil(F.try_divide(cells * F.col("source_size"), F.sum("source_size").over(one)))).cast("long")})
     s = cut(s, "sources")
     s = s.join(apportion(s, "one", "rank", "target", "blocks").select("rank", F.col("quota").alias("source_quota")), "rank")
 

@@ -2,7 +2,7 @@ import collections
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lumenframe.llm import bpe, minhash
+from lumenframe.llm import bpe, minhash, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +28,14 @@ def test_stages(spark):
     model = bpe.load(bpe.tokenizer_path())
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     assert len(out) == mixed.count() and all(r["n_tokens"] == len(model.encode(texts[r["doc_id"]] or "")) for r in out)
+
+
+def test_mix_keeps_documents_without_words_once(spark):
+    schema = "doc_id long, text string, source string"
+    empty = [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (None, None, "b")]
+    words = [(i, "one two three four", "a") for i in range(10, 40)]
+    for rows in (empty, empty + words):
+        docs = spark.createDataFrame(rows, schema)
+        assert collections.Counter(r["doc_id"] for r in mixing.mix_sources(docs).collect()) == collections.Counter(r[0] for r in rows)
+        counts = collections.Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect())
+        assert [counts[r[0]] for r in empty] == [1] * len(empty)
