@@ -279,6 +279,28 @@ def test_loser_tree_merge():
         assert [warc.sort_key(r) for r in merged] == sorted(warc.sort_key(r) for run in runs for r in run)
 
 
+def test_lm_pairs_sum_to_one(spark):
+    """After any word the probabilities of all known words and the unseen one add up to one, in many chunks; endings that
+    look alike don't make contexts alike."""
+    rng = random.Random(5)
+    texts = [" ".join(["ration east", "nation west", "station up"][rng.randrange(3)] for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = sorted({w for t in texts for w in t.split()}) + ["\n", "never"]
+    seen = "never " + " never ".join(f"{a} {b}" for a in words for b in words if "\n" not in (a, b))
+    every = docs.union(spark.createDataFrame([(None, seen), *((None, w) for w in words)], docs.schema)).repartition(5)
+    found = {}
+    for n in (2,):
+        scores, *_ = language_model.pair_scores(language_model.with_chunk(every.repartition(n), 300), 10, 1, 2, 1.0)
+        rows = scores.collect()
+        assert max(len(r["chunks"]) for r in rows) > 3
+        found[n] = {(r["ctx"], r["word"]): r["log"] for r in rows}
+    hashed = dict(zip(words, np.array([language_model.xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64).tolist(), strict=True))
+    for before in words[:-2]:
+        assert math.isclose(sum(10 ** found[2][hashed[before], hashed[w]] for w in words), 1.0, rel_tol=1e-6)
+    after = lambda a, b: found[2][hashed[a], hashed[b]]
+    assert after("ration", "east") > -0.1 > -1 > after("nation", "east") and after("nation", "west") > -0.1
+
+
 def test_toxicity_learns(spark, none):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
