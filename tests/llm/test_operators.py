@@ -289,11 +289,12 @@ def test_lm_pairs_sum_to_one(spark):
     seen = "never " + " never ".join(f"{a} {b}" for a in words for b in words if "\n" not in (a, b))
     every = docs.union(spark.createDataFrame([(None, seen), *((None, w) for w in words)], docs.schema)).repartition(5)
     found = {}
-    for n in (2,):
+    for n in (2, 7):
         scores, *_ = language_model.pair_scores(language_model.with_chunk(every.repartition(n), 300), 10, 1, 2, 1.0)
         rows = scores.collect()
         assert max(len(r["chunks"]) for r in rows) > 3
         found[n] = {(r["ctx"], r["word"]): r["log"] for r in rows}
+    assert found[2].keys() == found[7].keys() and all(math.isclose(found[2][k], v, rel_tol=1e-9) for k, v in found[7].items())
     hashed = dict(zip(words, np.array([language_model.xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64).tolist(), strict=True))
     for before in words[:-2]:
         assert math.isclose(sum(10 ** found[2][hashed[before], hashed[w]] for w in words), 1.0, rel_tol=1e-6)
