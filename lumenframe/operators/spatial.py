@@ -7,6 +7,7 @@ voxels are sampled once. Voxels are sampled by a numpy kernel over Arrow batches
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -200,17 +201,22 @@ def adjoint_sample(gradients: DataFrame, matrix: np.ndarray, dims: Sequence[int]
 
 
 def match_axes(pairs: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """Which reversal of axes (of a cube, or without permutation) maps array `a` onto `b`; null where none does.
+    """Which permutation and reversal of axes maps array `a` of shape dims onto `b`; nulls where none does.
 
-    Candidates are tried in order of (z, y, x) reversed or not; the first hit wins. Columns a and b are flat arrays.
+    Axis i of b runs along axis permuted[i] (x, y, z being 0, 1, 2) of a, from its end where reversed[i] is 1; the shape
+    is permuted along. All 6 x 8 candidates are tried, the axes' own order first, then (z, y, x) reversed or not; the first
+    hit wins. Columns a and b are flat arrays.
     """
+    steps = (1, dims[0], dims[0] * dims[1])
     hits = []
-    nx, ny, nz = dims
-    for rev in [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]:
-        at = []
-        for f in range(nx * ny * nz):
-            x, y, z = (n - 1 - c if r else c for c, n, r in zip((f % nx, f // nx % ny, f // (nx * ny)), dims, rev, strict=True))
-            at.append(x + nx * (y + ny * z))
-        same = F.transform(ints(at), lambda i: F.get("a", i)) == F.col("b")
-        hits.append(F.when(same, F.lit("".join(map(str, rev)))))
-    return pairs.withColumn("reversed", F.coalesce(*hits))
+    for perm in permutations(range(3)):
+        nx, ny, nz = shape = [dims[k] for k in perm]
+        for rev in [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]:
+            at = []
+            for f in range(nx * ny * nz):
+                old = (n - 1 - c if r else c for c, n, r in zip((f % nx, f // nx % ny, f // (nx * ny)), shape, rev, strict=True))
+                at.append(sum(c * steps[k] for c, k in zip(old, perm, strict=True)))
+            same = F.transform(ints(at), lambda i: F.get("a", i)) == F.col("b")
+            hits.append(F.when(same, F.struct(F.lit("".join(map(str, perm))).alias("permuted"), F.lit("".join(map(str, rev))).alias("reversed"))))
+    found = F.coalesce(*hits)
+    return pairs.withColumn("found", found).withColumns({"permuted": F.col("found")["permuted"], "reversed": F.col("found")["reversed"]}).drop("found")

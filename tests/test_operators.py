@@ -1,5 +1,6 @@
 """Closed forms and properties of the volume operators."""
 
+import itertools
 import math
 
 import numpy as np
@@ -108,3 +109,18 @@ def test_masks_of_another_shape_are_errors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], [1.0])], "image_id long, v array<float>, m array<float>")
     with pytest.raises(Exception, match="differ in shape"):
         masks.masked_stats(df, "v", "m", F.lit(1.0)).collect()
+
+
+def test_axes_match_for_all_permutations_and_reversals(spark):
+    a = np.arange(24.0).reshape(2, 3, 4)
+    flat = lambda v: v.transpose(2, 1, 0).reshape(-1).tolist()
+    rows, want = [], {}
+    for perm in itertools.permutations(range(3)):
+        for rev in itertools.product((0, 1), repeat=3):
+            b = np.flip(a.transpose(perm), [i for i in range(3) if rev[i]])
+            want[len(rows)] = ("".join(map(str, perm)), "".join(map(str, rev)))
+            rows.append((len(rows), flat(a), flat(b)))
+    want[len(rows)] = (None, None)
+    rows.append((len(rows), flat(a), flat(a)[1:] + [0.0]))
+    found = spatial.match_axes(spark.createDataFrame(rows, "image_id long, a array<double>, b array<double>"), a.shape)
+    assert {r["image_id"]: (r["permuted"], r["reversed"]) for r in found.collect()} == want
