@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import documents
 
-#: Lanes for equality, summed modulo 2**32, and lanes for likeness, summed modulo 2**16.
+#: Lanes for equality, and lanes for likeness, all summed modulo 2**32.
 SAME, LIKE = 32, 256
 #: Characters of text that are hashed at once.
 BLOCK = 1 << 20
@@ -53,7 +53,7 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def fingerprints(texts: Sequence[str | None], words: WordHashes | None = None) -> np.ndarray:
-    """One row of SAME uint32 and LIKE uint16 lanes (as bytes) per text: the sum of its paragraphs' vectors.
+    """One row of SAME and LIKE uint32 lanes (as bytes) per text: the sum of its paragraphs' vectors.
 
     A paragraph's equality lanes are expanded from its 128-bit hash. Its likeness lanes are a signed sketch of
     its runs of three words (cut off at its end), so that paragraphs which share wording have vectors that point
@@ -74,7 +74,7 @@ def fingerprints(texts: Sequence[str | None], words: WordHashes | None = None) -
             low = np.add.reduceat(both & np.uint64(0xFFFFFFFF), at) & np.uint64(0xFFFFFFFF)
             high = np.add.reduceat(both >> np.uint64(32), at) & np.uint64(0xFFFFFFFF)
             same[counts > 0, lane] = low | (high << np.uint64(32))
-    like = np.zeros((n, LIKE), np.uint16)
+    like = np.zeros((n, LIKE), np.uint32)
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -88,7 +88,7 @@ def fingerprints(texts: Sequence[str | None], words: WordHashes | None = None) -
         runs = mixed(h[:-2] + h[1:-1] * np.uint64(0xD6E8FEB86659FD93) + third * np.uint64(0xA0761D6478BD642F))[h[:-2] != 0]
         lanes = (runs & np.uint64(LIKE - 1)).astype(np.int64)
         signs = np.where(runs >> np.uint64(63), 1.0, -1.0)
-        like[i] = np.bincount(lanes, signs, LIKE).astype(np.int64).astype(np.uint16)
+        like[i] = np.bincount(lanes, signs, LIKE).astype(np.int64).astype(np.uint32)
     return np.hstack([same.view(np.uint8), like.view(np.uint8)])
 
 
@@ -96,13 +96,13 @@ def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Insert (sign 1) or delete (sign -1) the paragraphs behind b."""
     a, b = np.ascontiguousarray(a), np.ascontiguousarray(b)
     same = a[: 4 * SAME].view(np.uint32) + np.uint32(sign % (1 << 32)) * b[: 4 * SAME].view(np.uint32)
-    like = a[4 * SAME :].view(np.uint16) + np.uint16(sign % (1 << 16)) * b[4 * SAME :].view(np.uint16)
+    like = a[4 * SAME :].view(np.uint32) + np.uint32(sign % (1 << 32)) * b[4 * SAME :].view(np.uint32)
     return np.concatenate([same.view(np.uint8), like.view(np.uint8)])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row: 1 for equal fingerprints, else the cosine of the likeness lanes, not below 0."""
-    x, y = (np.ascontiguousarray(v[:, 4 * SAME :]).view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (np.ascontiguousarray(v[:, 4 * SAME :]).view(np.int32).astype(np.float64) for v in (a, b))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((a == b).all(1), 1.0, np.clip(cosine, 0.0, 1.0)).round(6)

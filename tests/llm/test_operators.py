@@ -133,6 +133,14 @@ def test_fingerprints_are_homomorphic():
     assert fingerprint.likeness(ab[None], ba[None])[0] == 1 and fingerprint.likeness(a[None], b[None])[0] < 0.3
 
 
+def test_fingerprints_of_many_equal_words_do_not_wrap():
+    both = fingerprint.fingerprints(["word " * 40_000, "word " * 20_000])
+    assert fingerprint.likeness(both[:1], both[1:])[0] > 0.999
+    doubled = fingerprint.combine(both[1], both[1])
+    assert fingerprint.likeness(doubled[None], both[:1])[0] > 0.999
+    assert (fingerprint.combine(doubled, both[1], -1) == both[1]).all()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     rows = []
