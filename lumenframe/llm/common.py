@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,16 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; `by` is a column to lay folders out by.
 
     The lineage ends at files that every executor sees, so losing an executor costs only its running tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    bare = lambda path: re.sub(r"^[a-z0-9]+:/+", "/", path)
+    for df in cuts:
+        sc, top = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+        names = {bare(f).removeprefix(bare(top) + "/").split("/")[0] for f in df.inputFiles() if bare(f).startswith(bare(top) + "/")}
+        for name in names:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are done; else it waits until the driver's memory fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
