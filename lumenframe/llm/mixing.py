@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import WORD, cut, documents
 
-#: A prime above any number of blocks in a cell: k -> (k * PRIME + shift) mod blocks visits every block once.
-PRIME = 1_000_000_007
+#: Rounds of the permutation of a cell's blocks, and the modulus of its pseudo-random bits.
+ROUNDS, PRIME = 8, (1 << 31) - 1
 
 
 def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str) -> DataFrame:
@@ -38,6 +38,10 @@ def apportion(parties: DataFrame, group: str, party: str, votes: str, seats: str
     return k.select(group, party, "low", won.cast("long").alias("won")).groupBy(group, party).agg((F.max("low") + F.sum("won")).alias("quota"))
 
 
+#: Whether block {c} of a round changes places, as SQL of both engines: one bit of a product in 62 bits.
+_BIT_SQL = f"(({{c}} * 1103515245 + key) % {PRIME}) % 4096 >= 2048"
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -54,10 +58,10 @@ def mix_sources(
     reshared by weight. Each source is dealt by a seeded hash into cells (shards), about `cells` in all and in
     proportion to size, and a cell's words form a stream cut into equal blocks of about block_words. Targets
     become block quotas for sources, then for a source's cells, by Sainte-Lague. A quota takes the cell's stream
-    whole as often as it goes in; a seeded permutation of its blocks selects the rest.
+    whole as often as it goes in; the rest are the blocks that a seeded permutation puts first: a swap-or-not shuffle, in each of whose
+    rounds block k and block (key - k) mod blocks change places or don't, by a bit drawn for the larger of both.
 
-    Returns doc_id, source, size, source_size, target, taken (repeats counted, at most cap * size up to one
-    block). Null or wordless texts have size 0 and nothing is taken of them. A null source is a source; rows with
+    Returns doc_id, source, size, source_size, target, taken (repeats counted, never above cap * size). Null or wordless texts have size 0 and nothing is taken of them. A null source is a source; rows with
     the same doc_id are separate documents; null doc_ids count as one id; an empty table gives an empty result;
     other columns are ignored. share must not exceed cap.
     """
@@ -88,6 +92,7 @@ def mix_sources(
     words = F.least(F.col("quota") * block_words, (cap * F.col("cell_size")).cast("long"))
     plan = plan.select("cell", "cell_size", F.floor(words / F.col("cell_size")).cast("long").alias("passes"), words.alias("words"), F.greatest(F.lit(1), F.rint(F.col("cell_size") / block_words)).cast("long").alias("nb"), F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("cell").cast("string"))), 1, 8), 16, 10).cast("long").alias("shift"))
     plan = plan.withColumn("picked", F.rint((F.col("words") - F.col("passes") * F.col("cell_size")) * F.col("nb") / F.col("cell_size")).cast("long")).drop("words")
+    plan = plan.withColumn("keys", F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: (F.col("shift") * (2 * i + 1) * 7919 + i * 104729) % F.lit(PRIME))).drop("shift")
 
     before = Window.partitionBy("cell").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.where("size > 0").withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
@@ -95,7 +100,7 @@ def mix_sources(
     taken = F.expr(
         f"""passes * size + aggregate(
             sequence(((start + 1) * nb - 1) div cell_size, ((start + size) * nb - 1) div cell_size), 0L,
-            (sum, k) -> sum + if((k * {PRIME}L + shift) % nb < picked,
+            (sum, k) -> sum + if(picked > 0 and aggregate(keys, k, (x, key) -> if({_BIT_SQL.format(c="greatest(x, (key + nb - x % nb) % nb)")}, (key + nb - x % nb) % nb, x)) < picked,
                 least(start + size, ((k + 1) * cell_size) div nb) - greatest(start, (k * cell_size) div nb), 0L))"""
     )
     result = ("doc_id", "source", "size", "source_size", "target")
@@ -131,9 +136,9 @@ ORACLE_SQL = {
         {_apportion_sql("q2", "held", "rank", "cell", "cell_size", "source_quota")},
         plan0 as (select held.cell, cell_size, least(quota * 32, (2.0 * cell_size)::bigint) as words, greatest(1, round_even(cell_size / 32.0::double, 0))::bigint as nb, ('0x' || substr(md5('17/' || held.cell::varchar), 1, 8))::bigint as shift
             from held join q2 on q2.cell = held.cell where cell_size > 0),
-        plan as (select *, words // cell_size as passes, round_even(((words - words // cell_size * cell_size) * nb)::double / cell_size, 0)::bigint as picked from plan0),
+        plan as (select *, list_transform(range(1, {ROUNDS + 1}), lambda i: (shift * (2 * i + 1) * 7919 + i * 104729) % {PRIME}) as keys, words // cell_size as passes, round_even(((words - words // cell_size * cell_size) * nb)::double / cell_size, 0)::bigint as picked from plan0),
         placed as (select *, coalesce(sum(size) over (partition by cell order by key, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d where size > 0)
         select doc_id, size, source_size, target, (passes * size + list_sum(list_transform(range(((start + 1) * nb - 1) // cell_size, ((start + size) * nb - 1) // cell_size + 1),
-            lambda k: case when (k * {PRIME} + shift) % nb < picked then least(start + size, ((k + 1) * cell_size) // nb) - greatest(start, (k * cell_size) // nb) else 0 end)))::bigint as taken
+            lambda k: case when picked > 0 and list_reduce(list_prepend(k, keys), lambda x, key: case when {_BIT_SQL.format(c="greatest(x, (key + nb - x % nb) % nb)")} then (key + nb - x % nb) % nb else x end) < picked then least(start + size, ((k + 1) * cell_size) // nb) - greatest(start, (k * cell_size) // nb) else 0 end)))::bigint as taken
         from placed join plan using (cell) union all select doc_id, size, source_size, target, 0::bigint from d where size = 0"""
 }

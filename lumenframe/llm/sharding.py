@@ -77,63 +77,89 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None =
     return at
 
 
-def pack(sizes: Sequence[int], shards: int) -> list[int]:
+def best_fit_runs(runs: Sequence[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Best fit decreasing of (size, count) runs, sizes falling: (run, bin, how many) in order.
+
+    Equal items follow each other into the tightest bin for as long as they fit, for it stays the tightest. So a run costs as much
+    as it meets bins, and the bins are those of best_fit_decreasing on the single items.
+    """
+    tree, bins, out = Capacities(), 0, []
+    for i, (size, count) in enumerate(runs):
+        while count:
+            found = tree.take(size)
+            if found is None:
+                if most is not None and bins >= most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            left, place = found
+            n = min(count, max(left // size, 1))
+            out.append((i, place, n))
+            tree.add(max(left - n * size, -1), place)
+            count -= n
+    return out
+
+
+def pack(runs: Sequence[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
     """Best fit decreasing at the smallest capacity, found by bisection, that needs at most `shards` bins."""
-    if not sizes:
+    if not runs:
         return []
-    low = max(max(sizes), -(-sum(sizes) // shards))
+    low = max(runs[0][0], -(-sum(s * n for s, n in runs) // shards))
     high, best = low, None
-    while (best := best_fit_decreasing(sizes, high, shards)) is None:
+    while (best := best_fit_runs(runs, high, shards)) is None:
         high = high + max(1, high // 64)
     while low < high:
         middle = (low + high) // 2
-        if (found := best_fit_decreasing(sizes, middle, shards)) is None:
+        if (found := best_fit_runs(runs, middle, shards)) is None:
             low = middle + 1
         else:
             best, high = found, middle
     return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, bundles: int = 4096, cells: int = 256) -> DataFrame:
-    """Put documents into fixed shards of near equal bytes; equal texts stay together.
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], cells: int, name: str) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in (hash cell, order); a group may hold any share of all rows.
+
+    Cells are hashes of the order columns. Rows are counted per cell first, and each cell is numbered in a task of its own.
+    """
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    counts = dealt.groupBy(*by, "cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    row = F.row_number().over(Window.partitionBy(*by, "cell").orderBy(*order))
+    found = dealt.withColumn("row", row).join(starts, [*by, "cell"])
+    return found.withColumn(name, (F.col("start") + F.col("row") - 1).cast("long")).drop("cell", "start", "row")
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, cells: int = 256) -> DataFrame:
+    """Put documents into fixed shards of near equal bytes by best fit decreasing; equal texts stay together.
 
-    A document's size is the UTF-8 bytes of its text plus 1. Groups are equal texts (null counts as empty). Groups
-    of at least 1 / (4 * bundles) of all bytes, of which there can be 4 * bundles at most, are items of their own;
-    smaller ones are hashed into `bundles` items. So one task packs a bounded number of items, whatever the input, and that plan
-    is small enough to broadcast. Slots count rows within (shard, one of `cells` hash cells of doc_id), after the
-    rows of the shard's earlier cells.
+    A document's size is the UTF-8 bytes of its text plus 1. Groups are equal texts (null counts as empty), and every group
+    is an item of its own, whatever the table's size. What a packing hangs on is how many groups have each size, so one task packs runs
+    of equal sizes: all of them sum up to the bytes B of the table, so there are at most sqrt(2 B) sizes (14 million for 100 TB). Groups of
+    one size are numbered by hash and dealt to the bins as the plan says. Slots count rows within a shard.
 
     Returns doc_id, size, text_crc32, law = 'bytes', shard, slot, grown_shard (null under this law). Null doc_ids are
     ids like others, repeated rows get a slot each, an empty table gives an empty result, other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("same")), "rows")
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"))
-    large = F.col("bytes") >= max(1, total // (4 * bundles))
-    bundle = F.pmod(F.xxhash64("same"), F.lit(bundles)).cast("string")
-    items = groups.select(F.when(large, F.hex("same")).otherwise(bundle).alias("item"), "bytes").groupBy("item").agg(F.sum("bytes").alias("bytes"))
+    groups = cut(rows.groupBy("same").agg(F.sum("size").alias("bytes")), "groups")
 
     def place(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        held = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"item": [], "bytes": []})]).sort_values("item", ignore_index=True)
-        yield pd.DataFrame({"item": held["item"].astype(str), "shard": pd.array(pack([int(x) for x in held["bytes"]], shards), dtype="int32")})
-
-    plan = cut(items.coalesce(1).mapInPandas(place, "item string, shard int"), "plan")
-    # At most 5 * bundles rows of about 70 bytes: checked here before it is broadcast.
-    few = plan.count() <= 5 * bundles
-    big = plan.where(F.length("item") == 64).select(F.unhex("item").alias("same"), F.col("shard").alias("big_shard"))
-    small = plan.where(F.length("item") < 64).select(F.col("item").cast("int").alias("bundle"), F.col("shard").alias("small_shard"))
-    hint = F.broadcast if few else (lambda df: df)
-    put = rows.withColumn("bundle", F.pmod(F.xxhash64("same"), F.lit(bundles)).cast("int")).join(hint(big), "same", "left").join(hint(small), "bundle", "left")
-    put = put.select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "small_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int").alias("cell"))
-    put = put.withColumn("place", F.col("shard") * cells + F.col("cell"))
-    counts = put.groupBy("place").agg(F.count("*").alias("n")).withColumn("of", F.floor(F.col("place") / cells))
-    starts = counts.select("place", F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    row = F.row_number().over(Window.partitionBy("place").orderBy("doc_id", "text_crc32", "size"))
-    numbered = put.withColumn("row", row).join(hint(starts), "place")
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        held = [tuple(map(int, r)) for b in batches for r in zip(b["bytes"], b["n"], strict=True)]
+        runs, out, at = sorted(held, reverse=True), [], {}
+        for i, shard, n in pack(runs, shards):
+            size, first = runs[i][0], at.get(i, 0)
+            at[i] = first + n
+            out.append((size, first, first + n, shard))
+        yield pd.DataFrame(out, columns=["bytes", "first", "stop", "shard"])
+
+    plan = cut(groups.groupBy("bytes").agg(F.count("*").alias("n")).coalesce(1).mapInPandas(place, "bytes long, first long, stop long, shard int"), "plan")
+    items = numbered(groups, ["bytes"], ["same"], cells, "number").join(plan, "bytes").where("first <= number and number < stop").select("same", "shard")
+    put = numbered(rows.join(items, "same").drop("same"), ["shard"], ["doc_id", "text_crc32", "size"], cells, "slot")
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """The ten operators against brute force, on texts with nulls, ties, repeated rows, and columns with clashing names."""
 
 import collections
+import functools
 import hashlib
 import inspect
+import itertools
 import math
 import random
 import re
@@ -232,7 +234,7 @@ def test_bpe_is_exact(docs, none):
 
 
 def test_sharding(docs, none):
-    got = sharding.shard_documents(docs, shards=5, bundles=64, cells=3).collect()
+    got = sharding.shard_documents(docs, shards=5, cells=3).collect()
     size = lambda t: len((t or "").encode()) + 1
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in rows_of())
     slots, homes = collections.defaultdict(list), collections.defaultdict(set)
@@ -256,12 +258,39 @@ def test_best_fit_decreasing():
         left[b] -= sizes[i]
         want[i] = b
     assert at == want
+    runs = sorted(collections.Counter(sizes).items(), reverse=True)
     loads = collections.Counter()
-    for s, b in zip(sizes, sharding.pack(sizes, 7)):
-        loads[b] += s
+    for i, b, n in sharding.pack(runs, 7):
+        loads[b] += n * runs[i][0]
     assert len(loads) <= 7 and max(loads.values()) - min(loads.values()) <= 4
 
 
+def test_runs_pack_like_single_items():
+    """The bins of 100,000 items placed one by one, in size order, are those of their runs."""
+    rng = random.Random(8)
+    sizes = sorted((int(rng.lognormvariate(6, 1)) + 1 for _ in range(100_000)), reverse=True)
+    runs = [(s, len(list(g))) for s, g in itertools.groupby(sizes)]
+    for capacity in (max(sizes), sum(sizes) // 15):
+        dealt = [b for _, b, n in sharding.best_fit_runs(runs, capacity) for _ in range(n)]
+        assert dealt == sharding.best_fit_decreasing(sizes, capacity)
+
+
+def test_shards_are_those_of_the_packing(spark):
+    """Every group is packed by itself: each size's groups fill the bins as the packing says."""
+    rng = random.Random(9)
+    texts = ["x" * int(rng.lognormvariate(3, 1)) + str(i % 700) for i in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=6).collect()
+    groups = collections.Counter()
+    for t in texts:
+        groups[t] += len(t) + 1
+    runs = sorted(collections.Counter(groups.values()).items(), reverse=True)
+    want = collections.Counter()
+    for i, b, n in sharding.pack(runs, 6):
+        want[runs[i][0], b] += n
+    home = {texts[r["doc_id"]]: r["shard"] for r in got}
+    assert collections.Counter((groups[t], b) for t, b in home.items()) == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://www.Example.com/{i % 5}?b=2&a=1", t) for i, t in enumerate(["<p>one</p>", "<p>one</p>", "", None, "a\r\n\r\nWARC/1.1\r\n\r\nb", "é" * 1000, "<p>one</p>"])] + [(None, None, "x"), (9, "bad url\r\nX: y", "x"), (9, "u", "x")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, top string")
@@ -287,27 +316,120 @@ def test_loser_tree_merge():
         assert [warc.sort_key(r) for r in merged] == sorted(warc.sort_key(r) for run in runs for r in run)
 
 
-def test_lm_pairs_sum_to_one(spark):
-    """After any word the probabilities of all known words and the unseen one add up to one, in many chunks; endings that
-    look alike don't make contexts alike."""
+def lm_in_one_process(rows, burn_in=2, samples=2, theta=1.0):
+    """The language model dish by dish in plain Python, with Stirling numbers of its own: (after, word) -> probability."""
+    hashed = functools.cache(lambda w: np.array([language_model.xxhash.xxh3_64_intdigest(w)], np.uint64).view(np.int64))
+    tokens = lambda t: [b"\t", *(t or "").encode().lower().split(), b"\n"]
+    learned = [tokens(t) for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
+    n = collections.Counter(p for x in learned for p in itertools.pairwise(x))
+    count, follows = collections.Counter(w for x in learned for w in x[1:]), collections.Counter(w for x in learned for w in x[:-1])
+    base = 1 / (len(count) + 1)
+
+    @functools.cache
+    def weight(d, c, t):
+        if t < 1 or t > c:
+            return 0.0
+        return 1.0 if c == 1 else weight(d, c - 1, t - 1) + (c - 1 - d * t) * weight(d, c - 1, t)
+
+    alone = lambda d, c, t: weight(d, c - 1, t - 1) / weight(d, c, t)
+    opens = lambda d, c, t, others, p: (others + d * t) * p / ((others + d * t) * p + c - d * t)
+
+    def first(d, c, others, p):
+        low, high = 1, c
+        while low < high:
+            t = (low + high + 1) // 2
+            low, high = (t, high) if opens(d, c - 1, t - 1, others, p) >= alone(d, c, t) else (low, t - 1)
+        return low
+
+    def moved(d, c, t, others, p, key):
+        for k in range(min(c, language_model.MOVES) if c > 1 else 0):
+            leaves, sits = (float(x[0]) for x in language_model.uniforms(key, k))
+            t -= leaves < alone(d, c, t)
+            t += sits < opens(d, c - 1, t, others, p)
+        return t
+
+    t = dict.fromkeys(n, 1)
+    often = collections.Counter(n.values())
+    d = language_model.discount_of(often[1], often[2])
+    root, kept = {}, []
+    for sweep in range(burn_in + samples + 1):
+        c = collections.Counter()
+        for (_, w), k in t.items():
+            c[w] += k
+        few = collections.Counter(c.values())
+        d0, before = language_model.discount_of(few[1], few[2]), sum(root.values()) or len(c)
+        if sweep:
+            clipped = {w: min(root[w], c[w]) for w in c}
+            root = {w: moved(d0, c[w], clipped[w], theta + d0 * (before - clipped[w]), base, language_model.seat_key(sweep, hashed(w))) for w in c}
+        else:
+            root = {w: first(d0, c[w], theta + d0 * before, base) for w in c}
+        unseen = (theta + d0 * sum(root.values())) / (theta + sum(c.values())) * base
+        p = {w: (c[w] - d0 * root[w]) / (theta + sum(c.values())) + unseen for w in c}
+        at = collections.Counter()
+        for (u, _), k in t.items():
+            at[u] += k
+        for (u, w), k in n.items():
+            if k > 1:
+                others = theta + d * (at[u] - t[u, w])
+                t[u, w] = moved(d, k, t[u, w], others, p[w], language_model.seat_key(sweep, hashed(u), hashed(w))) if sweep else first(d, k, others, p[w])
+        if sweep > burn_in:
+            at = collections.Counter()
+            for (u, _), k in t.items():
+                at[u] += k
+            kept.append((dict(t), at, p, unseen))
+    probability = lambda u, w: sum((n[u, w] - d * t.get((u, w), 0) + (theta + d * at[u]) * p.get(w, unseen)) / (theta + follows[u]) for t, at, p, unseen in kept) / samples
+    return probability, tokens, count
+
+
+def test_lm_is_the_model_of_one_process(spark):
+    """Scores don't hang on slices, files or partitions, and are those of a plain sampler; probabilities sum to one."""
     rng = random.Random(5)
-    texts = [" ".join(["ration east", "nation west", "station up"][rng.randrange(3)] for _ in range(rng.randrange(1, 9))) for _ in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = sorted({w for t in texts for w in t.split()}) + ["\n", "never"]
-    seen = "never " + " never ".join(f"{a} {b}" for a in words for b in words if "\n" not in (a, b))
-    every = docs.union(spark.createDataFrame([(None, seen), *((None, w) for w in words)], docs.schema)).repartition(5)
-    found = {}
-    for n in (2, 7):
-        scores, *_ = language_model.pair_scores(language_model.with_chunk(every.repartition(n), 300), 10, 1, 2, 1.0)
-        rows = scores.collect()
-        assert max(len(r["chunks"]) for r in rows) > 3
-        found[n] = {(r["ctx"], r["word"]): r["log"] for r in rows}
-    assert found[2].keys() == found[7].keys() and all(math.isclose(found[2][k], v, rel_tol=1e-9) for k, v in found[7].items())
-    hashed = dict(zip(words, np.array([language_model.xxhash.xxh3_64_intdigest(w.encode()) for w in words], np.uint64).view(np.int64).tolist(), strict=True))
-    for before in words[:-2]:
-        assert math.isclose(sum(10 ** found[2][hashed[before], hashed[w]] for w in words), 1.0, rel_tol=1e-6)
-    after = lambda a, b: found[2][hashed[a], hashed[b]]
-    assert after("ration", "east") > -0.1 > -1 > after("nation", "east") and after("nation", "west") > -0.1
+    words = [f"w{i}" for i in range(30)] + ["ration", "nation", "Überzug"]
+    texts = [" ".join(words[min(int(rng.expovariate(0.2)), 32)] for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[7]), (None, "never seen w1 before"), (None, None)]
+    probability, tokens, count = lm_in_one_process(rows)
+    assert max(collections.Counter(p for x in texts for p in itertools.pairwise(tokens(x))).values()) > 40
+    for u in [b"\t", *count]:
+        if u != b"\n":
+            assert math.isclose(sum(probability(u, w) for w in [*count, b"never"]), 1.0, rel_tol=1e-9)
+    want = collections.defaultdict(set)
+    for _, t in rows:
+        want[t].add(round(sum(math.log10(probability(u, w)) for u, w in itertools.pairwise(tokens(t))), 6))
+    for parts, size in ((2, 8 << 20), (7, 500), (40, 60)):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = language_model.score_texts(frame, slice_characters=size).join(frame.select("doc_id", "text").distinct(), "doc_id").collect()
+        assert len(got) == 300 + 1
+        assert all({round(r["score"], 6)} == want[r["text"]] for r in got)
+
+
+def test_lm_chances_of_sitting_alone():
+    """Exact up to EXACT customers; beyond, the estimate stays near the exact ratio."""
+    for d in (0.3, 0.6, 0.8, 0.95):
+        alone = language_model.Alone(d)
+        log = np.full((701, 702), -np.inf)
+        log[1, 1] = 0.0
+        for c in range(2, 701):
+            t = np.arange(1, c + 1)
+            log[c, 1 : c + 1] = np.logaddexp(log[c - 1, :c], np.where(t < c, np.log(np.maximum(c - 1 - d * t, 1e-300)), -np.inf) + log[c - 1, 1 : c + 1])
+        for c, near in ((40, 1e-9), (256, 1e-9), (257, 0.09), (700, 0.09)):
+            t = np.arange(2, c + 1)
+            assert np.abs(alone(np.full(len(t), c), t) / np.exp(log[c - 1, t - 1] - log[c, t]) - 1).max() < near
+            assert alone(np.array([c]), np.array([1]))[0] == 0
+
+
+def test_lm_moves_sample_the_conditional():
+    """Moves of single customers lead to tables in proportion to S(c, t) times the weights of new tables."""
+    c, d, others, p = 9, 0.6, 3.0, 0.2
+    weight = {(1, 1): 1.0}
+    for k in range(2, c + 1):
+        for t in range(1, k + 1):
+            weight[k, t] = weight.get((k - 1, t - 1), 0) + (k - 1 - d * t) * weight.get((k - 1, t), 0)
+    exact = np.array([weight[c, t] * p**t * math.prod(others + d * j for j in range(t)) for t in range(1, c + 1)])
+    n, alone = 20000, language_model.Alone(d)
+    t = np.ones(n, np.int64)
+    for sweep in range(6):
+        t = language_model.moved(np.full(n, c), t, np.full(n, others), np.full(n, p), alone, language_model.seat_key(sweep, np.arange(n)))
+    assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - exact / exact.sum()).max() < 0.015
 
 
 def test_toxicity_learns(spark, none):
@@ -354,7 +476,7 @@ def test_windows_cover_all_tokens():
 
 
 def test_lm_scores(docs, none):
-    got = language_model.score_texts(docs, chunk_bytes=3000).collect()
+    got = language_model.score_texts(docs, slice_characters=3000).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
     held = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 == 0
     c = collections.Counter(w for r in rows_of() if not held(r[0]) for w in tokens(r[1]))
@@ -375,25 +497,3 @@ def test_lm_without_training_words(spark):
 def test_lm_sweeps_are_those_of_the_readme():
     found = inspect.signature(language_model.score_texts).parameters
     assert (found["burn_in"].default, found["samples"].default) == (2, 2)
-
-
-def test_lm_predictions_sum_to_one(spark):
-    """Over all known words and the unseen one, the probabilities after any context add up to one."""
-    docs = spark.createDataFrame([(i, "a b a c b a d e a b c" if i % 2 else "b a e e d c a b") for i in range(40)], "doc_id long, text string")
-    table = common.cut(language_model.word_table(language_model.wanted_cells(language_model.with_chunk(docs, 200), 10), 2), "words")
-    history = []
-    totals = language_model.total_up(table, [], 1.0)
-    for _ in range(3):
-        history.append(totals)
-        totals = language_model.total_up(table.coalesce(1), history, 1.0)
-    pdf = table.where("part = 0").coalesce(1).toPandas()
-    *_, seating = language_model.seated(pdf["word"], pdf["cells"], history)
-    p0, p1, p2, keys1, keys2 = language_model.predictions(seating, totals)
-    words = np.arange(len(pdf))
-    for leaf in range(0, language_model.LEAVES, 37):
-        leaves = np.full(len(pdf), leaf)
-        middle = language_model.middle_of(leaves)
-        q1 = language_model.looked_up(keys1, p1, words * language_model.MIDDLES + middle, totals.back_off(1)[middle] * p0)
-        q2 = language_model.looked_up(keys2, p2, words * language_model.LEAVES + leaves, totals.back_off(2)[leaves] * q1)
-        unseen = totals.back_off(2)[leaf] * totals.back_off(1)[middle[0]] * totals.back_off(0)[0] / (totals.types + 1)
-        assert math.isclose(q2.sum() + unseen, 1.0, rel_tol=1e-6)
