@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -15,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Numbers(dict):
     """Numbers keys in the order they are first asked for."""
 
@@ -35,30 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; `by` is a column to lay folders out by.
 
-    The lineage ends at files that every executor sees, so losing an executor costs only its running tasks.
+    The lineage ends at files that every executor sees, so losing an executor costs only its running tasks. Spark removes the
+    shuffle files behind a cut as soon as it is written, instead of when the driver next collects its garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Delete the files of cuts that nothing reads any more."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(FREED, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*cuts: DataFrame, folders: Iterable[str] = ("",)) -> None:
+    """Delete the files of cuts, or of some of their folders, that nothing reads any more."""
     bare = lambda path: re.sub(r"^[a-z0-9]+:/+", "/", path)
     for df in cuts:
         sc, top = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
         names = {bare(f).removeprefix(bare(top) + "/").split("/")[0] for f in df.inputFiles() if bare(f).startswith(bare(top) + "/")}
-        for name in names:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
+        for path in (sc._jvm.org.apache.hadoop.fs.Path(f"{top}/{name}/{folder}".rstrip("/")) for name in names for folder in folders):
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that are done; else it waits until the driver's memory fills up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
