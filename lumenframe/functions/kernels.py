@@ -41,13 +41,78 @@ def weights(points: np.ndarray, dims: tuple[int, int, int], mode: str) -> tuple[
     return inside, np.stack(index, 1), np.stack(weight, 1)
 
 
-def pull(voxels: np.ndarray, points: np.ndarray, dims: tuple[int, int, int], fill: np.ndarray, mode: str) -> np.ndarray:
-    """Sample (batch, voxels) at the points; outside stands `fill` of the volume."""
-    inside, index, weight = weights(points, dims, mode)
-    out = np.zeros((len(voxels), len(points)))
-    for k in range(index.shape[1]):
-        out += voxels[:, index[:, k]] * weight[:, k]
-    return np.where(inside, out, fill[:, None])
+#: Output voxels that are sampled at once, so that positions and shares stay small whatever the volume.
+SLAB = 1 << 18
+
+
+def slabs(dims: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Ranges of z (from 0) of at most SLAB voxels, or one slice."""
+    deep = max(1, SLAB // max(dims[0] * dims[1], 1))
+    return [(z, min(z + deep, dims[2])) for z in range(0, dims[2], deep)]
+
+
+def slab_points(matrix: np.ndarray, dims: tuple[int, int, int], centre: np.ndarray, low: int, high: int) -> np.ndarray:
+    p = grid((dims[0], dims[1], high - low)) + np.array([0, 0, low]) - centre
+    return p @ matrix[:3, :3].T + matrix[:3, 3] + centre
+
+
+def axis_shares(p: np.ndarray, size: int, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, lower, upper, share of the upper) along one axis, by the rules of weights(); places from 0."""
+    p = p.astype(np.float32)
+    if mode == "round_first":
+        r = np.rint(p).astype(np.int64)
+        return (r >= 1) & (r <= size), np.clip(r, 1, size) - 1, np.clip(r, 1, size) - 1, np.zeros(len(p))
+    inside = (p >= 1) & (p <= np.float32(size))
+    if mode == "nearest":
+        r = np.clip(np.rint(p).astype(np.int64), 1, size) - 1
+        return inside, r, r, np.zeros(len(p))
+    low = np.clip(np.floor(p).astype(np.int64), 1, size)
+    return inside, low - 1, np.minimum(low, size - 1), np.clip(p.astype(np.float64) - low, 0, 1)
+
+
+def pull_axes(voxels: np.ndarray, steps: np.ndarray, shift: np.ndarray, out_dims: tuple[int, int, int], dims: tuple[int, int, int], fill: np.ndarray, mode: str) -> np.ndarray:
+    """Sampling by a diagonal matrix, axis after axis: positions steps * i + shift with i from 1. Slab by slab of z."""
+    kind = voxels.dtype
+    v = voxels.reshape(len(voxels), dims[2], dims[1], dims[0])
+    (ix, x0, x1, wx), (iy, y0, y1, wy), (iz, z0, z1, wz) = (axis_shares(steps[k] * np.arange(1, out_dims[k] + 1) + shift[k], dims[k], mode) for k in range(3))
+    wx, wy, wz = (w.astype(kind) for w in (wx, wy, wz))
+    out = np.empty((len(voxels), out_dims[2], out_dims[1], out_dims[0]), kind)
+    for a, b in slabs(out_dims):
+        for k, volume in enumerate(v):
+            s = volume[z0[a:b]]
+            if mode == "linear":
+                w = wz[a:b, None, None]
+                s = s * (1 - w) + volume[z1[a:b]] * w
+                s = s[:, y0] * (1 - wy[:, None]) + s[:, y1] * wy[:, None]
+                s = s[:, :, x0] * (1 - wx) + s[:, :, x1] * wx
+            else:
+                s = s[:, y0][:, :, x0]
+            out[k, a:b] = s
+        outside = ~(iz[a:b, None, None] & iy[:, None] & ix)
+        out[:, a:b][:, outside] = fill[:, None]
+    return out.reshape(len(voxels), -1)
+
+
+def pull(voxels: np.ndarray, matrix: np.ndarray, centre: np.ndarray, out_dims: tuple[int, int, int], dims: tuple[int, int, int], fill: np.ndarray, mode: str) -> np.ndarray:
+    """Sample (batch, voxels) on the grid of out_dims at matrix * (p - centre) + centre; outside stands `fill` of the volume.
+
+    A diagonal matrix is worked off axis by axis, any other by slabs of z: what is held beside the volumes is bounded by SLAB.
+    """
+    turn, n = matrix[:3, :3], out_dims[0] * out_dims[1]
+    if mode != "cubic" and not turn[~np.eye(3, dtype=bool)].any():
+        steps = np.diag(turn)
+        return pull_axes(voxels, steps, matrix[:3, 3] + centre - steps * centre, out_dims, dims, fill, mode)
+    spline = spline_coefficients(voxels, dims) if mode == "cubic" else None
+    out = np.empty((len(voxels), n * out_dims[2]), voxels.dtype)
+    for a, b in slabs(out_dims):
+        points = slab_points(matrix, out_dims, centre, a, b)
+        if spline is not None:
+            out[:, n * a : n * b] = cubic_pull(spline, points, dims, fill)
+            continue
+        inside, index, weight = weights(points, dims, mode)
+        part = sum(voxels[:, index[:, k]] * weight[:, k].astype(voxels.dtype) for k in range(index.shape[1]))
+        out[:, n * a : n * b] = np.where(inside, part, fill[:, None])
+    return out
 
 
 def push(out: np.ndarray, points: np.ndarray, dims: tuple[int, int, int], mode: str) -> np.ndarray:
@@ -94,8 +159,8 @@ def spline_prefilter(line: np.ndarray) -> np.ndarray:
     return line @ np.linalg.inv(a).T
 
 
-def cubic_pull(voxels: np.ndarray, points: np.ndarray, dims: tuple[int, int, int], fill: np.ndarray) -> np.ndarray:
-    """Sample a tensor-product cubic B-spline through the voxels; ends are extended linearly, outside stands fill."""
+def spline_coefficients(voxels: np.ndarray, dims: tuple[int, int, int]) -> np.ndarray:
+    """Coefficients of a tensor-product cubic B-spline through the voxels, ends extended linearly: (batch, z + 2, y + 2, x + 2)."""
     c = voxels.reshape(len(voxels), dims[2], dims[1], dims[0]).astype(float)
     for axis in (1, 2, 3):
         c = np.moveaxis(spline_prefilter(np.moveaxis(c, axis, -1)), -1, axis)
@@ -104,12 +169,17 @@ def cubic_pull(voxels: np.ndarray, points: np.ndarray, dims: tuple[int, int, int
         before = 2 * first - np.take(c, [min(1, n - 1)], axis)
         after = 2 * last - np.take(c, [max(n - 2, 0)], axis)
         c = np.concatenate([before, c, after], axis)
+    return c
+
+
+def cubic_pull(c: np.ndarray, points: np.ndarray, dims: tuple[int, int, int], fill: np.ndarray) -> np.ndarray:
+    """Sample the spline of spline_coefficients at the points; outside stands fill."""
     p = points.astype(np.float32).astype(float)
     inside = ((p >= 1) & (p <= np.array(dims))).all(1)
     low = np.clip(np.floor(p).astype(int), 1, np.maximum(np.array(dims) - 1, 1))
     t = p - low
     share = np.stack([(1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6])
-    out = np.zeros((len(voxels), len(p)))
+    out = np.zeros((len(c), len(p)))
     low = np.clip(low, 1, np.array(dims))
     for i in range(4):
         for j in range(4):
@@ -134,3 +204,125 @@ def dose_point_kernel(radius: int, spacing: tuple[float, float, float], sigma: f
     far = np.exp(-attenuation * r) / (4 * np.pi * np.maximum(r, min(spacing) / 2) ** 2)
     both = near / near.sum() + far / far.sum()
     return both / both.sum()
+
+
+def boxed(volume: np.ndarray, begin: np.ndarray, size: np.ndarray, flip: np.ndarray, fill: float) -> np.ndarray:
+    """The box of `size` voxels from `begin` (x, y, z from 0; may lie outside) of a (z, y, x) volume, some axes reversed."""
+    out = np.full(tuple(size[::-1]), fill, volume.dtype)
+    source, target = [], []
+    for b, s, n in zip(begin[::-1], size[::-1], volume.shape, strict=True):
+        low, high = max(b, 0), min(b + s, n)
+        source.append(slice(low, max(high, low)))
+        target.append(slice(low - b, max(high, low) - b))
+    out[tuple(target)] = volume[tuple(source)]
+    return out[tuple(slice(None, None, -1) if f else slice(None) for f in flip[::-1])]
+
+
+def gradient_magnitude(volume: np.ndarray, eps: float) -> np.ndarray:
+    """sqrt of the squared central differences, 0 on the border of each axis, plus eps."""
+    squares = np.full(volume.shape, eps)
+    for axis in range(3):
+        inner = [slice(None)] * 3
+        inner[axis] = slice(1, -1)
+        if volume.shape[axis] > 2:
+            squares[tuple(inner)] += (np.gradient(volume, axis=axis)[tuple(inner)]) ** 2
+    return np.sqrt(squares)
+
+
+def box_mean(volume: np.ndarray) -> np.ndarray:
+    """Mean over 3 x 3 x 3 voxels, the border mirrored."""
+    p = np.pad(volume, 1, mode="symmetric")
+    for axis in range(3):
+        n = p.shape[axis] - 2
+        p = sum(np.take(p, range(k, k + n), axis) for k in range(3)) / 3
+    return p
+
+
+def distance_to(mask: np.ndarray) -> np.ndarray:
+    """Exact Euclidean distance in voxels to the nearest voxel of the mask: lower envelopes of squares, axis by axis. 100 if there is none."""
+    if not mask.any():
+        return np.full(mask.shape, 100.0)
+    d2 = np.where(mask, 0.0, 1e12)
+    for axis in range(3):
+        lines = np.moveaxis(d2, axis, -1)
+        at = np.arange(lines.shape[-1])
+        best = lines.copy()
+        for k in range(1, lines.shape[-1]):  # a shift that is longer than all distances found so far can't shorten any
+            if k * k > best.max():
+                break
+            best[..., k:] = np.minimum(best[..., k:], lines[..., :-k] + k * k)
+            best[..., :-k] = np.minimum(best[..., :-k], lines[..., k:] + k * k)
+        d2 = np.moveaxis(best, -1, axis) if len(at) else d2
+    return np.sqrt(d2)
+
+
+def gaussian_taps(size: int, sigma: float) -> np.ndarray:
+    g = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
+    return g / g.sum()
+
+
+def ssim(a: np.ndarray, b: np.ndarray, size: int = 11, sigma: float = 1.5, c1: float = 0.01**2, c2: float = 0.03**2) -> float:
+    """Mean structural similarity of two stacks of 2-D slices: Gaussian windows, zeros beyond the border."""
+    taps, half = gaussian_taps(size, sigma), size // 2
+
+    def blur(x: np.ndarray) -> np.ndarray:
+        for axis in (1, 2):
+            pad = [(0, 0)] * 3
+            pad[axis] = (half, half)
+            wide, n = np.pad(x, pad), x.shape[axis]
+            x = sum(w * np.take(wide, range(k, k + n), axis) for k, w in enumerate(taps))
+        return x
+
+    m, n = blur(a), blur(b)
+    va, vb, cov = blur(a * a) - m * m, blur(b * b) - n * n, blur(a * b) - m * n
+    return float((((2 * m * n + c1) * (2 * cov + c2)) / ((m * m + n * n + c1) * (va + vb + c2))).mean())
+
+
+def endpoints(volume: np.ndarray, above: float) -> np.ndarray:
+    """Both ends (x, y, z from 0) of the voxels above a threshold along their principal axis; ties go to the first in flat order.
+
+    The axis points to where its largest component is positive. Without such voxels both are (16, 16, 16), for a single one both are it.
+    """
+    z, y, x = np.nonzero(volume > above)
+    if not len(x):
+        return np.full(6, 16.0)
+    p = np.stack([x, y, z], 1).astype(float)
+    if len(p) == 1:
+        return np.concatenate([p[0], p[0]])
+    c = p - p.mean(0)
+    axis = np.linalg.eigh(c.T @ c / (len(p) - 1))[1][:, -1]
+    along = (c @ (axis * np.sign(axis[np.abs(axis).argmax()]))).round(9)
+    return np.concatenate([p[along.argmin()], p[along.argmax()]])
+
+
+def matrix_gradient(voxels: np.ndarray, gradients: np.ndarray, matrix: np.ndarray, dims: tuple[int, int, int], centre: np.ndarray) -> np.ndarray:
+    """Of sum(gradients * linear samples), by the first three rows of the pull-back matrix; slab by slab."""
+    out, n = np.zeros((3, 4)), dims[0] * dims[1]
+    size = np.array(dims)
+    for a, b in slabs(dims):
+        p = slab_points(matrix, dims, centre, a, b).astype(np.float32).astype(float)
+        inside = ((p >= 1) & (p <= size)).all(1)
+        low = np.clip(np.floor(p).astype(np.int64), 1, size)
+        part = np.clip(p - low, 0, 1)
+        slope = np.zeros((len(p), 3))
+        for corner in range(8):
+            up = np.array([corner & 1, corner >> 1 & 1, corner >> 2 & 1])
+            value = voxels[flat_index(np.minimum(low + up, size), dims)]
+            share = np.where(up, part, 1 - part)
+            for k in range(3):
+                slope[:, k] += (1 if up[k] else -1) * value * np.delete(share, k, 1).prod(1)
+        g = np.where(inside, gradients[n * a : n * b], 0.0)
+        place = np.hstack([grid((dims[0], dims[1], b - a)) + np.array([0, 0, a]) - centre, np.ones((len(p), 1))])
+        out += (slope * g[:, None]).T @ place
+    return out.reshape(-1)
+
+
+def moments(volume: np.ndarray) -> tuple[float, float, float, float]:
+    """Weighted mean position (x, y, z from 1) and the largest distance of a positive voxel from it."""
+    total = volume.sum()
+    axes = [np.arange(1, n + 1) for n in reversed(volume.shape)]
+    sums = [volume.sum(tuple(k for k in range(3) if k != 2 - i)) for i in range(3)]
+    c = [float((a * s).sum() / total) if total != 0 else 0.0 for a, s in zip(axes, sums, strict=True)]
+    z, y, x = np.nonzero(volume > 0)
+    far = ((x + 1 - c[0]) ** 2 + (y + 1 - c[1]) ** 2 + (z + 1 - c[2]) ** 2).max() if len(x) else 0.0
+    return (*c, float(np.sqrt(far)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import kernels
+from lumenframe.operators import spatial
+from lumenframe.operators.masks import map_voxels, of_volume
+from lumenframe.operators.volumes import let
 
 # Energy per decay for local deposition (keV), and Gy per count of the analytical estimate.
 ENERGY_KEV = 0.969 * 249.8 + 2 * 511 * 0.969
@@ -43,25 +47,24 @@ def cosine_window(patch: int) -> list[float]:
     return [float(np.sin(np.pi * (i + 0.5) / patch)) for i in range(patch)]
 
 
-def blend_patches(voxels: DataFrame, size: int, patch: int, stride: int, predict: Column, skip_below: float = 1e-3) -> DataFrame:
+def blend_patches(images: DataFrame, patch: int, stride: int, predict: Callable[[np.ndarray], np.ndarray], skip_below: float = 1e-3) -> DataFrame:
     """Predict on overlapping cubes and blend by cosine windows: sum(prediction * w) / (sum(w) + 1e-8).
 
-    Every voxel goes to the patches that hold it (a bounded number). A patch whose maximum is below skip_below keeps its
-    voxels. predict may use `value` and the patch's `patch_max`.
+    predict maps a (z, y, x) cube to one of its shape. A cube whose maximum is below skip_below keeps its voxels.
     """
-    starts = F.array(*[F.lit(s) for s in patch_starts(size, patch, stride)])
-    rows = voxels
-    holding = lambda at: F.filter(starts, lambda s: (s <= at) & (at < s + patch))
-    for a in "xyz":
-        rows = rows.withColumn(f"p{a}", F.explode(holding(F.col(a))))
-    window = F.array(*map(F.lit, cosine_window(patch)))
-    w = F.lit(1.0)
-    for a in "xyz":
-        w = w * window[F.col(a) - F.col(f"p{a}")]
-    tops = rows.groupBy("image_id", "px", "py", "pz").agg(F.max("value").alias("patch_max"))
-    rows = rows.withColumn("w", w).join(tops, ["image_id", "px", "py", "pz"])
-    made = F.when(F.col("patch_max") < skip_below, F.col("value")).otherwise(predict)
-    return rows.groupBy("image_id", "x", "y", "z").agg((F.sum(made * F.col("w")) / (F.sum("w") + 1e-8)).alias("value"))
+    line = np.array(cosine_window(patch))
+
+    def blend(volume: np.ndarray) -> np.ndarray:
+        total, weight = np.zeros(volume.shape), np.zeros(volume.shape)
+        for at in itertools.product(*(patch_starts(n, patch, stride) for n in volume.shape)):
+            box = tuple(slice(a - 1, min(a - 1 + patch, n)) for a, n in zip(at, volume.shape, strict=True))
+            cube = volume[box]
+            w = np.einsum("i,j,k->ijk", *(line[:n] for n in cube.shape))
+            total[box] += (cube if cube.max() < skip_below else predict(cube)) * w
+            weight[box] += w
+        return total / (weight + 1e-8)
+
+    return map_voxels(images, blend)
 
 
 def decay_chain(dose: Column, steps: int, dt: float, k_in: float, k_out: float, k_bind: float, decay: float) -> Column:
@@ -96,4 +99,93 @@ def agreement(pairs: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     peak = pairs.groupBy(*by).agg(F.max(b).alias("_peak"))
     rows = pairs.join(peak, list(by))
     masked = F.when(F.col(b) > 0.01 * F.col("_peak"), F.col(a) - F.col(b))
-    return rows.groupBy(*by).agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.corr(a, b).alias("pearson"), (F.avg(a) / F.avg(b)).alias("ratio"), F.avg(masked).alias("bias"))
+    return rows.groupBy(*by).agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.corr(a, b).alias("pearson"), F.try_divide(F.avg(a), F.avg(b)).alias("ratio"), F.avg(masked).alias("bias"))
+
+
+def compared(pairs: DataFrame, a: str, b: str, body: str) -> DataFrame:
+    """Adds the agreement of two volumes of a row inside a body mask (nonzero) where either is positive: n_voxels, pearson, ncc
+    (denominator + 1e-8), normalized mae (each divided by the 99th percentile of its positive voxels) and the ratio of means. Nulls where nothing is compared."""
+
+    def measure(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple:
+        inside = (m != 0) & ((x > 0) | (y > 0))
+        if not inside.any() or not (x > 0).any() or not (y > 0).any():
+            return int(inside.sum()), None, None, None, None
+        p, q = x[inside], y[inside]
+        dp, dq = p - p.mean(), q - q.mean()
+        spread = float(np.sqrt((dp * dp).sum() * (dq * dq).sum()))
+        top = [float(np.percentile(v[v > 0], 99)) for v in (x, y)]
+        return len(p), float((dp * dq).sum() / spread) if spread else None, float((dp * dq).sum() / (spread + 1e-8)), float(np.abs(p / top[0] - q / top[1]).mean()), float(p.mean() / q.mean()) if q.mean() else None
+
+    found = of_volume("struct<n_voxels: long, pearson: double, ncc: double, mae: double, ratio: double>", measure, a, b, body, "dims")
+    return pairs.withColumn("_c", found).select(*pairs.columns, "_c.*")
+
+
+def ssim(pairs: DataFrame, a: str, b: str, size: int = 11) -> Column:
+    """Structural similarity of two volumes of a row, slice by slice of z."""
+    return of_volume("double", lambda x, y: kernels.ssim(x, y, size), a, b, "dims")
+
+
+def voxel_features(pairs: DataFrame, ct: str, spect: str) -> DataFrame:
+    """Adds five flat arrays per image: standardized activity and CT, their 3 x 3 x 3 means, and the standardized distance to
+    the voxels above the 95th percentile of activity (100 everywhere where there are none)."""
+    plain = lambda v: (v - v.mean()) / (v.std() + 1e-6)
+
+    def features(c: np.ndarray, s: np.ndarray) -> tuple:
+        c, t = plain(c), plain(s)
+        return tuple(v.reshape(-1) for v in (t, c, kernels.box_mean(t), kernels.box_mean(c), plain(kernels.distance_to(s > np.percentile(s, 95)))))
+
+    names = ("spect", "ct", "spect_mean", "ct_mean", "to_peak")
+    found = of_volume(f"struct<{', '.join(f'f_{n}: array<double>' for n in names)}>", features, ct, spect, "dims")
+    return pairs.withColumn("_f", found).select(*pairs.columns, "_f.*")
+
+
+def safe_dose(energy: Column, rho: Column, volume: Column | float) -> Column:
+    """energy / (density * volume), 0 in air (density up to 0.05)."""
+    return F.when(rho <= 0.05, 0.0).otherwise(energy / (rho * volume))
+
+
+def without_contrast(hu: Column) -> Column:
+    """The CT number; above 300 (iodine) an error."""
+    return F.when(hu > 300, F.raise_error(F.lit("CT numbers above 300: contrast agent would falsify the dose")).cast("double")).otherwise(hu)
+
+
+def calibrated(value: Column, units: Column, factor: float) -> Column:
+    """Counts times the calibration factor; Bq/ml are calibrated already."""
+    return F.when(units == "BQML", value).otherwise(value * factor)
+
+
+def in_body(voxels: str, mask: str) -> Column:
+    """Voxels times mask."""
+    return F.zip_with(voxels, mask, lambda v, m: v * m)
+
+
+def unit_range(voxels: str) -> Column:
+    """Voxels divided by the largest absolute value; all zeros stay."""
+    return let(F.array_max(F.transform(voxels, F.abs)), lambda top: F.transform(voxels, lambda v: F.when(top > 0, v / top).otherwise(v)))
+
+
+def unit_ct(voxels: str) -> Column:
+    """CT numbers clipped to [-1000, 2000], shifted to begin at 0 and divided by the largest."""
+    clipped = F.transform(voxels, lambda v: F.greatest(F.lit(-1000.0), F.least(F.lit(2000.0), v.cast("double"))))
+    shifted = let(clipped, lambda c: let(F.array_min(c), lambda low: F.transform(c, lambda v: v - low)))
+    return let(shifted, lambda c: let(F.array_max(c), lambda top: F.transform(c, lambda v: F.when(top > 0, v / top).otherwise(v))))
+
+
+def prepared(spect: DataFrame, ct: DataFrame, dose: DataFrame, size: Sequence[int], key: str = "image_id") -> DataFrame:
+    """Activity resampled to a grid of about `size`, CT and dose brought onto it, all cut or padded to exactly `size` at the
+    first corner and scaled to [0, 1]: key, dims, spect, ct, dose."""
+    spacing = F.array(*[F.col("dims")[i] * F.col("spacing")[i] / float(n) for i, n in enumerate(size)])
+    fine = spatial.resample_to_spacing(spect, spacing)
+    whole = lambda df: spatial.crop_corner(df, size)
+    out = whole(fine).select(key, "dims", unit_range("voxels").alias("spect"))
+    for name, moving, scaled in (("ct", ct, unit_ct), ("dose", dose, unit_range)):
+        out = out.join(whole(spatial.onto(fine, moving, key)).select(key, scaled("voxels").alias(name)), key)
+    return out
+
+
+def dataset(target: DataFrame, ct: DataFrame, spect: DataFrame, approximate: DataFrame, key: str = "image_id") -> DataFrame:
+    """CT (air, -1000, outside), activity and approximate dose (0 outside) on the grid of a target dose: key, dims, target, ct, spect, approximate."""
+    out = target.select(key, "dims", F.col("voxels").alias("target"))
+    for name, moving, fill in (("ct", ct, -1000.0), ("spect", spect, 0.0), ("approximate", approximate, 0.0)):
+        out = out.join(spatial.onto(target, moving, key, fill=F.lit(fill)).select(key, F.col("voxels").alias(name)), key)
+    return out

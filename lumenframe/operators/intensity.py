@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import kernels
-from lumenframe.operators.volumes import let, mean, sample_std, voxel_rows
+from lumenframe.operators.volumes import let, mean, sample_std
 
 
 def z_score(images: DataFrame, mask: str | None = None, eps: float = 1e-8) -> DataFrame:
@@ -46,10 +46,16 @@ def histogram_match(source: Column, target: Column) -> Column:
 
 def nyul_landmarks(images: DataFrame) -> DataFrame:
     """(image_id, marks): percentiles 1 to 99 of each image's positive voxels, or of all if it has none."""
-    rows = voxel_rows(images)
-    marks = [i / 100 for i in range(1, 100)]
-    positive = F.percentile(F.when(F.col("value") > 0, F.col("value")), F.array(*map(F.lit, marks)))
-    return rows.groupBy("image_id").agg(F.coalesce(positive, F.percentile("value", F.array(*map(F.lit, marks)))).alias("marks"))
+
+    @F.pandas_udf("array<double>")
+    def marks(v: pd.Series) -> pd.Series:
+        out = []
+        for x in v:
+            x = np.asarray(x, float)
+            out.append(np.percentile(x[x > 0] if (x > 0).any() else x, range(1, 100)) if len(x) else None)
+        return pd.Series(out, dtype=object)
+
+    return images.select("image_id", marks("voxels").alias("marks"))
 
 
 def nyul_standard(landmarks: DataFrame) -> DataFrame:

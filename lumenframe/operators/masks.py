@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.operators.volumes import voxel_rows
+from lumenframe.functions import kernels
 
 
 def nonzero(value: str | Column) -> Column:
@@ -15,18 +17,45 @@ def nonzero(value: str | Column) -> Column:
     return (F.col(value) if isinstance(value, str) else value) != 0
 
 
-def barycenter(voxels: DataFrame) -> DataFrame:
-    """Per image the mean position weighted by the mask's values; (0, 0, 0) if they sum to zero."""
-    weight = F.sum("value")
-    at = {f"c{a}": F.when(weight != 0, F.sum(F.col("value") * F.col(a)) / weight).otherwise(0.0) for a in "xyz"}
-    return voxels.groupBy("image_id").agg(*(c.alias(k) for k, c in at.items()))
+def of_volume(schema: str, measure: Callable[[np.ndarray], object], *columns: str | Column) -> Column:
+    """measure(volumes) per row, volumes being (z, y, x) arrays in double precision of the flat columns; null where one is null.
 
+    The last column is the shape. measure returns a number, a flat array or, for a struct, its values in order.
+    """
+
+    def each(series: tuple[pd.Series, ...]) -> list:
+        out = []
+        for *flat, dims in zip(*series, strict=True):
+            there = dims is not None and all(x is not None for x in flat)
+            out.append(measure(*(np.asarray(x, float).reshape([int(k) for k in reversed(dims)]) for x in flat)) if there else None)
+        return out
+
+    if schema.startswith("struct"):
+        names = [part.split(":")[0].strip() for part in schema[7:-1].split(",")]
+
+        @F.pandas_udf(schema)
+        def measured(*series: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([[None] * len(names) if x is None else list(x) for x in each(series)], columns=names)
+
+    else:
+
+        @F.pandas_udf(schema)
+        def measured(*series: pd.Series) -> pd.Series:
+            return pd.Series(each(series), dtype=object)
 
-def max_radius(voxels: DataFrame, centres: DataFrame) -> DataFrame:
-    """Per image the largest distance of a positive voxel from the image's centre (cx, cy, cz); 0 for an empty mask."""
-    d2 = sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in "xyz"), F.lit(0.0))
-    far = F.sqrt(F.coalesce(F.max(F.when(F.col("value") > 0, d2)), F.lit(0.0)))
-    return voxels.join(centres, "image_id").groupBy("image_id").agg(far.alias("radius"))
+    return measured(*columns)
+
+
+def map_voxels(images: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Any function of whole volumes, (z, y, x) arrays, that keeps their shape: the library's door for a user's own operators."""
+    return images.withColumn("voxels", of_volume("array<double>", lambda v: np.asarray(change(v), float).reshape(-1), "voxels", "dims"))
+
+
+def barycenter(images: DataFrame, *by: str) -> DataFrame:
+    """Per image (and channel, or whatever else `by` names) the mean position from 1, weighted by the mask's values, and the largest
+    distance of a positive voxel from it: image_id, cx, cy, cz, radius. (0, 0, 0) if the values sum to zero; 0 for an empty mask."""
+    found = of_volume("struct<cx: double, cy: double, cz: double, radius: double>", kernels.moments, "voxels", "dims")
+    return images.select("image_id", *by, found.alias("_m")).select("image_id", *by, "_m.*")
 
 
 def mask_points(images: DataFrame, most: int) -> DataFrame:
@@ -73,28 +102,58 @@ def masked_stats(pairs: DataFrame, voxels: str, mask: str, factor: Column, stric
     return rows.withColumns({"n_voxels": n, "total": F.when(n == 0, 0.0).otherwise(total), "mean": F.when(n == 0, 0.0).otherwise(total / n)}).drop("_picked")
 
 
-def projection(voxels: DataFrame, along: str = "y") -> DataFrame:
-    """Maximum-intensity projection along an axis, divided by its 99.5th percentile and clamped to [0, 1]."""
-    keep = [a for a in "xyz" if a != along]
-    mip = voxels.groupBy("image_id", *keep).agg(F.max("value").alias("v"))
-    top = mip.groupBy("image_id").agg(F.percentile("v", 0.995).alias("top"))
-    return mip.join(top, "image_id").select("image_id", *keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / F.greatest(F.col("top"), F.lit(1e-12)))).alias("value"))
+def projection(images: DataFrame, along: int = 2) -> DataFrame:
+    """Maximum-intensity projection along axis 1, 2 or 3, divided by its 99.5th percentile and clamped to [0, 1]; that axis keeps one voxel."""
+
+    def mip(volume: np.ndarray) -> np.ndarray:
+        flat = volume.max(3 - along)
+        return np.clip(flat / max(float(np.percentile(flat, 99.5)), 1e-12), 0, 1).reshape(-1)
 
+    dims = F.transform("dims", lambda n, i: F.when(i == along - 1, 1).otherwise(n).cast("int"))
+    return images.withColumns({"voxels": of_volume("array<double>", mip, "voxels", "dims"), "dims": dims})
 
-def busiest_slice(voxels: DataFrame, depth: int, low: float = 0.15, high: float = 0.85) -> DataFrame:
-    """The slice z with the largest positive sum between low * depth and high * depth; the first of equals."""
-    inside = voxels.where((F.col("z") > F.floor(F.lit(low * depth))) & (F.col("z") <= F.ceil(F.lit(high * depth))))
-    sums = inside.groupBy("image_id", "z").agg(F.sum(F.when(F.col("value") > 0, F.col("value")).otherwise(0.0)).alias("activity"))
-    best = F.max(F.struct(F.round("activity", 9).alias("a"), (-F.col("z")).alias("z"))).alias("best")
-    return sums.groupBy("image_id").agg(best).select("image_id", (-F.col("best.z")).alias("z"), F.col("best.a").alias("activity"))
 
+def busiest_slice(images: DataFrame, low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """Adds z and activity: the slice with the largest positive sum among those from floor(low * depth) to floor(high * depth)
+    (counted from 0; z counts from 1); the first of equals, to nine digits."""
 
-def gradient_magnitude(voxels: DataFrame, dims: Sequence[int], eps: float = 1e-8) -> DataFrame:
+    def busiest(volume: np.ndarray) -> tuple[int, float]:
+        sums = np.maximum(volume, 0).sum((1, 2)).round(9)
+        a, b = int(low * len(sums)), int(high * len(sums))
+        z = a + int(sums[a : b + 1].argmax())
+        return z + 1, float(sums[z])
+
+    found = of_volume("struct<z: int, activity: double>", busiest, "voxels", "dims")
+    return images.withColumn("_b", found).withColumns({"z": F.col("_b.z"), "activity": F.col("_b.activity")}).drop("_b")
+
+
+def gradient_magnitude(images: DataFrame, eps: float = 1e-8) -> DataFrame:
     """sqrt(gx^2 + gy^2 + gz^2 + eps), central differences inside, 0 on the border of each axis."""
-    out, squares = voxels, F.lit(0.0)
-    for a, n in zip("xyz", dims, strict=True):
-        w = Window.partitionBy("image_id", *[b for b in "xyz" if b != a]).orderBy(a)
-        g = F.when((F.col(a) > 1) & (F.col(a) < n), (F.lead("value").over(w) - F.lag("value").over(w)) / 2).otherwise(0.0)
-        out = out.withColumn(f"_g{a}", g)
-        squares = squares + F.col(f"_g{a}") * F.col(f"_g{a}")
-    return out.withColumn("gradient", F.sqrt(squares + eps)).drop("_gx", "_gy", "_gz")
+    return map_voxels(images, lambda v: kernels.gradient_magnitude(v, eps))
+
+
+def one_sided_gradient(images: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """The same with one-sided differences where an axis ends."""
+    return map_voxels(images, lambda v: np.sqrt(sum(np.gradient(v, axis=k) ** 2 if v.shape[k] > 1 else 0 * v for k in range(3)) + eps))
+
+
+def endpoints(images: DataFrame, above: float = 0.1) -> DataFrame:
+    """image_id and both ends (x1, y1, z1, x2, y2, z2, from 0) of the voxels above a threshold along their principal axis."""
+    names = [f"{a}{k}" for k in (1, 2) for a in "xyz"]
+    found = of_volume(f"struct<{', '.join(f'{n}: double' for n in names)}>", lambda v: kernels.endpoints(v, above), "voxels", "dims")
+    return images.select("image_id", found.alias("_e")).select("image_id", "_e.*")
+
+
+def split_channels(images: DataFrame) -> DataFrame:
+    """One row per channel (from 1) of images whose voxels hold several volumes one after another; `channels` columns are dropped."""
+    n = F.col("dims")[0] * F.col("dims")[1] * F.col("dims")[2]
+    rows = images.withColumn("channel", F.explode(F.sequence(F.lit(1), F.floor(F.size("voxels") / n).cast("int"))))
+    return rows.withColumn("voxels", F.slice("voxels", (F.col("channel") - 1) * n + 1, n)).drop("channels")
+
+
+def join_channels(rows: DataFrame, key: str = "image_id") -> DataFrame:
+    """The inverse: an image's channels one after another again. An image's channels meet in one task, as its row is whole there."""
+    others = [c for c in rows.columns if c not in (key, "channel", "voxels")]
+    held = F.array_sort(F.collect_list(F.struct("channel", "voxels")))
+    joined = rows.groupBy(key).agg(held.alias("_c"), *(F.min_by(c, "channel").alias(c) for c in others))
+    return joined.withColumns({"channels": F.size("_c"), "voxels": F.flatten(F.transform("_c", lambda c: c["voxels"]))}).drop("_c")

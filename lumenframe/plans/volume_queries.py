@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ def grid(nx: int, ny: int, nz: int, name: str = "grid") -> str:
 
 
 def corner_fill(source: str = "vox", n: int = 4, name: str = "fills") -> str:
-    return f"""{name} as (select image_id, (list_sort(list(v))[4] + list_sort(list(v))[5]) / 2 as fill from {source}
+    return f"""{name} as materialized (select image_id, (list_sort(list(v))[4] + list_sort(list(v))[5]) / 2 as fill from {source}
         where x in (1, {n}) and y in (1, {n}) and z in (1, {n}) group by image_id)"""
 
 
@@ -64,11 +65,11 @@ def pulled(name: str, points: str, source: str = "vox", n: int = 4, mode: str =
         at = ", ".join(f"least(floor(p{a}) + d{a}, {n}) as q{a}" for a in "xyz")
         w = " * ".join(f"(case when d{a} = 1 then p{a} - floor(p{a}) else 1 - (p{a} - floor(p{a})) end)" for a in "xyz")
         near = f"select image_id, x, y, z, {at}, {w} as w from {name}_p, range(2) i(dx), range(2) j(dy), range(2) k(dz) where {inside}"
-    return f"""{name}_p as (select image_id, x, y, z, {p[0]} as px, {p[1]} as py, {p[2]} as pz from ({points})),
-        {name}_n as ({near}),
-        {name}_g as (select n.image_id, n.x, n.y, n.z, sum(n.w * s.v) as v from {name}_n n
-            join {source} s on s.image_id = n.image_id and s.x = n.qx and s.y = n.qy and s.z = n.qz group by all),
-        {name} as (select p.image_id, p.x, p.y, p.z, coalesce(g.v, f.fill) as v from {name}_p p
+    return f"""{name}_p as materialized (select image_id, x, y, z, {p[0]} as px, {p[1]} as py, {p[2]} as pz from ({points})),
+        {name}_n as materialized ({near}),
+        {name}_g as materialized (select n.image_id, n.x, n.y, n.z, sum(n.w * s.v) as v from {name}_n n
+            join {source} s on s.image_id = n.image_id and s.x = n.qx::bigint and s.y = n.qy::bigint and s.z = n.qz::bigint group by all),
+        {name} as materialized (select p.image_id, p.x, p.y, p.z, coalesce(g.v, f.fill) as v from {name}_p p
             left join {name}_g g using (image_id, x, y, z) left join {fills} f using (image_id))"""
 
 
@@ -196,15 +197,14 @@ def positive(spark, sf_dir):
 
 @register("barycenter", f"""with {VOX}, {POSITIVE} select image_id, {', '.join(f'round(sum(w * {a}) / sum(w), 6) + 0.0 as c{a}' for a in 'xyz')} from pos group by image_id""")
 def barycenter(spark, sf_dir):
-    c = masks.barycenter(volumes.voxel_rows(positive(spark, sf_dir)))
+    c = masks.barycenter(positive(spark, sf_dir))
     return c.select("image_id", *(tidy(F.col(f"c{a}")).alias(f"c{a}") for a in "xyz"))
 
 
 @register("max_radius", f"""with {VOX}, {POSITIVE}, c as (select image_id, sum(w * x) / sum(w) as cx, sum(w * y) / sum(w) as cy, sum(w * z) / sum(w) as cz from pos group by image_id)
     select image_id, round(sqrt(max(case when w > 0 then (x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2 end)), 6) + 0.0 as radius from pos join c using (image_id) group by image_id""")
 def max_radius(spark, sf_dir):
-    v = volumes.voxel_rows(positive(spark, sf_dir))
-    return masks.max_radius(v, masks.barycenter(v)).select("image_id", tidy(F.col("radius")).alias("radius"))
+    return masks.barycenter(positive(spark, sf_dir)).select("image_id", tidy(F.col("radius")).alias("radius"))
 
 
 @register("mask_points", f"""with {VOX}, h as (select image_id, x, y, z, row_number() over (partition by image_id order by f) as r, count(*) over (partition by image_id) as n from vox where v > 0),
@@ -222,20 +222,27 @@ def region_volume(spark, sf_dir):
 @register("mip", f"""with {VOX}, m as (select image_id, x, z, max(v) as v from vox group by all), t as (select image_id, quantile_cont(v, 0.995) as top from m group by image_id)
     select image_id, x::int as x, z::int as z, round(greatest(0, least(1, v / greatest(top, 1e-12))), 6) + 0.0 as value from m join t using (image_id)""")
 def mip(spark, sf_dir):
-    return masks.projection(volumes.voxel_rows(images(spark, sf_dir))).select("image_id", "x", "z", tidy(F.col("value")).alias("value"))
+    return rows(masks.projection(images(spark, sf_dir))).select("image_id", "x", "z", "value")
 
 
-@register("best_slice", f"""with {VOX}, s as (select image_id, z, round(sum(case when v > 0 then v else 0 end), 9) as a from vox where z > 0 and z <= 4 group by all)
+DEEP = "deep as (select image_id, f % 2 + 1 as x, f // 2 % 2 + 1 as y, f // 4 + 1 as z, v from vox)"
+
+
+def deep(spark, sf_dir):
+    """The same vectors as volumes of 16 slices of 2 x 2."""
+    return volumes.images_from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), (2, 2, 16))
+
+
+@register("best_slice", f"""with {VOX}, {DEEP}, s as (select image_id, z, round(sum(case when v > 0 then v else 0 end), 9) as a from deep where z - 1 between 2 and 13 group by all)
     select image_id, z::int as z, round(a, 6) + 0.0 as activity from s qualify row_number() over (partition by image_id order by a desc, z) = 1""")
 def best_slice(spark, sf_dir):
-    return masks.busiest_slice(volumes.voxel_rows(images(spark, sf_dir)), 4).select("image_id", "z", tidy(F.col("activity")).alias("activity"))
+    return masks.busiest_slice(deep(spark, sf_dir)).select("image_id", "z", tidy(F.col("activity")).alias("activity"))
 
 
 @register("grad_mag", f"""with {VOX}, g as (select *, {', '.join(f'''case when {a} in (2, 3) then (lead(v) over (partition by image_id, {', '.join(b for b in 'xyz' if b != a)} order by {a})
     - lag(v) over (partition by image_id, {', '.join(b for b in 'xyz' if b != a)} order by {a})) / 2 else 0 end as g{a}''' for a in 'xyz')} from vox) {out('g', 'sqrt(gx * gx + gy * gy + gz * gz + 1e-8)')}""")
 def grad_mag(spark, sf_dir):
-    g = masks.gradient_magnitude(volumes.voxel_rows(images(spark, sf_dir)), D)
-    return g.select("image_id", "x", "y", "z", tidy(F.col("gradient")).alias("value"))
+    return rows(masks.gradient_magnitude(images(spark, sf_dir)))
 
 
 # ---- spatial ---------------------------------------------------------------------------------------------------
@@ -248,14 +255,14 @@ def crop(spark, sf_dir):
 @register("pad", f"""with {VOX}, {IDS}, {grid(7, 6, 5)} select i.image_id, g.x::int as x, g.y::int as y, g.z::int as z, round(coalesce(v, -1.5), 6) + 0.0 as value, -1.0::double as ox
     from ids i cross join grid g left join vox v on v.image_id = i.image_id and v.x = g.x - 1 and v.y = g.y - 2 and v.z = g.z""")
 def pad(spark, sf_dir):
-    df = spatial.pad(images(spark, sf_dir), (1, 2, 0), (2, 0, 1), D, -1.5).withColumn("ox", F.col("origin")[0])
+    df = spatial.pad(images(spark, sf_dir), (1, 2, 0), (2, 0, 1), -1.5).withColumn("ox", F.col("origin")[0])
     return rows(df, "ox").select("image_id", "x", "y", "z", "value", "ox")
 
 
 @register("pad_or_crop", f"""with {VOX}, {IDS}, {grid(7, 1, 4)} select i.image_id, g.x::int as x, g.y::int as y, g.z::int as z, round(coalesce(v, 0), 6) + 0.0 as value, -1.0::double as ox, 2.0::double as oy
     from ids i cross join grid g left join vox v on v.image_id = i.image_id and v.x = g.x - 1 and v.y = g.y + 2 and v.z = g.z""")
 def pad_or_crop(spark, sf_dir):
-    df = spatial.pad_or_crop(images(spark, sf_dir), D, (7, 1, 4)).withColumns({"ox": F.col("origin")[0], "oy": F.col("origin")[1]})
+    df = spatial.pad_or_crop(images(spark, sf_dir), (7, 1, 4)).withColumns({"ox": F.col("origin")[0], "oy": F.col("origin")[1]})
     return rows(df, "ox", "oy").select("image_id", "x", "y", "z", "value", "ox", "oy")
 
 
@@ -270,20 +277,54 @@ def translate(spark, sf_dir):
         round(v, 6) + 0.0 as value, fx * 3.0::double as ox from vox, t""")
 def reorient_all(spark, sf_dir):
     df = images(spark, sf_dir)
-    parts = [spatial.reorient(df, "LPS", c, D).withColumn("code", F.lit(c)).withColumn("ox", F.col("origin")[0]) for c in geometry.CODES]
+    parts = [spatial.reorient(df, c).withColumn("code", F.lit(c)).withColumn("ox", F.col("origin")[0]) for c in geometry.CODES]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.union(p)
     return rows(whole, "code", "ox").select("image_id", "code", "x", "y", "z", "value", "ox")
 
 
-@register("perm_search", "select vec_id as image_id, case vec_id % 3 when 0 then '000' when 1 then '100' else '011' end as reversed from embeddings")
+@register("perm_search", "select vec_id as image_id, case when vec_id % 4 = 3 then '120' else '012' end as permuted, case vec_id % 4 when 0 then '000' when 1 then '100' when 2 then '011' else '000' end as reversed from embeddings")
 def perm_search(spark, sf_dir):
+    """Reversed axes, and for every fourth image axes that follow each other: x, y and z of `b` are y, z and x of `a`."""
     df = images(spark, sf_dir)
-    one = lambda code, k: spatial.reorient(df, "LPS", code, D).where(F.col("image_id") % 3 == k)
-    turned = one("LPS", 0).union(one("RPS", 1)).union(one("LAI", 2)).select("image_id", F.col("voxels").alias("b"))
+    one = lambda code, k: spatial.reorient(df, code).where(F.col("image_id") % 4 == k)
+    turn = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda f: F.get("voxels", F.floor(f / 16).cast("int") + 4 * (f % 4) + 16 * (F.floor(f / 4) % 4).cast("int")))
+    permuted = df.where(F.col("image_id") % 4 == 3).withColumn("voxels", turn)
+    parts = [one("LPS", 0), one("RPS", 1), one("LAI", 2), permuted]
+    turned = functools.reduce(DataFrame.union, [p.select("image_id", F.col("voxels").alias("b")) for p in parts])
     pairs = df.select("image_id", F.col("voxels").alias("a")).join(turned, "image_id")
-    return spatial.match_axes(pairs, D).select("image_id", "reversed")
+    return spatial.match_axes(pairs, D).select("image_id", "permuted", "reversed")
+
+
+@register("orientation_pairs", f"""with {VOX}, t(code, fx, fy, fz) as (values ('RPI', 1, 0, 1), ('LPI', 0, 0, 1), ('RAI', 1, 1, 1), ('LAI', 0, 1, 1), ('RPS', 1, 0, 0), ('LPS', 0, 0, 0), ('RAS', 1, 1, 0), ('LAS', 0, 1, 0)),
+    p as (select a.code as source, b.code as target, (a.fx <> b.fx) as gx, (a.fy <> b.fy) as gy, (a.fz <> b.fz) as gz, b.fx as hx, b.fy as hy, b.fz as hz from t a, t b)
+    select image_id, source, target, hx * 3.0::double as ox, hy * 3.0::double as oy, hz * 3.0::double as oz, round(v, 6) + 0.0 as first from p join vox on x = case when hx = 1 then 4 else 1 end and y = case when hy = 1 then 4 else 1 end and z = case when hz = 1 then 4 else 1 end""")
+def orientation_pairs(spark, sf_dir):
+    """All 64 pairs of orientations: the origin and the first voxel after going from one to the other."""
+    df, parts = images(spark, sf_dir), []
+    for source in geometry.CODES:
+        there = spatial.reorient(df, source)
+        parts += [spatial.reorient(there, target).select("image_id", F.lit(source).alias("source"), F.lit(target).alias("target"), *(F.col("origin")[i].alias(f"o{a}") for i, a in enumerate("xyz")), tidy(F.col("voxels")[0].cast("double")).alias("first")) for target in geometry.CODES]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@register("spacing_search", """with s as (select vec_id as image_id, ['012', '021', '102', '120', '201', '210'][vec_id % 6 + 1] as permuted from embeddings) select image_id, permuted from s""")
+def spacing_search(spark, sf_dir):
+    """Spacings 1, 2 and 3 in another order for each image."""
+    orders = ["012", "021", "102", "120", "201", "210"]
+    target = F.array(*[volumes.doubles([1.0 + int(k) for k in o]) for o in orders])[(F.col("image_id") % 6).cast("int")]
+    df = images(spark, sf_dir).withColumns({"a": volumes.doubles((1, 2, 3)), "b": target})
+    return df.select("image_id", spatial.match_spacing("a", "b").alias("permuted"))
+
+
+@register("origin_search", """select vec_id as image_id, a::int as axis, (case when vec_id % 2 = 0 then 0 else a end)::int as spacing, (case when vec_id % 2 = 0 then 2 else 2 - a end)::int as size, a::int as origin, (vec_id % 2)::int as sign from embeddings, range(3) q(a)""")
+def origin_search(spark, sf_dir):
+    """Every second image's origin has moved to the other end of each axis."""
+    df = images(spark, sf_dir).withColumns({"o": volumes.doubles((100, 200, 300)), "s": volumes.doubles((1, 2, 4)), "d": volumes.ints((7, 5, 3))})
+    far = F.array(*[F.col("o")[i] + (F.col("image_id") % 2) * F.col("s")[i] * (F.col("d")[2 - i] - 1) for i in range(3)])
+    found = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), spatial.match_origin(a, "o", "d", "s", "far").alias("m")) for a in range(3)]))
+    return df.withColumn("far", far).select("image_id", found.alias("f")).select("image_id", "f.axis", "f.m.*")
 
 
 def spaced(n: int, ratio: float) -> str:
@@ -292,12 +333,12 @@ def spaced(n: int, ratio: float) -> str:
 
 @register("resample_spacing_linear", f"with {VOX}, {IDS}, {grid(6, 6, 6)}, {corner_fill()}, {pulled('r', spaced(6, 0.75))} {out('r', digits=5)}")
 def resample_spacing_linear(spark, sf_dir):
-    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, (1.0,) * 3, D, kind="double"), digits=5)
+    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, kind="double"), digits=5)
 
 
 @register("resample_spacing_nearest", f"with {VOX}, {IDS}, {grid(6, 6, 6)}, {corner_fill()}, {pulled('r', spaced(6, 0.75), mode='round_first')} {out('r', digits=5)}")
 def resample_spacing_nearest(spark, sf_dir):
-    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, (1.0,) * 3, D, "nearest", "double"), digits=5)
+    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, "nearest", "double"), digits=5)
 
 
 def with_offset(df: DataFrame) -> DataFrame:
@@ -335,7 +376,7 @@ def rotate_batched_angles(spark, sf_dir):
 @register("scale_half", f"""with {VOX}, {IDS}, {grid(2, 6, 4)}, {corner_fill()},
     {pulled('r', 'select image_id, x, y, z, (x - 1) / 0.5::double + 1 as px, (y - 1) / 1.5::double + 1 as py, z as pz from ids, grid')} {out('r', digits=5)}""")
 def scale_half(spark, sf_dir):
-    return rows(spatial.scale(images(spark, sf_dir), (0.5, 1.5, 1.0), D, kind="double"), digits=5)
+    return rows(spatial.scale(images(spark, sf_dir), (0.5, 1.5, 1.0), kind="double"), digits=5)
 
 
 CHAIN = geometry.compose(geometry.affine_matrix(scale=(1.25, 0.8, 1.0)), geometry.affine_matrix(rotate=(0, 0, 30)), geometry.affine_matrix(translation=(0.3, -0.2, 0.1)))
@@ -398,8 +439,7 @@ COS3 = [math.sin(math.pi * (i + 0.5) / 3) for i in range(3)]
     q as (select *, max(v) over (partition by image_id, px, py, pz) as top from p)
     select image_id, x::int as x, y::int as y, z::int as z, round(sum(w * case when top < 0.35 then v else v * top end) / (sum(w) + 1e-8), 5) + 0.0 as value from q group by image_id, x, y, z""")
 def patch_blend(spark, sf_dir):
-    v = volumes.voxel_rows(images(spark, sf_dir))
-    return dose.blend_patches(v, 4, 3, 1, F.col("value") * F.col("patch_max"), 0.35).select("image_id", "x", "y", "z", tidy(F.col("value"), 5).alias("value"))
+    return rows(dose.blend_patches(images(spark, sf_dir), 3, 1, lambda cube: cube * cube.max(), 0.35), digits=5)
 
 
 def stats_sql(img: str, mask: str, name: str) -> str:
@@ -420,8 +460,7 @@ def suv_consistency_pipeline(spark, sf_dir):
     df = as_double(images(spark, sf_dir))
     act = df.withColumn("voxels", F.transform("voxels", lambda v: F.abs(v) + 1))
     mask = df.withColumn("voxels", F.transform("voxels", lambda v: (v > 0).cast("int").cast("double")))
-    fine = ((0.75,) * 3, (1.0,) * 3, D)
-    moved = lambda d, a, b: spatial.translate(spatial.rotate(spatial.resample_to_spacing(d, *fine, mode=a, kind="double"), 3, 45, (0.75,) * 3, mode=b, kind="double"), 10, 1)
+    moved = lambda d, a, b: spatial.translate(spatial.rotate(spatial.resample_to_spacing(d, (0.75,) * 3, mode=a, kind="double"), 3, 45, mode=b, kind="double"), 10, 1)
 
     def stats(image: DataFrame, region: DataFrame, name: str) -> DataFrame:
         pairs = image.select("image_id", "origin", F.col("voxels").alias("v")).join(region.select("image_id", F.col("voxels").alias("m")), "image_id")
@@ -476,9 +515,15 @@ def masked_suv_pairs(spark, sf_dir):
 # ---- kernels without SQL ---------------------------------------------------------------------------------------
 @register("bspline_resample")
 def bspline_resample(spark, sf_dir):
-    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, (1.0,) * 3, D, "cubic", "double"))
+    return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, "cubic", "double"))
+
+
+KERNEL = """t as (select a - 3 as dx, b - 3 as dy, c - 3 as dz, sqrt(((a - 3) ** 2 + (b - 3) ** 2 + (c - 3) ** 2)::double) as r from range(7) i(a), range(7) j(b), range(7) l(c)),
+    k0 as (select *, exp(-(r * r) / 0.72::double) as near, exp(-0.01::double * r) / (4 * pi() * greatest(r, 0.5) ** 2) as far from t),
+    k1 as (select dx, dy, dz, near / sum(near) over () + far / sum(far) over () as w from k0), k as (select dx, dy, dz, w / sum(w) over () as w from k1)"""
 
 
-@register("dpk_convolve")
+@register("dpk_convolve", f"""with {VOX}, {POSITIVE}, {KERNEL} select p.image_id, (p.x + dx)::int as x, (p.y + dy)::int as y, (p.z + dz)::int as z, round(sum(p.w * k.w), 6) + 0.0 as value
+    from pos p, k where p.x + dx between 1 and 4 and p.y + dy between 1 and 4 and p.z + dz between 1 and 4 group by all""")
 def dpk_convolve(spark, sf_dir):
     return rows(dose.point_kernel_dose(positive(spark, sf_dir)))
