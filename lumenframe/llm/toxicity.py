@@ -17,7 +17,7 @@ MARKS, PIECE = b".,;:!?*%$&#@\"'()[]{}<>|/\\-_+=~`^", 16
 #: Tokens in a window; windows overlap by half.
 WINDOW = 32
 STRIDE = WINDOW // 2
-CHARS, WORDS, CLUES, CHAR_HIDDEN, HIDDEN, KEYS = 8, 4, 2, 8, 8, 8
+CHARS, WORDS, CHAR_HIDDEN, HIDDEN, KEYS = 8, 8, 8, 12, 8
 
 
 def raw_words(text: str | None) -> list[bytes]:
@@ -68,39 +68,22 @@ def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class Clues:
-    """How much likelier a word, or its first bytes, is in toxic training documents than in clean ones (log ratio)."""
-
-    def __init__(self, docs: Sequence[Sequence[bytes]], labels: np.ndarray) -> None:
-        self.counts: dict[bytes, list[int]] = {}
-        for d, y in zip(docs, labels.tolist(), strict=True):
-            for c in {x for w in set(d) for x in (w, w[:4] + b"\0", w[:5] + b"\0")}:
-                self.counts.setdefault(c, [0, 0])[y] += 1
-        self.n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-        self.counts = {c: k for c, k in self.counts.items() if sum(k) > 1}
-
-    def ratio(self, clue: bytes, without: int | None) -> float:
-        """The ratio, with one document of the label `without` left out: a training document is no clue to itself."""
-        found = self.counts.get(clue)
-        if found is None:
-            return 0.0
-        clean, toxic = found
-        if without is not None:
-            clean, toxic = clean - (without == 0), toxic - (without == 1)
-        n0, n1 = self.n
-        return math.log((toxic / n1 + 1 / (n0 + n1)) / (clean / n0 + 1 / (n0 + n1)))
-
-    def of(self, word: bytes, without: int | None = None) -> tuple[float, float]:
-        return self.ratio(word, without), max(self.ratio(word[:4] + b"\0", without), self.ratio(word[:5] + b"\0", without))
-
-    def table(self, words: Sequence[bytes]) -> np.ndarray:
-        """The clues of many words, for scoring."""
-        if not hasattr(self, "known"):
-            self.known = {c: self.ratio(c, None) for c in self.counts}
-        get = self.known.get
-        rows = [(get(w, 0.0), get(w[:4] + b"\0", 0.0), get(w[:5] + b"\0", 0.0)) for w in words]
-        x = np.array(rows, np.float32).reshape(-1, 3)
-        return np.stack([x[:, 0], x[:, 1:].max(1)], 1)
+def first_windows(cuts: Sequence[Sequence[Sequence[bytes]]], labels: np.ndarray) -> list[int]:
+    """The window that each training document teaches with at first: the one whose words are the most telling of toxic documents.
+
+    Words go by the log ratio of toxic to clean documents that hold them, without the document itself. Scores never see these ratios.
+    """
+    held: dict[bytes, list[int]] = {}
+    for c, y in zip(cuts, labels.tolist(), strict=True):
+        for w in {w for x in c for w in x}:
+            held.setdefault(w, [0, 0])[y] += 1
+    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
+
+    def ratio(w: bytes, y: int) -> float:
+        clean, toxic = (k - (y == i) for i, k in enumerate(held[w]))
+        return math.log((toxic / n[1] + 1 / sum(n)) / (clean / n[0] + 1 / sum(n)))
+
+    return [int(np.argmax([max((ratio(w, y) for w in x), default=0.0) for x in c])) for c, y in zip(cuts, labels.tolist(), strict=True)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -148,14 +131,13 @@ class Gru:
 
 
 class Network:
-    """Characters -> bidirectional GRU -> word vector; with a word's embedding and clues -> bidirectional GRU -> attention."""
+    """Characters -> bidirectional GRU -> word vector; with a word's embedding -> bidirectional GRU -> attention."""
 
-    def __init__(self, vocabulary: Sequence[bytes], clues: Clues, seed: int = 5) -> None:
-        self.clues = clues
+    def __init__(self, vocabulary: Sequence[bytes], seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[0])).astype(np.float32)
         self.index = {w: i + 1 for i, w in enumerate(vocabulary)}
-        word = 2 * CHAR_HIDDEN + WORDS + CLUES
+        word = 2 * CHAR_HIDDEN + WORDS
         self.p = {
             "chars": (0.5 * rng.standard_normal((257, CHARS))).astype(np.float32),
             "words": (0.1 * rng.standard_normal((len(vocabulary) + 1, WORDS))).astype(np.float32),
@@ -174,7 +156,7 @@ class Network:
         mask = (np.arange(steps) < np.fromiter(map(len, words), np.int64, len(words))[:, None]).astype(np.float32)
         return np.where(mask > 0, padded, 256), mask
 
-    def word_vectors(self, words: Sequence[bytes], keep: bool = False, without: Sequence[int] | None = None) -> tuple[np.ndarray, tuple]:
+    def word_vectors(self, words: Sequence[bytes], keep: bool = False) -> tuple[np.ndarray, tuple]:
         p, (codes, mask) = self.p, self.spell(words)
         table = p["chars"] @ p["cw"] + p["cb"]
         a = table[codes]
@@ -182,8 +164,7 @@ class Network:
         f, mf = Gru.run(a[:, :, :half], p["cuf"], mask, False, keep)
         b, mb = Gru.run(a[:, :, half:], p["cub"], mask, True, keep)
         ids = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
-        clues = self.clues.table(words) if without is None else np.array([self.clues.of(w, y) for w, y in zip(words, without, strict=True)], np.float32)
-        return np.hstack([f[:, -1], b[:, 0], p["words"][ids], clues]), (codes, mask, mf, mb, ids, f.shape[1])
+        return np.hstack([f[:, -1], b[:, 0], p["words"][ids]]), (codes, mask, mf, mb, ids, f.shape[1])
 
     def inputs(self, words: Sequence[bytes], block: int = 8192) -> np.ndarray:
         """Gate inputs of the word level for each word; words go by length, so short ones take few steps."""
@@ -210,13 +191,12 @@ class Network:
     def learn(self, windows: list[list[bytes]], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients for a batch of windows."""
         p = self.p
-        pairs = sorted({(w, int(y)) for x, y in zip(windows, labels, strict=True) for w in x}) or [(b"", 0)]
-        at = {w: i for i, w in enumerate(pairs)}
-        words = [w for w, _ in pairs]
+        words = sorted({w for x in windows for w in x}) or [b""]
+        at = {w: i for i, w in enumerate(words)}
         ids, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.float32)
         for i, x in enumerate(windows):
-            ids[i, : len(x)], mask[i, : len(x)] = [at[w, int(labels[i])] for w in x], 1
-        v, (codes, cmask, cmf, cmb, wid, steps) = self.word_vectors(words, True, [y for _, y in pairs])
+            ids[i, : len(x)], mask[i, : len(x)] = [at[w] for w in x], 1
+        v, (codes, cmask, cmf, cmb, wid, steps) = self.word_vectors(words, True)
         logit, (h, key, weight, pool, mf, mb) = self.pooled((v @ p["w"] + p["b"])[ids], mask, True)
         y = sigmoid(logit)
         loss = float(-(labels * np.log(y + 1e-7) + (1 - labels) * np.log(1 - y + 1e-7)).mean())
@@ -234,7 +214,7 @@ class Network:
         da = summed(np.concatenate([daf, dab], 2)[mask > 0], ids[mask > 0], len(words))
         g["w"], g["b"] = v.T @ da, da.sum(0)
         dv = da @ p["w"].T
-        g["words"] = summed(dv[:, 2 * CHAR_HIDDEN : 2 * CHAR_HIDDEN + WORDS], wid, len(p["words"]))
+        g["words"] = summed(dv[:, 2 * CHAR_HIDDEN :], wid, len(p["words"]))
         g["words"][0] = 0
         dcf, dcb = (np.zeros((len(words), steps, CHAR_HIDDEN), np.float32) for _ in range(2))
         dcf[:, -1], dcb[:, 0] = dv[:, :CHAR_HIDDEN], dv[:, CHAR_HIDDEN : 2 * CHAR_HIDDEN]
@@ -279,22 +259,21 @@ class Network:
 def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, rate: float = 0.01, seed: int = 5) -> Network:
     """Fit on labelled texts. A document is as toxic as its most toxic window, so learning goes by windows.
 
-    Toxic documents teach with their most telling window: by the clues of their words at first, then by the network
+    Toxic documents teach with their most telling window: by their words at first, then by the network
     itself. Clean ones teach with the window the network takes for the worst, and with one at random.
     """
     docs, y = [tokens(t) for t in texts], np.array(labels, np.int64)
     rng = np.random.default_rng(seed)
-    clues = Clues(docs, y)
     frequency: dict[bytes, int] = {}
     for d in docs:
         for w in set(d):
             frequency[w] = frequency.get(w, 0) + 1
-    net = Network(sorted(w for w, n in frequency.items() if n >= 5), clues, seed)
+    net = Network(sorted(w for w, n in frequency.items() if n >= 5), seed)
     cuts = [[d[s : s + WINDOW] for s in window_starts(len(d))] for d in docs]
-    worst = [int(np.argmax([max((sum(clues.of(w, t)) for w in x), default=0.0) for x in c])) for c, t in zip(cuts, y.tolist(), strict=True)]
+    worst = first_windows(cuts, y)
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
     for epoch in range(epochs if len(docs) else 0):
-        if epoch >= 2:
+        if epoch >= 2 and epoch % 2 == 0:
             at = 0
             while at < len(docs):
                 part = texts[at : at + 200]

@@ -5,10 +5,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,12 +117,14 @@ def sort_key(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
 
-def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """Merge sorted runs: each inner node keeps the loser of its match, and a new head replays one path to the top."""
-    k = len(runs)
-    at = [0] * k
+def loser_tree_merge(runs: Iterable[Iterable[tuple]]) -> Iterator[tuple]:
+    """Merge sorted runs of index rows, holding one row of each: each inner node keeps the loser of its match, and a new head
+    replays one path to the top."""
+    rest = [iter(r) for r in runs]
+    k = len(rest)
     over = (1,)  # above every (0, key)
-    head = [(0, *sort_key(r[0])) if r else over for r in runs]
+    rows: list[tuple | None] = [next(r, None) for r in rest]
+    head = [over if r is None else (0, *sort_key(r)) for r in rows]
     losers = [0] * max(k, 1)
 
     def build(node: int) -> int:
@@ -133,9 +139,9 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
         return
     top = build(1) if k > 1 else 0
     while head[top] != over:
-        yield runs[top][at[top]]
-        at[top] += 1
-        head[top] = (0, *sort_key(runs[top][at[top]])) if at[top] < len(runs[top]) else over
+        yield rows[top]
+        rows[top] = next(rest[top], None)
+        head[top] = over if rows[top] is None else (0, *sort_key(rows[top]))
         node = (top + k) // 2
         while node >= 1 and k > 1:
             if head[losers[node]] < head[top]:
@@ -143,6 +149,34 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+class Spool:
+    """The sorted runs of one task, spilled to an unnamed local file batch by batch and read back one batch of each at a time."""
+
+    def __init__(self) -> None:
+        self.file, self.places, self.schema = tempfile.TemporaryFile(), {}, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows come run after run."""
+        names = batch.column("run").dictionary_encode()
+        at = names.indices.to_numpy(zero_copy_only=False)
+        batch = batch.drop_columns(["run"])
+        self.schema = batch.schema
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            raw = batch.slice(a, b - a).serialize()
+            self.places.setdefault(names.dictionary[int(at[a])].as_py(), []).append((self.file.tell(), raw.size))
+            self.file.write(raw)
+
+    def run(self, places: list[tuple[int, int]]) -> Iterator[tuple]:
+        for start, size in places:
+            self.file.seek(start)
+            batch = pa.ipc.read_record_batch(pa.py_buffer(self.file.read(size)), self.schema)
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def merged(self) -> Iterator[tuple]:
+        return loser_tree_merge(self.run(p) for p in self.places.values())
+
+
 def index_runs(spark: SparkSession, path: str) -> DataFrame:
     """One locally sorted run of captures per archive file. Files are read whole; the writer bounds their size."""
 
@@ -162,28 +196,24 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
 def capture_history(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """All captures in the archives under path, ordered by URL key and time over the whole result.
 
-    The runs are dealt by ranges of (URL key, time, page_id), so even one URL's captures split; each task merges its
-    slices of all runs with a loser tree. Ranges are sized by Spark, and index rows are small.
+    The runs are dealt by ranges of (URL key, time, page_id), so even one URL's captures split. Each task spills its slices of the
+    runs to local disk as they come and merges them with a loser tree that holds one batch of each run. Ranges are
+    sized by Spark. Rows equal in all of URL, time and page_id come in the order of file and offset.
     """
     runs = cut(index_runs(spark, path), "runs")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(n, "urlkey", "captured", "page_id", "offset").sortWithinPartitions("run", "urlkey", "captured", "page_id", "offset")
-
-    def merge(batches: Iterable) -> Iterator:
-        import pandas as pd
+    # The order within a run is sort_key's: Spark orders text by bytes and Python by code points, which is the same, and nulls first.
+    dealt = runs.repartitionByRange(n, "urlkey", "captured", "page_id", "file", "offset").sortWithinPartitions("run", "urlkey", "captured", "page_id", "file", "offset")
 
-        runs: dict[str, list[tuple]] = {}
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spool = Spool()
         for batch in batches:
-            ids = lambda c: [None if pd.isna(x) else int(x) for x in c]
-            batch = batch.assign(page_id=pd.Series(ids(batch["page_id"]), dtype=object), refers_to=pd.Series(ids(batch["refers_to"]), dtype=object))
-            for *row, run in batch.itertuples(index=False, name=None):
-                runs.setdefault(run, []).append(tuple(row))
-        # Spark's order is by bytes and Python's by code points: the same; only rows equal in all of it could differ.
-        merged = list(loser_tree_merge([sorted(r, key=sort_key) for r in runs.values()]))
-        frame = pd.DataFrame(merged, columns=[c.split()[0] for c in INDEX.split(", ")])
-        yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return dealt.mapInPandas(merge, INDEX)
+            spool.add(batch)
+        rows = spool.merged()
+        while part := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), spool.schema, strict=True)], schema=spool.schema)
+
+    return dealt.mapInArrow(merge, INDEX)
 
 
 def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

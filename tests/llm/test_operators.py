@@ -117,9 +117,55 @@ def test_ascii_lower(spark):
     assert [r[0] for r in got] == ["az\u00c9 \u212a \u0130k", "plain", None]
 
 
+def fingerprint_order(rows):
+    tie = lambda t: int(np.array(fingerprint.xxhash.xxh64_intdigest((t or "").encode(), 42), np.uint64).astype(np.int64))
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+
+
+def likeness_of(a, b):
+    """Run by run in whole numbers: the cosine of signed sums of three-word runs."""
+
+    def lanes(text):
+        out, most = [0] * fingerprint.LIKE, 1 << 64
+        for line in text.split("\n"):
+            h = [fingerprint.xxhash.xxh3_64_intdigest(w) | 1 for w in line.encode().split()] + [0, 0]
+            for x, y, z in zip(h, h[1:-1], h[2:]):
+                v = (x + y * 0xD6E8FEB86659FD93 + z * 0xA0761D6478BD642F) % most
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    v = (v ^ v >> shift) * factor % most
+                out[v % fingerprint.LIKE] += 1 if v >> 63 else -1
+        return out
+
+    x, y = lanes(a), lanes(b)
+    norm = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return 1.0 if sorted(a.split("\n")) == sorted(b.split("\n")) else max(0.0, sum(v * w for v, w in zip(x, y)) / norm) if norm else 0.0
+
+
+def test_likeness_is_that_of_a_plain_count(docs):
+    ordered = fingerprint_order(rows_of())
+    got = collections.defaultdict(set)
+    for r in fingerprint.edited_fingerprints(docs, blocks=5).collect():
+        got[r["doc_id"], r["edited_sha256"]].add((r["near_edited"], r["near_next"]))
+    for r, nxt in zip(ordered, ordered[1:] + ordered[:1]):
+        t, u = r[1] or "", nxt[1] or ""
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        want = likeness_of(t, edited), likeness_of(t, u)
+        assert any(all(abs(x - y) < 2e-6 for x, y in zip(g, want)) for g in got[r[0], hashlib.sha256(edited.encode()).hexdigest()])
+
+
+def test_half_the_rows_without_an_id_are_split(spark):
+    rows = [(None if i % 2 else i, f"text number {i} " * 50) for i in range(400)]
+    found = fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), blocks=8)
+    ordered = fingerprint_order(rows)
+    want = collections.Counter(hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest() for (_, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1]))
+    assert collections.Counter(r["edited_sha256"] for r in found.collect()) == want
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 200
+
+
 def test_fingerprints(docs, none):
     got = fingerprint.edited_fingerprints(docs, blocks=4).collect()
-    ordered = sorted(rows_of(), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    ordered = fingerprint_order(rows_of())
     want = collections.Counter()
     for r, nxt in zip(ordered, ordered[1:] + ordered[:1]):
         t, u = r[1] or "", nxt[1] or ""
@@ -357,12 +403,13 @@ def lm_in_one_process(rows, burn_in=2, samples=2, theta=1.0):
         for (_, w), k in t.items():
             c[w] += k
         few = collections.Counter(c.values())
-        d0, before = language_model.discount_of(few[1], few[2]), sum(root.values()) or len(c)
+        d0 = language_model.discount_of(few[1], few[2])
         if sweep:
-            clipped = {w: min(root[w], c[w]) for w in c}
-            root = {w: moved(d0, c[w], clipped[w], theta + d0 * (before - clipped[w]), base, language_model.seat_key(sweep, hashed(w))) for w in c}
+            clipped, (d1, before) = {w: min(root[w], c[w]) for w in c}, last
+            root = {w: moved(d1, c[w], clipped[w], theta + d1 * (before - clipped[w]), base, language_model.seat_key(sweep, hashed(w))) for w in c}
         else:
-            root = {w: first(d0, c[w], theta + d0 * before, base) for w in c}
+            root = {w: first(d0, c[w], theta + d0 * len(c), base) for w in c}
+        last = d0, sum(root.values())
         unseen = (theta + d0 * sum(root.values())) / (theta + sum(c.values())) * base
         p = {w: (c[w] - d0 * root[w]) / (theta + sum(c.values())) + unseen for w in c}
         at = collections.Counter()
@@ -454,7 +501,7 @@ def test_toxicity_learns(spark, none):
 
 
 def test_network_gradients():
-    net = toxicity.Network([b"ab", b"c"], toxicity.Clues([[b"ab"], [b"c"]], np.array([0, 1])), 1)
+    net = toxicity.Network([b"ab", b"c"], 1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     windows, y = [[b"ab", b"c", b"xyz"], [b"c"], [b"q", b"ab"]], np.array([1.0, 0.0, 1.0])
     _, g = net.learn(windows, y)
