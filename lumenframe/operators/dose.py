@@ -171,21 +171,21 @@ def unit_ct(voxels: str) -> Column:
     return let(shifted, lambda c: let(F.array_max(c), lambda top: F.transform(c, lambda v: F.when(top > 0, v / top).otherwise(v))))
 
 
-def prepared(spect: DataFrame, ct: DataFrame, dose: DataFrame, size: Sequence[int], key: str = "image_id") -> DataFrame:
+def prepared(spect: DataFrame, ct: DataFrame, dose: DataFrame, size: Sequence[int], key: str = "image_id", kind: str = "float") -> DataFrame:
     """Activity resampled to a grid of about `size`, CT and dose brought onto it, all cut or padded to exactly `size` at the
     first corner and scaled to [0, 1]: key, dims, spect, ct, dose."""
     spacing = F.array(*[F.col("dims")[i] * F.col("spacing")[i] / float(n) for i, n in enumerate(size)])
-    fine = spatial.resample_to_spacing(spect, spacing)
+    fine = spatial.resample_to_spacing(spect, spacing, kind=kind)
     whole = lambda df: spatial.crop_corner(df, size)
     out = whole(fine).select(key, "dims", unit_range("voxels").alias("spect"))
     for name, moving, scaled in (("ct", ct, unit_ct), ("dose", dose, unit_range)):
-        out = out.join(whole(spatial.onto(fine, moving, key)).select(key, scaled("voxels").alias(name)), key)
+        out = out.join(whole(spatial.onto(fine, moving, key, kind=kind)).select(key, scaled("voxels").alias(name)), key)
     return out
 
 
-def dataset(target: DataFrame, ct: DataFrame, spect: DataFrame, approximate: DataFrame, key: str = "image_id") -> DataFrame:
+def dataset(target: DataFrame, ct: DataFrame, spect: DataFrame, approximate: DataFrame, key: str = "image_id", kind: str = "float") -> DataFrame:
     """CT (air, -1000, outside), activity and approximate dose (0 outside) on the grid of a target dose: key, dims, target, ct, spect, approximate."""
     out = target.select(key, "dims", F.col("voxels").alias("target"))
     for name, moving, fill in (("ct", ct, -1000.0), ("spect", spect, 0.0), ("approximate", approximate, 0.0)):
-        out = out.join(spatial.onto(target, moving, key, fill=F.lit(fill)).select(key, F.col("voxels").alias(name)), key)
+        out = out.join(spatial.onto(target, moving, key, fill=F.lit(fill), kind=kind).select(key, F.col("voxels").alias(name)), key)
     return out

@@ -39,11 +39,11 @@ def axis_shift(voxels: Column, sign: int) -> Column:
 def boxed(images: DataFrame, begin: Column, size: Column, fill: Column | None = None, flip: Column | None = None, **others: Column) -> DataFrame:
     """The box of `size` voxels from `begin` (from 0) of every image, with `fill` where it sticks out, some axes reversed."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(dict(images.dtypes)["voxels"])
     def cut(v: pd.Series, d: pd.Series, b: pd.Series, s: pd.Series, f: pd.Series, r: pd.Series) -> pd.Series:
         out = []
         for x, dims, begin, size, fill, flip in zip(v, d, b, s, f, r, strict=True):
-            volume = None if x is None else np.asarray(x, np.float32).reshape([int(k) for k in reversed(dims)])
+            volume = None if x is None else np.asarray(x).reshape([int(k) for k in reversed(dims)])
             out.append(None if volume is None else kernels.boxed(volume, np.asarray(begin, int), np.asarray(size, int), np.asarray(flip, bool), fill).reshape(-1))
         return pd.Series(out, dtype=object)
 
@@ -93,17 +93,21 @@ def translate(images: DataFrame, voxels: int | Column, axis: int) -> DataFrame:
     return images.withColumn("origin", F.array(*[F.col("origin")[i] + (n * F.col("spacing")[i] if i == axis - 1 else 0.0) for i in range(3)]))
 
 
-def reorient(images: DataFrame, target: str) -> DataFrame:
-    """To an orientation code: axes whose letters differ are reversed and the origin moves to their other end.
+def reorient(images: DataFrame, target: str | Column) -> DataFrame:
+    """To an orientation code, or a column of codes: axes whose letters differ are reversed and the origin moves to their other end.
 
     The source is each row's own direction; one that isn't diagonal has no code and is an error.
     """
-    t, d = geometry.direction_signs(target), F.col("direction")
+    d = F.col("direction")
+    if isinstance(target, str):
+        t = [F.lit(sign) for sign in geometry.direction_signs(target)]
+    else:
+        t = [F.when(F.substring(target, i + 1, 1).isin(*"LPS"), 1).otherwise(-1) for i in range(3)]
     oblique = F.exists(F.transform(d, lambda x, i: F.abs(F.abs(x) - F.when(i % 4 == 0, 1.0).otherwise(0.0))), lambda x: x > 1e-6)
     sign = [F.when(oblique, F.raise_error(F.lit("an oblique direction has no orientation code")).cast("int")).otherwise(F.signum(d[4 * i]).cast("int")) for i in range(3)]
     flip = each_axis(lambda i: F.when(sign[i] != t[i], 1).otherwise(0))
     origin = each_axis(lambda i: F.col("origin")[i] + F.when(sign[i] != t[i], sign[i] * (F.col("dims")[i] - 1) * F.col("spacing")[i]).otherwise(0.0), "double")
-    return boxed(images, ints((0, 0, 0)), F.col("dims"), flip=flip, origin=origin, direction=doubles([t[0], 0, 0, 0, t[1], 0, 0, 0, t[2]]))
+    return boxed(images, ints((0, 0, 0)), F.col("dims"), flip=flip, origin=origin, direction=F.array(*[(t[i // 4] if i % 4 == 0 else F.lit(0)).cast("double") for i in range(9)]))
 
 
 def sampled(voxels: Column, dims: Column, matrix: Column, centre: Column, out_dims: Column, fill: Column, mode: str, kind: str = "float") -> Column:

@@ -277,10 +277,7 @@ def translate(spark, sf_dir):
         round(v, 6) + 0.0 as value, fx * 3.0::double as ox from vox, t""")
 def reorient_all(spark, sf_dir):
     df = images(spark, sf_dir)
-    parts = [spatial.reorient(df, c).withColumn("code", F.lit(c)).withColumn("ox", F.col("origin")[0]) for c in geometry.CODES]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
+    whole = spatial.reorient(df.select("*", F.explode(F.array(*map(F.lit, geometry.CODES))).alias("code")), F.col("code")).withColumn("ox", F.col("origin")[0])
     return rows(whole, "code", "ox").select("image_id", "code", "x", "y", "z", "value", "ox")
 
 
@@ -302,11 +299,10 @@ def perm_search(spark, sf_dir):
     select image_id, source, target, hx * 3.0::double as ox, hy * 3.0::double as oy, hz * 3.0::double as oz, round(v, 6) + 0.0 as first from p join vox on x = case when hx = 1 then 4 else 1 end and y = case when hy = 1 then 4 else 1 end and z = case when hz = 1 then 4 else 1 end""")
 def orientation_pairs(spark, sf_dir):
     """All 64 pairs of orientations: the origin and the first voxel after going from one to the other."""
-    df, parts = images(spark, sf_dir), []
-    for source in geometry.CODES:
-        there = spatial.reorient(df, source)
-        parts += [spatial.reorient(there, target).select("image_id", F.lit(source).alias("source"), F.lit(target).alias("target"), *(F.col("origin")[i].alias(f"o{a}") for i, a in enumerate("xyz")), tidy(F.col("voxels")[0].cast("double")).alias("first")) for target in geometry.CODES]
-    return functools.reduce(DataFrame.union, parts)
+    codes = lambda name: F.explode(F.array(*map(F.lit, geometry.CODES))).alias(name)
+    df = images(spark, sf_dir).select("*", codes("source")).select("*", codes("target"))
+    done = spatial.reorient(spatial.reorient(df, F.col("source")), F.col("target"))
+    return done.select("image_id", "source", "target", *(F.col("origin")[i].alias(f"o{a}") for i, a in enumerate("xyz")), tidy(F.col("voxels")[0].cast("double")).alias("first"))
 
 
 @register("spacing_search", """with s as (select vec_id as image_id, ['012', '021', '102', '120', '201', '210'][vec_id % 6 + 1] as permuted from embeddings) select image_id, permuted from s""")
