@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,14 +30,29 @@ def refine_modality(rows: DataFrame) -> DataFrame:
     return rows.withColumn("modality", F.coalesce(new, F.col("modality")))
 
 
-def drop_irrelevant(rows: DataFrame, project: str) -> DataFrame:
-    """Rows that any of ten clauses names go; a null matches no clause but those for what is missing."""
-    m = F.col("modality")
-    drop = m.isin("NM", "PT", "SR", "NM-SPECT") | says("description", "CRF") | says("description", "00001")
-    drop |= (m == "RTSTRUCT") & ~says("description", "Reviewed")
-    drop |= ~says("patient", project)
-    drop |= (m == "CT") & (says("description", "ARMS") | says("description", "WB") | says("description", "stnd"))
-    return rows.where(~F.coalesce(drop, F.lit(False)))
+# What is of no use for dosimetry. (modality or None for any, word in the description or None for any, whether a row that
+# holds the word goes or one that doesn't.)
+UNWANTED = [
+    ("NM", None, True),
+    ("PT", None, True),
+    ("SR", None, True),
+    ("NM-SPECT", None, True),
+    (None, "CRF", True),
+    (None, "00001", True),
+    ("RTSTRUCT", "Reviewed", False),
+    ("CT", "ARMS", True),
+    ("CT", "WB", True),
+    ("CT", "stnd", True),
+]
+
+
+def of_use(rows: DataFrame, project: str, unwanted: Sequence[tuple[str | None, str | None, bool]] = UNWANTED) -> DataFrame:
+    """Rows of the project that no line of the table names. Missing texts hold no word; a missing modality is none of those named."""
+    named = ~says("patient", project)
+    for modality, word, holds in unwanted:
+        text = F.lit(True) if word is None else says("description", word) == F.lit(holds)
+        named |= text if modality is None else F.coalesce(F.col("modality") == modality, F.lit(False)) & text
+    return rows.where(~named)
 
 
 def assign_cycles(rows: DataFrame, patient: str, date: str, gap_days: int = 10) -> DataFrame:
@@ -117,5 +132,42 @@ def k_folds(rows: DataFrame, key: str, folds: int, labeled: int, group: str) ->
 def speedups(rows: DataFrame, operation: str, backend: str, value: str, base: str, other: str) -> DataFrame:
     """Pair the medians of two backends per operation and report count, mean, min and max of base / other."""
     wide = rows.groupBy(operation, "size").pivot(backend, [base, other]).agg(F.percentile(value, 0.5))
-    ratio = F.col(base) / F.col(other)
+    ratio = F.try_divide(base, other)
     return wide.where(ratio.isNotNull()).groupBy(operation).agg(F.count("*").alias("n"), F.avg(ratio).alias("mean"), F.min(ratio).alias("least"), F.max(ratio).alias("most"))
+
+
+def from_sidecars(files: DataFrame, images: DataFrame) -> DataFrame:
+    """A catalog of image files by their JSON sidecars, largest first: file, size_category (the folder's name), dimensions, spacing,
+    modality, size_mb. files: path and text of *_metadata.json files; images: the paths (file) that exist. Sidecars that don't parse are left out."""
+    schema = "nifti_file string, dimensions array<int>, spacing array<double>, modality string, size_mb double"
+    read = files.where(F.col("path").endswith("_metadata.json")).select(F.element_at(F.split("path", "/"), -2).alias("size_category"), F.from_json("text", schema).alias("m"))
+    rows = read.where("m.nifti_file is not null").select(F.col("m.nifti_file").alias("file"), "size_category", "m.dimensions", "m.spacing", "m.modality", "m.size_mb")
+    return rows.join(images.select("file").distinct(), "file", "left_semi").orderBy(F.desc("size_mb"), "file")
+
+
+def by_size_class(catalog: DataFrame, classes: Sequence[str] = ("large", "xlarge")) -> DataFrame:
+    """(size_category, files): the files of each class in order of name; a class without files has no row. A catalog holds names only."""
+    rows = catalog.where(F.col("size_category").isin(list(classes)))
+    return rows.groupBy("size_category").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
+def series_list(spark: SparkSession, path: str) -> DataFrame:
+    """Series of a collection from saved JSON answers of a catalog service: an array of objects a file, columns as they are named there."""
+    return spark.read.option("multiLine", "true").json(path)
+
+
+def inventory_walk(files: DataFrame, readable: Column) -> DataFrame:
+    """One row per folder: its first readable file in order of path. files: path, and whatever readable looks at."""
+    rows = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    return first_rows(rows.where(readable), ["folder"], ["path"])
+
+
+def tidy_results(results: DataFrame, name: str, text: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """A result table with its row name first, then the parameters parsed from a delimited text, then the numbers."""
+    rest = [c for c in results.columns if c not in (name, text)]
+    return results.select(name, *split_parameters(F.col(text), fields), *rest)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A result table as CSV with a header line, one folder of files; an existing one is replaced."""
+    rows.write.mode("overwrite").option("header", "true").csv(path)

@@ -30,5 +30,5 @@ def suv_factor(weight_kg: Column, dose: Column, half_life: Column, start: Column
     strict raises on text that is no number instead of giving null.
     """
     number = (lambda c: c.cast("double")) if strict else (lambda c: c.try_cast("double"))
-    left = number(dose) * F.exp(-math.log(2) * elapsed(tm_seconds(start), tm_seconds(scan)) / number(half_life))
+    left = number(dose) * F.exp(-math.log(2) * elapsed(tm_seconds(start), tm_seconds(scan)) / F.nullif(number(half_life), F.lit(0.0)))
     return F.when(left > 0, number(weight_kg) * 1000 / left)

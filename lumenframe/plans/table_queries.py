@@ -186,7 +186,7 @@ def inventory_modality(spark, sf_dir):
 @register("inventory_filter", f"""with {ACQ}, {REFINED} select o_orderkey, patient, modality, description from ref where not (modality in ('NM', 'PT', 'SR', 'NM-SPECT') or coalesce(description ilike '%crf%', false) or coalesce(description ilike '%00001%', false)
     or (modality = 'RTSTRUCT' and not coalesce(description ilike '%reviewed%', false)) or not patient ilike '%pr21%' or (modality = 'CT' and (coalesce(description ilike '%arms%', false) or coalesce(description ilike '%wb%', false) or coalesce(description ilike '%stnd%', false))))""")
 def inventory_filter(spark, sf_dir):
-    return inventory.drop_irrelevant(inventory.refine_modality(acquisitions(spark, sf_dir)), "PR21").select("o_orderkey", "patient", "modality", "description")
+    return inventory.of_use(inventory.refine_modality(acquisitions(spark, sf_dir)), "PR21").select("o_orderkey", "patient", "modality", "description")
 
 
 CYCLES = """days as (select distinct patient, day from acq), gaps as (select *, case when date_diff('day', lag(day) over (partition by patient order by day), day) < 10 then 0 else 1 end as new from days),
@@ -278,6 +278,66 @@ def speedups(spark, sf_dir):
     return rounded(inventory.speedups(e, "operation", "backend", "value", "cpu", "fast"), ["operation", "n"])
 
 
+@register("nmol_activity", f"select event_id, round(value * 1e-9 * 6.02214076e23::double * 0.6931471805599453 / 6586.2::double / 1e6, 1) + 0.0 as mbq from events")
+def nmol_activity(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", tidy(curves.mbq(F.col("value"), "F18"), 1).alias("mbq"))
+
+
+@register("tac_clearance", f"""with {PTS}, {simpson_sql('c', 'curve', 't', 'a', 'auc', 's')}, m as (select curve, max(a) as a_max from c group by curve) select curve, {r('case when auc > 0 then a_max / auc end', 'clearance', 7)} from s join m using (curve)""")
+def tac_clearance(spark, sf_dir):
+    return rounded(curves.clearance(curves.clean(points(spark, sf_dir))), ["curve"], 7)
+
+
+SIDECARS = """side as (select p_partkey, p_size, '/data/' || case when p_size >= 40 then 'xlarge' when p_size >= 25 then 'large' else 'small' end || '/img' || p_partkey::varchar as stem, p_retailprice as mb, split_part(p_brand, '#', 1) as modality from part),
+    cat as (select stem || '.nii.gz' as file, split_part(stem, '/', 3) as size_category, [p_size, p_size, p_size // 2] as dimensions, [1.0, 1.0, 2.5]::double[] as spacing, modality, round(mb, 2) + 0.0 as size_mb from side where p_partkey % 5 <> 0 and p_partkey % 7 <> 0)"""
+
+
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars of images, every seventh broken, and every fifth image gone."""
+    size = F.when(F.col("p_size") >= 40, "xlarge").when(F.col("p_size") >= 25, "large").otherwise("small")
+    p = table(spark, sf_dir, "part").withColumn("stem", F.concat(F.lit("/data/"), size, F.lit("/img"), F.col("p_partkey").cast("string")))
+    fields = F.struct(F.concat("stem", F.lit(".nii.gz")).alias("nifti_file"), F.array("p_size", "p_size", F.floor(F.col("p_size") / 2).cast(dict(p.dtypes)["p_size"])).alias("dimensions"), F.array(*map(F.lit, (1.0, 1.0, 2.5))).alias("spacing"), F.split("p_brand", "#")[0].alias("modality"), F.round("p_retailprice", 2).alias("size_mb"))
+    text = F.when(F.col("p_partkey") % 7 == 0, "{broken").otherwise(F.to_json(fields))
+    return inventory.from_sidecars(p.select(F.concat("stem", F.lit("_metadata.json")).alias("path"), text.alias("text")), p.where("p_partkey % 5 <> 0").select(F.concat("stem", F.lit(".nii.gz")).alias("file")))
+
+
+@register("sidecar_catalog", f"with {SIDECARS} select file, size_category, array_to_string(dimensions, 'x') as dimensions, array_to_string(spacing, 'x') as spacing, modality, size_mb from cat")
+def sidecar_catalog(spark, sf_dir):
+    c = sidecars(spark, sf_dir)
+    return c.withColumns({"dimensions": F.concat_ws("x", F.col("dimensions").cast("array<string>")), "spacing": F.concat_ws("x", F.col("spacing").cast("array<string>")), "size_mb": tidy(F.col("size_mb"), 2)})
+
+
+@register("size_classes", f"with {SIDECARS} select size_category, len(list(file))::int as n, list_sort(list(file))[1] as first from cat where size_category in ('large', 'xlarge') group by size_category")
+def size_classes(spark, sf_dir):
+    return inventory.by_size_class(sidecars(spark, sf_dir)).select("size_category", F.size("files").alias("n"), F.col("files")[0].alias("first"))
+
+
+@register("inventory_walk", """with f as (select o_orderkey, '/scans/' || o_custkey::varchar || '/' || o_orderkey::varchar || '.dcm' as path, '/scans/' || o_custkey::varchar as folder, o_orderstatus from orders)
+    select folder, path from f where o_orderstatus <> 'O' qualify row_number() over (partition by folder order by path) = 1""")
+def inventory_walk(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    files = o.select(F.concat(F.lit("/scans/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".dcm")).alias("path"), "o_orderstatus")
+    return inventory.inventory_walk(files, F.col("o_orderstatus") != "O").select("folder", "path")
+
+
+@register("tidied_results", "select c_custkey, c_mktsegment as segment, c_nationkey as nation, round(c_acctbal, 2) + 0.0 as c_acctbal from customer")
+def tidied_results(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("parameters"))
+    return inventory.tidy_results(c, "c_custkey", "parameters", [("segment", "string"), ("nation", dict(table(spark, sf_dir, "customer").dtypes)["c_nationkey"])]).withColumn("c_acctbal", tidy(F.col("c_acctbal"), 2))
+
+
+@register("inventory_etl", f"""with {ACQ}, {REFINED}, kept as (select * from ref where not (modality in ('NM', 'PT', 'SR', 'NM-SPECT') or coalesce(description ilike '%crf%', false) or (modality = 'RTSTRUCT' and not coalesce(description ilike '%reviewed%', false)) or not patient ilike '%pr2%')),
+    days as (select distinct patient, day from kept), gaps as (select *, case when date_diff('day', lag(day) over (partition by patient order by day), day) < 10 then 0 else 1 end as new from days),
+    cyc as (select patient, day, sum(new) over (partition by patient order by day)::int as cycle from gaps), j as (select o_orderkey, kept.patient, kept.day, modality, description, cycle from kept join cyc on kept.patient = cyc.patient and kept.day = cyc.day),
+    one as (select * from j qualify row_number() over (partition by patient, modality, description, cycle order by o_orderkey) = 1)
+    select o_orderkey, patient, cycle, 'TP' || dense_rank() over (partition by patient order by day)::varchar as timepoint from one where patient in (select patient from one where modality = 'RTSTRUCT')""")
+def inventory_etl(spark, sf_dir):
+    """From acquisitions to labelled time points: refine, drop, number cycles, keep the first of equals, label."""
+    kept = inventory.of_use(inventory.refine_modality(acquisitions(spark, sf_dir)), "PR2")
+    one = inventory.first_rows(inventory.assign_cycles(kept, "patient", "day"), ["patient", "modality", "description", "cycle"], ["o_orderkey"])
+    return inventory.timepoints(one, "patient", "day", F.col("modality") == "RTSTRUCT").select("o_orderkey", "patient", "cycle", "timepoint")
+
+
 # ---- without SQL -----------------------------------------------------------------------------------------------
 @register("lognormal_noise")
 def lognormal_noise(spark, sf_dir):
