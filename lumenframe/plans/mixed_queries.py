@@ -7,9 +7,11 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.functions import geometry
+from lumenframe.functions import geometry, sql
 from lumenframe.operators import dose, masks, spatial, uptake, volumes
 from lumenframe.plans.volume_queries import D, IDS, VOX, corner_fill, grid, images, neighbours, out, pulled, rotated, rows, spaced, tidy, with_offset
+from lumenframe.session import scratch
+from lumenframe.sources import metaimage, nifti
 
 Q, SQL = {}, {}
 
@@ -304,3 +306,22 @@ def matrix_gradient(spark, sf_dir):
     m = geometry.affine_matrix(translation=(0.2, 0.1, -0.3), rotate=(0, 0, 10))
     df = images(spark, sf_dir).withColumn("g", F.col("voxels"))
     return spatial.matrix_gradient(df, "g", m, (2, 2, 2)).select("image_id", F.posexplode("d_matrix").alias("k", "d"))
+
+
+# ---- files and SQL ---------------------------------------------------------------------------------------------
+@register("nifti_roundtrip", f"with {VOX} select image_id, x::int as x, y::int as y, z::int as z, round(v, 6) + 0.0 as value, (image_id % 3)::double as ox from vox")
+def nifti_roundtrip(spark, sf_dir):
+    """Every image to a file of its own and back."""
+    path = scratch(spark, "nifti")
+    df = images(spark, sf_dir).withColumns({"file": F.concat(F.lit("img"), F.col("image_id").cast("string"), F.lit(".nii.gz")), "origin": F.array((F.col("image_id") % 3).cast("double"), F.lit(2.0), F.lit(-1.0))})
+    nifti.write_nifti(df, path if ":" in path else f"file://{path}")
+    back = metaimage.read_volumes(spark, path).withColumns({"image_id": F.regexp_extract("file", r"(\d+)", 1).cast("long"), "ox": F.round(F.col("origin")[0], 6) + 0.0})
+    return rows(back, "ox").select("image_id", "x", "y", "z", "value", "ox")
+
+
+@register("sql_functions", f"""with {VOX} select image_id, x::int as x, y::int as y, z::int as z, round(v, 6) + 0.0 as value, round(case when v * 100 <= 0 then greatest(0.01, 1 + 0.001 * (v * 100)) else 1 + 0.0007 * (v * 100) end, 6) + 0.0 as rho from vox""")
+def sql_functions(spark, sf_dir):
+    """The table function in a lateral join, and a scalar one, in SQL text."""
+    sql.register(spark)
+    df = images(spark, sf_dir).select("image_id", "voxels", "dims")
+    return spark.sql("select image_id, x, y, z, round(double(value), 6) + 0.0D as value, round(hu_density(double(value) * 100), 6) + 0.0D as rho from {df}, lateral mi_voxels(voxels, dims)", df=df)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,3 +41,11 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the cluster's shared spark.checkpoint.dir; where none is set and Spark runs on this machine alone, a local one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-NODE = "scene string, name string, file string, origin array<double>, spacing array<double>, direction array<double>"
+from lumenframe.sources.metaimage import parse_volume
+
+NODE = "scene string, name string, file string, dims array<int>, channels int, voxels array<float>, origin array<double>, spacing array<double>, direction array<double>"
 FLIP = np.diag([-1.0, -1.0, 1.0, 1.0])
 
 
@@ -20,9 +23,11 @@ def numbers(text: str | None, default: list[float]) -> list[float]:
 
 
 def volume_nodes(data: bytes) -> list[dict]:
-    """Volume nodes of the first .mrml in the archive. Transforms apply from the node outwards, in RAS, and end in LPS."""
+    """Volume nodes of the first .mrml in the archive, with the voxels of the file that their storage names (null if it's no NIfTI or
+    MetaImage file of the archive); the geometry is the scene's. Transforms apply from the node outwards, in RAS, and end in LPS."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = ElementTree.fromstring(z.read(sorted(n for n in z.namelist() if n.endswith(".mrml"))[0]))
+        inside = {n.rpartition("/")[2]: z.read(n) for n in z.namelist() if n.lower().endswith((".nii", ".nii.gz", ".mha"))}
     nodes = {n.get("id"): n for n in root.iter() if n.get("id")}
 
     def link(node: ElementTree.Element, kind: str) -> str | None:
@@ -49,7 +54,10 @@ def volume_nodes(data: bytes) -> list[dict]:
         m = FLIP @ chain @ m
         norm = np.linalg.norm(m[:3, :3], axis=0)
         storage = nodes.get(link(node, "storage"))
-        out.append({"name": node.get("name"), "file": storage.get("fileName") if storage is not None else None, "origin": m[:3, 3].tolist(), "spacing": norm.tolist(), "direction": (m[:3, :3] / norm).reshape(-1).tolist()})
+        file = storage.get("fileName") if storage is not None else None
+        held = inside.get(unquote(file).rpartition("/")[2]) if file else None
+        volume = parse_volume(file, held) if held else {}
+        out.append({"name": node.get("name"), "file": file, **{k: volume.get(k) for k in ("dims", "channels", "voxels")}, "origin": m[:3, 3].tolist(), "spacing": norm.tolist(), "direction": (m[:3, :3] / norm).reshape(-1).tolist()})
     return out
 
 
@@ -62,6 +70,6 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
             for scene, data in zip(batch["path"], batch["content"], strict=True):
                 found = volume_nodes(bytes(data))
                 if found:
-                    yield pd.DataFrame(found).assign(scene=scene.rpartition("/")[2])[[c.split()[0] for c in NODE.split(", ")]]
+                    yield pd.DataFrame(found).astype({"channels": "Int32"}).assign(scene=scene.rpartition("/")[2])[[c.split()[0] for c in NODE.split(", ")]]
 
     return files.mapInPandas(each, NODE)

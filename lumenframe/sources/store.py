@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,11 @@ def save_images(images: DataFrame, path: str, group: str) -> DataFrame:
     return named.select("image_id", "dataset_name")
 
 
-def load_images(spark: SparkSession, path: str, group: str, dataset_name: str | None = None) -> DataFrame:
-    """Images of a group; both filters reach the scan: the group prunes folders, the name is pushed to Parquet."""
+def load_images(spark: SparkSession, path: str, group: str, dataset_name: str | None = None, metadata: Mapping[str, str] | None = None) -> DataFrame:
+    """Images of a group; both filters reach the scan: the group prunes folders, the name is pushed to Parquet.
+
+    metadata names the columns that were saved as JSON text and their types, and restores them.
+    """
     rows = spark.read.parquet(path).where(F.col("group") == group)
-    return rows if dataset_name is None else rows.where(F.col("dataset_name") == dataset_name)
+    rows = rows if dataset_name is None else rows.where(F.col("dataset_name") == dataset_name)
+    return rows.withColumns({c: F.from_json(c, kind) for c, kind in (metadata or {}).items()})
