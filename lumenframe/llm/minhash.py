@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import components, cut, documents, runs
@@ -17,6 +17,8 @@ from lumenframe.llm.fingerprint import WordHashes, mixed, step
 BLOCK = 1 << 18
 #: Documents of one bucket that a task compares with each other, or with as many others.
 BUCKET = 1024
+#: Members of a larger bucket that all others are compared with first, on average.
+HUBS = 16
 
 
 def shingle_set(text: str | None, k: int, words: WordHashes) -> np.ndarray:
@@ -146,12 +148,12 @@ class Groups:
         return a != b
 
 
-def tile_links(sets: list[np.ndarray], group: np.ndarray, earlier: np.ndarray, percent: int, lot: int = 16) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], group: np.ndarray, earlier: np.ndarray, percent: int, lot: int = 16, only: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Places (i, j) that connect what sets with a Jaccard similarity of at least percent / 100 connect: a forest.
 
     Rows are compared with all others, `lot` at a time, those of small groups first after one lot of any; it ends when every row
-    outside the largest group has been compared. Pairs of one group need no link, and pairs that agree in a column of
-    `earlier` (keys of earlier bands) have met in an earlier bucket.
+    outside the largest group has been compared, or every row of `only` where that is given. Pairs of one group need no link, and pairs that
+    agree in a column of `earlier` (keys of earlier bands) have met in an earlier bucket.
     """
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
@@ -163,10 +165,10 @@ def tile_links(sets: list[np.ndarray], group: np.ndarray, earlier: np.ndarray, p
     while True:
         own = groups.of_rows()
         count = np.bincount(own, minlength=len(groups.names))
-        left = np.flatnonzero(~done & (own != count.argmax()))
+        left = np.flatnonzero(~done & (own != count.argmax())) if only is None else only[~done[only]]
         if not len(left):
             return edges
-        hubs = np.arange(min(lot, n)) if not done.any() else left[np.argsort(count[own[left]], kind="stable")[:lot]]
+        hubs = np.arange(min(lot, n)) if only is None and not done.any() else left[np.argsort(count[own[left]], kind="stable")[:lot]]
         done[hubs] = True
         marks = np.zeros((number.max() + 1, len(hubs)), np.uint8)
         for k, h in enumerate(hubs.tolist()):
@@ -189,34 +191,65 @@ def tile_links(sets: list[np.ndarray], group: np.ndarray, earlier: np.ndarray, p
                     edges.append((int(part[i]), int(hubs[k])))
 
 
-def bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect each bucket's documents. members: key, band, rep, component, keys, shingles.
-
-    Buckets above BUCKET members are split into blocks, and each pair of blocks is compared in a task of its own; no
-    pair becomes a row.
-    """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
-    tiles = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "band", "rep", "component", "keys", "shingles")
+def compared(tiles: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside each tile. tiles: tile, band, rep, component, keys, shingles, hub; where a tile has hubs, links to them alone."""
 
     def each(batches: Iterable) -> Iterator:
         for tile in runs(batches, "tile"):
-            group = tile["component"].to_numpy()
+            tile = tile.drop_duplicates("rep") if tile["hub"].any() else tile
+            group, hubs = tile["component"].to_numpy(), np.flatnonzero(tile["hub"])
             if len(tile) > 1 and (group != group[0]).any():
                 rep, band = tile["rep"].to_numpy(), int(tile["band"].iloc[0])
-                edges = np.array(tile_links(list(tile["shingles"]), group, np.stack(tile["keys"].to_numpy())[:, :band], percent)).reshape(-1, 2)
+                edges = np.array(tile_links(list(tile["shingles"]), group, np.stack(tile["keys"].to_numpy())[:, :band], percent, only=hubs if len(hubs) else None)).reshape(-1, 2)
                 if len(edges):
                     yield pd.DataFrame({"a": rep[edges[:, 0]], "b": rep[edges[:, 1]]})
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(each, "a long, b long")
+    return tiles.repartition("tile").sortWithinPartitions("tile", F.desc("hub")).mapInPandas(each, "a long, b long")
+
+
+def blocks_of(n: Column) -> Column:
+    return F.ceil(n / BUCKET).cast("int")
+
 
+def hub_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links of large buckets' members to a few of them, hubs, that go to each of a bucket's blocks: rows in proportion to the bucket.
 
-def unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """The members (key, band, rep) of buckets that hold more than one component, with their component."""
-    members = met.join(groups, met["rep"] == groups["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return members.join(split, "key", "left_semi")
+    members: key, band, rep, component, size, keys, shingles. Hubs are drawn by a hash, about HUBS a bucket.
+    """
+    m = members.withColumns({"hub": F.pmod(F.xxhash64("rep", "key"), F.col("size")) < HUBS, "block": F.pmod(F.xxhash64("rep"), blocks_of(F.col("size"))).cast("int")})
+    places = F.when(F.col("hub"), F.sequence(F.lit(0), blocks_of(F.col("size")) - 1)).otherwise(F.array("block"))
+    tiles = m.withColumn("block", F.explode(places))
+    return compared(tiles.select(F.xxhash64("key", "block").alias("tile"), "band", "rep", "component", "keys", "shingles", "hub"), percent)
+
+
+def bucket_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect each bucket's documents. members: key, band, rep, component, size, keys, shingles.
+
+    Members outside a bucket's largest component are compared with all others. Both are split into blocks of BUCKET, and each block
+    of the former meets each of the latter in a tile of its own; no pair becomes a row. So a bucket that is connected but for a few moves
+    about once.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), (F.sum("n") - F.max("n")).alias("outside"))
+    m = members.join(top, "key")
+    out = F.col("component") != F.col("top")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), blocks_of(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), blocks_of(n) - 1)
+    pair = lambda u, b: F.struct(u.alias("u"), b.alias("b"))
+    as_member = F.transform(every(F.col("outside")), lambda u: pair(u, mine(F.col("size"))))
+    as_outsider = F.transform(every(F.col("size")), lambda b: pair(mine(F.col("outside")), b))
+    tiles = m.withColumn("t", F.explode(F.array_distinct(F.concat(as_member, F.when(out, as_outsider).otherwise(F.slice(as_member, 1, 0))))))
+    return compared(tiles.select(F.xxhash64("key", "t.u", "t.b").alias("tile"), "band", "rep", "component", "keys", "shingles", F.lit(False).alias("hub")), percent)
+
+
+def unsettled(met: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The members (key, band, rep) of buckets that hold more than one component, with their component and the bucket's size."""
+    if groups is None:
+        members = met.select("key", "band", "rep", F.col("rep").alias("component"))
+    else:
+        members = met.join(groups, met["rep"] == groups["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    return members.join(split, "key")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -225,7 +258,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Words are split at ASCII white space and A-Z lower-cased. Equal sets form a class, and the class's smallest doc_id
     stands for it. Representatives that agree on a band of their signatures meet in a bucket; 32 bands of 4 miss a
     pair at 0.8 once in 2 * 10**7. Pairs of a bucket that are not connected yet are verified on full sets inside a task
-    that returns a spanning forest, each pair in the first bucket where it meets. Bands go in rounds of 1, 5 and the
+    that returns a spanning forest, each pair in the first bucket where it meets. Large buckets are compared with a few hubs first,
+    and only members which that leaves outside the bucket's largest component then meet all others. Bands go in rounds of 1, 5 and the
     rest: a bucket whose members earlier rounds have connected has nothing left to verify. Links are grouped by union-find.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). A document
@@ -247,14 +281,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = sets.dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("rep"), "same", "shingles")
     sets = cut(sets.join(reps, ["rep", "same"]).select("rep", "keys", "shingles"), "sets")
 
-    links = cut(bucket_links(met.where("band = 0").withColumn("component", F.col("rep")).join(sets, "rep"), percent), "links")
-    groups = cut(components(links), "groups")
-    # From here on only the sets of buckets that are not settled move.
-    met = cut(unsettled(met.where("band > 0"), groups).drop("component"), "open")
-    sets = cut(sets.join(met.select("rep").distinct(), "rep", "left_semi"), "sets")
-    for low, high in ((1, 6), (6, bands)):
+    links, groups = None, None
+    for low, high in ((0, 1), (1, 6), (6, bands)):
+        if low == 1:  # from here on only the sets of buckets that are not settled move
+            met = cut(unsettled(met.where("band > 0"), groups).select("rep", "band", "key"), "open")
+            sets = cut(sets.join(met.select("rep").distinct(), "rep", "left_semi"), "sets")
         members = cut(unsettled(met.where(F.col("band").between(low, high - 1)), groups), "members")
-        links = links.union(cut(bucket_links(members.join(sets, "rep"), percent), "links"))
+        large = members.where(F.col("size") > BUCKET)
+        if not large.isEmpty():
+            found = cut(hub_links(large.join(sets, "rep"), percent), "hubs")
+            links = found if links is None else links.union(found)
+            groups = cut(components(links), "groups")
+            members = cut(unsettled(members.select("key", "band", "rep"), groups), "members")
+        found = cut(bucket_links(members.join(sets, "rep"), percent), "links")
+        links = found if links is None else links.union(found)
         groups = cut(components(links), "groups")
 
     rep = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("rep"))

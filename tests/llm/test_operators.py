@@ -90,6 +90,39 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_hubs_connect_a_large_bucket_and_the_rest_meets_all(spark, monkeypatch):
+    """One bucket of two kinds of texts and some odd ones: all links between different texts are found."""
+    monkeypatch.setattr(minhash, "BUCKET", 8)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    head = [f"w{j}" for j in range(40)]
+    rows = [(i, " ".join(head + [f"{kind}{j}" for j in range(25)] + [f"own{i}"])) for i, kind in enumerate("a" * 30 + "b" * 11 + "cdef")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=64, rows=1).collect()}
+    assert got == {i: 0 if i < 30 else 30 if i < 41 else i for i in range(45)}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs at similarities from 0.8 to 0.86, each in a group of its own: at least 0.9 of them are found (all of them, but for luck), and none below 0.8."""
+    rng, rows, want = random.Random(4), [], {}
+    for i in range(300):
+        n, change = rng.randrange(60, 200), 0
+        words = [f"p{i}x{j}" for j in range(n)]
+        other = list(words)
+        while True:
+            change += 1
+            nxt = [*other]
+            nxt[-change] = f"q{i}y{change}"
+            a, b = shingles(" ".join(words), 5), shingles(" ".join(nxt), 5)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            other = nxt
+        below = i % 3 == 0
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(nxt if below else other))]
+        want[2 * i + 1] = 2 * i + 1 if below else 2 * i
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [d for d, c in want.items() if c != d]
+    assert sum(got[d] == want[d] for d in near) >= 0.9 * len(near) and all(got[d] == d for d in want if want[d] == d)
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
@@ -353,6 +386,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.capture_history(spark, str(tmp_path / "e"), 2).count() == 0
 
 
+def test_spooled_runs_are_merged():
+    """Runs that come in several batches are merged from disk in the order of all rows."""
+    rng = random.Random(6)
+    rows = [(f"u{rng.randrange(9)}", f"t{rng.randrange(5)}", rng.choice([None, rng.randrange(50)]), "response", 1, "D", None, f"f{k % 7}", k, 1) for k in range(900)]
+    key = lambda r: (r[7], warc.sort_key(r))
+    dealt = [[*r, r[7]] for r in sorted(rows, key=key)]
+    names = [c.split()[0] for c in warc.INDEX.split(", ")] + ["run"]
+    kinds = [warc.pa.int64() if c.split()[1] == "long" else warc.pa.string() for c in warc.INDEX.split(", ")] + [warc.pa.string()]
+    spool = warc.Spool()
+    for i in range(0, 900, 64):
+        spool.add(warc.pa.RecordBatch.from_arrays([warc.pa.array(c, t) for c, t in zip(zip(*dealt[i : i + 64]), kinds)], names=names))
+    assert list(spool.merged()) == sorted(rows, key=warc.sort_key)
+
+
 def test_loser_tree_merge():
     rng = random.Random(4)
     row = lambda: (rng.choice("abc"), str(rng.randrange(9)), rng.choice([None, 1, 2]), "response", 0, "", None, "f", rng.randrange(99), 1)

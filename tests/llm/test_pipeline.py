@@ -39,3 +39,17 @@ def test_mix_keeps_documents_without_words_once(spark):
         assert collections.Counter(r["doc_id"] for r in mixing.mix_sources(docs).collect()) == collections.Counter(r[0] for r in rows)
         counts = collections.Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, docs, SF).collect())
         assert [counts[r[0]] for r in empty] == [1] * len(empty)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    schema = "doc_id long, text string, source string, copies string, copy long, rate double, `row of id` long, `toxicity score` double, `id of` string"
+    rows = [(i if i % 9 else None, f"some words {i} here", "ab"[i % 2], f"c{i}", i, 0.5, -i, 2.0, "x") for i in range(60)] + [(100, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    own = {r[3]: r for r in rows}
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.mix):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(r == own[r[3]] for r in got)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.encode(spark, docs.limit(0), SF).count() == 0
