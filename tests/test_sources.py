@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenframe.operators import volumes
-from lumenframe.sources import nifti, scene, store
+from lumenframe.sources import metaimage, nifti, scene, store
 from lumenframe.streaming import landing
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,35 @@ def test_streams_equal_batches(spark):
     q.stop()
     want = spark.read.parquet(f"{SF}/events.parquet").groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").count()
     assert spark.table("activity").agg(F.sum("n")).first()[0] == want.agg(F.sum("count")).first()[0] and spark.table("activity").count() == want.count()
+
+
+def test_metaimage_round_trip(spark, tmp_path):
+    voxels, turn = np.arange(24, dtype=np.float32), [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    for name, packed in (("a.mha", False), ("b.mha", True)):
+        (tmp_path / name).write_bytes(metaimage.build([2, 3, 4], voxels, [1, 2, 3], [0.5, 1, 2], turn, packed))
+    head = b"NDims = 3\nDimSize = 2 1 1\nElementNumberOfChannels = 2\nElementType = MET_SHORT\nBinaryDataByteOrderMSB = True\nElementDataFile = LOCAL\n"
+    (tmp_path / "c.mha").write_bytes(head + np.array([1, 10, 2, 20], ">i2").tobytes())
+    got = {r["file"]: r for r in metaimage.with_type(metaimage.read_volumes(spark, str(tmp_path)), "CT").collect()}
+    for name in ("a.mha", "b.mha"):
+        r = got[name]
+        assert list(r["dims"]) == [2, 3, 4] and list(r["voxels"]) == voxels.tolist() and list(r["spacing"]) == [0.5, 1, 2] and list(r["origin"]) == [1, 2, 3]
+        assert list(r["direction"]) == turn and (r["image_type"], r["image_subtype"], r["legacy_file_name"]) == ("CT", "CT", name)
+    assert got["c.mha"]["channels"] == 2 and list(got["c.mha"]["voxels"]) == [1, 2, 10, 20]
+    kinds = [metaimage.with_type(metaimage.read_volumes(spark, str(tmp_path)), "MRI", plain).first()["image_type"] for plain in (False, True)]
+    assert kinds == ["MRI", "PET"]
+
+
+def test_scene_brings_its_voxels(spark, tmp_path):
+    xml = '<MRML><VolumeStorage id="s" fileName="a%20b.mha"/><Volume id="v" name="CT" spacing="2 2 3" references="storage:s;"/></MRML>'
+    with zipfile.ZipFile(tmp_path / "x.mrb", "w") as z:
+        z.writestr("x/scene.mrml", xml)
+        z.writestr("x/Data/a b.mha", metaimage.build([2, 1, 1], np.array([5, 6]), [9, 9, 9], [1, 1, 1], list(volumes.IDENTITY)))
+    r = scene.read_scenes(spark, str(tmp_path)).first()
+    assert list(r["voxels"]) == [5, 6] and list(r["dims"]) == [2, 1, 1] and list(r["spacing"]) == [2, 2, 3] and list(r["origin"]) == [0, 0, 0]
+
+
+def test_store_restores_metadata(spark, tmp_path):
+    df = volumes.images_from_vectors(spark.read.parquet(f"{SF}/embeddings.parquet")).where("image_id < 3").withColumn("metadata", F.create_map(F.lit("k"), F.col("image_id")))
+    store.save_images(df, str(tmp_path / "s"), "ct")
+    back = store.load_images(spark, str(tmp_path / "s"), "ct", metadata={"metadata": "map<string, bigint>"})
+    assert {r["image_id"]: r["metadata"] for r in back.collect()} == {i: {"k": i} for i in range(3)}
