@@ -93,25 +93,67 @@ def pull_axes(voxels: np.ndarray, steps: np.ndarray, shift: np.ndarray, out_dims
     return out.reshape(len(voxels), -1)
 
 
+def pull_planes(voxels: np.ndarray, turn: np.ndarray, shift: np.ndarray, out_dims: tuple[int, int, int], dims: tuple[int, int, int], fill: np.ndarray, mode: str) -> np.ndarray:
+    """Sampling by a matrix that leaves z to itself: places and shares are worked out once for all slices. Slab by slab of z."""
+    kind, (nx, ny, nz) = voxels.dtype, out_dims
+    v = voxels.reshape(len(voxels), dims[2], dims[1] * dims[0])
+    x, y = np.meshgrid(np.arange(1, nx + 1), np.arange(1, ny + 1))
+    (ix, x0, x1, wx), (iy, y0, y1, wy) = (axis_shares((turn[k, 0] * x + turn[k, 1] * y + shift[k]).reshape(-1), dims[k], mode) for k in (0, 1))
+    iz, z0, z1, wz = axis_shares(turn[2, 2] * np.arange(1, nz + 1) + shift[2], dims[2], mode)
+    corners = [(x0 + dims[0] * y0, (1 - wx) * (1 - wy)), (x1 + dims[0] * y0, wx * (1 - wy)), (x0 + dims[0] * y1, (1 - wx) * wy), (x1 + dims[0] * y1, wx * wy)]
+    corners = [(at, w.astype(kind)) for at, w in (corners if mode == "linear" else [(corners[0][0], np.ones(nx * ny))])]
+    still = np.array_equal(z0, np.arange(nz)) and not wz.any()
+    out, outside = np.empty((len(voxels), nz, nx * ny), kind), ~(ix & iy)
+    for a, b in slabs(out_dims):
+        for k, volume in enumerate(v):
+            if still:
+                s = volume[a:b]
+            else:
+                w = wz[a:b, None].astype(kind)
+                s = volume[z0[a:b]] * (1 - w) + volume[z1[a:b]] * w if mode == "linear" else volume[z0[a:b]]
+            part = np.take(s, corners[0][0], 1)
+            if mode == "linear":
+                part *= corners[0][1]
+                for at, w in corners[1:]:
+                    more = np.take(s, at, 1)
+                    more *= w
+                    part += more
+            part[:, outside] = fill[k]
+            part[~iz[a:b]] = fill[k]
+            out[k, a:b] = part
+    return out.reshape(len(voxels), -1)
+
+
 def pull(voxels: np.ndarray, matrix: np.ndarray, centre: np.ndarray, out_dims: tuple[int, int, int], dims: tuple[int, int, int], fill: np.ndarray, mode: str) -> np.ndarray:
     """Sample (batch, voxels) on the grid of out_dims at matrix * (p - centre) + centre; outside stands `fill` of the volume.
 
-    A diagonal matrix is worked off axis by axis, any other by slabs of z: what is held beside the volumes is bounded by SLAB.
+    A diagonal matrix is worked off axis by axis, one that leaves z to itself plane by plane, any other by slabs of z: what is held beside the volumes is bounded by SLAB.
     """
     turn, n = matrix[:3, :3], out_dims[0] * out_dims[1]
     if mode != "cubic" and not turn[~np.eye(3, dtype=bool)].any():
         steps = np.diag(turn)
         return pull_axes(voxels, steps, matrix[:3, 3] + centre - steps * centre, out_dims, dims, fill, mode)
+    if mode != "cubic" and not (turn[2, :2].any() or turn[:2, 2].any()):
+        return pull_planes(voxels, turn, matrix[:3, 3] + centre - turn @ centre, out_dims, dims, fill, mode)
     spline = spline_coefficients(voxels, dims) if mode == "cubic" else None
-    out = np.empty((len(voxels), n * out_dims[2]), voxels.dtype)
+    out, shift = np.empty((len(voxels), n * out_dims[2]), voxels.dtype), matrix[:3, 3] + centre - turn @ centre
+    x, y = np.arange(1, out_dims[0] + 1), np.arange(1, out_dims[1] + 1)[:, None]
     for a, b in slabs(out_dims):
-        points = slab_points(matrix, out_dims, centre, a, b)
         if spline is not None:
-            out[:, n * a : n * b] = cubic_pull(spline, points, dims, fill)
+            out[:, n * a : n * b] = cubic_pull(spline, slab_points(matrix, out_dims, centre, a, b), dims, fill)
             continue
-        inside, index, weight = weights(points, dims, mode)
-        part = sum(voxels[:, index[:, k]] * weight[:, k].astype(voxels.dtype) for k in range(index.shape[1]))
-        out[:, n * a : n * b] = np.where(inside, part, fill[:, None])
+        z = np.arange(a + 1, b + 1)[:, None, None]
+        (ix, x0, x1, wx), (iy, y0, y1, wy), (iz, z0, z1, wz) = (axis_shares((t[0] * x + (t[1] * y + (t[2] * z + c))).reshape(-1), size, mode) for t, c, size in zip(turn, shift, dims, strict=True))
+        part = np.zeros((len(voxels), n * (b - a)), voxels.dtype)
+        for zk, vz in ((z0, 1 - wz), (z1, wz)) if mode == "linear" else ((z0, None),):
+            for yk, vy in ((y0, 1 - wy), (y1, wy)) if mode == "linear" else ((y0, None),):
+                line, v = dims[0] * (yk + dims[1] * zk), None if vy is None else vy * vz
+                for xk, vx in ((x0, 1 - wx), (x1, wx)) if mode == "linear" else ((x0, None),):
+                    got = np.take(voxels, xk + line, 1)
+                    part += got if v is None else got * (vx * v).astype(voxels.dtype)
+        part[:, ~(ix & iy & iz)] = fill[:, None]
+        out[:, n * a : n * b] = part
+    return out
     return out
 
 

@@ -151,7 +151,7 @@ def test_sampling_by_axes_and_by_slabs_is_that_of_a_plain_loop(monkeypatch, mode
     rng = np.random.default_rng(4)
     v = rng.random((5, 4, 6))
     flat = v.transpose(2, 1, 0).reshape(1, -1)
-    for matrix in (geometry.affine_matrix((0.3, -0.4, 0.2), scale=(0.7, 1.1, 0.9)), geometry.affine_matrix((0.5, 1, -1), (20, 10, 30), (0.8, 1, 1.2))):
+    for matrix in (geometry.affine_matrix((0.3, -0.4, 0.2), scale=(0.7, 1.1, 0.9)), geometry.affine_matrix((0.5, 1, -1), (20, 10, 30), (0.8, 1, 1.2)), geometry.affine_matrix((0.5, 1, 0), (0, 0, 30)), geometry.affine_matrix((0.5, 1, 0.3), (0, 0, 30), (1, 1, 0.8))):
         got = kernels.pull(flat, matrix, np.zeros(3), (6, 5, 7), (5, 4, 6), np.array([9.0]), mode)
         assert np.allclose(got.reshape(7, 5, 6).transpose(2, 1, 0), plain_pull(v, matrix, (6, 5, 7), 9.0, mode))
 
