@@ -58,16 +58,17 @@ def byte_letters() -> dict[str, int]:
 class Pieces(dict):
     """Token ids of a piece as int32 bytes, worked out once. The last generation is kept beside this one, so common pieces stay."""
 
-    def __init__(self, make, most: int = 150_000) -> None:  # noqa: ANN001
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int = 150_000, most_bytes: int = 32 << 20) -> None:  # noqa: ANN001
+        self.make, self.most, self.most_bytes, self.held, self.old = make, most, most_bytes, 0, {}
 
     def __missing__(self, piece: str) -> bytes:
         self[piece] = found = self.old.get(piece) or self.make(piece)
+        self.held += 4 * len(piece) + len(found)
         return found
 
     def trim(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+        if len(self) > self.most or self.held > self.most_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
 
 

@@ -47,8 +47,8 @@ def scan_licenses(docs: DataFrame, anchors: int = 12, slack: int = 8, least: flo
 
     The index has a posting (entry, position) for every word of the phrases and notices, a fixed few hundred rows.
     Document frequencies of its words over all documents give their IDF. A document that holds the highest-IDF
-    word of some phrase, which no match can do without, is looked up: for each entry, the document's `anchors` highest-IDF words meet
-    the entry's postings, and places that agree on word position - posting position vote for a start. A phrase
+    word of some phrase, which no match can do without, is looked up: for each notice, the document's `anchors` highest-IDF words, and for a
+    phrase all its words, meet the entry's postings, and places that agree on word position - posting position vote for a start. A phrase
     stands where all its words vote. A notice is a candidate where at least `least` of its anchors in the document vote
     (no fewer than 3, or all), and gives its label if each of its mandatory phrases stands within it, give or take `slack` words.
 
@@ -79,9 +79,9 @@ def scan_licenses(docs: DataFrame, anchors: int = 12, slack: int = 8, least: flo
     hits = rows.where("hits is not null").select("row", F.explode("hits").alias("hit")).select("row", "hit.pos", "hit.word")
 
     # A group (row, entry) has no more rows than the entry has words.
-    known = hits.select("row", "word").distinct().join(F.broadcast(table.select("word", "entry", "idf").distinct()), "word")
+    known = hits.select("row", "word").distinct().join(F.broadcast(table.select("word", "entry", "notice", "idf").distinct()), "word")
     best = Window.partitionBy("row", "entry").orderBy(F.desc("idf"), "word")
-    chosen = known.withColumn("k", F.row_number().over(best)).where(F.col("k") <= anchors).select("row", "entry", "word")
+    chosen = known.withColumn("k", F.row_number().over(best)).where((F.col("k") <= anchors) | ~F.col("notice")).select("row", "entry", "word")
     votes = hits.join(chosen, ["row", "word"]).join(F.broadcast(table), ["entry", "word"])
     starts = votes.groupBy("row", "entry", "notice", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
     most = table.groupBy("entry").agg(F.count("*").alias("postings"))

@@ -257,6 +257,24 @@ def test_vectors(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_near_the_threshold(spark):
+    """Recall of pairs at cosines from 0.93 to 0.95, each by itself among others, against brute force; nothing below 0.93."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(400):
+        v, w = rng.standard_normal(64), rng.standard_normal(64)
+        v /= np.linalg.norm(v)
+        w -= (w @ v) * v
+        w /= np.linalg.norm(w)
+        c = 0.91 + 0.04 * i / 399
+        rows += [(2 * i, 0, v.tolist()), (2 * i + 1, 0, (c * v + math.sqrt(1 - c * c) * w).tolist())]
+    x = np.array([r[2] for r in rows])
+    cosine = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) - 2 * np.eye(len(x))
+    want = (cosine >= 0.93).sum(1)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() > 300
+
+
 def test_mixing(docs, none):
     got = mixing.mix_sources(docs, block_words=4, cells=8).collect()
     n = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
