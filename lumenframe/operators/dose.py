@@ -44,27 +44,29 @@ def patch_starts(size: int, patch: int, stride: int) -> list[int]:
 
 
 def cosine_window(patch: int) -> list[float]:
-    return [float(np.sin(np.pi * (i + 0.5) / patch)) for i in range(patch)]
+    """cos at `patch` even steps from -pi/2 to pi/2, both ends included; 1 for a single voxel."""
+    return np.cos(np.linspace(-np.pi / 2, np.pi / 2, patch)).tolist() if patch > 1 else [1.0]
 
 
-def blend_patches(images: DataFrame, patch: int, stride: int, predict: Callable[[np.ndarray], np.ndarray], skip_below: float = 1e-3) -> DataFrame:
+def blend_patches(images: DataFrame, patch: int, stride: int, predict: Callable[..., np.ndarray], rest: Callable[..., np.ndarray] = lambda cube, *_: cube, skip_below: float = 1e-3, others: Sequence[str] = ()) -> DataFrame:
     """Predict on overlapping cubes and blend by cosine windows: sum(prediction * w) / (sum(w) + 1e-8).
 
-    predict maps a (z, y, x) cube to one of its shape. A cube whose maximum is below skip_below keeps its voxels.
+    predict maps a (z, y, x) cube, and the same cubes of the flat columns `others` (a density, say), to a cube of its shape. Where a cube's maximum is below
+    skip_below `rest` of the same cubes stands instead, such as an analytical dose; the cube itself if none is given.
     """
     line = np.array(cosine_window(patch))
 
-    def blend(volume: np.ndarray) -> np.ndarray:
+    def blend(volume: np.ndarray, *more: np.ndarray) -> np.ndarray:
         total, weight = np.zeros(volume.shape), np.zeros(volume.shape)
         for at in itertools.product(*(patch_starts(n, patch, stride) for n in volume.shape)):
             box = tuple(slice(a - 1, min(a - 1 + patch, n)) for a, n in zip(at, volume.shape, strict=True))
-            cube = volume[box]
-            w = np.einsum("i,j,k->ijk", *(line[:n] for n in cube.shape))
-            total[box] += (cube if cube.max() < skip_below else predict(cube)) * w
+            cubes = [v[box] for v in (volume, *more)]
+            w = np.einsum("i,j,k->ijk", *(line[:n] for n in cubes[0].shape))
+            total[box] += (rest if cubes[0].max() < skip_below else predict)(*cubes) * w
             weight[box] += w
-        return total / (weight + 1e-8)
+        return (total / (weight + 1e-8)).reshape(-1)
 
-    return map_voxels(images, blend)
+    return images.withColumn("voxels", of_volume("array<double>", blend, "voxels", *others, "dims"))
 
 
 def decay_chain(dose: Column, steps: int, dt: float, k_in: float, k_out: float, k_bind: float, decay: float) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry, kernels
+from lumenframe.operators.masks import of_volume
 from lumenframe.operators.volumes import corners_median, doubles, ints
 
 
@@ -287,11 +288,9 @@ def physical_centre() -> Column:
 
 def adjoint_sample(gradients: DataFrame, matrix: np.ndarray, dims: Sequence[int], out_dims: Sequence[int], centre: Sequence[float] = (0, 0, 0), mode: str = "linear") -> DataFrame:
     """The transpose of sampling with a pull-back matrix: output gradients (voxels) back to the source grid of `dims`."""
-    points = kernels.affine_points(matrix, tuple(out_dims), np.array(centre, float))
-
     @F.pandas_udf("array<double>")
     def back(v: pd.Series) -> pd.Series:
-        return pd.Series(list(kernels.push(np.stack(list(v)).astype(float), points, tuple(dims), mode))) if len(v) else pd.Series([], dtype=object)
+        return pd.Series(list(kernels.push(np.stack(list(v)).astype(float), matrix, np.array(centre, float), tuple(out_dims), tuple(dims), mode))) if len(v) else pd.Series([], dtype=object)
 
     return gradients.withColumns({"voxels": back("voxels"), "dims": ints(dims)})
 
@@ -332,23 +331,13 @@ def match_origin(axis: int, origin: str, dims: str, spacing: str, target: str, t
     return F.coalesce(*hits)
 
 
-def match_axes(pairs: DataFrame, dims: Sequence[int]) -> DataFrame:
+def match_axes(pairs: DataFrame, dims: Sequence[int] | Column) -> DataFrame:
     """Which permutation and reversal of axes maps array `a` of shape dims onto `b`; nulls where none does.
 
     Axis i of b runs along axis permuted[i] (x, y, z being 0, 1, 2) of a, from its end where reversed[i] is 1; the shape
-    is permuted along. All 6 x 8 candidates are tried, the axes' own order first, then (z, y, x) reversed or not; the first
-    hit wins. Columns a and b are flat arrays.
+    is permuted along. Of the 6 x 8 candidates the axes' own order comes first, then (z, y, x) reversed or not; the first
+    hit wins. Columns a and b are flat arrays. Least and largest values of the slices along each axis, which don't hang on order, leave few
+    candidates; those are compared as transposed views.
     """
-    steps = (1, dims[0], dims[0] * dims[1])
-    hits = []
-    for perm in permutations(range(3)):
-        nx, ny, nz = shape = [dims[k] for k in perm]
-        for rev in [(x, y, z) for z in (0, 1) for y in (0, 1) for x in (0, 1)]:
-            at = []
-            for f in range(nx * ny * nz):
-                old = (n - 1 - c if r else c for c, n, r in zip((f % nx, f // nx % ny, f // (nx * ny)), shape, rev, strict=True))
-                at.append(sum(c * steps[k] for c, k in zip(old, perm, strict=True)))
-            same = F.transform(ints(at), lambda i: F.get("a", i)) == F.col("b")
-            hits.append(F.when(same, F.struct(F.lit("".join(map(str, perm))).alias("permuted"), F.lit("".join(map(str, rev))).alias("reversed"))))
-    found = F.coalesce(*hits)
+    found = of_volume("struct<permuted: string, reversed: string>", lambda a, b: kernels.axes_between(a, b.reshape(-1)), "a", "b", whole(dims))
     return pairs.withColumn("found", found).withColumns({"permuted": F.col("found")["permuted"], "reversed": F.col("found")["reversed"]}).drop("found")

@@ -195,7 +195,7 @@ def dose_compare(spark, sf_dir):
     return done.select("image_id", "n_voxels", *(tidy(F.col(c), 5).alias(c) for c in ("pearson", "ncc", "mae")), F.when(F.col("sure"), tidy(F.col("ratio"), 3)).alias("ratio"), "z")
 
 
-@register("dose_eval_cropped", f"""with {VOX}, p as (select a.image_id, a.v * 1e9 * {dose.GRAY}::double / (2.0 * (1 + 0.0007 * abs(b.v)) + 1e-4) as a, b.v as b from vox a join vox b on b.image_id = a.image_id + 1 and b.f = a.f where a.x in (2, 3) and a.y in (2, 3) and a.z in (2, 3))
+@register("dose_eval_cropped", f"""with {VOX}, p as (select a.image_id, a.v * 1e9 * 8.478e-8::double / (2.0 * (1 + 0.0007 * abs(b.v)) + 1e-4) as a, b.v as b from vox a join vox b on b.image_id = a.image_id + 1 and b.f = a.f where a.x in (2, 3) and a.y in (2, 3) and a.z in (2, 3))
     select image_id, round(avg(abs(a - b)), 4) + 0.0 as mae, round(corr(a, b), 5) + 0.0 as pearson from p group by image_id""")
 def dose_eval_cropped(spark, sf_dir):
     """The analytical dose in the central cube."""
@@ -212,7 +212,7 @@ ONTO = "select i.image_id, x, y, z, (x - 1 - ((i.image_id + 1) % 3) * 0.5::doubl
 @register("dose_local_pipeline", f"""with {VOX}, {grid(4, 4, 4)}, {NEXT}, fills as (select image_id, -1000.0::double as fill from both_ids), hum as (select image_id, x, y, z, v * 800 as v from mov), {pulled('ct', ONTO, 'hum')},
     d as (select ct.image_id, ct.x, ct.y, ct.z, a.v * (60000 / (3.7e8::double * exp(-ln(2) * 1800 / 6586.2::double))) * 1e4 as suv, case when ct.v <= 0 then greatest(0.01, 1 + 0.001 * ct.v) else 1 + 0.0007 * ct.v end as rho
         from ct join vox a on a.image_id = ct.image_id and a.x = ct.x and a.y = ct.y and a.z = ct.z)
-    {out('d', f'greatest(suv, 0) * {dose.ENERGY_KEV}::double / greatest(0.01, least(3.0, rho))', 3)}""")
+    {out('d', f'greatest(suv, 0) * 1232.3742::double / greatest(0.01, least(3.0, rho))', 3)}""")
 def dose_local_pipeline(spark, sf_dir):
     """CT onto the PET grid, uptake, density, local dose."""
     df = images(spark, sf_dir).withColumn("voxels", F.col("voxels").cast("array<double>"))

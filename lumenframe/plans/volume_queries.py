@@ -410,13 +410,13 @@ def adjoint_pad(spark, sf_dir):
 
 # ---- dose and pipelines ----------------------------------------------------------------------------------------
 @register("dose_local", f"""with {VOX}, d as (select *, v * 100 as hu, case when v * 100 <= 0 then greatest(0.01, 1 + 0.001 * (v * 100)) else 1 + 0.0007 * (v * 100) end as rho from vox)
-    {out('d', f'greatest(v, 0) * {dose.ENERGY_KEV}::double / greatest(0.01, least(3.0, rho))', 5)}""")
+    {out('d', f'greatest(v, 0) * 1232.3742::double / greatest(0.01, least(3.0, rho))', 5)}""")
 def dose_local(spark, sf_dir):
     v = volumes.voxel_rows(images(spark, sf_dir))
     return v.select("image_id", "x", "y", "z", tidy(dose.local_dose(F.col("value"), dose.density(F.col("value") * 100)), 5).alias("value"))
 
 
-@register("dose_eval", f"""with {VOX}, p as (select a.image_id, a.v * 1e9 * {dose.GRAY}::double / (2.0 * (1 + 0.0007 * abs(b.v)) + 1e-4) as a, b.v as b from vox a join vox b on b.image_id = a.image_id + 1 and b.f = a.f),
+@register("dose_eval", f"""with {VOX}, p as (select a.image_id, a.v * 1e9 * 8.478e-8::double / (2.0 * (1 + 0.0007 * abs(b.v)) + 1e-4) as a, b.v as b from vox a join vox b on b.image_id = a.image_id + 1 and b.f = a.f),
     k as (select *, max(b) over (partition by image_id) as peak from p)
     select image_id, round(avg(abs(a - b)), 4) + 0.0 as mae, round(corr(a, b), 5) + 0.0 as pearson, round(avg(case when b > 0.01 * peak then a - b end), 4) + 0.0 as bias from k group by image_id""")
 def dose_eval(spark, sf_dir):
@@ -426,16 +426,25 @@ def dose_eval(spark, sf_dir):
     return dose.agreement(p, "a", "b", ["image_id"]).select("image_id", tidy(F.col("mae"), 4).alias("mae"), tidy(F.col("pearson"), 5).alias("pearson"), tidy(F.col("bias"), 4).alias("bias"))
 
 
-COS3 = [math.sin(math.pi * (i + 0.5) / 3) for i in range(3)]
+# The window over four voxels, cos at -90, -30, 30 and 90 degrees; Gy per count.
+def blend_sql(images: str, instead: str, least: float) -> str:
+    """Blending of 4 x 4 x 4 cubes, two voxels apart, of 6 x 6 x 6 volumes `pv` with v: predicted as v times the cube's top, with `instead` in cubes below `least`."""
+    return f"""with {VOX}, {IDS}, {grid(6, 6, 6)}, pv as ({images}), s(s) as (values (1), (3)),
+        w(k, w) as (values (0, 6.123233995736766e-17::double), (1, 0.8660254037844386::double), (2, 0.8660254037844386::double), (3, 6.123233995736766e-17::double)),
+        p as (select v.*, a.s as px, b.s as py, c.s as pz, wa.w * wb.w * wc.w as w from pv v join s a on a.s <= x and x < a.s + 4 join s b on b.s <= y and y < b.s + 4 join s c on c.s <= z and z < c.s + 4
+            join w wa on wa.k = x - a.s join w wb on wb.k = y - b.s join w wc on wc.k = z - c.s),
+        q as (select *, max(v) over (partition by image_id, px, py, pz) as top from p)
+        select image_id, x::int as x, y::int as y, z::int as z, round(sum(w * case when top < {least} then {instead} else v * top end) / (sum(w) + 1e-8), 5) + 0.0 as value from q group by image_id, x, y, z"""
 
 
-@register("patch_blend", f"""with {VOX}, s(s) as (values (1), (2)), w(k, w) as (values (0, {COS3[0]!r}::double), (1, {COS3[1]!r}::double), (2, {COS3[2]!r}::double)),
-    p as (select v.*, a.s as px, b.s as py, c.s as pz, wa.w * wb.w * wc.w as w from vox v join s a on a.s <= x and x < a.s + 3 join s b on b.s <= y and y < b.s + 3 join s c on c.s <= z and z < c.s + 3
-        join w wa on wa.k = x - a.s join w wb on wb.k = y - b.s join w wc on wc.k = z - c.s),
-    q as (select *, max(v) over (partition by image_id, px, py, pz) as top from p)
-    select image_id, x::int as x, y::int as y, z::int as z, round(sum(w * case when top < 0.35 then v else v * top end) / (sum(w) + 1e-8), 5) + 0.0 as value from q group by image_id, x, y, z""")
+PADDED = "select i.image_id, g.x, g.y, g.z, coalesce(v.v, 0.0) as v from ids i cross join grid g left join vox v on v.image_id = i.image_id and v.x = g.x - 1 and v.y = g.y - 1 and v.z = g.z - 1"
+
+
+@register("patch_blend", blend_sql(PADDED, "v * 1e9::double * 8.478e-8::double / (2.0::double * (1 + 0.0007::double * abs(v)) + 1e-4::double)", 0.3))
 def patch_blend(spark, sf_dir):
-    return rows(dose.blend_patches(images(spark, sf_dir), 3, 1, lambda cube: cube * cube.max(), 0.35), digits=5)
+    """Cubes of low activity take the analytical dose of their counts and density."""
+    df = as_double(spatial.pad(images(spark, sf_dir), (1, 1, 1), (1, 1, 1))).withColumn("rho", F.transform("voxels", lambda v: 1 + 0.0007 * F.abs(v)))
+    return rows(dose.blend_patches(df, 4, 2, lambda cube, rho: cube * cube.max(), lambda cube, rho: cube * 1e9 * dose.GRAY / (2.0 * rho + 1e-4), 0.3, ("rho",)), digits=5)
 
 
 def stats_sql(img: str, mask: str, name: str) -> str:
