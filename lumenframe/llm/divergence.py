@@ -34,6 +34,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
+def plain(texts: list) -> pd.Series:
+    """A column of texts that is one also when it is empty."""
+    return pd.Series(texts, dtype=object)
+
+
 def tally(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Occurrences and documents of every term per (lang, source), summed over a part of the table; one row without a term per group."""
     words: dict[tuple, Counter] = {}
@@ -43,7 +48,9 @@ def tally(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def told() -> Iterator[pd.DataFrame]:
         for (lang, source), counts in words.items():
             terms = list(counts)
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [None, *terms], "n": [0, *counts.values()], "docs": [0, *map(docs[lang, source].__getitem__, terms)]})
+            n = len(terms) + 1
+            texts = {"lang": plain([lang] * n), "source": plain([source] * n), "term": plain([None, *terms])}
+            yield pd.DataFrame({**texts, "n": [0, *counts.values()], "docs": [0, *map(docs[lang, source].__getitem__, terms)]})
 
     for batch in batches:
         for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
@@ -89,7 +96,8 @@ def compared(facts: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         columns = [Runs(c, ends, t) for c, t in zip(counts, totals, strict=True)]
         for i, j in pairs:
             sums[i, j] = columns[i].divergence(columns[j])
-    return pd.DataFrame({"lang": facts["lang"].iloc[0] if len(facts) else "", "a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs], "value": [sums[i, j] for i, j in pairs]})
+    texts = {"lang": plain(facts["lang"].tolist()[:1] * len(pairs)), "a": plain([names[i] for i, _ in pairs]), "b": plain([names[j] for _, j in pairs])}
+    return pd.DataFrame({**texts, "value": np.array([sums[i, j] for i, j in pairs], np.int64)})
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
