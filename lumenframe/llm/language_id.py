@@ -146,16 +146,18 @@ def fold(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def fit_languages(docs: DataFrame, most: int = 4000) -> Model:
+def fit_languages(docs: DataFrame, most: int = 4000, salts: int = 64) -> Model:
     """Learn from at most `most` documents outside fold 0 with a lang, an id and a letter, dealt evenly to the langs: those with the smallest hashes.
 
-    Each teaches with an excerpt of EXCERPT characters from a place of the text that its hash chooses, so the driver holds at most most * EXCERPT characters,
+    A lang gives at most most / salts documents, rounded up, of each of `salts` classes of hashes, so that no lang is sorted in one task. Each
+    teaches with an excerpt of EXCERPT characters from a place of the text that its hash chooses, so the driver holds at most most * EXCERPT characters,
     whatever the size of the table or the texts. Langs beyond `most` in number, by the hashes of their first documents, aren't learned. `und` isn't learned.
     """
     taught = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0) & letters("text"))
     start = F.pmod(F.xxhash64("doc_id", F.lit("excerpt")), F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))).cast("int") + 1
     rows = taught.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("excerpt"))
-    dealt = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "excerpt"))).where(F.col("nth") <= most)
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "doc_id", "excerpt")
+    dealt = rows.withColumn("nth", F.row_number().over(salted)).where(F.col("nth") <= -(-most // salts))
     sample = dealt.orderBy("nth", "h", "lang", "doc_id", "excerpt").limit(most).collect()
     return train([r["excerpt"] for r in sample], [r["lang"] for r in sample])
 
