@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,56 +94,73 @@ def clearance(curves: DataFrame) -> DataFrame:
     return areas(curves).join(tops, "curve").select("curve", F.when(F.col("auc") > 0, F.col("a_max") / F.col("auc")).alias("clearance"))
 
 
-def running_simpson(rows: DataFrame, t: str, y: str, by: Sequence[str], out: str) -> DataFrame:
-    """Adds simpson() over each row and all before it in its group (numbered i from 1): a running sum over pairs of intervals, and
-    the last interval's correction where the number of points is even."""
-    w = Window.partitionBy(*by).orderBy("i")
-    t0, t1, t2 = F.lag(t, 2).over(w), F.lag(t, 1).over(w), F.col(t)
-    y0, y1, y2 = F.lag(y, 2).over(w), F.lag(y, 1).over(w), F.col(y)
-    r = rows.withColumns({"_h0": t1 - t0, "_h1": t2 - t1, "_y0": y0, "_y1": y1})
-    h0, h1, y0, y1 = (F.col(c) for c in ("_h0", "_h1", "_y0", "_y1"))
-    whole = (h0 != 0) & (h1 != 0)
-    pair = (h0 + h1) / 6 * ((2 - h1 / h0) * y0 + (h0 + h1) * (h0 + h1) / (h0 * h1) * y1 + (2 - h0 / h1) * y2)
-    last = y2 * (2 * h1 * h1 + 3 * h0 * h1) / (6 * (h0 + h1)) + y1 * (h1 * h1 + 3 * h1 * h0) / (6 * h0) - y0 * h1 * h1 * h1 / (6 * h0 * (h0 + h1))
-    r = r.withColumn("_pairs", F.sum(F.when((F.col("i") % 2 == 1) & (F.col("i") > 2) & whole, pair).otherwise(0.0)).over(w))
-    even = F.when(F.col("i") == 2, h1 * (y1 + y2) / 2).otherwise(F.col("_pairs") + F.when(whole, last).otherwise(0.0))
-    return r.withColumn(out, F.when(F.col("i") % 2 == 1, F.col("_pairs")).otherwise(even)).drop("_h0", "_h1", "_y0", "_y1", "_pairs")
+def decayed_simpson(t: np.ndarray, y: np.ndarray, mu: float) -> np.ndarray:
+    """For every point i the integral of y(u) exp(-mu (t_i - u)) up to it: Simpson's rule of simpson() over points 0 to i.
+
+    A pair of intervals gives its integral as seen from its end, and all before it fades by exp(-mu * the pair's length): exponents never grow, however long the curve.
+    """
+    n, out = len(t), np.zeros(len(t))
+    if n < 2:
+        return out
+    h = np.diff(t)
+    fade = np.exp(-mu * h)
+    out[1] = h[0] * (y[0] * fade[0] + y[1]) / 2
+    if n > 2:
+        h0, h1 = h[:-1], h[1:]
+        seen0, seen1, seen2 = y[:-2] * fade[:-1] * fade[1:], y[1:-1] * fade[1:], y[2:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pair = (h0 + h1) / 6 * ((2 - h1 / h0) * seen0 + (h0 + h1) ** 2 / (h0 * h1) * seen1 + (2 - h0 / h1) * seen2)
+            last = seen2 * (2 * h1 * h1 + 3 * h0 * h1) / (6 * (h0 + h1)) + seen1 * (h1 * h1 + 3 * h1 * h0) / (6 * h0) - seen0 * h1**3 / (6 * h0 * (h0 + h1))
+        whole = (h0 != 0) & (h1 != 0)
+        pair, last, fade2 = np.where(whole, pair, 0.0).tolist(), np.where(whole, last, 0.0), (fade[:-1] * fade[1:]).tolist()
+        held = 0.0
+        for i in range(2, n, 2):
+            out[i] = held = held * fade2[i - 2] + pair[i - 2]
+        odd = np.arange(3, n, 2)
+        out[odd] = out[odd - 1] * fade[odd - 1] + last[odd - 2]
+    return out
 
 
 def organ_dose(curves: DataFrame, organs: DataFrame) -> DataFrame:
-    """Dose = area * S; G of Lea and Catcheside (nested Simpson, clipped to [0, 1]); BED = D (1 + G D / ab); EQD2.
+    """Dose = area * S; G of Lea and Catcheside (nested Simpson, clipped to [0, 1] where it is finite); BED = D (1 + G D / ab); EQD2.
 
-    organs: curve, s_value, mu (per unit of t), alpha_beta. The inner integral of a(u) exp(-mu (t - u)) is a running one of
-    a(u) exp(mu u), times exp(-mu t): one window over each curve. Times count from the curve's first, so exponents stay small.
+    organs: curve, s_value, mu (per unit of t), alpha_beta. One pass over each curve's points in time order gives its area by trapezoids, the inner integral of
+    a(u) exp(-mu (t - u)) at every point and the outer one over them, for any mu and length. A null mu gives null G, BED and EQD2. A curve's points meet in one task.
     """
-    base = curves.join(organs, "curve").select("curve", "i", "t", "a", "mu")
-    start = F.first("t").over(Window.partitionBy("curve").orderBy("i"))
-    grown = base.withColumn("past", F.col("mu") * (F.col("t") - start)).withColumn("grown", F.col("a") * F.exp("past"))
-    inner = running_simpson(grown, "t", "grown", ["curve"], "inner")
-    first = F.col("a") * (1 - F.exp(-F.col("mu") * F.col("t")))
-    both = inner.withColumn("y", F.col("a") * F.when(F.col("i") == 1, first).otherwise(F.col("inner") * F.exp(-F.col("past"))))
-    outer = simpson(both.select("curve", "i", "t", "y"), "t", "y", ["curve"], "outer")
-    g = F.when(F.col("auc_trapezoid") != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.col("outer") / (F.col("auc_trapezoid") * F.col("auc_trapezoid")))))
-    rows = areas(curves).join(organs, "curve").join(outer, "curve").withColumn("dose", F.col("auc_trapezoid") * F.col("s_value")).withColumn("g", g)
+
+    @F.pandas_udf("struct<auc: double, outer: double>")
+    def integrals(points: pd.Series, mu: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, m in zip(points, mu, strict=True):
+            t, a = (np.array([x[k] for x in p], float) for k in ("t", "a"))
+            y = a * decayed_simpson(t, a, m)
+            y[0] = a[0] * a[0] * (1 - np.exp(-m * t[0]))
+            rows.append((float((np.diff(t) * (a[:-1] + a[1:]) / 2).sum()), float(decayed_simpson(t, y, 0.0)[-1]) if pd.notna(m) else None))
+        return pd.DataFrame(rows, columns=["auc", "outer"])
+
+    points = curves.groupBy("curve").agg(F.array_sort(F.collect_list(F.struct("i", "t", "a"))).alias("points"))
+    rows = points.join(organs, "curve").withColumn("n", integrals("points", "mu")).select("curve", "s_value", "alpha_beta", "n.auc", "n.outer")
+    raw = F.when(F.col("auc") != 0, 2 * F.col("outer") / (F.col("auc") * F.col("auc")))
+    finite = ~F.isnan(raw) & (F.abs(raw) != float("inf"))
+    rows = rows.withColumn("dose", F.col("auc") * F.col("s_value")).withColumn("g", F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))))
     rows = rows.withColumn("bed", F.col("dose") * (1 + F.col("g") * F.col("dose") / F.col("alpha_beta")))
-    return rows.select("curve", F.col("auc_trapezoid").alias("auc"), "dose", "g", "bed", (F.col("bed") / (1 + 2 / F.col("alpha_beta"))).alias("eqd2"))
+    return rows.select("curve", "auc", "dose", "g", "bed", (F.col("bed") / (1 + 2 / F.col("alpha_beta"))).alias("eqd2"))
 
 
 def medians(rows: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
     """(by, median): exact medians without holding a group in one task.
 
-    Approximate quantiles just below and above bracket the median (their rank error is a tenth of the bracket's width); only the
-    bracket's 0.4 % of rows are ordered, and the middle ranks are found by counting the rows below it.
+    Approximate quantiles just below and above bracket the median (their rank error is a tenth of the bracket's width). Rows are counted by distinct value inside the
+    bracket, all below it as one, before the shuffle; only those counts are put in order. Rows that tie at the median are one count, however many they are.
     """
     v = rows.select(*by, value.cast("double").alias("v")).where("v is not null")
     ends = v.groupBy(*by).agg(F.percentile_approx("v", [0.498, 0.502], 5000).alias("e"), F.count("*").alias("n"))
-    met = v.join(ends, list(by))
-    below = met.groupBy(*by).agg(F.count_if(F.col("v") < F.col("e")[0]).alias("below"))
-    inside = met.where((F.col("v") >= F.col("e")[0]) & (F.col("v") <= F.col("e")[1]))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("v"))
-    ranked = inside.withColumn("place", place).join(below, list(by)).withColumn("rank", F.col("below") + F.col("place"))
-    middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor((F.col("n") + 2) / 2))
-    return ranked.where(middle).groupBy(*by).agg(F.avg("v").alias("median"))
+    met = v.join(ends, list(by)).where(F.col("v") <= F.col("e")[1])
+    counts = met.groupBy(*by, "n", F.when(F.col("v") >= F.col("e")[0], F.col("v")).alias("v")).agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
+    reached = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    middle = [reached(F.floor((F.col("n") + k) / 2)) for k in (1, 2)]
+    return counts.withColumn("upto", upto).groupBy(*by).agg(((middle[0] + middle[1]) / 2).alias("median"))
 
 
 def regression_metrics(rows: DataFrame, truth: str, guess: str, by: Sequence[str]) -> DataFrame:
@@ -170,3 +189,30 @@ def correlated_columns(rows: DataFrame, columns: Sequence[str], most: float = 0.
     wide = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(b).alias("column"), F.abs(F.col(f"`{a}|{b}`")).alias("r")) for a, b in pairs])).alias("p")).select("p.*")
     return long.groupBy("column").agg(F.max("r").alias("r")).where(F.col("r") > most).select("column")
+
+
+def feature_ranking(features: DataFrame, targets: DataFrame, case: str, filled: float = 0.8, most: float = 0.9) -> DataFrame:
+    """From curve features and dose targets to a ranking of features as predictors: join, clean, drop, fit, measure and rank as one plan.
+
+    features and targets: `case` and numeric columns; rows meet on `case`. Features with fewer than `filled` of their values are dropped, then rows with a missing one, then
+    features that correlate by more than `most` with an earlier kept column. Each that is left predicts each target by a straight line; measures are those of regression_metrics and
+    places those of rank_models. Which columns go hangs on the data, so columns become rows and the plan is the same for all. A target that is constant has no R2 and ranks on the rest.
+    Returns target, feature, rank_sum, best.
+    """
+    names, aims = [c for c in features.columns if c != case], [c for c in targets.columns if c != case]
+    long = lambda df, columns, name, value: df.select(case, F.inline(F.array(*[F.struct(F.lit(i).alias(f"{name}_at"), F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for i, c in enumerate(columns)])))
+    there = lambda c: c.isNotNull() & ~F.isnan(c)
+    met = features.join(targets.select(case), case, "left_semi")
+    x = long(met, names, "feature", "x").withColumn("x", F.when(there(F.col("x")), F.col("x")))
+    enough = x.groupBy("feature").agg(F.count("x").alias("held"), F.count("*").alias("n")).where(F.col("held") >= F.floor(filled * F.col("n"))).select("feature")
+    x = x.join(enough, "feature", "left_semi")
+    x = x.join(x.where("x is null").select(case).distinct(), case, "left_anti")
+    # Pairs of columns of one row: names are fixed by the schema, so a row meets itself len(names) times at most.
+    y = x.select(case, F.col("feature_at").alias("earlier"), F.col("x").alias("other"))
+    twins = x.join(y, case).where("earlier < feature_at").groupBy("feature", "earlier").agg(F.abs(F.corr("x", "other")).alias("r")).where(F.col("r") > most).select("feature").distinct()
+    x = x.join(twins, "feature", "left_anti")
+    pairs = x.join(long(targets, aims, "target", "y").where(there(F.col("y"))), case)
+    lines = pairs.groupBy("target", "feature").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("base"))
+    guessed = pairs.join(lines, ["target", "feature"]).withColumn("guess", F.col("base") + F.col("slope") * F.col("x"))
+    measured = regression_metrics(guessed.where("guess is not null").select("target", "feature", "y", "guess"), "y", "guess", ["target", "feature"])
+    return rank_models(measured, "target", "feature")

@@ -146,9 +146,8 @@ def from_sidecars(files: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def by_size_class(catalog: DataFrame, classes: Sequence[str] = ("large", "xlarge")) -> DataFrame:
-    """(size_category, files): the files of each class in order of name; a class without files has no row. A catalog holds names only."""
-    rows = catalog.where(F.col("size_category").isin(list(classes)))
-    return rows.groupBy("size_category").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    """(size_category, file): the files of the given classes in order of class and name, a row per file."""
+    return catalog.where(F.col("size_category").isin(list(classes))).select("size_category", "file").orderBy("size_category", "file")
 
 
 def series_list(spark: SparkSession, path: str) -> DataFrame:

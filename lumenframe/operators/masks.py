@@ -133,8 +133,14 @@ def gradient_magnitude(images: DataFrame, eps: float = 1e-8) -> DataFrame:
 
 
 def one_sided_gradient(images: DataFrame, eps: float = 1e-6) -> DataFrame:
-    """The same with one-sided differences where an axis ends."""
-    return map_voxels(images, lambda v: np.sqrt(sum(np.gradient(v, axis=k) ** 2 if v.shape[k] > 1 else 0 * v for k in range(3)) + eps))
+    """The size of directional_flux: sqrt(gx^2 + gy^2 + gz^2 + eps)."""
+    return map_voxels(images, lambda v: np.sqrt(sum(kernels.flux(v, k) ** 2 for k in range(3)) + eps))
+
+
+def directional_flux(images: DataFrame) -> DataFrame:
+    """Adds flat arrays flux_x, flux_y and flux_z: the next voxel less the one before along each axis, the end voxel standing for what lies beyond."""
+    found = of_volume("struct<flux_x: array<double>, flux_y: array<double>, flux_z: array<double>>", lambda v: tuple(kernels.flux(v, k).reshape(-1) for k in range(3)), "voxels", "dims")
+    return images.withColumn("_f", found).select(*images.columns, "_f.*")
 
 
 def endpoints(images: DataFrame, above: float = 0.1) -> DataFrame:

@@ -144,11 +144,20 @@ def endpoints(spark, sf_dir):
 
 
 @register("grad_one_sided", f"""with {VOX}, n as (select *, {', '.join(f'lag(v) over w{a} as l{a}, lead(v) over w{a} as r{a}' for a in 'xyz')} from vox window {', '.join(f'w{a} as (partition by image_id, {", ".join(b for b in "xyz" if b != a)} order by {a})' for a in 'xyz')}),
-    g as (select *, {', '.join(f'case when l{a} is null then r{a} - v when r{a} is null then v - l{a} else (r{a} - l{a}) / 2 end as g{a}' for a in 'xyz')} from n) {out('g', 'sqrt(gx * gx + gy * gy + gz * gz + 1e-6)')}""")
+    g as (select *, {', '.join(f'coalesce(r{a}, v) - coalesce(l{a}, v) as g{a}' for a in 'xyz')} from n) {out('g', 'sqrt(gx * gx + gy * gy + gz * gz + 1e-6)')}""")
 def grad_one_sided(spark, sf_dir):
     return rows(masks.one_sided_gradient(images(spark, sf_dir)))
 
 
+@register("directional_flux", f"""with {VOX}, n as (select *, {', '.join(f'lag(v) over w{a} as l{a}, lead(v) over w{a} as r{a}' for a in 'xyz')} from vox window {', '.join(f'w{a} as (partition by image_id, {", ".join(b for b in "xyz" if b != a)} order by {a})' for a in 'xyz')})
+    select image_id, x::int as x, y::int as y, z::int as z, {', '.join(f'round(coalesce(r{a}, v) - coalesce(l{a}, v), 6) + 0.0 as flux_{a}' for a in 'xyz')} from n""")
+def directional_flux(spark, sf_dir):
+    f = masks.directional_flux(images(spark, sf_dir))
+    zipped = F.posexplode(F.arrays_zip("flux_x", "flux_y", "flux_z")).alias("f", "g")
+    at = f.select("image_id", zipped).select("image_id", *((F.floor(F.col("f") / 4**i) % 4 + 1).cast("int").alias(a) for i, a in enumerate("xyz")), "g.*")
+    return at.select("image_id", "x", "y", "z", *(tidy(F.col(f"flux_{a}")).alias(f"flux_{a}") for a in "xyz"))
+
+
 @register("mapped_voxels", f"with {VOX} {out('vox', 'v * v * z')}")
 def mapped_voxels(spark, sf_dir):
     """A user's own function of whole volumes."""

@@ -113,16 +113,58 @@ def tac_percentiles(spark, sf_dir):
 
 
 # Organ parameters by curve: S value, repair rate per day and alpha/beta.
-@register("dose_table", f"""with {PTS}, k as (select curve, i, t, a, 0.004125::double * (1 + curve % 3) as mu from c),
+def dose_sql(days: str) -> str:
+    """Nested integrals spelled out: every point against all before it. `days` is a point's time."""
+    return f"""with {PTS}, k as (select curve, i, {days} as t, a, 0.004125::double * (1 + curve % 3) as mu from c),
     pr as (select x.curve, x.i as upto, y.i as i, y.t as u, y.a * exp(-x.mu * (x.t - y.t)) as y from k x join k y on x.curve = y.curve and y.i <= x.i), {simpson_sql('pr', 'curve, upto', 'u', 'y', 'inn', 'inn')},
     b as (select k.curve, k.i, k.t, k.a * case when k.i = 1 then k.a * (1 - exp(-k.mu * k.t)) else inn.inn end as y from k join inn on inn.curve = k.curve and inn.upto = k.i), {simpson_sql('b', 'curve', 't', 'y', 'o', 'o')},
-    z as (select curve, sum(coalesce((t_next - t) * (a + a_next) / 2, 0)) as z from c group by curve), g as (select curve, z, z * 4.82e-6::double as d, greatest(0, least(1, 2 * o / (z * z))) as g from z join o using (curve))
-    select curve, {r('z', 'auc', 3)}, {r('d', 'dose')}, {r('g', 'g')}, {r('d * (1 + g * d / 2.5::double)', 'bed')}, {r('d * (1 + g * d / 2.5::double) / (1 + 2 / 2.5::double)', 'eqd2')} from g""")
-def dose_table(spark, sf_dir):
-    c = curves.clean(points(spark, sf_dir))
+    z as (select curve, sum(coalesce((t_next - t) * (a + a_next) / 2, 0)) as z from (select *, lead(t) over w as t_next, lead(a) over w as a_next from k window w as (partition by curve order by i)) group by curve),
+    g as (select curve, z, z * 4.82e-6::double as d, greatest(0, least(1, 2 * o / (z * z))) as g from z join o using (curve))
+    select curve, {r('z', 'auc', 3)}, {r('d', 'dose')}, {r('g', 'g', 7)}, {r('d * (1 + g * d / 2.5::double)', 'bed', 4)}, {r('d * (1 + g * d / 2.5::double) / (1 + 2 / 2.5::double)', 'eqd2', 4)} from g"""
+
+
+def doses(c: DataFrame) -> DataFrame:
     organs = c.select("curve").distinct().select("curve", F.lit(4.82e-6).alias("s_value"), (0.004125 * (F.col("curve") % 3 + 1)).alias("mu"), F.lit(2.5).alias("alpha_beta"))
     d = curves.organ_dose(c, organs)
-    return rounded(d, ["curve", "auc"]).withColumn("auc", tidy(F.col("auc"), 3))
+    digits = {"auc": 3, "dose": 5, "g": 7, "bed": 4, "eqd2": 4}
+    return d.select("curve", *(tidy(F.col(name), n).alias(name) for name, n in digits.items()))
+
+
+@register("dose_table", dose_sql("t"))
+def dose_table(spark, sf_dir):
+    return doses(curves.clean(points(spark, sf_dir)))
+
+
+@register("dose_table_long", dose_sql("(t - 19000) * 10000"))
+def dose_table_long(spark, sf_dir):
+    """Curves of 10^5 days: repair rate times span is up to 3600, where a growing exponent would overflow."""
+    return doses(curves.clean(points(spark, sf_dir).withColumn("t", (F.col("t") - 19000) * 10000)))
+
+
+FEATURES = ("a_max", "a_mean", "a_std", "a_median", "energy", "time_to_peak", "t_max", "sparse")
+
+
+@register("feature_ranking", f"""with {PTS}, {simpson_sql('c', 'curve', 't', 'a', 'auc', 's')},
+    e as (select curve, max(a) as a_max, avg(a) as a_mean, stddev_pop(a) as a_std, quantile_cont(a, 0.5) as a_median, sum(a * a) as energy, first(t order by a desc, i) - min(t) as time_to_peak, first(t order by a desc, i) as t_max,
+        case when curve % 3 = 0 then max(a) end as sparse from c group by curve),
+    ta as (select curve, auc as y1, auc * 4.82e-6::double * (1 + auc * 1e-5::double) as y2 from s where curve % 13 <> 5),
+    f as ({' union all '.join(f"select curve, {i} as place, '{n}' as name, {'case when curve % 11 <> 0 then a_std end' if n == 'a_std' else n}::double as x from e where curve in (select curve from ta)" for i, n in enumerate(FEATURES))}),
+    f1 as (select * from f where name in (select name from f group by name having count(x) >= floor(0.8 * count(*)))),
+    f2 as (select * from f1 where curve not in (select curve from f1 where x is null)),
+    tw as (select a.name from f2 a join f2 b on a.curve = b.curve and b.place < a.place group by a.name, b.name having abs(corr(a.x, b.x)) > 0.9),
+    p as (select f2.curve, name as feature, x, t.target, t.y from f2 join (select curve, 'y1' as target, y1 as y from ta union all select curve, 'y2', y2 from ta) t using (curve) where name not in (select name from tw)),
+    l as (select target, feature, regr_slope(y, x) as slope, regr_intercept(y, x) as base from p group by all),
+    g as (select target, feature, y, base + slope * x as p from p join l using (target, feature)),
+    k as (select target, feature, avg(abs(y - p)) as mae, avg((y - p) ** 2) as mse, sqrt(avg((y - p) ** 2)) as rmse, 1 - avg((y - p) ** 2) / var_pop(y) as r2, quantile_cont(abs(y - p), 0.5) as medae, avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) as mape from g group by all),
+    q as (select target, feature, {' + '.join(f'rank() over (partition by target order by round({c}, 9))' for c in ('mae', 'mse', 'rmse', 'medae', 'mape'))} + rank() over (partition by target order by round(r2, 9) desc) as rank_sum from k)
+    select target, feature, rank_sum::int as rank_sum, row_number() over (partition by target order by rank_sum, feature) = 1 as best from q""")
+def feature_ranking(spark, sf_dir):
+    """Curve features joined to dose targets, columns dropped, and what is left ranked as predictors."""
+    c = curves.clean(points(spark, sf_dir))
+    f = curves.features(c).withColumn("sparse", F.when(F.col("curve") % 3 == 0, F.col("a_max"))).withColumn("a_std", F.when(F.col("curve") % 11 != 0, F.col("a_std")))
+    auc = F.col("auc")
+    targets = curves.areas(c).where("curve % 13 <> 5").select("curve", auc.alias("y1"), (auc * 4.82e-6 * (1 + auc * 1e-5)).alias("y2"))
+    return curves.feature_ranking(f.select("curve", *FEATURES), targets, "curve")
 
 
 GUESSES = """g as (select l_returnflag as grp, m.m as model, l_extendedprice as y, l_quantity * case m.m when 0 then 1400 when 1 then 1500 when 2 then 1600 else 1550 end * (1 - l_discount * m.m) as p from lineitem, range(4) m(m))"""
@@ -309,7 +351,7 @@ def sidecar_catalog(spark, sf_dir):
 
 @register("size_classes", f"with {SIDECARS} select size_category, len(list(file))::int as n, list_sort(list(file))[1] as first from cat where size_category in ('large', 'xlarge') group by size_category")
 def size_classes(spark, sf_dir):
-    return inventory.by_size_class(sidecars(spark, sf_dir)).select("size_category", F.size("files").alias("n"), F.col("files")[0].alias("first"))
+    return inventory.by_size_class(sidecars(spark, sf_dir)).groupBy("size_category").agg(F.count("*").cast("int").alias("n"), F.min("file").alias("first"))
 
 
 @register("inventory_walk", """with f as (select o_orderkey, '/scans/' || o_custkey::varchar || '/' || o_orderkey::varchar || '.dcm' as path, '/scans/' || o_custkey::varchar as folder, o_orderstatus from orders)
