@@ -12,18 +12,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 IMAGE = "file string, dims array<int>, channels int, voxels array<float>, origin array<double>, spacing array<double>, direction array<double>"
 # NIfTI-1 data type codes.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
-def parse(data: bytes) -> dict:
-    """Dims, channels, float32 voxels (x fastest) and geometry of a NIfTI-1 file, gzipped or not, of either byte order."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def header(data: bytes) -> dict:
+    """Dims, channels, geometry and where and how the voxels lie, of the first 352 bytes of an unpacked NIfTI-1 file of either byte order."""
     order = "<" if struct.unpack_from("<i", data, 0)[0] == 348 else ">"
     if struct.unpack_from(order + "i", data, 0)[0] != 348 or data[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
@@ -33,9 +29,6 @@ def parse(data: bytes) -> dict:
     dims = [max(1, d) for d in dim[1:4]]
     channels = int(np.prod([max(1, d) for d in dim[4 : dim[0] + 1]])) if dim[0] > 3 else 1
     kind = np.dtype(order + TYPES[code])
-    voxels = np.frombuffer(data, kind, int(np.prod(dims)) * channels, int(offset)).astype(np.float32)
-    if slope not in (0.0, 1.0) or (slope and inter):
-        voxels = voxels * np.float32(slope) + np.float32(inter)
     if get("h", 254)[0] > 0:
         m = np.array(get("12f", 280), float).reshape(3, 4)
     else:
@@ -46,7 +39,25 @@ def parse(data: bytes) -> dict:
         m = np.hstack([r * scale, [[x], [y], [z]]]) if get("h", 252)[0] > 0 else np.hstack([np.diag(scale), np.zeros((3, 1))])
     m = np.diag([-1.0, -1.0, 1.0]) @ m
     spacing = np.linalg.norm(m[:, :3], axis=0)
-    return {"dims": dims, "channels": channels, "voxels": voxels, "origin": m[:, 3].tolist(), "spacing": spacing.tolist(), "direction": (m[:, :3] / spacing).reshape(-1).tolist()}
+    place = {"offset": int(offset), "kind": kind, "bytes": int(np.prod(dims)) * channels * kind.itemsize, "slope": slope, "inter": inter}
+    return {"dims": dims, "channels": channels, "origin": m[:, 3].tolist(), "spacing": spacing.tolist(), "direction": (m[:, :3] / spacing).reshape(-1).tolist(), **place}
+
+
+def values(head: dict, data: bytes, count: int = -1) -> np.ndarray:
+    """Voxels in single precision, by the header's slope and intercept; a slope of 0 or one that isn't finite scales nothing."""
+    voxels, slope, inter = np.frombuffer(data, head["kind"], count).astype(np.float32), head["slope"], head["inter"]
+    if slope != 0 and np.isfinite(slope) and np.isfinite(inter) and (slope != 1 or inter):
+        voxels = voxels * np.float32(slope) + np.float32(inter)
+    return voxels
+
+
+def parse(data: bytes) -> dict:
+    """Dims, channels, float32 voxels (x fastest) and geometry of a NIfTI-1 file, gzipped or not, of either byte order."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    head = header(data)
+    row = {k: head[k] for k in ("dims", "channels", "origin", "spacing", "direction")}
+    return row | {"voxels": values(head, data[head["offset"] : head["offset"] + head["bytes"]])}
 
 
 def build(dims: list[int], voxels: np.ndarray, origin: list[float], spacing: list[float], direction: list[float]) -> bytes:
@@ -80,37 +91,8 @@ def read_nifti(spark: SparkSession, path: str, headers_only: bool = False) -> Da
     return files.mapInPandas(each, IMAGE)
 
 
-class NiftiWriter(DataSourceWriter):
-    """One file per row, named by its `file` column, in any file system that pyarrow can open."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        from pyarrow import fs
-
-        where, base = fs.FileSystem.from_uri(self.path)
-        where.create_dir(base)
-        for row in rows:
-            data = build(list(row["dims"]), np.array(row["voxels"], np.float32), list(row["origin"]), list(row["spacing"]), list(row["direction"]))
-            with where.open_output_stream(f"{base}/{row['file']}", compression=None) as out:
-                out.write(gzip.compress(data, mtime=0) if row["file"].endswith(".gz") else data)
-        return WriterCommitMessage()
-
-
-class NiftiSource(DataSource):
-    """df.write.format("nifti").save(uri): columns file, dims, voxels, origin, spacing, direction."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "nifti"
-
-    def writer(self, schema, overwrite: bool) -> NiftiWriter:  # noqa: ANN001
-        return NiftiWriter(self.options["path"])
-
-
 def write_nifti(images: DataFrame, uri: str) -> None:
-    """Write image rows with a `file` column; existing files of the same names are replaced."""
-    images.sparkSession.dataSource.register(NiftiSource)
-    columns = ("file", "dims", "voxels", "origin", "spacing", "direction")
-    images.select(*(F.col(c) for c in columns)).write.format("nifti").mode("append").save(uri)
+    """Write image rows with a `file` column; existing files of the same names are replaced when the job commits."""
+    from lumenframe.sources import volumes
+
+    volumes.save(images, uri)

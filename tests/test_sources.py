@@ -1,10 +1,14 @@
+import os
+import struct
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import volumes
+from lumenframe.operators import bricks, volumes
 from lumenframe.sources import metaimage, nifti, scene, store
+from lumenframe.sources import volumes as source
 from lumenframe.streaming import landing
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +86,65 @@ def test_store_restores_metadata(spark, tmp_path):
     store.save_images(df, str(tmp_path / "s"), "ct")
     back = store.load_images(spark, str(tmp_path / "s"), "ct", metadata={"metadata": "map<string, bigint>"})
     assert {r["image_id"]: r["metadata"] for r in back.collect()} == {i: {"k": i} for i in range(3)}
+
+
+def phantoms(spark, n=6):
+    df = volumes.images_from_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), spacing=(1.5, 2, 0.5), origin=(3, -4, 5)).where(F.col("image_id") < n)
+    return df.withColumn("file", F.concat(F.lit("v"), F.col("image_id").cast("string"), F.when(F.col("image_id") % 2 == 0, ".nii").otherwise(".nii.gz")))
+
+
+def test_volume_scan_reads_what_is_asked(spark, tmp_path):
+    df, uri = phantoms(spark), f"file://{tmp_path}/v"
+    source.save(df, uri)
+    want = {r["file"]: r for r in df.collect()}
+    got = {r["file"]: r for r in source.scan(spark, uri).collect()}
+    assert set(got) == set(want) and all(np.array_equal(np.float32(got[f]["voxels"]), np.float32(want[f]["voxels"])) for f in want)
+    assert not [p for p in os.listdir(tmp_path / "v") if p.startswith("_")]
+    # Headers alone: files whose voxels are cut off can still be asked for their shape.
+    whole = (tmp_path / "v" / "v0.nii").read_bytes()
+    (tmp_path / "v" / "v0.nii").write_bytes(whole[:352])
+    heads = source.scan(spark, uri, ["file", "dims", "spacing"])
+    assert {(r["file"], tuple(r["dims"])) for r in heads.collect()} == {(f, (4, 4, 4)) for f in want}
+    assert "voxels" not in heads._jdf.queryExecution().executedPlan().toString()
+    # Files that a filter leaves out aren't opened: this one isn't a volume at all.
+    (tmp_path / "v" / "broken.nii").write_bytes(b"nothing")
+    few = source.scan(spark, uri, ["file", "voxels"]).where(F.col("file").isin("v1.nii.gz", "v2.nii"))
+    assert sorted(r["file"] for r in few.collect()) == ["v1.nii.gz", "v2.nii"] and few.rdd.getNumPartitions() == 2
+    assert source.scan(spark, uri, ["file"]).where(F.col("file").startswith("v3")).count() == 1
+
+
+@pytest.mark.parametrize("name", ["a.nii", "a.nii.gz"])
+def test_bricks_from_files(spark, tmp_path, name):
+    voxels = np.arange(5 * 6 * 7, dtype=np.float32)
+    row = (name, [5, 6, 7], voxels.tolist(), [0.0] * 3, [1.0] * 3, list(volumes.IDENTITY))
+    df = spark.createDataFrame([row], "file string, dims array<int>, voxels array<float>, origin array<double>, spacing array<double>, direction array<double>")
+    source.save(df, f"file://{tmp_path}/v")
+    rows = source.scan(spark, f"file://{tmp_path}/v", brick=(2, 4, 3))
+    assert rows.count() == 3 * 2 * 3 and rows.rdd.getNumPartitions() == (1 if name.endswith("gz") else 3)
+    assert np.array_equal(bricks.join(rows).first()["voxels"], voxels)
+    places = source.scan(spark, f"file://{tmp_path}/v", ["file", "dims", "side", "bx", "by", "bz"], brick=(2, 4, 3))
+    assert places.count() == 18
+
+
+def test_a_task_that_dies_leaves_no_file(spark, tmp_path):
+    from pyspark.sql.functions import udf
+
+    df, uri = phantoms(spark).repartition(3), f"file://{tmp_path}/v"
+    source.save(df.where("image_id = 0").withColumn("file", F.lit("old.nii")), uri)
+
+    @udf("string")
+    def dies(name):
+        if name == "v4.nii":
+            raise RuntimeError("lost")
+        return name
+
+    with pytest.raises(Exception, match="lost"):
+        source.save(df.coalesce(1).sortWithinPartitions("image_id").withColumn("file", dies("file")), uri)
+    assert os.listdir(tmp_path / "v") == ["old.nii"]
+
+
+def test_slopes_that_are_no_numbers(tmp_path):
+    data = bytearray(nifti.build([2, 1, 1], np.array([1.0, 2.0]), [0, 0, 0], [1, 1, 1], list(volumes.IDENTITY)))
+    for slope, inter, want in ((float("nan"), 0.0, [1, 2]), (0.0, 5.0, [1, 2]), (2.0, 1.0, [3, 5]), (1.0, 3.0, [4, 5]), (2.0, float("nan"), [1, 2])):
+        struct.pack_into("<2f", data, 112, slope, inter)
+        assert nifti.parse(bytes(data))["voxels"].tolist() == want
