@@ -148,3 +148,27 @@ def test_slopes_that_are_no_numbers(tmp_path):
     for slope, inter, want in ((float("nan"), 0.0, [1, 2]), (0.0, 5.0, [1, 2]), (2.0, 1.0, [3, 5]), (1.0, 3.0, [4, 5]), (2.0, float("nan"), [1, 2])):
         struct.pack_into("<2f", data, 112, slope, inter)
         assert nifti.parse(bytes(data))["voxels"].tolist() == want
+
+
+def test_cycles_are_numbered_on_a_stream(spark, tmp_path):
+    """Days arrive out of order in several files; a last far row moves the watermark past all of them."""
+    import datetime
+
+    days = {1: [0, 3, 15, 16, 40], 2: [5], 3: [0, 9, 20, 29, 39]}
+    rows = [(p, datetime.datetime(2024, 1, 1, 8) + datetime.timedelta(days=d, hours=h)) for p, ds in days.items() for d in ds for h in (0, 5)]
+    order = sorted(rows, key=lambda r: (r[1].day * 7 + r[0]) % 11)
+    kind = "user_id long, ts timestamp"
+    for i in range(3):
+        spark.createDataFrame(order[i::3], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(9, datetime.datetime(2024, 6, 1))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(9, datetime.datetime(2024, 9, 1))], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = landing.stream_tables(spark, str(tmp_path / "in"), spark.createDataFrame([], kind).schema, 1)
+    q = landing.numbered_cycles(files, late="60 days").writeStream.outputMode("append").format("memory").queryName("numbered").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["patient"], r["day"]): (r["cycle"], r["n"]) for r in spark.table("numbered").collect() if r["patient"] != 9}
+    from lumenframe.operators import inventory
+
+    batch = spark.createDataFrame(rows, kind).withColumn("day", F.to_date("ts"))
+    want = inventory.assign_cycles(batch, "user_id", "day").groupBy("user_id", "day").agg(F.max("cycle").alias("cycle"), F.count("*").alias("n"))
+    assert got == {(r["user_id"], r["day"]): (r["cycle"], r["n"]) for r in want.collect()} and len(got) == 11
