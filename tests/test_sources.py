@@ -36,6 +36,19 @@ def test_store_pushes_its_filters(spark, tmp_path):
     assert one.count() == 1 and one.first()["metadata"] == '{"k":1}' and "EqualTo(dataset_name" in plan and "PartitionFilters: [isnotnull(group" in plan
 
 
+def test_store_skips_row_groups(spark, tmp_path):
+    df = spark.range(4000).select(F.col("id").alias("image_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3)).alias("voxels")).coalesce(1)
+    spark.conf.set("parquet.block.size", str(64 * 1024))
+    try:
+        names = store.save_images(df, str(tmp_path / "s"), "ct").where("image_id = 1234").first()["dataset_name"]
+    finally:
+        spark.conf.unset("parquet.block.size")
+    one = store.load_images(spark, str(tmp_path / "s"), "ct", names)
+    assert [r["image_id"] for r in one.collect()] == [1234]
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numOutputRows").get().value() < 1000
+
+
 def test_scene_folds_transforms(spark, tmp_path):
     xml = """<MRML><LinearTransform id="t1" matrixTransformToParent="1 0 0 10 0 1 0 0 0 0 1 0 0 0 0 1" references="transform:t2;"/>
     <LinearTransform id="t2" matrixTransformToParent="1 0 0 0 0 1 0 5 0 0 1 0 0 0 0 1"/><VolumeArchetypeStorage id="s" fileName="a.nrrd"/>
