@@ -8,10 +8,12 @@ equal those of the whole volume voxel for voxel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,22 @@ def split(images: DataFrame, side: Sequence[int] = (64, 64, 64)) -> DataFrame:
 
 
 def generated(images: DataFrame, side: Sequence[int], make: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Bricks of image rows without voxels: make(begin, size), both x, y, z, gives a brick's (z, y, x) voxels, for a phantom or a reader of parts of files."""
-    fill = F.pandas_udf(lambda b, s: pd.Series([np.asarray(make(np.asarray(x, int), np.asarray(y, int)), np.float32).reshape(-1) for x, y in zip(b, s, strict=True)], dtype=object), "array<float>")
-    return places(images, side).withColumn("voxels", fill(begin_of(), size_of()))
+    """Bricks of image rows without voxels: make(begin, size), both x, y, z, gives a brick's (z, y, x) voxels, for a phantom or a reader of parts of files. Bricks are dealt out before they are made."""
+    rows = places(images, side).withColumns({"_begin": begin_of(), "_size": size_of()})
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = [c for c in rows.columns if c not in ("_begin", "_size")]
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # rows are small and bricks are not: one brick at a time
+                row = batch.slice(i, 1)
+                begin, size = (np.array(row.column(c)[0].as_py(), int) for c in ("_begin", "_size"))
+                flat = np.asarray(make(begin, size), np.float32).reshape(-1)
+                voxels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in kept), voxels], names=[*kept, "voxels"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept)
+    return rows.repartition(parts, "image_id", *PLACE).mapInArrow(fill, f"{schema}, voxels array<float>")
 
 
 def join(bricks: DataFrame) -> DataFrame:
@@ -87,14 +102,58 @@ def assembled(pieces: Sequence[dict], low: Sequence[int], high: Sequence[int]) -
     return box
 
 
-def gather(bricks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds `pieces` to the rows of `wanted` (image_id, bx, by, bz, low, high, and more): the parts of the source box from low to high, of whichever bricks hold it.
+def in_boxes(pieces: DataFrame, finish: Callable[[np.ndarray, dict], Iterable[tuple[dict, np.ndarray]]], read: Sequence[str], kind: str = "double", add: bool = False) -> DataFrame:
+    """Pieces that share image_id, bx, by and bz put (or added) into one box from `low` to `high`, each box handed to finish as soon as it is whole.
+
+    pieces: low, high, and _begin, _size, _voxels of each piece, beside columns that all pieces of a box share. finish(box, row) gets the (z, y, x) box and the
+    columns of `read` and gives (new values of columns, flat voxels) for every row that stands for the box. Pieces come sorted, so a task holds one box.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
+
+    fields = [f for f in pieces.schema.fields if f.name not in ("_begin", "_size", "_voxels")]
+    out = StructType([*fields]).add("voxels", ArrayType(DoubleType() if kind == "double" else FloatType()))
+    types, names, keys = {f.name: f.type for f in to_arrow_schema(out)}, [f.name for f in fields], ("image_id", *PLACE)
+    number = np.float64 if kind == "double" else np.float32
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = box = low = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            row = {c: head.column(c)[0].as_py() for c in read}
+            for new, flat in finish(box, row):
+                columns = [pa.array([new[c]], types[c]) if c in new else head.column(c) for c in names]
+                flat = np.ascontiguousarray(flat, number).reshape(-1)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=[*names, "voxels"])
+
+        for batch in batches:
+            ids = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            lows, highs, begins, sizes = (batch.column(c).to_pylist() for c in ("low", "high", "_begin", "_size"))
+            for i, this in enumerate(ids):
+                piece = batch.column("_voxels").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                if this != key:
+                    if key is not None:
+                        yield from done()
+                    shape = [b - a for a, b in zip(reversed(lows[i]), reversed(highs[i]), strict=True)]
+                    key, head, low, box = this, batch.slice(i, 1), lows[i], np.zeros(shape, piece.dtype)
+                size = sizes[i][::-1]
+                at = tuple(slice(b - a, b - a + n) for a, b, n in zip(reversed(low), reversed(begins[i]), size, strict=True))
+                box[at] = box[at] + piece.reshape(size) if add else piece.reshape(size)
+        if key is not None:
+            yield from done()
+
+    order = [*keys, "_begin"] if add else keys  # sums are added up in one order
+    return pieces.repartition(*keys).sortWithinPartitions(*order).mapInArrow(each, out)
+
+
+def gather(bricks: DataFrame, wanted: DataFrame, finish: Callable[[np.ndarray, dict], Iterable[tuple[dict, np.ndarray]]], read: Sequence[str] = (), kind: str = "double") -> DataFrame:
+    """finish of every row of `wanted` (image_id, bx, by, bz, low, high, and more) with its source box from low to high, of whichever bricks hold it.
 
     What each source brick must give is worked out from places alone and met with the bricks once; what it gives is cut before the shuffle that brings a box together.
     """
-    sides = bricks.select("image_id", F.col("side").alias("from_side"), F.col("dims").alias("from_dims")).groupBy("image_id").agg(F.first("from_side").alias("from_side"), F.first("from_dims").alias("from_dims"))
-    kept = [c for c in wanted.columns if c not in ("image_id", *PLACE, "low", "high")]
-    asked = wanted.select("image_id", F.struct(*PLACE, "low", "high", *kept).alias("target"), "low", "high").join(sides, "image_id")
+    sides = bricks.groupBy("image_id").agg(F.first("side").alias("from_side"))
+    kept = [c for c in wanted.columns if c not in ("image_id", *PLACE)]
+    asked = wanted.select("image_id", F.struct(*PLACE, *kept).alias("target"), "low", "high").join(sides, "image_id")
     for i, name in enumerate(PLACE):
         asked = asked.withColumn(name, F.explode(F.sequence(F.floor(F.col("low")[i] / F.col("from_side")[i]).cast("int"), F.floor((F.col("high")[i] - 1) / F.col("from_side")[i]).cast("int"))))
     asked = asked.groupBy("image_id", *PLACE).agg(F.collect_list("target").alias("targets"))
@@ -114,9 +173,8 @@ def gather(bricks: DataFrame, wanted: DataFrame) -> DataFrame:
 
     boxes = F.transform("targets", lambda t: F.struct(t["low"].alias("low"), t["high"].alias("high")))
     given = met.select("image_id", "targets", cut("voxels", "begin", "size", boxes).alias("parts"))
-    rows = given.select("image_id", F.explode(F.arrays_zip("targets", "parts")).alias("g")).select("image_id", *(F.col(f"g.targets.{p}").alias(p) for p in PLACE), F.col("g.targets").alias("target"), F.col("g.parts").alias("part"))
-    boxed = rows.groupBy("image_id", *PLACE).agg(F.first("target").alias("target"), F.collect_list("part").alias("pieces"))
-    return boxed.select("image_id", "target.*", "pieces")
+    pieces = given.select("image_id", F.explode(F.arrays_zip("targets", "parts")).alias("g")).select("image_id", "g.targets.*", *(F.col(f"g.parts.{c}").alias(f"_{c}") for c in ("begin", "size", "voxels")))
+    return in_boxes(pieces, finish, ["low", "high", *read], kind)
 
 
 def about(bricks: DataFrame) -> DataFrame:
@@ -131,17 +189,13 @@ def map_bricks(bricks: DataFrame, change: Callable[[np.ndarray], np.ndarray], ha
     """
     h = [halo] * 3 if isinstance(halo, int) else list(halo)
     begin, size = begin_of(), size_of()
-    wanted = about(bricks).withColumns({"low": each_axis(lambda i: F.greatest(begin[i] - h[i], F.lit(0))), "high": each_axis(lambda i: F.least(begin[i] + size[i] + h[i], F.col("dims")[i]))})
+    wanted = about(bricks).withColumns({"low": each_axis(lambda i: F.greatest(begin[i] - h[i], F.lit(0))), "high": each_axis(lambda i: F.least(begin[i] + size[i] + h[i], F.col("dims")[i])), "at": begin, "own": size})
 
-    @F.pandas_udf("array<double>")
-    def local(pieces: pd.Series, lows: pd.Series, highs: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
-        out = []
-        for p, low, high, begin, size in zip(pieces, lows, highs, b, s, strict=True):
-            done = np.asarray(change(assembled(p, low, high).astype(float)), float)
-            out.append(done[tuple(slice(int(x - a), int(x - a + n)) for a, x, n in zip(reversed(low), reversed(begin), reversed(size), strict=True))].reshape(-1))
-        return pd.Series(out, dtype=object)
+    def local(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        done = np.asarray(change(box.astype(float)), float)
+        yield {}, done[tuple(slice(x - a, x - a + n) for a, x, n in zip(reversed(row["low"]), reversed(row["at"]), reversed(row["own"]), strict=True))]
 
-    return gather(bricks, wanted).withColumn("voxels", local("pieces", "low", "high", begin_of(), size_of())).drop("pieces", "low", "high")
+    return gather(bricks, wanted, local, ("at", "own")).drop("low", "high", "at", "own")
 
 
 def gradient_magnitude(bricks: DataFrame, eps: float = 1e-8) -> DataFrame:
@@ -200,19 +254,15 @@ def affine(bricks: DataFrame, matrix: np.ndarray | Column, out_dims: Sequence[in
 
     wanted = wanted.withColumn("_r", reach(begin_of(), size_of(), F.col("_m"), F.col("_c"), F.col("source"))).withColumns({"low": F.col("_r.low"), "high": F.col("_r.high")}).drop("_r")
 
-    @F.pandas_udf(f"array<{kind}>")
-    def sample(pieces: pd.Series, lows: pd.Series, highs: pd.Series, b: pd.Series, s: pd.Series, m: pd.Series, c: pd.Series, d: pd.Series, fill: pd.Series) -> pd.Series:
-        got = []
-        for p, low, high, begin, size, pull, centre, source, f in zip(pieces, lows, highs, b, s, m, c, d, fill, strict=True):
-            as_ints = lambda x: tuple(int(k) for k in x)
-            box = assembled(p, low, high).astype(number)
-            window = kernels.Window(as_ints(source), as_ints(begin), as_ints(low), as_ints(np.asarray(high) - np.asarray(low)))
-            got.append(kernels.pull(box.reshape(1, -1), np.asarray(pull, float).reshape(4, 4), np.asarray(centre, float), as_ints(size), window, np.array([f], number), mode)[0])
-        return pd.Series(got, dtype=object)
-
     number = np.float64 if kind == "double" else np.float32
-    done = gather(bricks, wanted).withColumn("voxels", sample("pieces", "low", "high", begin_of(), size_of(), "_m", "_c", "source", "_fill"))
-    return done.drop("pieces", "low", "high", "_m", "_c", "_fill", "source")
+    wanted = wanted.withColumns({"at": begin_of(), "own": size_of()})
+
+    def sample(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        window = kernels.Window(tuple(row["source"]), tuple(row["at"]), tuple(row["low"]), tuple(b - a for a, b in zip(row["low"], row["high"], strict=True)))
+        flat = box.reshape(1, -1).astype(number, copy=False)
+        yield {}, kernels.pull(flat, np.array(row["_m"]).reshape(4, 4), np.array(row["_c"], float), tuple(row["own"]), window, np.array([row["_fill"]], number), mode)[0]
+
+    return gather(bricks, wanted, sample, ("at", "own", "source", "_m", "_c", "_fill"), kind).drop("low", "high", "at", "own", "_m", "_c", "_fill", "source")
 
 
 def resample_to_spacing(bricks: DataFrame, spacing: Sequence[float] | Column, mode: str = "linear", fill: float | None = None, kind: str = "float") -> DataFrame:
@@ -241,63 +291,36 @@ def blend_patches(bricks: DataFrame, patch: int, stride: int, predict: Callable[
     far = each_axis(lambda i: F.least(begin[i] + size[i] + (patch - 1), F.col("dims")[i]))
     line = np.array(cosine_window(patch))
 
-    def starts(n: int, low: int, high: int) -> list[int]:
-        return [a - 1 for a in patch_starts(n, patch, stride) if low <= a - 1 < high]
-
-    kind = "array<struct<bx: int, by: int, bz: int, begin: array<int>, size: array<int>, voxels: array<double>>>"
-
-    @F.pandas_udf(kind)
-    def blended(pieces: pd.Series, lows: pd.Series, highs: pd.Series, s: pd.Series, d: pd.Series, sides: pd.Series) -> pd.Series:
-        out = []
-        for p, low, high, size, dims, side in zip(pieces, lows, highs, s, d, sides, strict=True):
-            box, own = assembled(p, low, high).astype(float), [int(a + n) for a, n in zip(low, size, strict=True)]
-            total = np.zeros(box.shape)
-            at = [starts(int(n), int(a), b) for n, a, b in zip(dims, low, own, strict=True)]
-            for z in at[2]:
-                for y in at[1]:
-                    for x in at[0]:
-                        here = tuple(slice(int(a - b), int(min(a - b + patch, n))) for a, b, n in zip((z, y, x), reversed(low), box.shape, strict=True))
-                        cube = box[here]
-                        w = np.einsum("i,j,k->ijk", *(line[:n] for n in cube.shape))
-                        total[here] += (rest(cube) if cube.max() < skip_below else predict(cube)) * w
-            parts = []
-            ranges = [range(int(a) // int(t), (int(b) - 1) // int(t) + 1) for a, b, t in zip(low, high, side, strict=True)]
-            for k in ranges[2]:
-                for j in ranges[1]:
-                    for i in ranges[0]:
-                        first = [max(int(a), b * int(t)) for a, b, t in zip(low, (i, j, k), side, strict=True)]
-                        last = [min(int(a), (b + 1) * int(t)) for a, b, t in zip(high, (i, j, k), side, strict=True)]
-                        cut = total[tuple(slice(a - int(o), b - int(o)) for a, b, o in zip(reversed(first), reversed(last), reversed(low), strict=True))]
-                        if cut.any() or (i, j, k) == tuple(r[0] for r in ranges):
-                            parts.append({"bx": i, "by": j, "bz": k, "begin": first, "size": [b - a for a, b in zip(first, last, strict=True)], "voxels": cut.reshape(-1)})
-            out.append(parts)
-        return pd.Series(out, dtype=object)
-
-    kept = [c for c in bricks.columns if c not in (*PLACE, "voxels", "image_id")]
-    boxes = gather(bricks, about(bricks).withColumns({"low": begin, "high": far}))
-    parts = boxes.select("image_id", *kept, F.explode(blended("pieces", "low", "high", size_of(), "dims", "side")).alias("p")).select("image_id", *kept, "p.*")
-    met = parts.groupBy("image_id", *PLACE).agg(*(F.first(c).alias(c) for c in kept), F.collect_list(F.struct("begin", "size", "voxels")).alias("parts"))
-
-    @F.pandas_udf("array<double>")
-    def summed(parts: pd.Series, b: pd.Series, s: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for pieces, begin, size, dims in zip(parts, b, s, d, strict=True):
-            total = np.zeros([int(n) for n in reversed(size)])
-            for p in sorted(pieces, key=lambda p: tuple(p["begin"])):
-                shape = [int(n) for n in reversed(p["size"])]
-                total[tuple(slice(int(a - o), int(a - o) + n) for a, o, n in zip(reversed(p["begin"]), reversed(begin), shape, strict=True))] += np.asarray(p["voxels"]).reshape(shape)
-            along = []
-            for low, n, whole_n in zip(begin, size, dims, strict=True):
-                w = np.zeros(int(n))
-                for a in patch_starts(int(whole_n), patch, stride):
-                    for k in range(min(patch, int(whole_n))):
-                        if 0 <= a - 1 + k - low < n:
-                            w[int(a - 1 + k - low)] += line[k]
-                along.append(w)
-            out.append((total / (np.einsum("k,j,i->kji", along[2], along[1], along[0]) + 1e-8)).reshape(-1))
-        return pd.Series(out, dtype=object)
-
-    return met.withColumn("voxels", summed("parts", begin_of(), size_of(), "dims")).drop("parts")
+    def blended(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        """The brick's own cubes, predicted, weighted and summed in its box, cut by the bricks that the box reaches."""
+        box, low, high, side = box.astype(float), row["low"], row["high"], row["side"]
+        total = np.zeros(box.shape)
+        own = [[a - 1 for a in patch_starts(n, patch, stride) if b <= a - 1 < b + k] for n, b, k in zip(row["dims"], low, row["own"], strict=True)]
+        for first in itertools.product(*reversed(own)):
+            here = tuple(slice(a - b, min(a - b + patch, n)) for a, b, n in zip(first, reversed(low), box.shape, strict=True))
+            cube = box[here]
+            total[here] += (rest(cube) if cube.max() < skip_below else predict(cube)) * np.einsum("i,j,k->ijk", *(line[:n] for n in cube.shape))
+        for place in itertools.product(*(range(a // t, (b - 1) // t + 1) for a, b, t in zip(low, high, side, strict=True))):
+            first = [max(a, b * t) for a, b, t in zip(low, place, side, strict=True)]
+            last = [min(a, (b + 1) * t) for a, b, t in zip(high, place, side, strict=True)]
+            ends = [min((b + 1) * t, n) for b, t, n in zip(place, side, row["dims"], strict=True)]
+            new = dict(zip(PLACE, place, strict=True)) | {"low": [b * t for b, t in zip(place, side, strict=True)], "high": ends, "_begin": first, "_size": [b - a for a, b in zip(first, last, strict=True)]}
+            yield new, total[tuple(slice(a - o, b - o) for a, b, o in zip(reversed(first), reversed(last), reversed(low), strict=True))]
+
+    def averaged(total: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        weights = []
+        for low, high, n in zip(row["low"], row["high"], row["dims"], strict=True):
+            w = np.zeros(n)
+            for a in patch_starts(n, patch, stride):
+                w[a - 1 : a - 1 + patch] += line[: n - a + 1]
+            weights.append(w[low:high])
+        yield {}, total / (np.einsum("k,j,i->kji", *reversed(weights)) + 1e-8)
+
+    wanted = about(bricks).withColumns({"low": begin, "high": far, "own": size, "to_begin": begin, "to_size": size})
+    rename = {"_begin": "to_begin", "_size": "to_size"}
+    parts = gather(bricks, wanted, lambda box, row: (({rename.get(k, k): v for k, v in new.items()}, x) for new, x in blended(box, row)), ("own", "side", "dims"))
+    pieces = parts.withColumnsRenamed({"voxels": "_voxels", "to_begin": "_begin", "to_size": "_size"}).drop("own")
+    return in_boxes(pieces, averaged, ("low", "high", "dims"), add=True).drop("low", "high")
 
 
 def voxel_sums(bricks: DataFrame) -> DataFrame:
