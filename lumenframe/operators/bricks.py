@@ -157,7 +157,8 @@ def gather(bricks: DataFrame, wanted: DataFrame, finish: Callable[[np.ndarray, d
     for i, name in enumerate(PLACE):
         asked = asked.withColumn(name, F.explode(F.sequence(F.floor(F.col("low")[i] / F.col("from_side")[i]).cast("int"), F.floor((F.col("high")[i] - 1) / F.col("from_side")[i]).cast("int"))))
     asked = asked.groupBy("image_id", *PLACE).agg(F.collect_list("target").alias("targets"))
-    met = bricks.select("image_id", *PLACE, begin_of().alias("begin"), size_of().alias("size"), "voxels").join(asked, ["image_id", *PLACE])
+    # Hashed by places in either case: Spark may take voxels that a function makes for small and would broadcast them.
+    met = bricks.select("image_id", *PLACE, begin_of().alias("begin"), size_of().alias("size"), "voxels").join(asked.hint("shuffle_hash"), ["image_id", *PLACE])
 
     @F.pandas_udf(f"array<struct<begin: array<int>, size: array<int>, voxels: {dict(bricks.dtypes)['voxels']}>>")
     def cut(v: pd.Series, b: pd.Series, s: pd.Series, boxes: pd.Series) -> pd.Series:
