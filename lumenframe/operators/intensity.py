@@ -2,36 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import kernels
-from lumenframe.operators.volumes import let, mean, sample_std
+
+
+def of_flat(change: Callable[..., np.ndarray], *columns: str | Column) -> Column:
+    """change(flat voxels in double precision, values of the other columns) per row; null where the voxels are."""
+
+    @F.pandas_udf("array<double>")
+    def changed(v: pd.Series, *more: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else change(np.asarray(x, float), *others) for x, *others in zip(v, *more, strict=True)], dtype=object)
+
+    return changed(*columns)
 
 
 def z_score(images: DataFrame, mask: str | None = None, eps: float = 1e-8) -> DataFrame:
-    """(v - mean) / (sample std + eps) for all voxels; a mask column restricts the statistics to its nonzero voxels."""
-    voxels = F.col("voxels")
-    if mask is None:
-        chosen = voxels
-    else:
-        chosen = F.transform(F.filter(F.arrays_zip(voxels.alias("v"), F.col(mask).alias("m")), lambda p: p["m"] != 0), lambda p: p["v"])
-    scaled = lambda s: F.transform(voxels, lambda v: (v.cast("double") - s["mean"]) / (s["std"] + eps))
-    with_mean = lambda of: let(mean(of), lambda m: let(F.struct(m.alias("mean"), sample_std(of, m).alias("std")), scaled))
-    return images.withColumn("voxels", let(chosen, with_mean))
+    """(v - mean) / (sample std + eps) for all voxels; a mask column restricts the statistics to its nonzero voxels. NaN where fewer than two are left."""
+
+    def scaled(x: np.ndarray, m: np.ndarray | None = None) -> np.ndarray:
+        chosen = x if m is None else x[np.asarray(m) != 0]
+        if len(chosen) < 2:
+            return np.full(len(x), np.nan)
+        return (x - chosen.mean()) / (chosen.std(ddof=1) + eps)
+
+    return images.withColumn("voxels", of_flat(scaled, "voxels", *([mask] if mask else [])))
 
 
 def min_max(images: DataFrame, low: float = 0.0, high: float = 1.0, eps: float = 1e-8) -> DataFrame:
-    ends = F.struct(F.array_min("voxels").cast("double").alias("lo"), F.array_max("voxels").cast("double").alias("hi"))
-    return images.withColumn("voxels", let(ends, lambda e: F.transform("voxels", lambda v: (v.cast("double") - e["lo"]) / (e["hi"] - e["lo"] + eps) * (high - low) + low)))
+    """Linearly from the least and largest voxel to low and high."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return (x - x.min()) / (x.max() - x.min() + eps) * (high - low) + low if len(x) else x
+
+    return images.withColumn("voxels", of_flat(scaled, "voxels"))
 
 
 def rescale(images: DataFrame, slope: Column, intercept: Column) -> DataFrame:
     """v * slope + intercept; null parameters stand for 1 and 0."""
-    line = F.struct(F.coalesce(slope, F.lit(1.0)).alias("a"), F.coalesce(intercept, F.lit(0.0)).alias("b"))
-    return images.withColumn("voxels", let(line, lambda p: F.transform("voxels", lambda v: v.cast("double") * p["a"] + p["b"])))
+    line = [F.coalesce(slope, F.lit(1.0)).cast("double"), F.coalesce(intercept, F.lit(0.0)).cast("double")]
+    return images.withColumn("voxels", of_flat(lambda x, a, b: x * a + b, "voxels", *line))
 
 
 def histogram_match(source: Column, target: Column) -> Column:

@@ -92,14 +92,24 @@ def masked_stats(pairs: DataFrame, voxels: str, mask: str, factor: Column, stric
 
     strict raises where the factor is null. Arrays of different sizes are an error.
     """
-    same = F.size(voxels) == F.size(mask)
     f = F.when(factor.isNull(), F.raise_error(F.lit("no uptake factor: metadata is missing")).cast("double")).otherwise(factor) if strict else factor
-    chosen = F.filter(F.arrays_zip(F.col(voxels).alias("v"), F.col(mask).alias("m")), lambda p: nonzero(p["m"]))
-    picked = F.when(same, chosen).otherwise(F.raise_error(F.lit("image and mask differ in shape")).cast("array<struct<v:float,m:float>>"))
-    rows = pairs.withColumn("_picked", picked)
-    total = F.aggregate("_picked", F.lit(0.0), lambda acc, p: acc + p["v"].cast("double")) * f
-    n = F.size("_picked")
-    return rows.withColumns({"n_voxels": n, "total": F.when(n == 0, 0.0).otherwise(total), "mean": F.when(n == 0, 0.0).otherwise(total / n)}).drop("_picked")
+
+    @F.pandas_udf("struct<n: int, total: double>")
+    def summed(v: pd.Series, m: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, k in zip(v, m, strict=True):
+            if x is None or k is None:
+                rows.append((None, None))
+                continue
+            if len(x) != len(k):
+                raise ValueError("image and mask differ in shape")
+            inside = np.asarray(k) != 0
+            rows.append((int(inside.sum()), float(np.asarray(x, float)[inside].sum())))
+        return pd.DataFrame(rows, columns=["n", "total"]).astype({"n": "Int64"})
+
+    n, total = F.col("_s.n"), F.col("_s.total") * f
+    rows = pairs.withColumn("_s", summed(voxels, mask))
+    return rows.withColumns({"n_voxels": n, "total": F.when(n == 0, 0.0).otherwise(total), "mean": F.when(n == 0, 0.0).otherwise(total / n)}).drop("_s")
 
 
 def projection(images: DataFrame, along: int = 2) -> DataFrame:

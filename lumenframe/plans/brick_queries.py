@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import geometry
 from lumenframe.operators import bricks, chain, points, spatial, volumes
 from lumenframe.plans import volume_queries as v
 from lumenframe.plans.volume_queries import IDS, VOX, as_double, corner_fill, grid, images, out, pulled, rows, tidy
@@ -126,6 +128,24 @@ def coordinates_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", (F.col("n") + 1).cast("int").alias("n"), tidy(F.col("value"), 5).alias("value"))
 
 
+TURNED = """select image_id, x, y, z, v * v as g, cos(radians(30)) * (x - 2) - sin(radians(30)) * (y - 2) + 2.25 as px, sin(radians(30)) * (x - 2) + cos(radians(30)) * (y - 2) + 2 as py, 0.75::double * (z - 2) + 2 as pz from vox"""
+
+
+@register("matrix_gradient_turned", f"""with {VOX}, ix as (select image_id, x, y, z, g, cast(px as real)::double as px, cast(py as real)::double as py, cast(pz as real)::double as pz from ({TURNED})),
+    co as (select *, px - floor(px) as ax, py - floor(py) as ay, pz - floor(pz) as az, least(floor(px) + dx, 4)::bigint as qx, least(floor(py) + dy, 4)::bigint as qy, least(floor(pz) + dz, 4)::bigint as qz
+        from ix, range(2) i(dx), range(2) j(dy), range(2) k(dz) where px between 1 and 4 and py between 1 and 4 and pz between 1 and 4),
+    cw as (select *, case dx when 1 then ax else 1 - ax end as wx, case dy when 1 then ay else 1 - ay end as wy, case dz when 1 then az else 1 - az end as wz from co),
+    s as (select c.image_id, c.x, c.y, c.z, any_value(g) as g, sum(v * (2 * dx - 1) * wy * wz) as sx, sum(v * (2 * dy - 1) * wx * wz) as sy, sum(v * (2 * dz - 1) * wx * wy) as sz
+        from cw c join vox v on v.image_id = c.image_id and v.x = qx and v.y = qy and v.z = qz group by c.image_id, c.x, c.y, c.z),
+    m as (select image_id, n, g * case (n - 1) // 4 when 0 then sx when 1 then sy else sz end * case (n - 1) % 4 when 0 then x - 2 when 1 then y - 2 when 2 then z - 2 else 1 end as d from s, range(1, 13) r(n))
+    select i.vec_id as image_id, r.n::int as n, round(coalesce(sum(d), 0), 5) + 0.0 as value from embeddings i cross join range(1, 13) r(n) left join m on m.image_id = i.vec_id and m.n = r.n group by i.vec_id, r.n""")
+def matrix_gradient_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pull = geometry.homogeneous(geometry.rotation(3, 30) @ np.diag([1, 1, 0.75]), (0.25, 0, 0))
+    df = as_double(images(spark, sf_dir)).withColumn("g", F.transform("voxels", lambda v: v * v))
+    found = spatial.matrix_gradient(df, "g", pull, (2, 2, 2)).select("image_id", F.posexplode("d_matrix").alias("n", "value"))
+    return found.select("image_id", (F.col("n") + 1).cast("int").alias("n"), tidy(F.col("value"), 5).alias("value"))
+
+
 # ---- chains ----------------------------------------------------------------------------------------------------
 # New positions of the last grid, through spacing and scale, turned by 45 degrees about position 3.
 CHAINED = """select image_id, x, y, z, cos(radians(45)) * (a - 3) - sin(radians(45)) * (b - 3) + 3 as px, sin(radians(45)) * (a - 3) + cos(radians(45)) * (b - 3) + 3 as py, c as pz

@@ -518,7 +518,18 @@ def masked_suv_pairs(spark, sf_dir):
 
 
 # ---- kernels without SQL ---------------------------------------------------------------------------------------
-@register("bspline_resample")
+# Coefficients of a spline through four voxels, by hand: the ends are voxels, the inner two solve (1, 4, 1) / 6, and one beyond each end goes on in a straight line.
+SPLINE = """b(e, i, w) as (values (1, 1, 1.0::double), (4, 4, 1.0::double), (2, 1, -4 / 15.0::double), (2, 2, 24 / 15.0::double), (2, 3, -6 / 15.0::double), (2, 4, 1 / 15.0::double),
+        (3, 1, 1 / 15.0::double), (3, 2, -6 / 15.0::double), (3, 3, 24 / 15.0::double), (3, 4, -4 / 15.0::double), (0, 1, 34 / 15.0::double), (0, 2, -24 / 15.0::double), (0, 3, 6 / 15.0::double), (0, 4, -1 / 15.0::double),
+        (5, 1, -1 / 15.0::double), (5, 2, 6 / 15.0::double), (5, 3, -24 / 15.0::double), (5, 4, 34 / 15.0::double)),
+    pl as (select n, p, least(floor(p), 3)::int as low, p - least(floor(p), 3) as t from (select n, (n - 1) * 0.75::double + 1 as p from range(1, 7) r(n))),
+    sh as (select n, low - 1 + j as e, case j when 0 then (1 - t) ** 3 / 6 when 1 then (3 * t ** 3 - 6 * t ** 2 + 4) / 6 when 2 then (-3 * t ** 3 + 3 * t ** 2 + 3 * t + 1) / 6 else t ** 3 / 6 end as s from pl, range(4) k(j) where p <= 4),
+    a as (select n, i, sum(s * w) as w from sh join b using (e) group by n, i)"""
+
+
+@register("bspline_resample", f"""with {VOX}, {IDS}, {grid(6, 6, 6)}, {corner_fill()}, {SPLINE},
+    q as (select v.image_id, ax.n as x, ay.n as y, az.n as z, sum(ax.w * ay.w * az.w * v.v) as v from vox v join a ax on ax.i = v.x join a ay on ay.i = v.y join a az on az.i = v.z group by all)
+    select i.image_id, g.x::int as x, g.y::int as y, g.z::int as z, round(coalesce(q.v, f.fill), 6) + 0.0 as value from ids i cross join grid g join fills f using (image_id) left join q on q.image_id = i.image_id and q.x = g.x and q.y = g.y and q.z = g.z""")
 def bspline_resample(spark, sf_dir):
     return rows(spatial.resample_to_spacing(images(spark, sf_dir), (0.75,) * 3, "cubic", "double"))
 
