@@ -61,7 +61,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: in
     A record ends with two line ends, which is the writer's line separator, so each file is a plain WARC file that
     other readers take too. A revisit carries no payload; it names the full payload's digest and size. Without a
     capture time in the table, page_id seconds after 2000-01-01 stand for it. Control characters and spaces in a
-    URL are written percent-coded; a null URL is empty.
+    URL are written percent-coded; a null URL is empty. A file holds as many records as make file_bytes on average; one with very long pages
+    is as much longer, and reading it back (whole, by Spark's binary files) bounds a file at 2 GiB unpacked or packed.
     """
     records = dedup_captures(pages, least_bytes)
     total, n = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
@@ -149,11 +150,26 @@ def loser_tree_merge(runs: Iterable[Iterable[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+#: Runs that are merged at once, and rows of a batch.
+FAN_IN, BATCH = 64, 10_000
+
+
 class Spool:
-    """The sorted runs of one task, spilled to an unnamed local file batch by batch and read back one batch of each at a time."""
+    """The sorted runs of one task, spilled to an unnamed local file batch by batch and read back one batch of each at a time.
+
+    FAN_IN runs of a level are merged into one of the next level as soon as they are there, so the open batches, the entries kept of runs and the files they come from
+    stay bounded however many archives there are; a row is merged once a level.
+    """
 
     def __init__(self) -> None:
-        self.file, self.places, self.schema = tempfile.TemporaryFile(), {}, None
+        self.file, self.levels, self.schema = tempfile.TemporaryFile(), [], None
+        self.name, self.places = None, []
+
+    def spill(self, batch: pa.RecordBatch) -> tuple[int, int]:
+        raw = batch.serialize()
+        place = self.file.seek(0, 2), raw.size
+        self.file.write(raw)
+        return place
 
     def add(self, batch: pa.RecordBatch) -> None:
         """Rows come run after run."""
@@ -163,9 +179,24 @@ class Spool:
         self.schema = batch.schema
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            raw = batch.slice(a, b - a).serialize()
-            self.places.setdefault(names.dictionary[int(at[a])].as_py(), []).append((self.file.tell(), raw.size))
-            self.file.write(raw)
+            name = names.dictionary[int(at[a])].as_py()
+            if name != self.name:
+                self.close()
+                self.name = name
+            self.places.append(self.spill(batch.slice(a, b - a)))
+
+    def close(self) -> None:
+        """The run at hand is whole."""
+        run, level, self.places = self.places, 0, []
+        while run:
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level].append(run)
+            if len(self.levels[level]) < FAN_IN:
+                return
+            run = [self.spill(b) for b in self.batches(loser_tree_merge(map(self.run, self.levels[level])))]
+            self.levels[level] = []
+            level += 1
 
     def run(self, places: list[tuple[int, int]]) -> Iterator[tuple]:
         for start, size in places:
@@ -173,8 +204,14 @@ class Spool:
             batch = pa.ipc.read_record_batch(pa.py_buffer(self.file.read(size)), self.schema)
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-    def merged(self) -> Iterator[tuple]:
-        return loser_tree_merge(self.run(p) for p in self.places.values())
+    def batches(self, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while part := list(itertools.islice(rows, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), self.schema, strict=True)], schema=self.schema)
+
+    def merged(self) -> Iterator[pa.RecordBatch]:
+        """All rows in order; of each level fewer than FAN_IN runs are left."""
+        self.close()
+        return self.batches(loser_tree_merge(self.run(r) for level in self.levels for r in level))
 
 
 def index_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +234,7 @@ def capture_history(spark: SparkSession, path: str, partitions: int | None = Non
     """All captures in the archives under path, ordered by URL key and time over the whole result.
 
     The runs are dealt by ranges of (URL key, time, page_id), so even one URL's captures split. Each task spills its slices of the
-    runs to local disk as they come and merges them with a loser tree that holds one batch of each run. Ranges are
+    runs to local disk as they come and merges them with loser trees in passes of at most FAN_IN runs, a batch of each in memory. Ranges are
     sized by Spark. Rows equal in all of URL, time and page_id come in the order of file and offset.
     """
     runs = cut(index_runs(spark, path), "runs")
@@ -209,9 +246,7 @@ def capture_history(spark: SparkSession, path: str, partitions: int | None = Non
         spool = Spool()
         for batch in batches:
             spool.add(batch)
-        rows = spool.merged()
-        while part := list(itertools.islice(rows, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), spool.schema, strict=True)], schema=spool.schema)
+        yield from spool.merged()
 
     return dealt.mapInArrow(merge, INDEX)
 

@@ -415,7 +415,35 @@ def test_spooled_runs_are_merged():
     spool = warc.Spool()
     for i in range(0, 900, 64):
         spool.add(warc.pa.RecordBatch.from_arrays([warc.pa.array(c, t) for c, t in zip(zip(*dealt[i : i + 64]), kinds)], names=names))
-    assert list(spool.merged()) == sorted(rows, key=warc.sort_key)
+    assert spooled(spool) == sorted(rows, key=warc.sort_key)
+
+
+def spooled(spool):
+    return [tuple(r) for b in spool.merged() for r in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_a_thousand_runs_are_merged_in_passes(monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 4)
+    monkeypatch.setattr(warc, "BATCH", 7)
+    names = [c.split()[0] for c in warc.INDEX.split(", ")] + ["run"]
+    kinds = [warc.pa.int64() if c.split()[1] == "long" else warc.pa.string() for c in warc.INDEX.split(", ")] + [warc.pa.string()]
+    rng, rows = random.Random(2), []
+    for run in range(1000):
+        own = [(f"k{rng.randrange(50)}", "2020", rng.choice([None, rng.randrange(9)]), "response", 1, "d", None, f"f{run}", i, 5) for i in range(rng.randrange(1, 4))]
+        rows += [(*r, f"r{run:04}") for r in sorted(own, key=warc.sort_key)]
+    spool = warc.Spool()
+    for i in range(0, len(rows), 50):
+        spool.add(warc.pa.RecordBatch.from_arrays([warc.pa.array(c, t) for c, t in zip(zip(*rows[i : i + 50]), kinds)], names=names))
+        assert all(len(level) < 4 for level in spool.levels) and len(spool.levels) <= 6
+    assert spooled(spool) == sorted((r[:-1] for r in rows), key=warc.sort_key)
+
+
+def test_very_long_pages(spark, tmp_path):
+    rows = [(1, "http://a", "<p>" + "long é " * 700_000), (2, "http://b", "short"), (3, "http://c", "<p>" + "long é " * 700_000)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.capture_history(spark, str(tmp_path / "w"), 2).collect()}
+    size = len(rows[0][2].encode())
+    assert got == {1: (size, "revisit", 3), 2: (5, "response", None), 3: (size, "response", None)}
 
 
 def test_loser_tree_merge():
