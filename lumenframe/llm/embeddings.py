@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,8 @@ from lumenframe.llm.common import components, cut, runs
 
 #: Vectors of one bucket that a task compares with each other; larger buckets are split into pairs of blocks.
 BLOCK = 2048
+#: Seeds of the codes' rotations come after those of the tables.
+CODES = 1_000_000
 
 
 def rotation(size: int, seed: int) -> np.ndarray:
@@ -40,29 +43,58 @@ def corner(x: np.ndarray) -> np.ndarray:
     return 2 * at + (x[np.arange(len(x)), at] < 0)
 
 
-def codes(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary codes of rotated unit vectors: signs / sqrt(size), and their inner product with the vectors."""
-    signs = np.where(rotated >= 0, 1.0, -1.0).astype(np.float32) / math.sqrt(rotated.shape[1])
-    return signs, (signs * rotated).sum(1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one in double precision; scaled by their largest component first, so nothing overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, turn: np.ndarray, least: float, sigmas: float) -> np.ndarray:
-    """True where the cosine of x[i] and y[j] (unit vectors in double precision) is at least `least`.
+def turns(size: int) -> int:
+    """Rotations of a code: as many as give it 256 bits."""
+    return -(-256 // size)
 
-    With code c of x and factor f = <c, x>, <c, y> / f is an unbiased estimate of <x, y> whose error has a standard
-    deviation of at most sqrt((1 - f * f) / (f * f) / (size - 1)). Pairs whose upper confidence bound is below
-    `least` are left; all others are recomputed exactly.
+
+@functools.lru_cache(maxsize=4)
+def frames(size: int, seed: int) -> np.ndarray:
+    """The rotations of a code, one below the other."""
+    return np.concatenate([rotation(size, seed + i) for i in range(turns(size))]).astype(np.float32)
+
+
+def encoded(x: np.ndarray, seed: int) -> np.ndarray:
+    """What is stored of unit vectors: two binary codes from rotations of their own, and a correction factor of each, as one row of bytes a vector.
+
+    A code holds the signs of the vector in several rotated frames; its factor is the inner product of the normalized code and the vector's image. The first code stands for the vector
+    where it is compared with others, the second where others are compared with it.
     """
-    size = x.shape[1]
-    signs, factor = codes(x @ turn.T)
-    estimate = (signs @ (y @ turn.T).T.astype(np.float32)) / factor[:, None]
-    bound = sigmas * np.sqrt(np.maximum(1 - factor * factor, 0) / (factor * factor) / max(size - 1, 1))
-    i, j = np.nonzero(estimate + bound[:, None] >= least - 1e-5)
-    exact = np.zeros(estimate.shape, bool)
-    for at in range(0, len(i), 1 << 16):
-        p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        exact[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
-    return exact
+    size, n = x.shape[1], turns(x.shape[1])
+    parts, factors = [], []
+    for side in (0, 1):
+        image = np.concatenate([x @ rotation(size, seed + side * n + i).T for i in range(n)], 1) / math.sqrt(n)
+        parts.append(np.packbits(image >= 0, axis=1))
+        factors.append(np.abs(image).sum(1) / math.sqrt(image.shape[1]))
+    return np.hstack([*parts, np.stack(factors, 1).astype("<f4").view(np.uint8)])
+
+
+class Stored:
+    """Codes read back: each side's vector that is rebuilt from signs and factor, and the variance that it adds to an estimate."""
+
+    def __init__(self, code: np.ndarray, size: int, seed: int) -> None:
+        n, width = turns(size), -(-turns(size) * size // 8)
+        factors = np.ascontiguousarray(code[:, 2 * width :]).view("<f4").astype(float)
+        self.rebuilt, self.variance = [], []
+        for side in (0, 1):
+            signs = np.unpackbits(code[:, side * width : (side + 1) * width], axis=1, count=n * size).astype(np.float32) * 2 - 1
+            f = factors[:, side]
+            self.rebuilt.append(signs @ frames(size, seed + side * n) / (n * math.sqrt(size) * f[:, None]).astype(np.float32))
+            self.variance.append((1 - f * f).clip(0) / (f * f) / max(n * (size - 1), 1))
+        self.size = size
+
+    def undecided(self, low: int, high: int, least: float, sigmas: float) -> np.ndarray:
+        """True for rows low to high and all columns where the cosine may be `least`: the estimate is unbiased, for the two codes' errors hang on rotations of
+        their own, and pairs whose upper confidence bound is below `least` are decided."""
+        estimate = self.rebuilt[0][low:high] @ self.rebuilt[1].T
+        a, b = self.variance[0][low:high, None], self.variance[1][None]
+        return estimate + sigmas * np.sqrt(a + b + a * b * self.size) >= least - 1e-5
 
 
 def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -89,9 +121,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
 
     Equal vectors of a label are one node with a count. Nodes are bucketed by the largest signed coordinate after
     random rotations, several rotations to a table so that buckets of the largest label average at most `bucket`
-    nodes, and as many tables as keep the chance to miss a pair at `least` below `miss`. In a bucket, binary codes with stored
-    factors estimate inner products, and pairs within the confidence bound are recomputed exactly. A pair counts
-    in the first table where it meets, so each link is counted once without shuffling pairs; a task returns
+    nodes, and as many tables as keep the chance to miss a pair at `least` below `miss`. Binary codes and their correction factors are stored with a node once.
+    Buckets meet with the codes alone; of each the nodes are named that have a pair within the confidence bound. Only those nodes' vectors are fetched, and those pairs
+    recomputed exactly. A pair counts in the first table where it meets, so each link is counted once without shuffling pairs; a task returns
     a count per node and a spanning forest of the links. Buckets above BLOCK nodes are split into pairs of blocks.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable), kept. Vectors
@@ -103,7 +135,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0)
     fine &= ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda c: c + 0.0)))
-    nodes = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "nodes")
+    nodes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    nodes = cut(nodes.withColumn("place", F.monotonically_increasing_id()), "nodes")
     shape = nodes.groupBy("label", F.size("v").alias("size")).agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n"))
     plans = {}
     for size, n in shape.collect():  # one row per length of vectors
@@ -122,63 +155,70 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, miss: float
                     for i in range(width):
                         key = key * (2 * size) + corner(x @ rotation(size, seed + table * width + i).T)
                     keys.append(key)
-                yield pd.DataFrame({"label": part["label"], "size": size, "node": part["node"], "copies": part["copies"], "v": part["v"], "keys": list(np.stack(keys, 1))})
+                code = encoded(unit(x), seed + CODES)
+                yield pd.DataFrame({"label": part["label"], "size": size, "place": part["place"], "node": part["node"], "copies": part["copies"], "code": [c.tobytes() for c in code], "keys": list(np.stack(keys, 1))})
 
     kind = nodes.schema["label"].dataType.simpleString()
-    placed = cut(nodes.mapInPandas(place, f"label {kind}, size int, node long, copies long, v array<double>, keys array<long>"), "placed")
-    met = placed.select("label", "size", "node", "copies", "v", "keys", F.posexplode("keys").alias("table", "key"))
+    placed = cut(nodes.mapInPandas(place, f"label {kind}, size int, place long, node long, copies long, code binary, keys array<long>"), "placed")
+    met = placed.select("label", "size", "place", "code", "keys", F.posexplode("keys").alias("table", "key"))
     home = ["label", "size", "table", "key"]
     counted = met.groupBy(*home).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.join(counted, home)
     # Block i of a bucket goes to the pairs (i, j) and (j, i): one row a block, so one row in buckets that need no split.
-    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("tile", F.xxhash64(*home, F.least("block", "other"), F.greatest("block", "other")))
-    tiles = met.select("tile", "table", "node", "copies", "v", "keys", "block")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "node")
-
-    def compare(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-        node, copies, block = (tile[c].to_numpy() for c in ("node", "copies", "block"))
-        x = np.stack(tile["v"].to_numpy())
-        x = x / np.abs(x).max(1, keepdims=True)
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
-        keys, table = np.stack(tile["keys"].to_numpy()), int(tile["table"].iloc[0])
-        turn, n = rotation(x.shape[1], seed - 1), len(x)
-        count, pairs = np.zeros(n, np.int64), []
-        cross = len(set(block.tolist())) > 1
-        for at in range(0, n, 512):
-            hit = linked_pairs(x[at : at + 512], x, turn, least, sigmas)
-            i, j = np.nonzero(hit)
+    tiles = met.select("tile", "table", "size", "place", "code", "keys", "block").repartition("tile").sortWithinPartitions("tile", "place")
+
+    def undecided(tile: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j), i < j, within the bound that belong to this tile: of both blocks where it stands for two, and not met in an earlier table."""
+        size, table, block = int(tile["size"].iloc[0]), int(tile["table"].iloc[0]), tile["block"].to_numpy()
+        stored = Stored(np.stack([np.frombuffer(c, np.uint8) for c in tile["code"]]), size, seed + CODES)
+        keys, cross = np.stack(tile["keys"].to_numpy()), len(set(block.tolist())) > 1
+        for at in range(0, len(tile), 512):
+            i, j = np.nonzero(stored.undecided(at, min(at + 512, len(tile)), least, sigmas))
             i += at
-            use = i < j
+            use = (i < j) & (block[i] != block[j]) if cross else i < j
             i, j = i[use], j[use]
-            if cross:
-                use = block[i] != block[j]
-                i, j = i[use], j[use]
             use = ~(keys[i, :table] == keys[j, :table]).any(1)
-            i, j = i[use], j[use]
+            yield i[use], j[use]
+
+    def nearby(batches: Iterable) -> Iterator:
+        for tile in runs(batches, "tile"):
+            some = np.zeros(len(tile), bool)
+            for i, j in undecided(tile) if len(tile) > 1 else ():
+                some[i] = some[j] = True
+            if some.any():
+                yield tile[["tile", "table", "place", "block"]][some]
+
+    asked = cut(tiles.mapInPandas(nearby, "tile long, table int, place long, block int"), "asked")
+    exact = asked.join(placed.select("place", "size", "node", "copies", "code", "keys"), "place").join(nodes.select("place", "v"), "place")
+    exact = exact.repartition("tile").sortWithinPartitions("tile", "place")
+
+    def compare(tile: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
+        node, copies, x = tile["node"].to_numpy(), tile["copies"].to_numpy(), unit(np.stack(tile["v"].to_numpy()))
+        count, pairs = np.zeros(len(x), np.int64), []
+        for i, j in undecided(tile):
+            hit = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]], x[j[a : a + (1 << 16)]]) >= least for a in range(0, len(i), 1 << 16)] or [np.zeros(0, bool)])
+            i, j = i[hit], j[hit]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
-            pairs += forest(n, np.stack([i, j], 1))
-        return node, count, [(int(node[a]), int(node[b])) for a, b in forest(n, np.array(pairs).reshape(-1, 2))]
+            pairs += forest(len(x), np.stack([i, j], 1))
+        return tile["place"].to_numpy(), count, [(int(node[a]), int(node[b])) for a, b in forest(len(x), np.array(pairs).reshape(-1, 2))]
 
     def each(batches: Iterable) -> Iterator:
-        def out(tile: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if len(tile) > 1:
-                node, count, edges = compare(tile)
-                some = count > 0
-                frame = pd.DataFrame({"node": node[some], "n": count[some]})
-                if len(edges):
-                    frame = pd.concat([frame, pd.DataFrame(edges, columns=["a", "b"])])
-                if len(frame):
-                    yield frame.reindex(columns=["node", "n", "a", "b"]).astype("Int64")
-
         for tile in runs(batches, "tile"):
-            yield from out(tile)
-
-    found = cut(tiles.mapInPandas(each, "node long, n long, a long, b long"), "found")
-    near = found.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
+            place, count, edges = compare(tile)
+            some = count > 0
+            frame = pd.DataFrame({"place": place[some], "n": count[some]})
+            if len(edges):
+                frame = pd.concat([frame, pd.DataFrame(edges, columns=["a", "b"])])
+            if len(frame):
+                yield frame.reindex(columns=["place", "n", "a", "b"]).astype("Int64")
+
+    found = cut(exact.mapInPandas(each, "place long, n long, a long, b long"), "found")
+    near = found.where("place is not null").groupBy("place").agg(F.sum("n").alias("n"))
     groups = components(found.where("a is not null").select("a", "b"))
-    known = nodes.join(near, "node", "left").join(groups, "node", "left").select("label", "v", "node", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+    known = nodes.join(near, "place", "left").join(groups, "node", "left").select("label", "v", "node", F.coalesce("component", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
     result = rows.join(known, ["label", "v"], "left").select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

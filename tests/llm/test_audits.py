@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.llm import divergence, hard_negatives, language_id
+from lumenframe.llm import divergence, embeddings, hard_negatives, language_id
 
 DOCS = "doc_id long, text string, lang string, source string, term string, n long, docs int, p long, place int, block int, rank int"
 
@@ -249,3 +249,40 @@ def test_inner_products_are_exact():
         want = [[sum(int(p) * int(q) for p, q in zip(x, y, strict=True)) for y in b] for x in a]
         assert hard_negatives.inner(a, b).tolist() == want
     assert hard_negatives.inner(np.zeros((2, 0)), np.zeros((3, 0))).tolist() == [[0] * 3] * 2
+
+
+# ---- stored codes of embeddings --------------------------------------------------------------------------------
+@pytest.mark.parametrize("size", [1, 2, 5, 64, 300])
+def test_estimates_are_unbiased_and_bounded(size):
+    """Mean error over many rotations is near zero, and true cosines stay within the stated bound."""
+    rng = np.random.default_rng(size)
+    x = embeddings.unit(rng.standard_normal((40, size)) + (np.arange(40)[:, None] % 3 == 0))
+    truth, errors, outside = x @ x.T, [], 0
+    for seed in range(30):
+        stored = embeddings.Stored(embeddings.encoded(x, 1000 * seed), size, 1000 * seed)
+        estimate = stored.rebuilt[0] @ stored.rebuilt[1].T
+        errors.append(estimate - truth)
+        v = stored.variance[0][:, None] + stored.variance[1] + stored.variance[0][:, None] * stored.variance[1] * size
+        outside += int((np.abs(estimate - truth) > 5 * np.sqrt(v) + 1e-5).sum())
+        assert not (~stored.undecided(0, 40, 0.93, 5.0) & (truth >= 0.93)).any()
+    error = np.array(errors)
+    assert outside <= 5 and abs(error.mean()) < 0.01
+    assert np.abs(error.mean(0)).max() <= 5 * max(error.std(0).max(), 1e-6) / math.sqrt(30)
+
+
+def test_vectors_are_fetched_for_undecided_pairs_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, rng.standard_normal(64).tolist()) for i in range(900)]
+    rows += [(1000 + i, 0, (np.array(rows[i][2]) + 0.05 * rng.standard_normal(64)).tolist()) for i in range(40)]
+    sizes, cut = {}, embeddings.cut
+    monkeypatch.setattr(embeddings, "cut", lambda df, name, *a: sizes.setdefault(name, cut(df, name, *a)))
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    assert sum(r["n_links"] for r in got.collect()) == 80
+    assert sizes["asked"].select("place").distinct().count() < 0.15 * len(rows)
+
+
+def test_rows_that_share_an_id_are_counted_apart(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, 0, a), (1, 0, b), (2, 0, [1.0, 0.01, 0.0])], "vec_id long, label int, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
