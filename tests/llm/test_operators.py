@@ -535,9 +535,10 @@ def test_lm_is_the_model_of_one_process(spark):
     want = collections.defaultdict(set)
     for _, t in rows:
         want[t].add(round(sum(math.log10(probability(u, w)) for u, w in itertools.pairwise(tokens(t))), 6))
-    for parts, size in ((2, 8 << 20), (7, 500), (40, 60)):
-        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-        got = language_model.score_texts(frame, slice_characters=size).join(frame.select("doc_id", "text").distinct(), "doc_id").collect()
+    total = sum(len((t or "").encode()) for _, t in rows)
+    for deal, size, parts in ((2, 8 << 20, 1), (7, 500, 3), (40, 60, 11)):  # parts of the model, which send each other what they need
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(deal)
+        got = language_model.score_texts(frame, slice_characters=size, part_tokens=total // (6 * parts)).join(frame.select("doc_id", "text").distinct(), "doc_id").collect()
         assert len(got) == 300 + 1
         assert all({round(r["score"], 6)} == want[r["text"]] for r in got)
 
