@@ -295,6 +295,11 @@ def adjoint_sample(gradients: DataFrame, matrix: np.ndarray, dims: Sequence[int]
     return gradients.withColumns({"voxels": back("voxels"), "dims": ints(dims)})
 
 
+def adjoint_reorient(gradients: DataFrame, source: str | Column) -> DataFrame:
+    """The transpose of reorient: gradients in the new orientation back to the source's code. Axes were reversed only, so this reverses them again, geometry included."""
+    return reorient(gradients, source)
+
+
 def matrix_gradient(images: DataFrame, gradients: str, matrix: np.ndarray, centre: Sequence[float] = (0, 0, 0)) -> DataFrame:
     """Adds `d_matrix`: the gradient of sum(gradients * linear sampling at the pull-back matrix) by its first 12 numbers, row by row.
 

@@ -146,6 +146,18 @@ def matrix_gradient_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", (F.col("n") + 1).cast("int").alias("n"), tidy(F.col("value"), 5).alias("value"))
 
 
+@register("adjoint_reorient", f"""with {VOX}, t as (select image_id, x, y, z, case when image_id % 2 = 0 then 5 - x else x end as gx, case when image_id % 2 = 0 then 5 - y else y end as gy, z as gz, v from vox)
+    select image_id, x::int as x, y::int as y, z::int as z, round(v * (gx + 10 * gy + 100 * gz), 5) + 0.0 as value, 0.0::double as ox from t""")
+def adjoint_reorient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients of a weighted sum of reoriented voxels, brought back: every second image turned to RAS, the weights being the new positions; times the voxel itself."""
+    df = as_double(images(spark, sf_dir))
+    turned = spatial.reorient(df, F.when(F.col("image_id") % 2 == 0, "RAS").otherwise("LPS"))
+    weights = F.transform("voxels", lambda v, f: (f % 4 + 1) + 10.0 * (F.floor(f / 4) % 4 + 1) + 100.0 * (F.floor(f / 16) + 1))
+    back = spatial.adjoint_reorient(turned.withColumn("voxels", weights), "LPS")
+    met = df.select("image_id", F.col("voxels").alias("v")).join(back.withColumnRenamed("voxels", "g"), "image_id").withColumn("voxels", F.zip_with("v", "g", lambda v, g: v * g))
+    return rows(met.withColumn("ox", F.col("origin")[0]), "ox", digits=5)
+
+
 # ---- chains ----------------------------------------------------------------------------------------------------
 # New positions of the last grid, through spacing and scale, turned by 45 degrees about position 3.
 CHAINED = """select image_id, x, y, z, cos(radians(45)) * (a - 3) - sin(radians(45)) * (b - 3) + 3 as px, sin(radians(45)) * (a - 3) + cos(radians(45)) * (b - 3) + 3 as py, c as pz

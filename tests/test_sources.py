@@ -185,3 +185,18 @@ def test_cycles_are_numbered_on_a_stream(spark, tmp_path):
     batch = spark.createDataFrame(rows, kind).withColumn("day", F.to_date("ts"))
     want = inventory.assign_cycles(batch, "user_id", "day").groupBy("user_id", "day").agg(F.max("cycle").alias("cycle"), F.count("*").alias("n"))
     assert got == {(r["user_id"], r["day"]): (r["cycle"], r["n"]) for r in want.collect()} and len(got) == 11
+
+
+def test_saved_answers_and_reports(spark, tmp_path):
+    """Series lists are read from saved JSON answers, and result tables are written as CSV with one header, replacing older ones."""
+    from lumenframe.operators import inventory
+
+    (tmp_path / "answers").mkdir()
+    (tmp_path / "answers" / "a.json").write_text('[{"SeriesInstanceUID": "1.2", "Modality": "CT", "ImageCount": 40},\n {"SeriesInstanceUID": "1.3", "Modality": "PT", "ImageCount": null}]')
+    (tmp_path / "answers" / "b.json").write_text('[{"SeriesInstanceUID": "1.4", "Modality": "CT", "ImageCount": 7, "TotalSizeInBytes": 9}]')
+    got = {r["SeriesInstanceUID"]: (r["Modality"], r["ImageCount"], r["TotalSizeInBytes"]) for r in inventory.series_list(spark, str(tmp_path / "answers")).collect()}
+    assert got == {"1.2": ("CT", 40, None), "1.3": ("PT", None, None), "1.4": ("CT", 7, 9)}
+    for n in (5, 2):
+        inventory.write_report(spark.range(n).select("id", F.concat(F.lit("a,"), F.col("id").cast("string")).alias("text")).coalesce(1), str(tmp_path / "report"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "report"))
+    assert sorted(map(tuple, back.collect())) == [("0", "a,0"), ("1", "a,1")]
