@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
