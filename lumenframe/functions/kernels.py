@@ -420,7 +420,7 @@ def ssim(a: np.ndarray, b: np.ndarray, size: int = 11, sigma: float = 1.5, c1: f
 def endpoints(volume: np.ndarray, above: float) -> np.ndarray:
     """Both ends (x, y, z from 0) of the voxels above a threshold along their principal axis; ties go to the first in flat order.
 
-    The axis points to where its largest component is positive. Without such voxels both are (16, 16, 16), for a single one both are it.
+    The axis points to where its largest component (the first of equals, to nine digits) is positive. Without such voxels both are (16, 16, 16), for a single one both are it.
     """
     z, y, x = np.nonzero(volume > above)
     if not len(x):
@@ -430,7 +430,7 @@ def endpoints(volume: np.ndarray, above: float) -> np.ndarray:
         return np.concatenate([p[0], p[0]])
     c = p - p.mean(0)
     axis = np.linalg.eigh(c.T @ c / (len(p) - 1))[1][:, -1]
-    along = (c @ (axis * np.sign(axis[np.abs(axis).argmax()]))).round(9)
+    along = (c @ (axis * np.sign(axis[np.abs(axis).round(9).argmax()]))).round(9)
     return np.concatenate([p[along.argmin()], p[along.argmax()]])
 
 

@@ -138,6 +138,24 @@ def channel_barycenters(spark, sf_dir):
     return c.select("image_id", "channel", *(tidy(F.col(f"c{a}")).alias(f"c{a}") for a in "xyz"))
 
 
+# The principal axis by squaring the covariance forty times, its trace held at 1: what is left is the outer product of the axis with itself.
+@register("endpoints_wide", f"""with recursive {VOX}, pts as (select image_id, f, x - 1 as x, y - 1 as y, z - 1 as z from vox where v > 0.05::double),
+    m as (select image_id, count(*) as n, avg(x) as mx, avg(y) as my, avg(z) as mz from pts group by image_id),
+    c as (select p.*, n, p.x - mx as cx, p.y - my as cy, p.z - mz as cz from pts p join m using (image_id)),
+    cov as (select image_id, sum(cx * cx) as a, sum(cx * cy) as b, sum(cx * cz) as c, sum(cy * cy) as d, sum(cy * cz) as e, sum(cz * cz) as f from c where n > 1 group by image_id),
+    r as (select image_id, 0 as k, a / (a + d + f) as a, b / (a + d + f) as b, c / (a + d + f) as c, d / (a + d + f) as d, e / (a + d + f) as e, f / (a + d + f) as f from cov
+        union all select image_id, k + 1, (a * a + b * b + c * c) / t, (a * b + b * d + c * e) / t, (a * c + b * e + c * f) / t, (b * b + d * d + e * e) / t, (b * c + d * e + e * f) / t, (c * c + e * e + f * f) / t
+            from (select *, a * a + d * d + f * f + 2 * (b * b + c * c + e * e) as t from r) where k < 40),
+    u as (select image_id, case when ra >= rd and ra >= rf then a when rd >= rf then b else c end as ux, case when ra >= rd and ra >= rf then b when rd >= rf then d else e end as uy, case when ra >= rd and ra >= rf then c when rd >= rf then e else f end as uz
+        from (select *, round(a, 9) as ra, round(d, 9) as rd, round(f, 9) as rf from r where k = 40)),
+    l as (select c.*, round((cx * ux + cy * uy + cz * uz) / sqrt(ux * ux + uy * uy + uz * uz), 9) as along from c join u using (image_id)),
+    ends as (select image_id, {', '.join(f'first({a} order by along {way}, f) as {a}{k}' for k, way in ((1, ''), (2, 'desc')) for a in 'xyz')} from l group by image_id)
+    select vec_id as image_id, {', '.join(f'coalesce({a}{k}, case when n = 1 then m{a} else 16 end)::double as {a}{k}' for k in (1, 2) for a in 'xyz')} from embeddings i left join m on m.image_id = i.vec_id left join ends e on e.image_id = i.vec_id""")
+def endpoints_wide(spark, sf_dir):
+    """A threshold that leaves some twenty voxels an image, whose principal axis is unique; few voxels on a grid often have two axes of one length."""
+    return masks.endpoints(images(spark, sf_dir), 0.05)
+
+
 @register("endpoints")
 def endpoints(spark, sf_dir):
     return masks.endpoints(images(spark, sf_dir), 0.2)
