@@ -69,7 +69,7 @@ def bricks_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- points ----------------------------------------------------------------------------------------------------
 # A point for every event, in the volume whose id is the event's modulo 400, some of them outside; voxels are 1, 1.25 and 2 mm apart.
 EVENT_POINTS = """ev as (select event_id % 400 as image_id, event_id as point, 0.5::double + (event_id % 83) / 20.0::double as px, 0.75::double + (event_id % 79) / 16.0::double as py, 0.5::double + (event_id % 71) / 8.0::double as pz,
-    value / 100.0::double as g from events where event_id % 400 in (select vec_id from embeddings))"""
+    sqrt(value) as g from events where event_id % 400 in (select vec_id from embeddings))"""
 INDEX = "px, (py - 1) / 1.25::double + 1 as py, (pz - 1) / 2.0::double + 1 as pz"
 CORNERS = f"""{EVENT_POINTS}, ix as (select image_id, point, g, cast(px as real)::double as px, cast(py as real)::double as py, cast(pz as real)::double as pz from (select image_id, point, g, {INDEX} from ev)),
     co as (select *, px - floor(px) as ax, py - floor(py) as ay, pz - floor(pz) as az, least(floor(px) + dx, 4)::bigint as qx, least(floor(py) + dy, 4)::bigint as qy, least(floor(pz) + dz, 4)::bigint as qz,
@@ -83,7 +83,7 @@ def wide_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select((e % 400).alias("image_id"), e.alias("point"), (0.5 + e % 83 / 20).alias("px"), (0.75 + e % 79 / 16).alias("py"), (0.5 + e % 71 / 8).alias("pz"), (F.col("value") / 100).alias("g"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select((e % 400).alias("image_id"), e.alias("point"), (0.5 + e % 83 / 20).alias("px"), (0.75 + e % 79 / 16).alias("py"), (0.5 + e % 71 / 8).alias("pz"), F.sqrt("value").alias("g"))
 
 
 def sampled_sql(mode: str) -> str:

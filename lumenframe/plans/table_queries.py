@@ -135,10 +135,10 @@ def dose_table(spark, sf_dir):
     return doses(curves.clean(points(spark, sf_dir)))
 
 
-@register("dose_table_long", dose_sql("(t - 19000) * 10000"))
+@register("dose_table_long", dose_sql("(t - 19000) * 10001.234567::double"))
 def dose_table_long(spark, sf_dir):
     """Curves of 10^5 days: repair rate times span is up to 3600, where a growing exponent would overflow."""
-    return doses(curves.clean(points(spark, sf_dir).withColumn("t", (F.col("t") - 19000) * 10000)))
+    return doses(curves.clean(points(spark, sf_dir).withColumn("t", (F.col("t") - 19000) * 10001.234567)))
 
 
 FEATURES = ("a_max", "a_mean", "a_std", "a_median", "energy", "time_to_peak", "t_max", "sparse")
