@@ -201,6 +201,18 @@ def test_endpoints_of_a_line(spark):
     assert masks.endpoints(image(spark, np.zeros((3, 3, 3)))).first()[1:] == (16,) * 6
 
 
+def test_endpoints_of_two_axes_of_one_length():
+    """Voxels whose two longest axes are equal; the ends are those of the SQL of endpoints_wide, which a decomposition missed."""
+    for hot, ends in (
+        ((5, 20, 25, 28, 29, 30, 37, 38, 39, 41, 42, 48, 56, 58, 60, 62), (0, 3, 1, 3, 1, 2)),
+        ((1, 2, 10, 13, 16, 17, 19, 20, 21, 23, 26, 28, 29, 33, 34, 36, 37, 43, 49, 53, 54, 56, 57, 59), (2, 2, 0, 0, 2, 3)),
+        ((5, 7, 9, 23, 24, 26, 34, 37, 39, 44, 46, 52, 53, 55, 62, 63), (0, 3, 2, 3, 1, 3)),
+    ):
+        volume = np.zeros(64)
+        volume[list(hot)] = 1
+        assert tuple(kernels.endpoints(volume.reshape(4, 4, 4), 0.5)) == ends
+
+
 def test_distance_is_that_of_all_pairs():
     rng = np.random.default_rng(7)
     mask = rng.random((6, 5, 4)) > 0.93
