@@ -22,6 +22,8 @@ from lumenframe.operators.dose import cosine_window, patch_starts
 from lumenframe.operators.spatial import diagonal, each_axis, matrices, real, turned, whole
 
 PLACE = ("bx", "by", "bz")
+#: Voxels of small boxes or bricks that a task works on together.
+HELD = 1 << 20
 
 
 def begin_of(side: str | Column = "side") -> Column:
@@ -102,80 +104,153 @@ def assembled(pieces: Sequence[dict], low: Sequence[int], high: Sequence[int]) -
     return box
 
 
-def in_boxes(pieces: DataFrame, finish: Callable[[np.ndarray, dict], Iterable[tuple[dict, np.ndarray]]], read: Sequence[str], kind: str = "double", add: bool = False) -> DataFrame:
-    """Pieces that share image_id, bx, by and bz put (or added) into one box from `low` to `high`, each box handed to finish as soon as it is whole.
+def rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(n, k) numbers of a column of lists of one length, or (n, 1) of single numbers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    pieces: low, high, and _begin, _size, _voxels of each piece, beside columns that all pieces of a box share. finish(box, row) gets the (z, y, x) box and the
-    columns of `read` and gives (new values of columns, flat voxels) for every row that stands for the box. Pieces come sorted, so a task holds one box.
+
+def flat_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of lists."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
+def alike(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the rows of a matrix that are equal, group by group."""
+    groups: dict[bytes, list[int]] = {}
+    for i, key in enumerate(np.ascontiguousarray(keys)):
+        groups.setdefault(key.tobytes(), []).append(i)
+    yield from map(np.array, groups.values())
+
+
+def in_boxes(pieces: DataFrame, finish: Callable[..., Iterable[tuple[dict, np.ndarray]]], read: Sequence[str], kind: str = "double", add: bool = False, single: Sequence[str] = ()) -> DataFrame:
+    """Pieces that share image_id, bx, by and bz put (or added) into one box from `low` to `high`, boxes handed to finish as soon as they are whole.
+
+    pieces: _begin, _size and _voxels of each piece, and `_rest`, a struct of low, high and all other columns of the box, which a box's first piece (or others too) holds.
+    finish(boxes, row, singles) gets a (n, z, y, x) stack of boxes with the same numbers in `read`, these, and the n values of each column of `single`, and gives
+    (new values of columns, n rows of voxels) for every row that stands for a box. Pieces come sorted, so a task holds one box, or small ones up to HELD voxels together.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
-    fields = [f for f in pieces.schema.fields if f.name not in ("_begin", "_size", "_voxels")]
+    keys = ("image_id", *PLACE)
+    fields = [*(pieces.schema[c] for c in keys), *pieces.schema["_rest"].dataType.fields]
     out = StructType([*fields]).add("voxels", ArrayType(DoubleType() if kind == "double" else FloatType()))
-    types, names, keys = {f.name: f.type for f in to_arrow_schema(out)}, [f.name for f in fields], ("image_id", *PLACE)
+    types, names = {f.name: f.type for f in to_arrow_schema(out)}, [f.name for f in fields]
     number = np.float64 if kind == "double" else np.float32
 
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = head = box = low = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            row = {c: head.column(c)[0].as_py() for c in read}
-            for new, flat in finish(box, row):
-                columns = [pa.array([new[c]], types[c]) if c in new else head.column(c) for c in names]
-                flat = np.ascontiguousarray(flat, number).reshape(-1)
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=[*names, "voxels"])
+    def finished(heads: pa.Table, boxes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in alike(np.hstack([rows_of(heads.column(c)).astype(float) for c in ("low", "high", *read)])):
+            mine = heads.take(pa.array(at))
+            row, singles = {c: mine.column(c)[0].as_py() for c in ("low", "high", *read)}, [mine.column(c).to_numpy() for c in single]
+            for new, values in finish(np.stack([boxes[i] for i in at]), row, *singles):
+                values = np.ascontiguousarray(values, number).reshape(len(at), -1)
+                columns = [pa.array([new[c]] * len(at), types[c]) if c in new else mine.column(c).combine_chunks() for c in names]
+                ends = pa.array(np.arange(len(at) + 1) * values.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))], names=[*names, "voxels"])
 
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads, boxes, held = None, [], [], 0  # the last box may still grow
         for batch in batches:
-            ids = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
-            lows, highs, begins, sizes = (batch.column(c).to_pylist() for c in ("low", "high", "_begin", "_size"))
+            rest, places, own = batch.column("_rest"), [batch.column(c) for c in keys], []
+            table = pa.Table.from_arrays([*places, *(rest.field(c) for c in names[4:])], names=names)
+            ids = list(zip(*(c.to_pylist() for c in places), strict=True))
+            begins, shapes = rows_of(batch.column("_begin")), rows_of(batch.column("_size"))[:, ::-1].tolist()
+            values, ends = flat_of(batch.column("_voxels"))
+            lows, highs = (rest.field(c) for c in ("low", "high"))
             for i, this in enumerate(ids):
-                piece = batch.column("_voxels").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                piece = values[ends[i] : ends[i + 1]].reshape(shapes[i])
                 if this != key:
-                    if key is not None:
-                        yield from done()
-                    shape = [b - a for a, b in zip(reversed(lows[i]), reversed(highs[i]), strict=True)]
-                    key, head, low, box = this, batch.slice(i, 1), lows[i], np.zeros(shape, piece.dtype)
-                size = sizes[i][::-1]
-                at = tuple(slice(b - a, b - a + n) for a, b, n in zip(reversed(low), reversed(begins[i]), size, strict=True))
-                box[at] = box[at] + piece.reshape(size) if add else piece.reshape(size)
-        if key is not None:
-            yield from done()
+                    if held > HELD:
+                        yield from finished(pa.concat_tables([*heads, table.take(pa.array(own, pa.int64()))]), boxes)
+                        heads, own, boxes, held = [], [], [], 0
+                    key, low = this, lows[i].as_py()
+                    box = np.zeros([b - a for a, b in zip(reversed(low), reversed(highs[i].as_py()), strict=True)], piece.dtype)
+                    own.append(i)
+                    boxes.append(box)
+                    held += box.size
+                x, y, z = (begins[i] - low).tolist()
+                nz, ny, nx = shapes[i]
+                at = (slice(z, z + nz), slice(y, y + ny), slice(x, x + nx))
+                if add:
+                    box[at] += piece
+                else:
+                    box[at] = piece
+            heads.append(table.take(pa.array(own, pa.int64())))  # a copy, so that the batch can go
+        if boxes:
+            yield from finished(pa.concat_tables(heads), boxes)
+
+    # What a box's first piece holds comes first, and sums are added up in one order.
+    return pieces.repartition(*keys).sortWithinPartitions(*keys, "_begin").mapInArrow(each, out)
+
+
+def gather(bricks: DataFrame, wanted: DataFrame, finish: Callable[..., Iterable[tuple[dict, np.ndarray]]], read: Sequence[str] = (), kind: str = "double", single: Sequence[str] = (), held_side: str = "side") -> DataFrame:
+    """finish of every row of `wanted` (image_id, bx, by, bz, low, high, and more) with its source box from low to high, of whichever bricks hold it (of side `held_side`).
 
-    order = [*keys, "_begin"] if add else keys  # sums are added up in one order
-    return pieces.repartition(*keys).sortWithinPartitions(*order).mapInArrow(each, out)
+    What each source brick must give is worked out from places alone and met with the bricks once; what it gives is cut before the shuffle that brings a box together.
+    Columns of a wanted row go with its first piece alone.
+    """
+    return in_boxes(cut_for(bricks, wanted, held_side), finish, read, kind, single=single)
 
 
-def gather(bricks: DataFrame, wanted: DataFrame, finish: Callable[[np.ndarray, dict], Iterable[tuple[dict, np.ndarray]]], read: Sequence[str] = (), kind: str = "double") -> DataFrame:
-    """finish of every row of `wanted` (image_id, bx, by, bz, low, high, and more) with its source box from low to high, of whichever bricks hold it.
+def cut_for(bricks: DataFrame, wanted: DataFrame, held_side: str = "side") -> DataFrame:
+    """The pieces of gather, as in_boxes takes them."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-    What each source brick must give is worked out from places alone and met with the bricks once; what it gives is cut before the shuffle that brings a box together.
-    """
-    sides = bricks.groupBy("image_id").agg(F.first("side").alias("from_side"))
     kept = [c for c in wanted.columns if c not in ("image_id", *PLACE)]
-    asked = wanted.select("image_id", F.struct(*PLACE, *kept).alias("target"), "low", "high").join(sides, "image_id")
-    for i, name in enumerate(PLACE):
-        asked = asked.withColumn(name, F.explode(F.sequence(F.floor(F.col("low")[i] / F.col("from_side")[i]).cast("int"), F.floor((F.col("high")[i] - 1) / F.col("from_side")[i]).cast("int"))))
-    asked = asked.groupBy("image_id", *PLACE).agg(F.collect_list("target").alias("targets"))
+    asked = wanted.select("image_id", *(F.col(c).alias(f"_to_{c}") for c in PLACE), "low", "high", F.struct(*kept).alias("_rest"), F.col(held_side).alias("_side"))
+    from_to = [(F.floor(F.col("low")[i] / F.col("_side")[i]).cast("int"), F.floor((F.col("high")[i] - 1) / F.col("_side")[i]).cast("int")) for i in range(3)]
+    for name, (first, last) in zip(PLACE, from_to, strict=True):
+        asked = asked.withColumn(name, F.explode(F.sequence(first, last)))
+    is_first = (F.col("bx") == from_to[0][0]) & (F.col("by") == from_to[1][0]) & (F.col("bz") == from_to[2][0])
+    target = F.struct(*(F.col(f"_to_{c}").alias(c) for c in PLACE), "low", "high", F.when(is_first, F.col("_rest")).alias("_rest"))
+    asked = asked.groupBy("image_id", *PLACE).agg(F.collect_list(target).alias("targets"))
     # Hashed by places in either case: Spark may take voxels that a function makes for small and would broadcast them.
     met = bricks.select("image_id", *PLACE, begin_of().alias("begin"), size_of().alias("size"), "voxels").join(asked.hint("shuffle_hash"), ["image_id", *PLACE])
+    met = met.select("image_id", "begin", "size", "voxels", "targets")
+    kinds = {f.name: f.dataType for f in met.schema}
+    target_type = kinds["targets"].elementType
+    out = StructType().add("image_id", kinds["image_id"])
+    for c in PLACE:
+        out = out.add(c, target_type[c].dataType)
+    out = out.add("_rest", target_type["_rest"].dataType).add("_begin", ArrayType(IntegerType())).add("_size", ArrayType(IntegerType())).add("_voxels", kinds["voxels"])
+    schema = to_arrow_schema(out)
+
+    def given(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """All pieces of the bricks of a batch; bricks of one shape that give the same place are cut together."""
+        targets = batch.column("targets")
+        asked, counts = targets.flatten(), np.diff(targets.offsets.to_numpy())
+        of = np.repeat(np.arange(batch.num_rows), counts)
+        begin, size = rows_of(batch.column("begin")).astype(int), rows_of(batch.column("size")).astype(int)
+        low = np.maximum(rows_of(asked.field("low")), begin[of])
+        high = np.minimum(rows_of(asked.field("high")), (begin + size)[of])
+        values, ends = flat_of(batch.column("voxels"))
+        order, parts = [], []
+        for at in alike(np.hstack([size[of], low - begin[of], high - begin[of]])):
+            i = at[0]
+            shape, (x, y, z), (x2, y2, z2) = size[of[i]][::-1], low[i] - begin[of[i]], high[i] - begin[of[i]]
+            there = np.stack([values[k : k + shape.prod()] for k in ends[of[at]]]).reshape(-1, *shape)
+            parts.append(there[:, z:z2, y:y2, x:x2].reshape(-1))
+            order.append(at)
+        order = np.concatenate(order)
+        rows, sizes = asked.take(pa.array(order)), (high - low)[order]
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 3, pa.int32()), pa.array(m.reshape(-1).astype(np.int32)))
+        voxels = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes.prod(1))]), pa.int32()), pa.array(np.concatenate(parts)))
+        found = [batch.column("image_id").take(pa.array(of[order])), *(rows.field(c) for c in (*PLACE, "_rest")), lists(low[order]), lists(sizes), voxels]
+        return pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("voxels").offsets.to_numpy()
+            start = 0
+            while start < batch.num_rows:  # as many bricks as hold HELD voxels, or one
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+                yield given(batch.slice(start, stop - start))
+                start = stop
 
-    @F.pandas_udf(f"array<struct<begin: array<int>, size: array<int>, voxels: {dict(bricks.dtypes)['voxels']}>>")
-    def cut(v: pd.Series, b: pd.Series, s: pd.Series, boxes: pd.Series) -> pd.Series:
-        out = []
-        for x, begin, size, targets in zip(v, b, s, boxes, strict=True):
-            volume, begin, end = np.asarray(x).reshape([int(n) for n in reversed(size)]), np.asarray(begin, int), np.asarray(begin, int) + np.asarray(size, int)
-            parts = []
-            for low, high in ((np.maximum(t["low"], begin), np.minimum(t["high"], end)) for t in targets):
-                at = tuple(slice(int(i), int(j)) for i, j in zip((low - begin)[::-1], (high - begin)[::-1], strict=True))
-                parts.append({"begin": low.astype(np.int32), "size": (high - low).astype(np.int32), "voxels": volume[at].reshape(-1)})
-            out.append(parts)
-        return pd.Series(out, dtype=object)
-
-    boxes = F.transform("targets", lambda t: F.struct(t["low"].alias("low"), t["high"].alias("high")))
-    given = met.select("image_id", "targets", cut("voxels", "begin", "size", boxes).alias("parts"))
-    pieces = given.select("image_id", F.explode(F.arrays_zip("targets", "parts")).alias("g")).select("image_id", "g.targets.*", *(F.col(f"g.parts.{c}").alias(f"_{c}") for c in ("begin", "size", "voxels")))
-    return in_boxes(pieces, finish, ["low", "high", *read], kind)
+    return met.mapInArrow(cut, out)
 
 
 def about(bricks: DataFrame) -> DataFrame:
@@ -192,9 +267,9 @@ def map_bricks(bricks: DataFrame, change: Callable[[np.ndarray], np.ndarray], ha
     begin, size = begin_of(), size_of()
     wanted = about(bricks).withColumns({"low": each_axis(lambda i: F.greatest(begin[i] - h[i], F.lit(0))), "high": each_axis(lambda i: F.least(begin[i] + size[i] + h[i], F.col("dims")[i])), "at": begin, "own": size})
 
-    def local(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
-        done = np.asarray(change(box.astype(float)), float)
-        yield {}, done[tuple(slice(x - a, x - a + n) for a, x, n in zip(reversed(row["low"]), reversed(row["at"]), reversed(row["own"]), strict=True))]
+    def local(boxes: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        own = tuple(slice(x - a, x - a + n) for a, x, n in zip(reversed(row["low"]), reversed(row["at"]), reversed(row["own"]), strict=True))
+        yield {}, np.stack([np.asarray(change(box.astype(float)), float)[own] for box in boxes])
 
     return gather(bricks, wanted, local, ("at", "own")).drop("low", "high", "at", "own")
 
@@ -231,16 +306,15 @@ def affine(bricks: DataFrame, matrix: np.ndarray | Column, out_dims: Sequence[in
     if isinstance(matrix, np.ndarray):
         matrix = np.linalg.inv(matrix) if not pulls else matrix
         matrix = F.array(*[F.lit(float(x)) for x in matrix.reshape(-1)])
-    # One row per image with all that doesn't hang on the brick.
-    rest = [c for c in bricks.columns if c not in (*PLACE, "voxels", "image_id")]
-    images = bricks.groupBy("image_id").agg(*(F.first(c).alias(c) for c in rest))
+    # One row per image with all that doesn't hang on the brick: that of its first brick.
+    images = about(bricks).where("bx = 0 and by = 0 and bz = 0").drop(*PLACE)
     out = whole(out_dims) if out_dims is not None else F.col("dims")
     images = images.withColumns({"source": F.col("dims"), "_m": matrix, "_out": out})
     images = images.withColumn("_c", centre if centre is not None else F.transform("_out", lambda n: n / 2)).withColumn("dims", F.col("_out").cast("array<int>")).drop("_out")
     images = images.withColumn("_fill", F.lit(float(fill))) if fill is not None else images.join(outside_of(bricks).withColumnRenamed("fill", "_fill"), "image_id")
     step = lambda i: F.greatest(F.lit(1.0), sum((F.abs(F.col("_m")[4 * r + i]) for r in range(3)), F.lit(0.0)))
     smaller = each_axis(lambda i: F.greatest(F.lit(1), F.floor(F.col("side")[i] / step(i))))
-    wanted = places(images.withColumn("_s", smaller).drop("side"), F.col("_s")).drop("_s")
+    wanted = places(images.withColumn("_s", smaller).withColumnRenamed("side", "_from"), F.col("_s")).drop("_s")
 
     @F.pandas_udf("struct<low: array<int>, high: array<int>>")
     def reach(b: pd.Series, s: pd.Series, m: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
@@ -258,12 +332,13 @@ def affine(bricks: DataFrame, matrix: np.ndarray | Column, out_dims: Sequence[in
     number = np.float64 if kind == "double" else np.float32
     wanted = wanted.withColumns({"at": begin_of(), "own": size_of()})
 
-    def sample(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+    def sample(boxes: np.ndarray, row: dict, fills: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
         window = kernels.Window(tuple(row["source"]), tuple(row["at"]), tuple(row["low"]), tuple(b - a for a, b in zip(row["low"], row["high"], strict=True)))
-        flat = box.reshape(1, -1).astype(number, copy=False)
-        yield {}, kernels.pull(flat, np.array(row["_m"]).reshape(4, 4), np.array(row["_c"], float), tuple(row["own"]), window, np.array([row["_fill"]], number), mode)[0]
+        flat = boxes.reshape(len(boxes), -1).astype(number, copy=False)
+        yield {}, kernels.pull(flat, np.array(row["_m"]).reshape(4, 4), np.array(row["_c"], float), tuple(row["own"]), window, fills.astype(number), mode)
 
-    return gather(bricks, wanted, sample, ("at", "own", "source", "_m", "_c", "_fill"), kind).drop("low", "high", "at", "own", "_m", "_c", "_fill", "source")
+    done = gather(bricks, wanted, sample, ("at", "own", "source", "_m", "_c"), kind, ("_fill",), "_from")
+    return done.drop("low", "high", "at", "own", "_m", "_c", "_fill", "source", "_from")
 
 
 def resample_to_spacing(bricks: DataFrame, spacing: Sequence[float] | Column, mode: str = "linear", fill: float | None = None, kind: str = "float") -> DataFrame:
@@ -292,36 +367,37 @@ def blend_patches(bricks: DataFrame, patch: int, stride: int, predict: Callable[
     far = each_axis(lambda i: F.least(begin[i] + size[i] + (patch - 1), F.col("dims")[i]))
     line = np.array(cosine_window(patch))
 
-    def blended(box: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
-        """The brick's own cubes, predicted, weighted and summed in its box, cut by the bricks that the box reaches."""
-        box, low, high, side = box.astype(float), row["low"], row["high"], row["side"]
-        total = np.zeros(box.shape)
+    def blended(boxes: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+        """The bricks' own cubes, predicted, weighted and summed in their boxes, cut by the bricks that the boxes reach."""
+        low, high, side, total = row["low"], row["high"], row["side"], np.zeros(boxes.shape)
         own = [[a - 1 for a in patch_starts(n, patch, stride) if b <= a - 1 < b + k] for n, b, k in zip(row["dims"], low, row["own"], strict=True)]
         for first in itertools.product(*reversed(own)):
-            here = tuple(slice(a - b, min(a - b + patch, n)) for a, b, n in zip(first, reversed(low), box.shape, strict=True))
-            cube = box[here]
-            total[here] += (rest(cube) if cube.max() < skip_below else predict(cube)) * np.einsum("i,j,k->ijk", *(line[:n] for n in cube.shape))
+            here = tuple(slice(a - b, min(a - b + patch, n)) for a, b, n in zip(first, reversed(low), boxes.shape[1:], strict=True))
+            weight = np.einsum("i,j,k->ijk", *(line[: s.stop - s.start] for s in here))
+            for k, box in enumerate(boxes):
+                cube = box[here].astype(float)
+                total[k][here] += (rest(cube) if cube.max() < skip_below else predict(cube)) * weight
         for place in itertools.product(*(range(a // t, (b - 1) // t + 1) for a, b, t in zip(low, high, side, strict=True))):
             first = [max(a, b * t) for a, b, t in zip(low, place, side, strict=True)]
             last = [min(a, (b + 1) * t) for a, b, t in zip(high, place, side, strict=True)]
             ends = [min((b + 1) * t, n) for b, t, n in zip(place, side, row["dims"], strict=True)]
-            new = dict(zip(PLACE, place, strict=True)) | {"low": [b * t for b, t in zip(place, side, strict=True)], "high": ends, "_begin": first, "_size": [b - a for a, b in zip(first, last, strict=True)]}
-            yield new, total[tuple(slice(a - o, b - o) for a, b, o in zip(reversed(first), reversed(last), reversed(low), strict=True))]
+            new = dict(zip(PLACE, place, strict=True)) | {"low": [b * t for b, t in zip(place, side, strict=True)], "high": ends, "to_begin": first, "to_size": [b - a for a, b in zip(first, last, strict=True)]}
+            yield new, total[(slice(None), *(slice(a - o, b - o) for a, b, o in zip(reversed(first), reversed(last), reversed(low), strict=True)))]
 
-    def averaged(total: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
+    def averaged(totals: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
         weights = []
         for low, high, n in zip(row["low"], row["high"], row["dims"], strict=True):
             w = np.zeros(n)
             for a in patch_starts(n, patch, stride):
                 w[a - 1 : a - 1 + patch] += line[: n - a + 1]
             weights.append(w[low:high])
-        yield {}, total / (np.einsum("k,j,i->kji", *reversed(weights)) + 1e-8)
+        yield {}, totals / (np.einsum("k,j,i->kji", *reversed(weights)) + 1e-8)
 
     wanted = about(bricks).withColumns({"low": begin, "high": far, "own": size, "to_begin": begin, "to_size": size})
-    rename = {"_begin": "to_begin", "_size": "to_size"}
-    parts = gather(bricks, wanted, lambda box, row: (({rename.get(k, k): v for k, v in new.items()}, x) for new, x in blended(box, row)), ("own", "side", "dims"))
-    pieces = parts.withColumnsRenamed({"voxels": "_voxels", "to_begin": "_begin", "to_size": "_size"}).drop("own")
-    return in_boxes(pieces, averaged, ("low", "high", "dims"), add=True).drop("low", "high")
+    parts = gather(bricks, wanted, blended, ("own", "side", "dims"))
+    kept = [c for c in parts.columns if c not in ("image_id", *PLACE, "own", "to_begin", "to_size", "voxels")]
+    pieces = parts.select("image_id", *PLACE, F.struct(*kept).alias("_rest"), F.col("to_begin").alias("_begin"), F.col("to_size").alias("_size"), F.col("voxels").alias("_voxels"))
+    return in_boxes(pieces, averaged, ("dims",), add=True).drop("low", "high")
 
 
 def voxel_sums(bricks: DataFrame) -> DataFrame:

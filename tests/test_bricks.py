@@ -344,3 +344,17 @@ def test_thinning_draws_by_key_alone(spark):
     assert abs(out[0] - counts[0] / 2) < 5 * math.sqrt(counts[0]) and out[1:3].tolist() == [0, 0] and 0 <= out[3] <= 7
     nulls = spark.createDataFrame([(1, None), (None, 3)], "id long, n long").select(noise.thinned(F.col("n"), F.col("id"), 0.5, 1).alias("k")).collect()
     assert [r["k"] for r in nulls] == [None, None]
+
+
+def test_small_boxes_are_finished_together(spark):
+    """Boxes of one shape reach finish as one stack; one call and one batch a box made small bricks slow."""
+    cut = bricks.split(table(spark, [(4, 4, 4)] * 200), (2, 2, 2))
+    calls = spark.sparkContext.accumulator(0)
+
+    def finish(boxes, row):
+        calls.add(1)
+        yield {}, boxes
+
+    wanted = bricks.about(cut).withColumns({"low": bricks.begin_of(), "high": F.transform(bricks.begin_of(), lambda b: b + 2)})
+    same(bricks.join(bricks.gather(cut, wanted, finish).drop("low", "high")), bricks.join(cut))
+    assert 0 < calls.value <= 400  # of 1600 boxes
