@@ -147,15 +147,16 @@ def organ_dose(curves: DataFrame, organs: DataFrame) -> DataFrame:
     return rows.select("curve", "auc", "dose", "g", "bed", (F.col("bed") / (1 + 2 / F.col("alpha_beta"))).alias("eqd2"))
 
 
-def medians(rows: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
+def medians(rows: DataFrame, value: Column, by: Sequence[str], few: bool = False) -> DataFrame:
     """(by, median): exact medians without holding a group in one task.
 
     Approximate quantiles just below and above bracket the median (their rank error is a tenth of the bracket's width). Rows are counted by distinct value inside the
     bracket, all below it as one, before the shuffle; only those counts are put in order. Rows that tie at the median are one count, however many they are.
+    few: groups are few and may be large, so their brackets go to the rows (two numbers a group), and no task gets or sorts a whole group.
     """
     v = rows.select(*by, value.cast("double").alias("v")).where("v is not null")
     ends = v.groupBy(*by).agg(F.percentile_approx("v", [0.498, 0.502], 5000).alias("e"), F.count("*").alias("n"))
-    met = v.join(ends, list(by)).where(F.col("v") <= F.col("e")[1])
+    met = v.join(F.broadcast(ends) if few else ends, list(by)).where(F.col("v") <= F.col("e")[1])
     counts = met.groupBy(*by, "n", F.when(F.col("v") >= F.col("e")[0], F.col("v")).alias("v")).agg(F.count("*").alias("rows"))
     upto = F.sum("rows").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
     reached = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
@@ -164,10 +165,10 @@ def medians(rows: DataFrame, value: Column, by: Sequence[str]) -> DataFrame:
 
 
 def regression_metrics(rows: DataFrame, truth: str, guess: str, by: Sequence[str]) -> DataFrame:
-    """MAE, MSE, RMSE, R2, median absolute error and MAPE per group."""
+    """MAE, MSE, RMSE, R2, median absolute error and MAPE per group; groups (models, targets) are few, whatever their size."""
     e = F.col(truth) - F.col(guess)
     sums = rows.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.avg(F.abs(e) / F.greatest(F.abs(F.col(truth)), F.lit(2.220446049250313e-16))).alias("mape"), F.var_pop(truth).alias("_var"))
-    sums = sums.join(medians(rows, F.abs(e), by).withColumnRenamed("median", "medae"), list(by))
+    sums = sums.join(medians(rows, F.abs(e), by, few=True).withColumnRenamed("median", "medae"), list(by))
     return sums.select(*by, "mae", "mse", F.sqrt("mse").alias("rmse"), F.when(F.col("_var") > 0, 1 - F.col("mse") / F.col("_var")).alias("r2"), "medae", "mape")
 
 
