@@ -200,3 +200,10 @@ def test_saved_answers_and_reports(spark, tmp_path):
         inventory.write_report(spark.range(n).select("id", F.concat(F.lit("a,"), F.col("id").cast("string")).alias("text")).coalesce(1), str(tmp_path / "report"))
     back = spark.read.option("header", "true").csv(str(tmp_path / "report"))
     assert sorted(map(tuple, back.collect())) == [("0", "a,0"), ("1", "a,1")]
+
+
+def test_small_files_share_a_frame():
+    """A frame a file made many small files slow; a large file is still alone."""
+    rows = [{"file": str(i), "voxels": np.zeros(n, np.float32)} for i, n in enumerate([64] * 100 + [20000] + [64] * 5)]
+    got = list(nifti.frames(iter(rows), 80000))
+    assert [f for frame in got for f in frame["file"]] == [str(i) for i in range(106)] and len(got) <= 4
