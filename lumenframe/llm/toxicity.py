@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,21 +39,6 @@ def tokens(text: str | None) -> list[bytes]:
     return [t for w in raw_words(text) for t in pieces(w)]
 
 
-def numbered(texts: Sequence[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct tokens of the texts, and each text as their numbers; words are taken apart once each."""
-    raw, seen = Numbers(), Numbers()
-    ids = [np.fromiter(map(raw.__getitem__, w), np.int64, len(w)) for w in map(raw_words, texts)]
-    parts = [[seen[t] for t in pieces(w)] for w in raw]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((t for x in parts for t in x), np.int64, int(counts.sum()))
-    starts = np.cumsum(counts) - counts
-    out = []
-    for x in ids:
-        n = counts[x]
-        out.append(flat[np.repeat(starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-    return list(seen) or [b""], out
-
-
 def window_starts(n: int) -> list[int]:
     """Starts of overlapping windows that cover n tokens; one empty window for none."""
     return list(range(0, max(1, n - STRIDE), STRIDE))
@@ -90,11 +76,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def scaled(weights: np.ndarray, directions: int = 1) -> np.ndarray:
+    """Columns z, r, n of each direction as `Gru.walk` takes them: -x for the gates, -2 x for n; that rounds nothing."""
+    size = weights.shape[-1] // (3 * directions)
+    return weights * np.tile(np.repeat(np.array([-1, -2], np.float32), [2 * size, size]), directions)
+
+
 class Gru:
     """One direction: gates z, r and candidate n from inputs already multiplied by W; masked steps keep the state."""
 
     @staticmethod
-    def run(a: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool, keep: bool = False) -> tuple[np.ndarray, list]:
+    def run(a: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool) -> tuple[np.ndarray, list]:
         """a: (batch, steps, 3H) -> states (batch, steps, H), and what the backward pass needs."""
         batch, steps, width = a.shape
         size = width // 3
@@ -105,12 +97,49 @@ class Gru:
             zr = sigmoid(a[:, t, : 2 * size] + g[:, : 2 * size])
             z, r = zr[:, :size], zr[:, size:]
             n = np.tanh(a[:, t, 2 * size :] + r * g[:, 2 * size :])
-            if keep:
-                memory[t] = h, z, r, n, g[:, 2 * size :]
+            memory[t] = h, z, r, n, g[:, 2 * size :]
             h = h + mask[:, t, None] * (1 - z) * (n - h)
             states[:, t] = h
         return states, memory
 
+    @staticmethod
+    def walk(inputs: Callable[[int, int], np.ndarray], u: Sequence[np.ndarray], mask: np.ndarray, states: np.ndarray | None = None) -> np.ndarray:
+        """The states of `run` in both directions, without what learning needs; a feature to a line, so steps work on whole lines in place.
+
+        inputs(direction, t): (3H, batch), scaled as u is by `scaled`; mask: (steps, batch). Returns the last states (2, H, batch) and
+        writes all into `states` (steps, 2, H, batch). With scaled inputs z and r are 1 / (1 + exp(x)) and n is 2 / (1 + exp(x)) - 1.
+        """
+        steps, batch = mask.shape
+        size = len(u[0])
+        turn = np.stack([scaled(x).T for x in u])
+        h, g = (np.zeros((2, k * size, batch), np.float32) for k in (1, 3))
+        gates, z, r, n = g[:, : 2 * size], g[:, :size], g[:, size : 2 * size], g[:, 2 * size :]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.matmul(turn, h, out=g)
+                a = inputs(0, t), inputs(1, steps - 1 - t)
+                for x, y in zip(gates, a, strict=True):
+                    x += y[: 2 * size]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.divide(n, r, out=n)
+                for x, y in zip(n, a, strict=True):
+                    x += y[2 * size :]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                n -= h
+                np.divide(1, z, out=z)
+                np.subtract(1, z, out=z)
+                n *= z
+                n[0] *= mask[t]
+                n[1] *= mask[steps - 1 - t]
+                h += n
+                if states is not None:
+                    states[t, 0], states[steps - 1 - t, 1] = h
+        return h
+
     @staticmethod
     def grad(d_states: np.ndarray, u: np.ndarray, mask: np.ndarray, back: bool, memory: list) -> tuple[np.ndarray, np.ndarray]:
         """Gradients for a and u."""
@@ -156,30 +185,54 @@ class Network:
         mask = (np.arange(steps) < np.fromiter(map(len, words), np.int64, len(words))[:, None]).astype(np.float32)
         return np.where(mask > 0, padded, 256), mask
 
-    def word_vectors(self, words: Sequence[bytes], keep: bool = False) -> tuple[np.ndarray, tuple]:
+    def word_vectors(self, words: Sequence[bytes]) -> tuple[np.ndarray, tuple]:
         p, (codes, mask) = self.p, self.spell(words)
         table = p["chars"] @ p["cw"] + p["cb"]
         a = table[codes]
         half = 3 * CHAR_HIDDEN
-        f, mf = Gru.run(a[:, :, :half], p["cuf"], mask, False, keep)
-        b, mb = Gru.run(a[:, :, half:], p["cub"], mask, True, keep)
+        f, mf = Gru.run(a[:, :, :half], p["cuf"], mask, False)
+        b, mb = Gru.run(a[:, :, half:], p["cub"], mask, True)
         ids = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
         return np.hstack([f[:, -1], b[:, 0], p["words"][ids]]), (codes, mask, mf, mb, ids, f.shape[1])
 
-    def inputs(self, words: Sequence[bytes], block: int = 8192) -> np.ndarray:
-        """Gate inputs of the word level for each word; words go by length, so short ones take few steps."""
-        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+    def read(self, words: Sequence[bytes]) -> np.ndarray:
+        """The vectors of word_vectors alone."""
+        p, (codes, mask) = self.p, self.spell(words)
+        table, half = np.ascontiguousarray(scaled(p["chars"] @ p["cw"] + p["cb"], 2).T), 3 * CHAR_HIDDEN
+        codes, mask = np.ascontiguousarray(codes.T), np.ascontiguousarray(mask.T)
+        f, b = Gru.walk(lambda d, t: table[d * half : (d + 1) * half].take(codes[t], 1), (p["cuf"], p["cub"]), mask)
+        ids = np.fromiter((self.index.get(w, 0) for w in words), np.int64, len(words))
+        return np.hstack([f.T, b.T, p["words"][ids]])
+
+    def inputs(self, words: Sequence[bytes], block: int = 512) -> np.ndarray:
+        """Inputs of the word level for each word, (2, words, 3 * HIDDEN) as `Gru.walk` takes them.
+
+        Words go by length, so short ones take few steps.
+        """
+        out, half = np.empty((2, len(words), 3 * HIDDEN), np.float32), 3 * HIDDEN
+        w, bias = scaled(self.p["w"], 2), scaled(self.p["b"], 2)
         by_length = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
         for i in range(0, len(words), block):
             part = by_length[i : i + block]
-            out[part] = self.word_vectors([words[j] for j in part])[0] @ self.p["w"] + self.p["b"]
+            x = self.read([words[j] for j in part]) @ w + bias
+            out[0, part], out[1, part] = x[:, :half], x[:, half:]
         return out
 
-    def pooled(self, a: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    def logits(self, table: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The logits of `pooled` alone, for windows of words of a table of `inputs`: at, mask are (WINDOW, windows)."""
+        p, h = self.p, np.empty((WINDOW, 2, HIDDEN, at.shape[1]), np.float32)
+        Gru.walk(lambda d, t: table[d].take(at[t], 0).T, (p["uf"], p["ub"]), mask, h)
+        h = h.reshape(WINDOW, 2 * HIDDEN, -1)
+        s = np.matmul(p["query"], np.tanh(np.matmul(p["key"].T, h))) - 1e4 * (1 - mask)
+        e = np.exp(s - s.max(0)) * np.maximum(mask, 1e-9)
+        h *= (e / e.sum(0))[:, None]
+        return p["out"] @ h.sum(0) + p["bias"]
+
+    def pooled(self, a: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Logit per window from gate inputs (windows, WINDOW, 6 * HIDDEN)."""
         p, half = self.p, 3 * HIDDEN
-        f, mf = Gru.run(a[:, :, :half], p["uf"], mask, False, keep)
-        b, mb = Gru.run(a[:, :, half:], p["ub"], mask, True, keep)
+        f, mf = Gru.run(a[:, :, :half], p["uf"], mask, False)
+        b, mb = Gru.run(a[:, :, half:], p["ub"], mask, True)
         h = np.concatenate([f, b], 2)
         key = np.tanh(h @ p["key"])
         s = key @ p["query"] - 1e4 * (1 - mask)
@@ -196,8 +249,8 @@ class Network:
         ids, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.float32)
         for i, x in enumerate(windows):
             ids[i, : len(x)], mask[i, : len(x)] = [at[w] for w in x], 1
-        v, (codes, cmask, cmf, cmb, wid, steps) = self.word_vectors(words, True)
-        logit, (h, key, weight, pool, mf, mb) = self.pooled((v @ p["w"] + p["b"])[ids], mask, True)
+        v, (codes, cmask, cmf, cmb, wid, steps) = self.word_vectors(words)
+        logit, (h, key, weight, pool, mf, mb) = self.pooled((v @ p["w"] + p["b"])[ids], mask)
         y = sigmoid(logit)
         loss = float(-(labels * np.log(y + 1e-7) + (1 - labels) * np.log(1 - y + 1e-7)).mean())
         d = ((y - labels) / len(y)).astype(np.float32)
@@ -226,10 +279,10 @@ class Network:
         g["cw"], g["chars"] = p["chars"].T @ table, table @ p["cw"].T
         return loss, g
 
-    def window_logits(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Logits of all overlapping windows of each text."""
-        seen, ids = numbered(texts)
-        table = self.inputs(seen)
+    def window_logits(self, texts: Sequence[str | None], known: Known | None = None) -> list[np.ndarray]:
+        """Logits of all overlapping windows of each text; `known` keeps words from call to call."""
+        known = known or Known(self)
+        ids, table = known.numbered(texts), known.table
         starts = [window_starts(len(d)) for d in ids]
         counts = np.array([len(s) for s in starts])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
@@ -237,24 +290,79 @@ class Network:
         first = np.concatenate([np.array(s, np.int64) + (e - len(d)) for s, e, d in zip(starts, ends, ids, strict=True)])
         stop = np.minimum(first + WINDOW, np.repeat(ends, counts))
         out = np.empty(len(first), np.float32)
-        for i in range(0, len(first), 1024):
-            at = first[i : i + 1024, None] + np.arange(WINDOW)
-            mask = (at < stop[i : i + 1024, None]).astype(np.float32)
-            out[i : i + 1024] = self.pooled(table[flat[np.minimum(at, len(flat) - 1)]], mask)[0]
+        for i in range(0, len(first), 512):
+            at = first[i : i + 512] + np.arange(WINDOW)[:, None]
+            mask = (at < stop[i : i + 512]).astype(np.float32)
+            out[i : i + 512] = self.logits(table, flat[np.minimum(at, len(flat) - 1)], mask)
         return np.split(out, np.cumsum(counts)[:-1])
 
     def scores(self, texts: Sequence[str | None], most: int = 2_000_000) -> list[float]:
-        """Per text, the probability of its most toxic window. Texts go in blocks of about `most` characters."""
-        out: list[float] = []
+        """Per text, the probability of its most toxic window. Equal texts are scored once, in blocks of about `most` characters."""
+        numbers, known, out = Numbers(), Known(self), []
+        at = [numbers[t] for t in texts]
         held, size = [], 0
-        for text in (*texts, None):
-            if held and (size > most or len(out) + len(held) == len(texts)):
-                out += [float(sigmoid(x.max())) for x in self.window_logits(held)]
+        for text in (*numbers, None):
+            if held and (size > most or len(out) + len(held) == len(numbers)):
+                out += [float(sigmoid(x.max())) for x in self.window_logits(held, known)]
                 held, size = [], 0
             held.append(text)
             size += len(text or "")
+        return [out[i] for i in at]
+
+
+class Known:
+    """Words that blocks of texts share: each is taken apart, and the network reads each token, once.
+
+    Where they come to more than `most`, those of the last block alone are kept.
+    """
+
+    def __init__(self, net: Network, most: int = 1 << 17) -> None:
+        self.net, self.most = net, most
+        self.raw, self.seen = Numbers(), Numbers()
+        #: Tokens of each word, and their numbers word by word; inputs of each token.
+        self.counts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.empty((2, 0, 3 * HIDDEN), np.float32)
+
+    def numbered(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Each text as numbers of its tokens, which are their places in the table."""
+        if len(self.raw) > self.most:
+            self.shrink()
+        ids = [np.fromiter(map(self.raw.__getitem__, w), np.int64, len(w)) for w in map(raw_words, texts)]
+        self.last = ids
+        words = list(islice(self.raw, len(self.counts), None))
+        bare = [w.strip(MARKS) or w for w in words]
+        long = {i: [self.seen[t] for t in pieces(words[i])] for i, w in enumerate(bare) if len(w) > PIECE}
+        new, short = np.ones(len(words), np.int64), np.ones(len(words), bool)
+        for i, part in long.items():
+            new[i], short[i] = len(part), False
+        first, flat = np.cumsum(new) - new, np.empty(int(new.sum()), np.int64)
+        flat[first[short]] = [self.seen[w] for w in bare if len(w) <= PIECE]
+        for i, part in long.items():
+            flat[first[i] : first[i] + len(part)] = part
+        self.counts, self.flat = np.concatenate([self.counts, new]), np.concatenate([self.flat, flat])
+        if not self.seen:
+            _ = self.seen[b""]  # texts without words have an empty window
+        read = self.table.shape[1]
+        if read < len(self.seen):
+            self.table = np.concatenate([self.table, self.net.inputs(list(islice(self.seen, read, None)))], 1)
+        starts = np.cumsum(self.counts) - self.counts
+        out = []
+        for x in ids:
+            n = self.counts[x]
+            out.append(self.flat[np.repeat(starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())])
         return out
 
+    def shrink(self) -> None:
+        """Drop all but the last block's words and their tokens."""
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *self.last]))
+        held = np.zeros(len(self.raw), bool)
+        held[used] = True
+        flat = self.flat[np.repeat(held, self.counts)]
+        tokens, self.flat = np.unique(flat, return_inverse=True)
+        kept = lambda old, at: Numbers(zip(map(list(old).__getitem__, at.tolist()), range(len(at)), strict=True))
+        self.raw, self.seen = kept(self.raw, used), kept(self.seen, tokens)
+        self.counts, self.table = self.counts[used], self.table[:, tokens]
+
 
 def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, rate: float = 0.01, seed: int = 5) -> Network:
     """Fit on labelled texts. A document is as toxic as its most toxic window, so learning goes by windows.
@@ -274,10 +382,10 @@ def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, r
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
     for epoch in range(epochs if len(docs) else 0):
         if epoch >= 2 and epoch % 2 == 0:
-            at = 0
+            at, known = 0, Known(net)
             while at < len(docs):
                 part = texts[at : at + 200]
-                worst[at : at + 200] = [int(x.argmax()) for x in net.window_logits(part)]
+                worst[at : at + 200] = [int(x.argmax()) for x in net.window_logits(part, known)]
                 at += 200
         examples = [(c[i], t) for c, i, t in zip(cuts, worst, y, strict=True)] + [(c[rng.integers(len(c))], 0) for c, t in zip(cuts, y, strict=True) if not t]
         order, lot = rng.permutation(len(examples)), min(64, max(8, len(examples) // 40))  # small sets take as many steps

@@ -610,6 +610,41 @@ def test_network_gradients():
         assert math.isclose((up - down) / 2e-3, g[name][at], rel_tol=0.05, abs_tol=1e-4), name
 
 
+def test_words_are_read_once(monkeypatch):
+    """Blocks of texts share their words, and equal texts one score; scores are those of the pass that learning takes."""
+    rng = random.Random(9)
+    some = ["abc", "Abc,", "x" * 40, "--", "\u00e9t\u00e9", *("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 15))) for _ in range(60))]
+    texts = [" ".join(rng.choice(some) for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 48, 120) for _ in range(4)]
+    texts += [None, "", " \t", *texts[-9:]]
+    net = toxicity.Network([b"abc", b"--"], 3)
+    net.p = {k: v if k == "words" else v + np.float32(0.3) * np.random.default_rng(1).standard_normal(v.shape).astype(np.float32) for k, v in net.p.items()}
+    read, inputs = [], toxicity.Network.inputs
+    monkeypatch.setattr(toxicity.Network, "inputs", lambda self, words, *more: (read.extend(words), inputs(self, words, *more))[1])
+    got = net.scores(texts, most=200)
+    tokens = {t for x in texts for t in toxicity.tokens(x)}
+    assert collections.Counter(read) == collections.Counter(tokens)
+    for text, score in zip(texts, got, strict=True):
+        held = toxicity.tokens(text)
+        at = sorted(set(held)) or [b""]
+        a = net.word_vectors(at)[0] @ net.p["w"] + net.p["b"]
+        best = []
+        for s in toxicity.window_starts(len(held)):
+            part = [at.index(w) for w in held[s : s + toxicity.WINDOW]]
+            mask = (np.arange(toxicity.WINDOW) < len(part)).astype(np.float32)[None]
+            best.append(float(net.pooled(a[np.array(part + [0] * (toxicity.WINDOW - len(part)))][None], mask)[0][0]))
+        assert math.isclose(score, toxicity.sigmoid(np.float64(max(best))), abs_tol=2e-6), text
+
+
+def test_known_words_are_bounded():
+    net = toxicity.Network([b"ab"], 3)
+    blocks = [[f"w{i} ab {'long' * 5}{i % 3} w{i + 1}", None, f"(w{i}) ab"] for i in range(12)] + [[""], [None], ["ab"]]
+    known = toxicity.Known(net, most=6)
+    for block in blocks:
+        for got, want in zip(net.window_logits(block, known), net.window_logits(block), strict=True):
+            assert np.allclose(got, want, atol=1e-6)
+        assert len(known.raw) <= 6 + 5 and known.table.shape[1] == len(known.seen)
+
+
 def test_windows_cover_all_tokens():
     for n in (0, 1, 16, 31, 32, 33, 48, 49, 200):
         starts = toxicity.window_starts(n)
