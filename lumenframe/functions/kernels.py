@@ -293,15 +293,15 @@ def dose_point_kernel(radius: int, spacing: tuple[float, float, float], sigma: f
 
 
 def boxed(volume: np.ndarray, begin: np.ndarray, size: np.ndarray, flip: np.ndarray, fill: float) -> np.ndarray:
-    """The box of `size` voxels from `begin` (x, y, z from 0; may lie outside) of a (z, y, x) volume, some axes reversed."""
-    out = np.full(tuple(size[::-1]), fill, volume.dtype)
-    source, target = [], []
-    for b, s, n in zip(begin[::-1], size[::-1], volume.shape, strict=True):
+    """The box of `size` voxels from `begin` (x, y, z from 0; may lie outside) of a (..., z, y, x) volume or stack, some axes reversed."""
+    out = np.full((*volume.shape[:-3], *size[::-1]), fill, volume.dtype)
+    source, target = [...], [...]
+    for b, s, n in zip(begin[::-1], size[::-1], volume.shape[-3:], strict=True):
         low, high = max(b, 0), min(b + s, n)
         source.append(slice(low, max(high, low)))
         target.append(slice(low - b, max(high, low) - b))
     out[tuple(target)] = volume[tuple(source)]
-    return out[tuple(slice(None, None, -1) if f else slice(None) for f in flip[::-1])]
+    return out[(..., *(slice(None, None, -1) if f else slice(None) for f in flip[::-1]))]
 
 
 def gradient_magnitude(volume: np.ndarray, eps: float) -> np.ndarray:

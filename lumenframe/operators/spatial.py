@@ -38,14 +38,25 @@ def axis_shift(voxels: Column, sign: int) -> Column:
 
 
 def boxed(images: DataFrame, begin: Column, size: Column, fill: Column | None = None, flip: Column | None = None, **others: Column) -> DataFrame:
-    """The box of `size` voxels from `begin` (from 0) of every image, with `fill` where it sticks out, some axes reversed."""
+    """The box of `size` voxels from `begin` (from 0) of every image, with `fill` where it sticks out, some axes reversed.
+
+    Rows of a batch that share shape and box are cut together.
+    """
 
     @F.pandas_udf(dict(images.dtypes)["voxels"])
     def cut(v: pd.Series, d: pd.Series, b: pd.Series, s: pd.Series, f: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for x, dims, begin, size, fill, flip in zip(v, d, b, s, f, r, strict=True):
-            volume = None if x is None else np.asarray(x).reshape([int(k) for k in reversed(dims)])
-            out.append(None if volume is None else kernels.boxed(volume, np.asarray(begin, int), np.asarray(size, int), np.asarray(flip, bool), fill).reshape(-1))
+        out, v = [None] * len(v), list(v)
+        groups: dict[tuple, list[int]] = {}
+        for i, (x, *key, fill) in enumerate(zip(v, d, b, s, r, f, strict=True)):
+            if x is not None:
+                groups.setdefault((*(np.asarray(k).tobytes() for k in key), fill), []).append(i)
+        for rows in groups.values():
+            dims, begin, size, flip = (np.asarray(k.iloc[rows[0]], int) for k in (d, b, s, r))
+            together = max(1, (1 << 20) // max(int(np.prod(dims)), 1))  # rows that are held at once
+            for part in (rows[i : i + together] for i in range(0, len(rows), together)):
+                stack = (np.stack([v[i] for i in part]) if len(part) > 1 else np.asarray(v[part[0]])).reshape(len(part), *dims[::-1])
+                for i, x in zip(part, kernels.boxed(stack, begin, size, flip > 0, f.iloc[rows[0]]).reshape(len(part), -1), strict=True):
+                    out[i] = x
         return pd.Series(out, dtype=object)
 
     new = cut("voxels", "dims", begin, size, (fill if fill is not None else F.lit(0.0)).cast("float"), flip if flip is not None else ints((0, 0, 0)))
@@ -94,21 +105,26 @@ def translate(images: DataFrame, voxels: int | Column, axis: int) -> DataFrame:
     return images.withColumn("origin", F.array(*[F.col("origin")[i] + (n * F.col("spacing")[i] if i == axis - 1 else 0.0) for i in range(3)]))
 
 
-def reorient(images: DataFrame, target: str | Column) -> DataFrame:
+def reorient(images: DataFrame, *targets: str | Column) -> DataFrame:
     """To an orientation code, or a column of codes: axes whose letters differ are reversed and the origin moves to their other end.
 
-    The source is each row's own direction; one that isn't diagonal has no code and is an error.
+    The source is each row's own direction; one that isn't diagonal has no code and is an error. Of several targets each follows
+    the one before; origins move step by step, and voxels move once.
     """
     d = F.col("direction")
-    if isinstance(target, str):
-        t = [F.lit(sign) for sign in geometry.direction_signs(target)]
-    else:
-        t = [F.when(F.substring(target, i + 1, 1).isin(*"LPS"), 1).otherwise(-1) for i in range(3)]
     oblique = F.exists(F.transform(d, lambda x, i: F.abs(F.abs(x) - F.when(i % 4 == 0, 1.0).otherwise(0.0))), lambda x: x > 1e-6)
     sign = [F.when(oblique, F.raise_error(F.lit("an oblique direction has no orientation code")).cast("int")).otherwise(F.signum(d[4 * i]).cast("int")) for i in range(3)]
-    flip = each_axis(lambda i: F.when(sign[i] != t[i], 1).otherwise(0))
-    origin = each_axis(lambda i: F.col("origin")[i] + F.when(sign[i] != t[i], sign[i] * (F.col("dims")[i] - 1) * F.col("spacing")[i]).otherwise(0.0), "double")
-    return boxed(images, ints((0, 0, 0)), F.col("dims"), flip=flip, origin=origin, direction=F.array(*[(t[i // 4] if i % 4 == 0 else F.lit(0)).cast("double") for i in range(9)]))
+    flip, origin, t = [F.lit(0)] * 3, [F.col("origin")[i].cast("double") for i in range(3)], sign
+    for target in targets:
+        if isinstance(target, str):
+            t = [F.lit(k) for k in geometry.direction_signs(target)]
+        else:
+            t = [F.when(F.substring(target, i + 1, 1).isin(*"LPS"), 1).otherwise(-1) for i in range(3)]
+        flip = [F.when(sign[i] != t[i], 1 - flip[i]).otherwise(flip[i]) for i in range(3)]
+        origin = [origin[i] + F.when(sign[i] != t[i], sign[i] * (F.col("dims")[i] - 1) * F.col("spacing")[i]).otherwise(0.0) for i in range(3)]
+        sign = t
+    direction = F.array(*[(t[i // 4] if i % 4 == 0 else F.lit(0)).cast("double") for i in range(9)])
+    return boxed(images, ints((0, 0, 0)), F.col("dims"), flip=F.array(*flip), origin=F.array(*origin), direction=direction)
 
 
 def sampled(voxels: Column, dims: Column, matrix: Column, centre: Column, out_dims: Column, fill: Column, mode: str, kind: str = "float") -> Column:

@@ -300,7 +300,7 @@ def orientation_pairs(spark, sf_dir):
     """All 64 pairs of orientations: the origin and the first voxel after going from one to the other."""
     codes = lambda name: F.explode(F.array(*map(F.lit, geometry.CODES))).alias(name)
     df = images(spark, sf_dir).select("*", codes("source")).select("*", codes("target"))
-    done = spatial.reorient(spatial.reorient(df, F.col("source")), F.col("target"))
+    done = spatial.reorient(df, F.col("source"), F.col("target"))
     return done.select("image_id", "source", "target", *(F.col("origin")[i].alias(f"o{a}") for i, a in enumerate("xyz")), tidy(F.col("voxels")[0].cast("double")).alias("first"))
 
 
