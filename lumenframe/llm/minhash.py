@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import components, cut, documents, runs
+from lumenframe.llm.common import cut, documents, regrouped, runs
 from lumenframe.llm.fingerprint import WordHashes, mixed, step
 
 #: Shingles that are hashed into signatures at once.
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     pair at 0.8 once in 2 * 10**7. Pairs of a bucket that are not connected yet are verified on full sets inside a task
     that returns a spanning forest, each pair in the first bucket where it meets. Large buckets are compared with a few hubs first,
     and only members which that leaves outside the bucket's largest component then meet all others. Bands go in rounds of 1, 5 and the
-    rest: a bucket whose members earlier rounds have connected has nothing left to verify. Links are grouped by union-find.
+    rest: a bucket whose members earlier rounds have connected has nothing left to verify. Links are grouped by union-find, later ones between the groups of earlier ones.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). A document
     without words has no shingles and no links. Rows with a null doc_id are returned unlinked, with a null
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = sets.dropDuplicates(["doc_id", "same"]).select(F.col("doc_id").alias("rep"), "same", "shingles")
     sets = cut(sets.join(reps, ["rep", "same"]).select("rep", "keys", "shingles"), "sets")
 
-    links, groups = None, None
+    groups = None
     for low, high in ((0, 1), (1, 6), (6, bands)):
         if low == 1:  # from here on only the sets of buckets that are not settled move
             met = cut(unsettled(met.where("band > 0"), groups).select("rep", "band", "key"), "open")
@@ -289,13 +289,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         members = cut(unsettled(met.where(F.col("band").between(low, high - 1)), groups), "members")
         large = members.where(F.col("size") > BUCKET)
         if not large.isEmpty():
-            found = cut(hub_links(large.join(sets, "rep"), percent), "hubs")
-            links = found if links is None else links.union(found)
-            groups = cut(components(links), "groups")
+            groups = regrouped(groups, cut(hub_links(large.join(sets, "rep"), percent), "hubs"))
             members = cut(unsettled(members.select("key", "band", "rep"), groups), "members")
-        found = cut(bucket_links(members.join(sets, "rep"), percent), "links")
-        links = found if links is None else links.union(found)
-        groups = cut(components(links), "groups")
+        groups = regrouped(groups, cut(bucket_links(members.join(sets, "rep"), percent), "links"))
 
     rep = classes.join(groups, classes["rep"] == groups["node"], "left").select("same", F.coalesce("component", "rep").alias("rep"))
     result = marked.select("doc_id", "n_shingles", "same").join(rep, "same", "left")

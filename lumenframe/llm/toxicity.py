@@ -54,22 +54,27 @@ def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def first_windows(cuts: Sequence[Sequence[Sequence[bytes]]], labels: np.ndarray) -> list[int]:
+def first_windows(docs: Sequence[np.ndarray], labels: np.ndarray, words: int) -> list[int]:
     """The window that each training document teaches with at first: the one whose words are the most telling of toxic documents.
 
-    Words go by the log ratio of toxic to clean documents that hold them, without the document itself. Scores never see these ratios.
+    docs: numbers below `words` of each document's tokens. Words go by the log ratio of toxic to clean documents that hold them, without
+    the document itself. Scores never see these ratios.
     """
-    held: dict[bytes, list[int]] = {}
-    for c, y in zip(cuts, labels.tolist(), strict=True):
-        for w in {w for x in c for w in x}:
-            held.setdefault(w, [0, 0])[y] += 1
+    held = np.zeros((2, words), np.int64)
+    for d, y in zip(docs, labels.tolist(), strict=True):
+        held[y, np.unique(d)] += 1
     n = [max(1, int((labels == k).sum())) for k in (0, 1)]
 
-    def ratio(w: bytes, y: int) -> float:
-        clean, toxic = (k - (y == i) for i, k in enumerate(held[w]))
-        return math.log((toxic / n[1] + 1 / sum(n)) / (clean / n[0] + 1 / sum(n)))
+    def ratios(y: int) -> np.ndarray:
+        """Of the words that documents labelled y hold."""
+        out = np.zeros(words)
+        for w in np.flatnonzero(held[y]).tolist():
+            clean, toxic = (int(held[i, w]) - (y == i) for i in (0, 1))
+            out[w] = math.log((toxic / n[1] + 1 / sum(n)) / (clean / n[0] + 1 / sum(n)))
+        return out
 
-    return [int(np.argmax([max((ratio(w, y) for w in x), default=0.0) for x in c])) for c, y in zip(cuts, labels.tolist(), strict=True)]
+    ratio = [ratios(0), ratios(1)]
+    return [int(np.argmax([ratio[y][d[s : s + WINDOW]].max(initial=-math.inf) for s in window_starts(len(d))])) for d, y in zip(docs, labels.tolist(), strict=True)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -282,7 +287,10 @@ class Network:
     def window_logits(self, texts: Sequence[str | None], known: Known | None = None) -> list[np.ndarray]:
         """Logits of all overlapping windows of each text; `known` keeps words from call to call."""
         known = known or Known(self)
-        ids, table = known.numbered(texts), known.table
+        return self.numbered_logits(known.numbered(texts), known.table)
+
+    def numbered_logits(self, ids: Sequence[np.ndarray], table: np.ndarray) -> list[np.ndarray]:
+        """The logits of window_logits from each text's tokens as places in a table of `inputs`."""
         starts = [window_starts(len(d)) for d in ids]
         counts = np.array([len(s) for s in starts])
         flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
@@ -369,29 +377,31 @@ def train(texts: Sequence[str | None], labels: Sequence[int], epochs: int = 8, r
 
     Toxic documents teach with their most telling window: by their words at first, then by the network
     itself. Clean ones teach with the window the network takes for the worst, and with one at random.
+    Documents are kept as numbers of their tokens, and each token's bytes once.
     """
-    docs, y = [tokens(t) for t in texts], np.array(labels, np.int64)
+    numbers, y = Numbers(), np.array(labels, np.int64)
+    docs = [np.fromiter(map(numbers.__getitem__, tokens(t)), np.int32) for t in texts]
+    words = list(numbers)
     rng = np.random.default_rng(seed)
-    frequency: dict[bytes, int] = {}
+    frequency = np.zeros(len(words), np.int64)
     for d in docs:
-        for w in set(d):
-            frequency[w] = frequency.get(w, 0) + 1
-    net = Network(sorted(w for w, n in frequency.items() if n >= 5), seed)
-    cuts = [[d[s : s + WINDOW] for s in window_starts(len(d))] for d in docs]
-    worst = first_windows(cuts, y)
+        frequency[np.unique(d)] += 1
+    net = Network(sorted(words[i] for i in np.flatnonzero(frequency >= 5).tolist()), seed)
+    counts = [len(window_starts(len(d))) for d in docs]
+    window = lambda d, i: [words[j] for j in docs[d][i * STRIDE : i * STRIDE + WINDOW].tolist()]
+    worst = first_windows(docs, y, len(words))
     m, v, k = {n: 0.0 for n in net.p}, {n: 0.0 for n in net.p}, 0
     for epoch in range(epochs if len(docs) else 0):
         if epoch >= 2 and epoch % 2 == 0:
-            at, known = 0, Known(net)
-            while at < len(docs):
-                part = texts[at : at + 200]
-                worst[at : at + 200] = [int(x.argmax()) for x in net.window_logits(part, known)]
-                at += 200
-        examples = [(c[i], t) for c, i, t in zip(cuts, worst, y, strict=True)] + [(c[rng.integers(len(c))], 0) for c, t in zip(cuts, y, strict=True) if not t]
+            table = net.inputs(words or [b""])
+            for at in range(0, len(docs), 200):
+                worst[at : at + 200] = [int(x.argmax()) for x in net.numbered_logits(docs[at : at + 200], table)]
+            del table
+        examples = [(d, i, t) for d, (i, t) in enumerate(zip(worst, y, strict=True))] + [(d, int(rng.integers(c)), 0) for d, (c, t) in enumerate(zip(counts, y, strict=True)) if not t]
         order, lot = rng.permutation(len(examples)), min(64, max(8, len(examples) // 40))  # small sets take as many steps
         for i in range(0, len(order), lot):
             batch = [examples[j] for j in order[i : i + lot]]
-            _, g = net.learn([x for x, _ in batch], np.array([t for _, t in batch], np.float32))
+            _, g = net.learn([window(d, at) for d, at, _ in batch], np.array([t for *_, t in batch], np.float32))
             scale = min(1.0, 1.0 / (math.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
             k += 1
             now = rate * (0.2 if epoch >= epochs - 3 else 1.0)

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -131,6 +132,21 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in ids} == {0} and got[1001] == 1000
 
 
+def test_later_links_join_earlier_groups(spark):
+    rng = random.Random(2)
+    pairs = [[(rng.randrange(150), rng.randrange(150)) for _ in range(n)] for n in (40, 0, 30, 25)]
+    walked, plain = [], common.components
+    groups, so_far = None, []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "components", lambda edges: plain((walked.append(edges.where("a <> b").count()), edges)[1]))
+        for lot in pairs:
+            so_far += lot
+            groups = common.regrouped(groups, spark.createDataFrame(lot, "a long, b long"))
+            assert sorted(map(tuple, groups.collect())) == sorted(map(tuple, plain(spark.createDataFrame(so_far, "a long, b long")).collect()))
+        common.regrouped(groups, spark.createDataFrame(so_far, "a long, b long"))
+    assert walked[-1] == 0  # what is connected already isn't walked again
+
+
 def test_licenses(docs, none):
     got = collections.Counter(tuple(r)[:6] for r in licenses.scan_licenses(docs).collect())
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
@@ -645,6 +661,23 @@ def test_known_words_are_bounded():
         assert len(known.raw) <= 6 + 5 and known.table.shape[1] == len(known.seen)
 
 
+def test_training_holds_tokens_as_numbers():
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(3000)) for _ in range(100)]
+    tracemalloc.start()
+    net = toxicity.train(texts, [i % 2 for i in range(100)], epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(net.index) == 3000
+    assert peak < 16 * 100 * 3000  # four bytes a token and what is held once for each word
+
+
+def test_training_takes_texts_without_words():
+    for texts in ([], [None, "", " "], [None, "one two"]):
+        a, b = (toxicity.train(texts, [0] * len(texts), epochs=3) for _ in range(2))
+        assert a.scores(["one", None]) == b.scores(["one", None])
+
+
 def test_windows_cover_all_tokens():
     for n in (0, 1, 16, 31, 32, 33, 48, 49, 200):
         starts = toxicity.window_starts(n)
