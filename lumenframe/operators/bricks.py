@@ -9,6 +9,7 @@ equal those of the whole volume voxel for voxel.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -46,21 +47,28 @@ def places(images: DataFrame, side: Sequence[int] | Column) -> DataFrame:
 
 
 def split(images: DataFrame, side: Sequence[int] = (64, 64, 64)) -> DataFrame:
-    """Image rows as bricks; each row is cut where it is."""
-
-    @F.pandas_udf(f"array<struct<bx: int, by: int, bz: int, voxels: {dict(images.dtypes)['voxels']}>>")
-    def cut(v: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for x, dims in zip(v, d, strict=True):
-            volume = np.asarray(x).reshape([int(k) for k in reversed(dims)])
-            steps = [range(-(-n // s)) for n, s in zip(dims, side, strict=True)]
-            box = lambda b: tuple(slice(b[k] * side[k], (b[k] + 1) * side[k]) for k in (2, 1, 0))
-            out.append([{"bx": i, "by": j, "bz": k, "voxels": volume[box((i, j, k))].reshape(-1)} for k in steps[2] for j in steps[1] for i in steps[0]])
-        return pd.Series(out, dtype=object)
+    """Image rows as bricks; each row is cut where it is, images of one shape together."""
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     others = [c for c in images.columns if c != "voxels"]
-    there = images.where("voxels is not null")
-    return there.select(*others, whole(side).alias("side"), F.explode(cut("voxels", "dims")).alias("_b")).select(*others, "side", "_b.*")
+    out = StructType([images.schema[c] for c in others]).add("side", ArrayType(IntegerType()))
+    for c in PLACE:
+        out = out.add(c, IntegerType())
+    out, side = out.add(images.schema["voxels"]), [int(s) for s in side]
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, (values, ends) = rows_of(batch.column("dims")).astype(int), flat_of(batch.column("voxels"))
+            for at, shape in stacks(dims):
+                volumes = np.stack([values[ends[i] : ends[i + 1]] for i in at]).reshape(-1, *shape[::-1])
+                mine = batch.take(pa.array(at))
+                for place, box in boxes_in((0, 0, 0), shape, side):
+                    flat = volumes[(slice(None), *box)].reshape(len(at), -1)
+                    numbers = [pa.array(np.full(len(at), k, np.int32)) for k in place]
+                    found = [*(mine.column(c) for c in others), lists(np.tile(np.array(side, np.int32), (len(at), 1))), *numbers, lists(flat)]
+                    yield pa.RecordBatch.from_arrays(found, names=out.names)
+
+    return images.where("voxels is not null").select(*others, "voxels").mapInArrow(cut, out)
 
 
 def generated(images: DataFrame, side: Sequence[int], make: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -85,30 +93,17 @@ def generated(images: DataFrame, side: Sequence[int], make: Callable[[np.ndarray
 def join(bricks: DataFrame) -> DataFrame:
     """Bricks as image rows again, for volumes that fit a row."""
     others = [c for c in bricks.columns if c not in (*PLACE, "side", "voxels", "image_id", "dims")]
-
-    @F.pandas_udf(dict(bricks.dtypes)["voxels"])
-    def put(pieces: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([assembled(p, (0, 0, 0), dims).reshape(-1) for p, dims in zip(pieces, d, strict=True)], dtype=object)
-
-    pieces = F.collect_list(F.struct(begin_of().alias("begin"), size_of().alias("size"), "voxels"))
-    rows = bricks.groupBy("image_id").agg(F.first("dims").alias("dims"), *(F.first(c).alias(c) for c in others), pieces.alias("_p"))
-    return rows.withColumn("voxels", put("_p", "dims")).drop("_p")
-
-
-def assembled(pieces: Sequence[dict], low: Sequence[int], high: Sequence[int]) -> np.ndarray:
-    """The (z, y, x) box from low to high out of pieces that fill it."""
-    box = np.empty([int(b - a) for a, b in zip(reversed(low), reversed(high), strict=True)], np.asarray(pieces[0]["voxels"]).dtype if len(pieces) else float)
-    for p in pieces:
-        size = [int(n) for n in reversed(p["size"])]
-        box[tuple(slice(int(b - a), int(b - a) + n) for a, b, n in zip(reversed(low), reversed(p["begin"]), size, strict=True))] = np.asarray(p["voxels"]).reshape(size)
-    return box
+    rest = F.struct(F.array(*[F.lit(0)] * 3).alias("low"), F.col("dims").alias("high"), "dims", *others)
+    first = F.when((F.col("bx") == 0) & (F.col("by") == 0) & (F.col("bz") == 0), rest)
+    pieces = bricks.select("image_id", *(F.lit(0).alias(c) for c in PLACE), first.alias("_rest"), begin_of().alias("_begin"), size_of().alias("_size"), F.col("voxels").alias("_voxels"))
+    return in_boxes(pieces, lambda boxes, row: [({}, boxes)], (), kind=None).select("image_id", "dims", *others, "voxels")
 
 
 def rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """(n, k) numbers of a column of lists of one length, or (n, 1) of single numbers."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten() if pa.types.is_list(column.type) else column
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 3)
 
 
 def flat_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,21 +119,42 @@ def alike(keys: np.ndarray) -> Iterator[np.ndarray]:
     yield from map(np.array, groups.values())
 
 
-def in_boxes(pieces: DataFrame, finish: Callable[..., Iterable[tuple[dict, np.ndarray]]], read: Sequence[str], kind: str = "double", add: bool = False, single: Sequence[str] = ()) -> DataFrame:
+def stacks(shapes: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Places of rows of one shape, as many as hold HELD voxels or one, and the shape."""
+    for at in alike(shapes):
+        shape = shapes[at[0]].tolist()
+        some = max(1, HELD // max(1, math.prod(shape)))
+        yield from ((at[i : i + some], shape) for i in range(0, len(at), some))
+
+
+def boxes_in(low: Sequence[int], high: Sequence[int], side: Sequence[int]) -> Iterator[tuple[tuple[int, ...], tuple[slice, ...]]]:
+    """Each brick of the given side that has voxels from low to high: its place, and where (z, y, x) it lies in a box from low to high."""
+    for place in itertools.product(*(range(a // n, -(-b // n)) for a, b, n in zip(low, high, side, strict=True))):
+        yield place, tuple(slice(max(k * n, a) - a, min((k + 1) * n, b) - a) for k, a, b, n in reversed(list(zip(place, low, high, side, strict=True))))
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    rows = np.ascontiguousarray(rows)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int64) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def in_boxes(pieces: DataFrame, finish: Callable[..., Iterable[tuple[dict, np.ndarray]]], read: Sequence[str], kind: str | None = "double", add: bool = False, single: Sequence[str] = ()) -> DataFrame:
     """Pieces that share image_id, bx, by and bz put (or added) into one box from `low` to `high`, boxes handed to finish as soon as they are whole.
 
     pieces: _begin, _size and _voxels of each piece, and `_rest`, a struct of low, high and all other columns of the box, which a box's first piece (or others too) holds.
     finish(boxes, row, singles) gets a (n, z, y, x) stack of boxes with the same numbers in `read`, these, and the n values of each column of `single`, and gives
     (new values of columns, n rows of voxels) for every row that stands for a box. Pieces come sorted, so a task holds one box, or small ones up to HELD voxels together.
+    Voxels are of the given kind, or stay what they are.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
     keys = ("image_id", *PLACE)
     fields = [*(pieces.schema[c] for c in keys), *pieces.schema["_rest"].dataType.fields]
-    out = StructType([*fields]).add("voxels", ArrayType(DoubleType() if kind == "double" else FloatType()))
+    out = StructType([*fields]).add("voxels", ArrayType({"double": DoubleType(), "float": FloatType()}[kind]) if kind else pieces.schema["_voxels"].dataType)
     types, names = {f.name: f.type for f in to_arrow_schema(out)}, [f.name for f in fields]
-    number = np.float64 if kind == "double" else np.float32
+    number = types["voxels"].value_type.to_pandas_dtype()
 
     def finished(heads: pa.Table, boxes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for at in alike(np.hstack([rows_of(heads.column(c)).astype(float) for c in ("low", "high", *read)])):
@@ -147,36 +163,41 @@ def in_boxes(pieces: DataFrame, finish: Callable[..., Iterable[tuple[dict, np.nd
             for new, values in finish(np.stack([boxes[i] for i in at]), row, *singles):
                 values = np.ascontiguousarray(values, number).reshape(len(at), -1)
                 columns = [pa.array([new[c]] * len(at), types[c]) if c in new else mine.column(c).combine_chunks() for c in names]
-                ends = pa.array(np.arange(len(at) + 1) * values.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))], names=[*names, "voxels"])
+                yield pa.RecordBatch.from_arrays([*columns, lists(values)], names=[*names, "voxels"])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads, boxes, held = None, [], [], 0  # the last box may still grow
-        for batch in batches:
+        for batch in filter(len, batches):
             rest, places, own = batch.column("_rest"), [batch.column(c) for c in keys], []
             table = pa.Table.from_arrays([*places, *(rest.field(c) for c in names[4:])], names=names)
             ids = list(zip(*(c.to_pylist() for c in places), strict=True))
-            begins, shapes = rows_of(batch.column("_begin")), rows_of(batch.column("_size"))[:, ::-1].tolist()
+            begins, shapes = rows_of(batch.column("_begin")), rows_of(batch.column("_size"))
             values, ends = flat_of(batch.column("_voxels"))
-            lows, highs = (rest.field(c) for c in ("low", "high"))
-            for i, this in enumerate(ids):
+            first = [i for i, (this, last) in enumerate(zip(ids, [key, *ids], strict=False)) if this != last]
+            lows, highs = (rows_of(rest.field(c).take(pa.array(first, pa.int64()))) for c in ("low", "high"))
+            box_of = np.searchsorted(first, np.arange(len(ids)), "right") - 1
+            if not first or first[0]:  # the batch goes on with the last box
+                lows, box_of = np.vstack([[low], lows]), box_of + 1
+            starts = begins - lows[box_of]
+            slices = np.stack([starts, starts + shapes], 2).tolist()
+            shapes, heights, ends = shapes[:, ::-1].tolist(), (highs - lows[len(lows) - len(highs) :])[:, ::-1].tolist(), ends.tolist()
+            new = dict(zip(first, range(len(first)), strict=True))
+            for i in range(len(ids)):
                 piece = values[ends[i] : ends[i + 1]].reshape(shapes[i])
-                if this != key:
+                if i in new:
                     if held > HELD:
                         yield from finished(pa.concat_tables([*heads, table.take(pa.array(own, pa.int64()))]), boxes)
                         heads, own, boxes, held = [], [], [], 0
-                    key, low = this, lows[i].as_py()
-                    box = np.zeros([b - a for a, b in zip(reversed(low), reversed(highs[i].as_py()), strict=True)], piece.dtype)
+                    box = np.zeros(heights[new[i]], piece.dtype)
                     own.append(i)
                     boxes.append(box)
                     held += box.size
-                x, y, z = (begins[i] - low).tolist()
-                nz, ny, nx = shapes[i]
-                at = (slice(z, z + nz), slice(y, y + ny), slice(x, x + nx))
+                (x, x2), (y, y2), (z, z2) = slices[i]
                 if add:
-                    box[at] += piece
+                    box[z:z2, y:y2, x:x2] += piece
                 else:
-                    box[at] = piece
+                    box[z:z2, y:y2, x:x2] = piece
+            key, low = ids[-1], lows[-1]
             heads.append(table.take(pa.array(own, pa.int64())))  # a copy, so that the batch can go
         if boxes:
             yield from finished(pa.concat_tables(heads), boxes)
@@ -219,38 +240,99 @@ def cut_for(bricks: DataFrame, wanted: DataFrame, held_side: str = "side") -> Da
     schema = to_arrow_schema(out)
 
     def given(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """All pieces of the bricks of a batch; bricks of one shape that give the same place are cut together."""
+        """All pieces of the bricks of a batch."""
         targets = batch.column("targets")
         asked, counts = targets.flatten(), np.diff(targets.offsets.to_numpy())
         of = np.repeat(np.arange(batch.num_rows), counts)
-        begin, size = rows_of(batch.column("begin")).astype(int), rows_of(batch.column("size")).astype(int)
-        low = np.maximum(rows_of(asked.field("low")), begin[of])
-        high = np.minimum(rows_of(asked.field("high")), (begin + size)[of])
-        values, ends = flat_of(batch.column("voxels"))
-        order, parts = [], []
-        for at in alike(np.hstack([size[of], low - begin[of], high - begin[of]])):
-            i = at[0]
-            shape, (x, y, z), (x2, y2, z2) = size[of[i]][::-1], low[i] - begin[of[i]], high[i] - begin[of[i]]
-            there = np.stack([values[k : k + shape.prod()] for k in ends[of[at]]]).reshape(-1, *shape)
-            parts.append(there[:, z:z2, y:y2, x:x2].reshape(-1))
-            order.append(at)
-        order = np.concatenate(order)
-        rows, sizes = asked.take(pa.array(order)), (high - low)[order]
-        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 3, pa.int32()), pa.array(m.reshape(-1).astype(np.int32)))
-        voxels = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes.prod(1))]), pa.int32()), pa.array(np.concatenate(parts)))
-        found = [batch.column("image_id").take(pa.array(of[order])), *(rows.field(c) for c in (*PLACE, "_rest")), lists(low[order]), lists(sizes), voxels]
+        order, *piece = pieces_of(batch, of, rows_of(asked.field("low")), rows_of(asked.field("high")))
+        rows = asked.take(pa.array(order))
+        found = [batch.column("image_id").take(pa.array(of[order])), *(rows.field(c) for c in (*PLACE, "_rest")), *piece]
         return pa.RecordBatch.from_arrays(found, names=schema.names)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column("voxels").offsets.to_numpy()
-            start = 0
-            while start < batch.num_rows:  # as many bricks as hold HELD voxels, or one
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
-                yield given(batch.slice(start, stop - start))
-                start = stop
+    return met.mapInArrow(lambda batches: map(given, held_together(batches)), out)
+
+
+def held_together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As many bricks as hold HELD voxels, or one."""
+    for batch in batches:
+        ends = batch.column("voxels").offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
-    return met.mapInArrow(cut, out)
+
+def pieces_of(batch: pa.RecordBatch, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, pa.ListArray, pa.ListArray, pa.ListArray]:
+    """What the bricks `of` a batch give to boxes from low to high: the order of the boxes, and where each piece begins, its size and voxels.
+
+    Bricks of one shape that give the same place are cut together.
+    """
+    begin, size = rows_of(batch.column("begin")).astype(int), rows_of(batch.column("size")).astype(int)
+    low, high = np.maximum(low, begin[of]), np.minimum(high, (begin + size)[of])
+    values, ends = flat_of(batch.column("voxels"))
+    order, parts = [], []
+    for at in alike(np.hstack([size[of], low - begin[of], high - begin[of]])):
+        i = at[0]
+        shape, (x, y, z), (x2, y2, z2) = size[of[i]][::-1], low[i] - begin[of[i]], high[i] - begin[of[i]]
+        there = np.stack([values[k : k + shape.prod()] for k in ends[of[at]]]).reshape(-1, *shape)
+        parts.append(there[:, z:z2, y:y2, x:x2].reshape(-1))
+        order.append(at)
+    order = np.concatenate(order)
+    sizes = (high - low)[order]
+    voxels = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes.prod(1))]), pa.int32()), pa.array(np.concatenate(parts)))
+    return order, lists(low[order].astype(np.int32)), lists(sizes.astype(np.int32)), voxels
+
+
+def block_side() -> Column:
+    """The side of the blocks of whole bricks that tasks work on: up to HELD voxels, or one brick."""
+    side = F.col("side")
+    bricks = F.greatest(F.lit(1), F.floor(F.cbrt(F.lit(float(HELD)) / side[0] / side[1] / side[2])).cast("int"))
+    return each_axis(lambda i: side[i] * bricks)
+
+
+def dealt(bricks: DataFrame, far: int) -> DataFrame:
+    """The pieces, as in_boxes takes them, of blocks of side `_block` with `far` voxels more at their far ends; bx, by and bz are the blocks' places.
+
+    Which blocks a brick gives to hangs on its own place, so bricks meet no other table, and most give one piece.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+    ints = ArrayType(IntegerType())
+    bricks = bricks.withColumn("_block", block_side())
+    others = [c for c in bricks.columns if c not in ("image_id", *PLACE, "voxels")]
+    rest = StructType().add("low", ints).add("high", ints)
+    for c in others:
+        rest = rest.add(bricks.schema[c].name, bricks.schema[c].dataType)
+    out = StructType([bricks.schema["image_id"]])
+    for c in PLACE:
+        out = out.add(c, IntegerType())
+    out = out.add("_rest", rest).add("_begin", ints).add("_size", ints).add("_voxels", bricks.schema["voxels"].dataType)
+    schema = to_arrow_schema(out)
+
+    def given(batch: pa.RecordBatch) -> pa.RecordBatch:
+        begin, size, dims, block = (rows_of(batch.column(c)).astype(int) for c in ("begin", "size", "dims", "_block"))
+        first = np.maximum(begin - far, 0) // block
+        counts = (begin + size - 1) // block - first + 1
+        total = counts.prod(1)
+        of = np.repeat(np.arange(len(total)), total)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(total) - total, total)
+        nx, ny, _ = counts[of].T
+        place = first[of] + np.stack([k % nx, k // nx % ny, k // (nx * ny)], 1)
+        low = place * block[of]
+        high = np.minimum(low + block[of] + far, dims[of])
+        order, *piece = pieces_of(batch, of, low, high)
+        low, high, of = low[order], high[order], of[order]
+        head = (begin[of] == low).all(1)  # a block's first brick alone brings the other columns
+        rows = batch.take(pa.array(of, mask=~head))
+        fields = [lists(m.astype(np.int32)) for m in (low, high)] + [rows.column(c) for c in others]
+        told = pa.StructArray.from_arrays(fields, names=["low", "high", *others], mask=pa.array(~head))
+        places = [pa.array(p.astype(np.int32)) for p in place[order].T]
+        return pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(of)), *places, told, *piece], names=schema.names)
+
+    rows = bricks.select("image_id", *others, begin_of().alias("begin"), size_of().alias("size"), "voxels")
+    return rows.mapInArrow(lambda batches: map(given, held_together(batches)), out)
 
 
 def about(bricks: DataFrame) -> DataFrame:
@@ -358,31 +440,28 @@ def rotate(bricks: DataFrame, axis: int, degrees: float, mode: str = "linear", f
 
 
 def blend_patches(bricks: DataFrame, patch: int, stride: int, predict: Callable[[np.ndarray], np.ndarray], rest: Callable[[np.ndarray], np.ndarray] = lambda cube: cube, skip_below: float = 1e-3) -> DataFrame:
-    """dose.blend_patches of volumes in bricks: each cube is predicted once, by the brick that holds its first voxel.
+    """dose.blend_patches of volumes in bricks: each cube is predicted once, where its first voxel is.
 
-    That brick needs patch - 1 voxels more at its far ends. Its weighted sums are cut by the bricks they fall in and added up there; the weights, which hang on places alone,
-    are worked out where they are needed.
+    Bricks are put together into blocks first, small volumes whole. A block needs patch - 1 voxels more at its far ends. Its weighted sums are cut by the blocks they fall in
+    and added up there; the weights, which hang on places alone, are worked out where they are needed.
     """
-    begin, size = begin_of(), size_of()
-    far = each_axis(lambda i: F.least(begin[i] + size[i] + (patch - 1), F.col("dims")[i]))
     line = np.array(cosine_window(patch))
 
     def blended(boxes: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
-        """The bricks' own cubes, predicted, weighted and summed in their boxes, cut by the bricks that the boxes reach."""
-        low, high, side, total = row["low"], row["high"], row["side"], np.zeros(boxes.shape)
-        own = [[a - 1 for a in patch_starts(n, patch, stride) if b <= a - 1 < b + k] for n, b, k in zip(row["dims"], low, row["own"], strict=True)]
+        """The blocks' own cubes, predicted, weighted and summed in their boxes, cut by the blocks that the boxes reach."""
+        low, high, block, total = row["low"], row["high"], row["_block"], np.zeros(boxes.shape)
+        own = [[a - 1 for a in patch_starts(n, patch, stride) if b <= a - 1 < b + k] for n, b, k in zip(row["dims"], low, block, strict=True)]
         for first in itertools.product(*reversed(own)):
             here = tuple(slice(a - b, min(a - b + patch, n)) for a, b, n in zip(first, reversed(low), boxes.shape[1:], strict=True))
             weight = np.einsum("i,j,k->ijk", *(line[: s.stop - s.start] for s in here))
-            for k, box in enumerate(boxes):
-                cube = box[here].astype(float)
-                total[k][here] += (rest(cube) if cube.max() < skip_below else predict(cube)) * weight
-        for place in itertools.product(*(range(a // t, (b - 1) // t + 1) for a, b, t in zip(low, high, side, strict=True))):
-            first = [max(a, b * t) for a, b, t in zip(low, place, side, strict=True)]
-            last = [min(a, (b + 1) * t) for a, b, t in zip(high, place, side, strict=True)]
-            ends = [min((b + 1) * t, n) for b, t, n in zip(place, side, row["dims"], strict=True)]
-            new = dict(zip(PLACE, place, strict=True)) | {"low": [b * t for b, t in zip(place, side, strict=True)], "high": ends, "to_begin": first, "to_size": [b - a for a, b in zip(first, last, strict=True)]}
-            yield new, total[(slice(None), *(slice(a - o, b - o) for a, b, o in zip(reversed(first), reversed(last), reversed(low), strict=True)))]
+            cubes = boxes[(slice(None), *here)].astype(float)
+            skipped = (cubes.max(axis=(1, 2, 3)) < skip_below).tolist()
+            total[(slice(None), *here)] += np.stack([(rest if skip else predict)(cube) for cube, skip in zip(cubes, skipped, strict=True)]) * weight
+        for place, part in boxes_in(low, high, block):
+            ends = [min((b + 1) * t, n) for b, t, n in zip(place, block, row["dims"], strict=True)]
+            begin = [a + p.start for a, p in zip(low, reversed(part), strict=True)]
+            new = dict(zip(PLACE, place, strict=True)) | {"low": [b * t for b, t in zip(place, block, strict=True)], "high": ends, "to_begin": begin, "to_size": [p.stop - p.start for p in reversed(part)]}
+            yield new, total[(slice(None), *part)]
 
     def averaged(totals: np.ndarray, row: dict) -> Iterator[tuple[dict, np.ndarray]]:
         weights = []
@@ -391,13 +470,14 @@ def blend_patches(bricks: DataFrame, patch: int, stride: int, predict: Callable[
             for a in patch_starts(n, patch, stride):
                 w[a - 1 : a - 1 + patch] += line[: n - a + 1]
             weights.append(w[low:high])
-        yield {}, totals / (np.einsum("k,j,i->kji", *reversed(weights)) + 1e-8)
+        means = totals / (np.einsum("k,j,i->kji", *reversed(weights)) + 1e-8)
+        for place, part in boxes_in(row["low"], row["high"], row["side"]):
+            yield dict(zip(PLACE, place, strict=True)), means[(slice(None), *part)]
 
-    wanted = about(bricks).withColumns({"low": begin, "high": far, "own": size, "to_begin": begin, "to_size": size})
-    parts = gather(bricks, wanted, blended, ("own", "side", "dims"))
-    kept = [c for c in parts.columns if c not in ("image_id", *PLACE, "own", "to_begin", "to_size", "voxels")]
+    parts = in_boxes(dealt(bricks.withColumns({"to_begin": begin_of(), "to_size": size_of()}), patch - 1), blended, ("_block", "dims"))
+    kept = [c for c in parts.columns if c not in ("image_id", *PLACE, "to_begin", "to_size", "voxels")]
     pieces = parts.select("image_id", *PLACE, F.struct(*kept).alias("_rest"), F.col("to_begin").alias("_begin"), F.col("to_size").alias("_size"), F.col("voxels").alias("_voxels"))
-    return in_boxes(pieces, averaged, ("dims",), add=True).drop("low", "high")
+    return in_boxes(pieces, averaged, ("dims", "side"), add=True).drop("low", "high", "_block")
 
 
 def voxel_sums(bricks: DataFrame) -> DataFrame:

@@ -66,6 +66,49 @@ def test_blending_in_bricks(spark, patch, stride):
     same(bricks.join(bricks.blend_patches(bricks.split(df, (3, 2, 4)), patch, stride, predict, rest, 1.5)), want, 1e-9)
 
 
+@pytest.mark.parametrize("held", [1, 100, 1 << 20])
+@pytest.mark.parametrize(("patch", "stride"), [(4, 2), (5, 3)])
+def test_blending_in_blocks_of_bricks(spark, monkeypatch, held, patch, stride):
+    """Bricks are put together into blocks of any size, also when a box's pieces come in several batches; each cube is predicted once."""
+    monkeypatch.setattr(bricks, "HELD", held)
+    predicted = spark.sparkContext.accumulator(0)
+
+    def predict(cube):
+        predicted.add(1)
+        return cube * cube.max()
+
+    rest = lambda c: 2 * c
+    df = table(spark, [(9, 10, 7), (3, 8, 4), (9, 10, 7), (1, 1, 1)], 6)
+    want = dose.blend_patches(df, patch, stride, lambda c: c * c.max(), rest, 1.5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = bricks.blend_patches(bricks.split(df, (2, 3, 2)), patch, stride, predict, rest, 1.5).localCheckpoint()
+        same(bricks.join(got), want, 1e-9)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cubes = [math.prod(len(dose.patch_starts(n, patch, stride)) for n in r["dims"]) for r in df.collect()]
+    assert 0 < predicted.value <= sum(cubes)
+    assert {tuple(r["side"]) for r in got.collect()} == {(2, 3, 2)} and got.count() == sum(math.prod(-(-n // k) for n, k in zip(r["dims"], (2, 3, 2), strict=True)) for r in df.collect())
+
+
+def test_small_volumes_are_blended_whole(spark, monkeypatch):
+    """A brick of a small volume gives one piece, and the volume's sums are one: pieces don't grow with the bricks that a cube reaches."""
+    moved, plain = [], bricks.in_boxes
+    monkeypatch.setattr(bricks, "in_boxes", lambda pieces, *args, **more: moved.append(pieces.count()) or plain(pieces, *args, **more))
+    df = table(spark, [(6, 6, 6)] * 20)
+    done = bricks.blend_patches(bricks.split(df, (2, 3, 2)), 4, 2, lambda c: c * c.max())
+    assert done.count() == 20 * 18 and moved == [20 * 18, 20]
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "float", "double"])
+def test_split_and_join_keep_what_voxels_are(spark, kind):
+    df = table(spark, [*SHAPES, (5, 4, 7)]).withColumn("voxels", F.transform("voxels", lambda v: (v * 9).cast(kind)))
+    df = df.union(df.where("image_id = 1").withColumns({"image_id": F.lit(9), "label": F.lit(None), "voxels": F.lit(None)}))
+    back = bricks.join(bricks.split(df, (2, 3, 4)))
+    assert dict(back.dtypes) == dict(df.dtypes)
+    same(back, df.where("voxels is not null"))
+
+
 def test_a_brick_far_from_all_output_is_filled(spark):
     df = table(spark, [(6, 6, 6)])
     away = geometry.affine_matrix((100, 0, 0))
