@@ -25,6 +25,8 @@ from lumenframe.operators.spatial import diagonal, each_axis, matrices, real, tu
 PLACE = ("bx", "by", "bz")
 #: Voxels of small boxes or bricks that a task works on together.
 HELD = 1 << 20
+#: Voxels of a block of small bricks that stays together: few enough that volumes of many bricks are still dealt to many tasks.
+BLOCK = 1 << 16
 
 
 def begin_of(side: str | Column = "side") -> Column:
@@ -285,9 +287,9 @@ def pieces_of(batch: pa.RecordBatch, of: np.ndarray, low: np.ndarray, high: np.n
 
 
 def block_side() -> Column:
-    """The side of the blocks of whole bricks that tasks work on: up to HELD voxels, or one brick."""
+    """The side of the blocks of whole bricks that tasks work on: up to BLOCK voxels, or one brick."""
     side = F.col("side")
-    bricks = F.greatest(F.lit(1), F.floor(F.cbrt(F.lit(float(HELD)) / side[0] / side[1] / side[2])).cast("int"))
+    bricks = F.greatest(F.lit(1), F.floor(F.cbrt(F.lit(float(BLOCK)) / side[0] / side[1] / side[2])).cast("int"))
     return each_axis(lambda i: side[i] * bricks)
 
 

@@ -71,6 +71,7 @@ def test_blending_in_bricks(spark, patch, stride):
 def test_blending_in_blocks_of_bricks(spark, monkeypatch, held, patch, stride):
     """Bricks are put together into blocks of any size, also when a box's pieces come in several batches; each cube is predicted once."""
     monkeypatch.setattr(bricks, "HELD", held)
+    monkeypatch.setattr(bricks, "BLOCK", held)
     predicted = spark.sparkContext.accumulator(0)
 
     def predict(cube):
